@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import simhash
+from tessera.llm import simhash, token_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash": simhash.query}
+    return {"op5_token_codec": token_codec.query, "op9_simhash": simhash.query}
 
 
 def oracle_sql() -> dict[str, str]:
