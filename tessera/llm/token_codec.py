@@ -67,9 +67,9 @@ def chunk_encoder(tokenizer_json: str) -> Callable[[list[str]], list[np.ndarray]
         for text in texts:
             chunks = text.replace("\n", " ").split(" ")
             young, old = memos
-            if new := set(chunks) - young.keys():
-                young.update((c, old[c]) for c in new & old.keys())
-                learn(list(new - old.keys()))
+            if new := [c for c in set(chunks) if c not in young]:
+                young.update((c, old[c]) for c in new if c in old)
+                learn([c for c in new if c not in young])
             found.append(np.frombuffer(b"".join(map(young.__getitem__, chunks)), dtype=kind))
             if len(young) > MEMO:
                 memos[:] = [{}, young]
