@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import lm_score, simhash, token_codec
+from tessera.llm import lm_score, simhash, token_codec, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_codec": token_codec.query, "op8_lm_score": lm_score.query, "op9_simhash": simhash.query}
+    return {"op5_token_codec": token_codec.query, "op6_toxicity": toxicity.query, "op8_lm_score": lm_score.query, "op9_simhash": simhash.query}
 
 
 def oracle_sql() -> dict[str, str]:
