@@ -30,7 +30,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_edge_rows(spark):
-    data = [(i, "you idiot of a word" if i % 3 == 0 else f"some clean text {i}") for i in range(1, 200)]
+    data = [(i, "some idiot text" if i % 3 == 0 else f"some clean text {i}") for i in range(1, 200)]
     data += [(None, "idiot"), (500, None), (501, ""), (501, ""), (502, "idiot " * 50_000)]
     frame = spark.createDataFrame(data, "doc_id long, text string").withColumn("toxic", F.lit("x")).withColumn("score", F.lit(1))
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1, 150)] + [(None, 1), (3, None), (3, 0)], "doc_id long, toxic int")
