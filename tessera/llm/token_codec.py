@@ -34,7 +34,9 @@ MAX_BITS = 20
 BLOCK_TOKENS = 1 << 16
 STRIDE = 512
 #: Chunks of text whose ids a worker keeps, in each of two generations.
-MEMO = 200_000
+MEMO = 400_000
+#: Signs that are cut off the end of a chunk after a letter or digit, and encoded by themselves.
+TAIL = ".,;:!?|$%&*#)"
 
 
 def chunk_encoder(tokenizer_json: str) -> Callable[[list[str]], list[np.ndarray]]:
@@ -50,29 +52,41 @@ def chunk_encoder(tokenizer_json: str) -> Callable[[list[str]], list[np.ndarray]
     tokenizer = Tokenizer.from_str(tokenizer_json)
     wide = tokenizer.get_vocab_size() > 1 << 16
     kind = np.dtype("<u4" if wide else "<u2")
+    lower = '"Lowercase"' in tokenizer_json
     memos: list[dict[str, bytes]] = [{}, {}]
+    cores: list[dict[str, bytes]] = [{}, {}]
 
-    def learn(chunks: list[str]) -> None:
+    def learn(chunks: list[str], memo: dict[str, bytes]) -> None:
         for at in range(0, len(chunks), 2000):
             part = chunks[at : at + 2000]
             found = tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(found.ids, dtype=kind).tobytes()
             begin = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(found.offsets))
-            cut = np.searchsorted(begin, np.cumsum([0] + [len(c) + 1 for c in part])) * kind.itemsize
-            for i, chunk in enumerate(part):
-                memos[0][chunk] = ids[cut[i] : cut[i + 1]]
+            cut = (np.searchsorted(begin, np.cumsum([0] + [len(c) + 1 for c in part])) * kind.itemsize).tolist()
+            memo.update((c, ids[i:j]) for c, i, j in zip(part, cut, cut[1:], strict=False))
+
+    def look_up(parts: set[str], memo: list[dict[str, bytes]], make: Callable[[list[str]], None]) -> None:
+        young, old = memo
+        if new := [c for c in parts if c not in young]:
+            young.update((c, old[c]) for c in new if c in old)
+            if new := [c for c in new if c not in young]:
+                make(new)
+
+    def compose(chunks: list[str]) -> None:
+        cut = [(c, core if (core := c.rstrip(TAIL)) and core[-1].isalnum() else c) for c in chunks]
+        look_up({part for c, core in cut for part in (core, c[len(core) :])}, cores, lambda new: learn(new, cores[0]))
+        known = cores[0]
+        memos[0].update((c, known[core] + known[c[len(core) :]]) for c, core in cut)
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        found = []
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            young, old = memos
-            if new := [c for c in set(chunks) if c not in young]:
-                young.update((c, old[c]) for c in new if c in old)
-                learn([c for c in new if c not in young])
-            found.append(np.frombuffer(b"".join(map(young.__getitem__, chunks)), dtype=kind))
-            if len(young) > MEMO:
-                memos[:] = [{}, young]
+        """Chunks of all texts are looked up together; upper-case A to Z is folded first where the tokenizer does it."""
+        split = [(t.encode().lower().decode() if lower and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
+        look_up(set().union(*split), memos, compose)
+        known = memos[0].__getitem__
+        found = [np.frombuffer(b"".join(map(known, chunks)), dtype=kind) for chunks in split]
+        for memo in (memos, cores):
+            if len(memo[0]) > MEMO:
+                memo[:] = [{}, memo[0]]
         return found
 
     return encode
@@ -135,12 +149,12 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bit string of ids, and the bit offset of every STRIDE-th of them."""
-    size = lengths[ids].astype(np.int64)
-    ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    shift = np.repeat(ends, size) - 1 - np.arange(total)
-    bits = (np.repeat(codes[ids], size) >> shift.astype(np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes(), (ends - size)[::STRIDE].astype(np.int64)
+    size = lengths[ids]
+    starts = np.cumsum(size, dtype=np.int64) - size
+    aligned = (codes[ids] << (32 - size.astype(np.uint32))).astype(">u4")  # a code in its upper bits
+    wide = -(-int(lengths.max(initial=1)) // 8)
+    bits = np.unpackbits(aligned.view(np.uint8).reshape(-1, 4)[:, :wide], axis=1)
+    return np.packbits(bits[np.arange(8 * wide) < size[:, None]]).tobytes(), starts[::STRIDE]
 
 
 def unpack(payloads: list[bytes], offsets: list[np.ndarray], counts: list[int], table_: tuple[np.ndarray, np.ndarray, int]) -> list[np.ndarray]:
