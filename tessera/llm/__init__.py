@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, licenses, lm_score, mix, simhash, token_codec, toxicity
+from tessera.llm import decontaminate, licenses, lm_score, mix, quality, simhash, token_codec, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": mix.query, "op3_decontaminate": decontaminate.query, "op5_token_codec": token_codec.query, "op6_toxicity": toxicity.query, "op8_lm_score": lm_score.query, "op9_simhash": simhash.query, "op10_licenses": licenses.query}
+    return {"op1_mix": mix.query, "op2_quality": quality.query, "op3_decontaminate": decontaminate.query, "op5_token_codec": token_codec.query, "op6_toxicity": toxicity.query, "op8_lm_score": lm_score.query, "op9_simhash": simhash.query, "op10_licenses": licenses.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mix.SQL, "op10_licenses": licenses.SQL}
+    return {"op1_mix": mix.SQL, "op2_quality": quality.SQL, "op10_licenses": licenses.SQL}
