@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm._shared import partitions, shared_dir, table, written
@@ -34,13 +35,15 @@ MAX_BITS = 20
 BLOCK_TOKENS = 1 << 16
 STRIDE = 512
 #: Chunks of text whose ids a worker keeps, in each of two generations.
-MEMO = 400_000
+MEMO = 600_000
+#: Bytes of text that are encoded together.
+TOGETHER = 16 << 20
 #: Signs that are cut off the end of a chunk after a letter or digit, and encoded by themselves.
 TAIL = ".,;:!?|$%&*#)"
 
 
-def chunk_encoder(tokenizer_json: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """A function from texts to arrays of ids, equal to encoding each whole text.
+def chunk_encoder(tokenizer_json: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """A function from an array of texts to all their ids and each text's first and last place, equal to encoding each whole text.
 
     Holds for tokenizers that drop white space and split at it before merging.
     """
@@ -54,41 +57,45 @@ def chunk_encoder(tokenizer_json: str) -> Callable[[list[str]], list[np.ndarray]
     kind = np.dtype("<u4" if wide else "<u2")
     lower = '"Lowercase"' in tokenizer_json
     memos: list[dict[str, bytes]] = [{}, {}]
-    cores: list[dict[str, bytes]] = [{}, {}]
 
     def learn(chunks: list[str], memo: dict[str, bytes]) -> None:
-        for at in range(0, len(chunks), 2000):
-            part = chunks[at : at + 2000]
+        for at in range(0, len(chunks), 4000):
+            part = chunks[at : at + 4000]
             found = tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(found.ids, dtype=kind).tobytes()
-            begin = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(found.offsets))
-            cut = (np.searchsorted(begin, np.cumsum([0] + [len(c) + 1 for c in part])) * kind.itemsize).tolist()
-            memo.update((c, ids[i:j]) for c, i, j in zip(part, cut, cut[1:], strict=False))
-
-    def look_up(parts: set[str], memo: list[dict[str, bytes]], make: Callable[[list[str]], None]) -> None:
-        young, old = memo
-        if new := [c for c in parts if c not in young]:
+            begin = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            cut = (np.searchsorted(begin, np.cumsum([0, *map(len, part)]) + np.arange(len(part) + 1)) * kind.itemsize).tolist()
+            memo.update(zip(part, map(ids.__getitem__, map(slice, cut, cut[1:])), strict=True))
+
+    def look_up(chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks. A new one is learned without the signs at its end, which are learned once."""
+        young, old = memos
+        if new := [c for c in chunks if c not in young]:
             young.update((c, old[c]) for c in new if c in old)
-            if new := [c for c in new if c not in young]:
-                make(new)
-
-    def compose(chunks: list[str]) -> None:
-        cut = [(c, core if (core := c.rstrip(TAIL)) and core[-1].isalnum() else c) for c in chunks]
-        look_up({part for c, core in cut for part in (core, c[len(core) :])}, cores, lambda new: learn(new, cores[0]))
-        known = cores[0]
-        memos[0].update((c, known[core] + known[c[len(core) :]]) for c, core in cut)
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        """Chunks of all texts are looked up together; upper-case A to Z is folded first where the tokenizer does it."""
-        split = [(t.encode().lower().decode() if lower and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
-        look_up(set().union(*split), memos, compose)
-        known = memos[0].__getitem__
-        found = [np.frombuffer(b"".join(map(known, chunks)), dtype=kind) for chunks in split]
-        for memo in (memos, cores):
-            if len(memo[0]) > MEMO:
-                memo[:] = [{}, memo[0]]
+            new = [c for c in new if c not in young]
+            ends = {c: core for c in new if (core := c.rstrip(TAIL)) != c and core and core[-1].isalnum()}
+            parts = {*ends.values(), *(c[len(core) :] for c, core in ends.items()), *(c for c in new if c not in ends)}
+            learn([c for c in parts if c not in young], young)
+            young.update((c, young[core] + young[c[len(core) :]]) for c, core in ends.items())
+        found = list(map(young.__getitem__, chunks))
+        if len(young) > MEMO:
+            memos[:] = [{}, young]
         return found
 
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Upper-case A to Z is folded first where the tokenizer does it and no special token can be in a text."""
+        texts = pc.fill_null(texts, "")
+        if lower and not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.cast(pc.ascii_lower(texts), pa.string())
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ").cast(pa.large_list(pa.string()))
+        chunks = split.flatten().dictionary_encode()
+        known = pa.array(look_up(chunks.dictionary.to_pylist()), type=pa.large_binary())
+        taken = known.take(chunks.indices)
+        _, ends, data = taken.buffers()
+        at = np.frombuffer(ends, dtype=np.int64)[taken.offset :]
+        bounds = at[split.offsets.to_numpy() - split.offsets[0].as_py()] // kind.itemsize
+        return np.frombuffer(data or b"", dtype=kind), bounds
+
     return encode
 
 
@@ -148,52 +155,82 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bit string of ids, and the bit offset of every STRIDE-th of them."""
-    size = lengths[ids]
-    starts = np.cumsum(size, dtype=np.int64) - size
-    aligned = (codes[ids] << (32 - size.astype(np.uint32))).astype(">u4")  # a code in its upper bits
-    wide = -(-int(lengths.max(initial=1)) // 8)
-    bits = np.unpackbits(aligned.view(np.uint8).reshape(-1, 4)[:, :wide], axis=1)
-    return np.packbits(bits[np.arange(8 * wide) < size[:, None]]).tobytes(), starts[::STRIDE]
+    """The bit string of ids, and the bit offset of every STRIDE-th of them.
+
+    Codes that begin in one 64-bit word are shifted into place and added; what runs over goes to the next word.
+    """
+    size = lengths[ids].astype(np.int64)
+    ends = np.cumsum(size)
+    starts = ends - size
+    total = int(ends[-1]) if len(ends) else 0
+    words = np.zeros(-(-total // 64) + 1, dtype=np.uint64)
+    if total:
+        code, at = codes[ids].astype(np.uint64), starts >> 6
+        over = (starts & 63) + size - 64  # bits in the next word
+        left = code << np.maximum(-over, 0).astype(np.uint64)
+        crossing = np.flatnonzero(over > 0)
+        part = over[crossing].astype(np.uint64)
+        left[crossing] = code[crossing] >> part
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        words[at[first]] = np.add.reduceat(left, first)
+        words[at[crossing] + 1] += code[crossing] << (np.uint64(64) - part)
+    return words.astype(">u8").tobytes()[: -(-total // 8)], starts[::STRIDE]
 
 
 def unpack(payloads: list[bytes], offsets: list[np.ndarray], counts: list[int], table_: tuple[np.ndarray, np.ndarray, int]) -> list[np.ndarray]:
     """The ids of several blocks; all strides of all blocks advance together, an id at a time."""
+    if not payloads:
+        return []
     ids, sizes, width = table_
     base = np.cumsum([0, *(len(p) for p in payloads)])
-    data = np.frombuffer(b"".join(payloads) + b"\0" * 8, dtype=np.uint8)
-    at = np.concatenate([o + 8 * b for o, b in zip(offsets, base, strict=False)]) if payloads else np.array([], dtype=np.int64)
-    left = np.concatenate([np.minimum(STRIDE, n - np.arange(0, n, STRIDE)) for n in counts]) if payloads else at
-    out = np.zeros((len(at), STRIDE), dtype=np.uint32)
+    data = b"".join(payloads) + b"\0" * 8
+    words = np.ndarray((len(data) - 3,), dtype=">u4", buffer=data, strides=(1,))  # four bytes from each byte on
+    at = np.concatenate([o + 8 * b for o, b in zip(offsets, base, strict=False)])
+    left = np.concatenate([np.minimum(STRIDE, n - np.arange(0, n, STRIDE)) for n in counts])
     live = np.argsort(-left, kind="stable")
     at, ordered = at[live], left[live]
+    out = np.zeros((STRIDE, len(at)), dtype=np.uint32)
     for step in range(int(left.max(initial=0))):
         n = int(np.searchsorted(-ordered, -step, side="left"))  # strides that have more than step ids
         here = at[:n]
-        byte = here >> 3
-        word = (data[byte].astype(np.uint32) << 24) | (data[byte + 1].astype(np.uint32) << 16) | (data[byte + 2].astype(np.uint32) << 8) | data[byte + 3]
-        slot = ((word << (here & 7).astype(np.uint32)) >> np.uint32(32 - width)).astype(np.int64)
-        out[live[:n], step] = ids[slot]
-        at[:n] = here + sizes[slot]
+        word = words[here >> 3].astype(np.uint32)
+        slot = (word << (here & 7).astype(np.uint32)) >> np.uint32(32 - width)
+        out[step, :n] = ids[slot]
+        here += sizes[slot]
+    back = np.empty_like(live)
+    back[live] = np.arange(len(live))
+    rows = out.T[back]
     found, row = [], 0
     for n in counts:
-        rows = -(-n // STRIDE)
-        found.append(out[row : row + rows].reshape(-1)[:n])
-        row += rows
+        found.append(rows[row : row + -(-n // STRIDE)].reshape(-1)[:n])
+        row += -(-n // STRIDE)
     return found
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about TOGETHER bytes; one text may be longer."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= TOGETHER:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _ids(documents: DataFrame, id_col: str, text_col: str, tokenizer_json: str, end_id: int) -> DataFrame:
     broadcast = documents.sparkSession.sparkContext.broadcast(tokenizer_json)  # one tokenizer file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = chunk_encoder(broadcast.value)
-        for batch in batches:
-            found = encode([t.as_py() or "" for t in batch.column(1)])
-            ended = [np.append(x, x.dtype.type(end_id)) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ended], type=pa.int64()), pa.array([x.tobytes() for x in ended], type=pa.binary())], names=["doc_id", "n", "ids"])
+        for batch in _together(batches):
+            ids, bounds = encode(batch.column(1))
+            end = ids.dtype.type(end_id).tobytes()
+            ended = [ids[i:j].tobytes() + end for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ended, type=pa.binary())], names=["doc_id", "ids"])
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def _counts(ids: DataFrame, vocab: int, kind: str) -> np.ndarray:
@@ -202,8 +239,7 @@ def _counts(ids: DataFrame, vocab: int, kind: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), dtype=kind), minlength=vocab)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=kind), minlength=vocab)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "c"])
 
