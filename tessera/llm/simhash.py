@@ -53,15 +53,15 @@ def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``(doc_id, fp)`` of every row; fp: the fingerprint as a signed long."""
+    """``(doc_id, fp, text_hash)`` of every row; fp: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([simhash(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    read = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return read.mapInArrow(run, "doc_id long, fp long")
+    read = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return read.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _blocks(budget: int) -> list[tuple[int, int]]:
@@ -233,15 +233,34 @@ def links(distinct: DataFrame, budget: int = 4, bucket_rows: int = 1_000_000, ch
     return tries.repartition(partitions(distinct), "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4, bucket_rows: int = 1_000_000) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` of every row; component_id: the least doc_id linked, directly or not."""
+def _groups(documents: DataFrame, id_col: str, text_col: str, words: int, budget: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint of every row, and ``(fp, least, label)`` of every distinct one; label: the least fp linked."""
     fps = written(fingerprints(documents, id_col, text_col, words), "simhash")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     label = connected_components(links(distinct.select("fp"), budget, bucket_rows), "a", "b").select(F.col("node").alias("fp"), "label")
-    grouped = distinct.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return fps, distinct.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4, bucket_rows: int = 1_000_000) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` of every row; component_id: the least doc_id linked, directly or not."""
+    fps, grouped = _groups(documents, id_col, text_col, words, budget, bucket_rows)
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     return fps.join(grouped.join(least, "label").select("fp", "component_id"), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4, bucket_rows: int = 1_000_000) -> DataFrame:
+    """One row of each component, all columns: that of the least doc_id (null last), then of the least text hash.
+
+    Of rows with the same doc_id and text the least by all columns stays.
+    """
+    fps, grouped = _groups(documents, id_col, text_col, words, budget, bucket_rows)
+    first = fps.join(grouped.select("fp", "label"), "fp").groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("r"))
+    # keys that hold no null, so that the join and the aggregation after it share one shuffle of the texts
+    keep = first.select(F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("r.text_hash").alias("_hash"))
+    keyed = documents.withColumns({"_id": F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), "_hash": F.xxhash64(text_col)})
+    joined = keyed.join(keep, ["_id", "_hash"], "left_semi")
+    return joined.groupBy("_id", "_hash").agg(F.min(F.struct(*documents.columns)).alias("row")).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

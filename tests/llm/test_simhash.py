@@ -93,3 +93,6 @@ def test_edge_rows(spark):
     assert got[9, f"{brute_fingerprint(long):016x}"] == 9
     assert got[None, f"{brute_fingerprint('alone among these'):016x}"] is None
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
+    kept = sorted((str(r.doc_id), r.text) for r in simhash.deduplicate(frame).collect())
+    assert kept == sorted([("2", ""), ("4", "same text"), ("9", long), ("None", "alone among these")])
+    assert simhash.deduplicate(frame.limit(0)).count() == 0
