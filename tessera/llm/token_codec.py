@@ -20,8 +20,11 @@ no rows. A document may be of any length; a block holds one at least.
 
 from __future__ import annotations
 
+import json
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,28 +59,41 @@ def chunk_encoder(tokenizer_json: str) -> Callable[[pa.Array], tuple[np.ndarray,
     wide = tokenizer.get_vocab_size() > 1 << 16
     kind = np.dtype("<u4" if wide else "<u2")
     lower = '"Lowercase"' in tokenizer_json
+    merge = tokenizer.model.tokenize
     memos: list[dict[str, bytes]] = [{}, {}]
 
+    def learn_words(words: list[str], memo: dict[str, bytes]) -> None:
+        """Words of lower-case ASCII letters: the other steps of the tokenizer leave them as they are, so only its merges are run."""
+        found = [[t.id for t in merge(w)] for w in words]
+        raw = np.fromiter(chain.from_iterable(found), dtype=kind).tobytes()
+        cut = list(accumulate((len(x) * kind.itemsize for x in found), initial=0))
+        memo.update(zip(words, map(raw.__getitem__, map(slice, cut, cut[1:])), strict=True))
+
     def learn(chunks: list[str], memo: dict[str, bytes]) -> None:
-        for at in range(0, len(chunks), 4000):
-            part = chunks[at : at + 4000]
+        for at in range(0, len(chunks), 500):
+            part = chunks[at : at + 500]
             found = tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, dtype=kind).tobytes()
             begin = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            raw = np.array(found.ids, dtype=kind).tobytes()
             cut = (np.searchsorted(begin, np.cumsum([0, *map(len, part)]) + np.arange(len(part) + 1)) * kind.itemsize).tolist()
-            memo.update(zip(part, map(ids.__getitem__, map(slice, cut, cut[1:])), strict=True))
+            memo.update(zip(part, map(raw.__getitem__, map(slice, cut, cut[1:])), strict=True))
 
     def look_up(chunks: list[str]) -> list[bytes]:
         """The ids of distinct chunks. A new one is learned without the signs at its end, which are learned once."""
         young, old = memos
-        if new := [c for c in chunks if c not in young]:
+        found = list(map(young.get, chunks))
+        if missing := [i for i, x in enumerate(found) if x is None]:
+            new = [chunks[i] for i in missing]
             young.update((c, old[c]) for c in new if c in old)
             new = [c for c in new if c not in young]
             ends = {c: core for c in new if (core := c.rstrip(TAIL)) != c and core and core[-1].isalnum()}
             parts = {*ends.values(), *(c[len(core) :] for c, core in ends.items()), *(c for c in new if c not in ends)}
-            learn([c for c in parts if c not in young], young)
+            parts = [c for c in parts if c not in young]
+            learn_words(words := [c for c in parts if c.isascii() and c.isalpha() and c.islower()], young)
+            learn(list({*parts}.difference(words)), young)
             young.update((c, young[core] + young[c[len(core) :]]) for c, core in ends.items())
-        found = list(map(young.__getitem__, chunks))
+            for i in missing:
+                found[i] = young[chunks[i]]
         if len(young) > MEMO:
             memos[:] = [{}, young]
         return found
@@ -251,8 +267,6 @@ def _counts(ids: DataFrame, vocab: int, kind: str) -> np.ndarray:
 
 def write(documents: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, max_bits: int = MAX_BITS) -> None:
     """Encode and write ``path/blocks``, ``path/lengths`` (the code) and ``path/parts`` (ids of each part)."""
-    import json
-
     spark = documents.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
@@ -298,8 +312,11 @@ def write(documents: DataFrame, path: str, tokenizer_path: str, id_col: str = "d
     spark.createDataFrame([(p, int(b)) for (p, _), b in zip(found, before, strict=False)], "part int, before long").coalesce(1).write.parquet(f"{path}/parts")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Decode the files: ``(doc_id, start, n_tokens, ids)`` per document; start counts ids of all documents before it."""
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Decode the files: ``(doc_id, start, n_tokens, ids_crc32, ids)`` per document; start counts ids of all documents before it.
+
+    ids: little-endian unsigned 32-bit integers, left out without with_ids; ids_crc32 is taken of them.
+    """
     code = spark.read.parquet(f"{path}/lengths").collect()
     lengths = np.zeros(1 + max((r.id for r in code), default=0), dtype=np.uint8)
     for r in code:
@@ -315,18 +332,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 16):
                 part = {k: v[at : at + 16] for k, v in columns.items()}
                 found = unpack(part["payload"], [np.array(o, dtype=np.int64) for o in part["offsets"]], [sum(s) for s in part["sizes"]], look_up)
-                docs, starts, sizes, raw = [], [], [], []
+                docs, starts, sizes, raw, crcs = [], [], [], [], []
                 for i, ids in enumerate(found):
                     ends = np.cumsum(part["sizes"][i])
                     first = before[part["part"][i]] + part["start"][i]
                     docs += part["doc_ids"][i]
                     sizes += part["sizes"][i]
                     starts += [first + int(e) - n for e, n in zip(ends, part["sizes"][i], strict=True)]
-                    raw += [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, part["sizes"][i], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, type=pa.int64()), pa.array(starts, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.array(raw, type=pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                    own = [ids[e - n : e].astype("<u4", copy=False) for e, n in zip(ends, part["sizes"][i], strict=True)]
+                    crcs += map(zlib.crc32, own)
+                    raw += [x.tobytes() for x in own] if with_ids else []
+                made = [pa.array(x, type=pa.int64()) for x in (docs, starts, sizes, crcs)] + [pa.array(raw, type=pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(made)])
 
     blocks = spark.read.parquet(f"{path}/blocks")
-    return blocks.select("part", "start", "doc_ids", "sizes", "offsets", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.select("part", "start", "doc_ids", "sizes", "offsets", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def digest(documents: DataFrame, tokenizer_path: str, **columns: str) -> DataFrame:
@@ -334,7 +354,7 @@ def digest(documents: DataFrame, tokenizer_path: str, **columns: str) -> DataFra
     spark = documents.sparkSession
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write(documents, path, tokenizer_path, **columns)
-    return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(spark, path, with_ids=False)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

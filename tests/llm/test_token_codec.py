@@ -64,6 +64,14 @@ def test_query_equals_direct_encoding(spark):
         start += len(ids)
 
 
+def test_read_gives_the_ids(spark, tmp_path):
+    frame = spark.createDataFrame([(2, "some words"), (1, "more, and MORE")], "doc_id long, text string")
+    codec.write(frame, f"file://{tmp_path}/files", codec.tokenizer_path())
+    rows = codec.read(spark, f"file://{tmp_path}/files").orderBy("start").collect()
+    assert [np.frombuffer(r.ids, dtype="<u4").tolist() for r in rows] == direct(["more, and MORE", "some words"])
+    assert [crc(np.frombuffer(r.ids, dtype="<u4")) for r in rows] == [r.ids_crc32 for r in rows]
+
+
 @pytest.mark.parametrize("memo", [3, 200_000])
 def test_edge_rows(spark, memo, monkeypatch):
     monkeypatch.setattr(codec, "MEMO", memo)
