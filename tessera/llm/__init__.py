@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, licenses, lm_score, mix, quality, simhash, token_codec, tool_calls, toxicity
+from tessera.llm import decontaminate, licenses, lm_score, mix, quality, secrets, simhash, token_codec, tool_calls, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": mix.query, "op2_quality": quality.query, "op3_decontaminate": decontaminate.query, "op4_tool_calls": tool_calls.query, "op5_token_codec": token_codec.query, "op6_toxicity": toxicity.query, "op8_lm_score": lm_score.query, "op9_simhash": simhash.query, "op10_licenses": licenses.query}
+    return {"op1_mix": mix.query, "op2_quality": quality.query, "op3_decontaminate": decontaminate.query, "op4_tool_calls": tool_calls.query, "op5_token_codec": token_codec.query, "op6_toxicity": toxicity.query, "op7_secrets": secrets.query, "op8_lm_score": lm_score.query, "op9_simhash": simhash.query, "op10_licenses": licenses.query}
 
 
 def oracle_sql() -> dict[str, str]:
