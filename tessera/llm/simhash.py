@@ -254,7 +254,8 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows with the same doc_id and text the least by all columns stays.
     """
     fps, grouped = _groups(documents, id_col, text_col, words, budget, bucket_rows)
-    first = fps.join(grouped.select("fp", "label"), "fp").groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("r"))
+    of_each = fps.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("r"))  # before the join, so that no fingerprint is hot in it
+    first = of_each.join(grouped.select("fp", "label"), "fp").groupBy("label").agg(F.min("r").alias("r"))
     # keys that hold no null, so that the join and the aggregation after it share one shuffle of the texts
     keep = first.select(F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("r.text_hash").alias("_hash"))
     keyed = documents.withColumns({"_id": F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), "_hash": F.xxhash64(text_col)})
