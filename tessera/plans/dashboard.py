@@ -17,7 +17,8 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", status.alias("status"), F.col("value").alias("duration_ms"), F.col("ts").alias("created_at"), "event_type")
 
 
-_PASSED, _FAILED = F.count_if(F.expr("status = 'success'")), F.count_if(F.expr("status = 'failed'"))
+def _with_status(status: str):
+    return F.count_if(F.col("status") == status)
 
 
 @query("dashboard_summary", f"""
@@ -26,7 +27,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE status = 'success') AS passed,
   CASE WHEN count(*) > 0 THEN round(100.0 * count(*) FILTER (WHERE status = 'success') / count(*), 1) ELSE 0.0 END AS pass_rate
 FROM {EXECUTIONS}""")
 def dashboard_summary(spark, sf_dir):
-    totals = executions(spark, sf_dir).agg(F.count("*").alias("total"), _PASSED.alias("passed"), _FAILED.alias("failed"), F.round(F.coalesce(F.avg("duration_ms"), F.lit(0.0)), 1).alias("avg_duration_ms"))
+    totals = executions(spark, sf_dir).agg(F.count("*").alias("total"), _with_status("success").alias("passed"), _with_status("failed").alias("failed"), F.round(F.coalesce(F.avg("duration_ms"), F.lit(0.0)), 1).alias("avg_duration_ms"))
     return totals.withColumn("pass_rate", A.pass_rate(F.col("passed"), F.col("total"), F.lit(0), F.lit(0)))
 
 
@@ -34,7 +35,7 @@ def dashboard_summary(spark, sf_dir):
 SELECT user_id, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS passed, count(*) FILTER (WHERE status = 'failed') AS failed,
   round(100.0 * count(*) FILTER (WHERE status = 'success') / count(*), 4) AS pass_rate FROM {EXECUTIONS} GROUP BY user_id""")
 def dashboard_by_user(spark, sf_dir):
-    totals = executions(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("total"), _PASSED.alias("passed"), _FAILED.alias("failed"))
+    totals = executions(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("total"), _with_status("success").alias("passed"), _with_status("failed").alias("failed"))
     return totals.withColumn("pass_rate", A.rate(F.col("passed"), F.col("total"), 4))
 
 
@@ -64,7 +65,7 @@ def distinct_users(spark, sf_dir):
 SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS passed,
   round(100.0 * count(*) FILTER (WHERE status = 'success') / count(*), 4) AS pass_rate FROM {EXECUTIONS} GROUP BY 1""")
 def pass_rate_by_day(spark, sf_dir):
-    days = executions(spark, sf_dir).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("total"), _PASSED.alias("passed"))
+    days = executions(spark, sf_dir).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("total"), _with_status("success").alias("passed"))
     return days.withColumn("pass_rate", A.rate(F.col("passed"), F.col("total"), 4))
 
 
