@@ -1,4 +1,4 @@
 """The library's queries; importing a module registers its queries."""
 
-from tessera.plans import dashboard, filters, joins, rollups
+from tessera.plans import dashboard, filters, graph, joins, rollups, search
 from tessera.plans.registry import QUERIES, SQL
