@@ -1,4 +1,4 @@
 """The library's queries; importing a module registers its queries."""
 
-from tessera.plans import dashboard, diagnosis, filters, graph, joins, rollups, search
+from tessera.plans import dashboard, diagnosis, extract, filters, graph, joins, rollups, scenario, search
 from tessera.plans.registry import QUERIES, SQL
