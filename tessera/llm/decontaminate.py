@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm._shared import table
 
-MAX_ERROR_RATE = 0.05
+MAX_ERROR_RATE = 0.08
 SLICE_CHARS = 8_000_000
 _WORDS = re.compile(r"[^\W_]+")
 
