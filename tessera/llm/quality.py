@@ -119,13 +119,11 @@ def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     rejected = [F.count_if(_ratio(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(CUTOFFS)]
     counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *rejected)
     tests = max(1, counts.count()) * len(RULES) * len(CUTOFFS)
-    p = alpha / len(RULES)
-
-    def least(rule: str) -> Column:
-        admitted = [F.when(binomial_cdf(F.col("n"), F.col(f"{rule}_{i}"), p) <= delta / tests, F.lit(c)) for i, c in enumerate(CUTOFFS)]
-        return F.coalesce(*admitted).alias(rule)
-
-    return counts.select("stratum", *[least(r) for r in RULES])
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r in RULES for i, c in enumerate(CUTOFFS)]))
+    tried = counts.select("stratum", "n", each.alias("t")).select("stratum", "n", "t.*")
+    admitted = F.when(binomial_cdf(F.col("n"), F.col("k"), alpha / len(RULES)) <= delta / tests, F.col("cutoff"))
+    least = [F.min(F.when(F.col("rule") == r, F.col("admitted"))).alias(r) for r in RULES]
+    return tried.withColumn("admitted", admitted).groupBy("stratum").agg(*least)
 
 
 def judge(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
