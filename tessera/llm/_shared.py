@@ -63,3 +63,17 @@ def let(value: Column, body) -> Column:
 def partitions(df: DataFrame) -> int:
     """Partitions for an explicit repartition: the session's shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def first_rows(df: DataFrame, order: list, bucket: Column, limit: int) -> DataFrame:
+    """The first ``limit`` rows in an order, without a top list from every task.
+
+    bucket: a whole number that rises with the order, of a bounded number of values. Buckets are
+    counted, and only rows up to the one that reaches the limit are sorted. df is read twice.
+    """
+    total, last = 0, None
+    for row in sorted(df.groupBy(bucket.alias("b")).count().collect()):
+        total, last = total + row["count"], row["b"]
+        if total >= limit:
+            break
+    return df.filter(bucket <= F.lit(last)).orderBy(*order).limit(limit) if total else df.limit(0)

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.llm._shared import table, written
+from tessera.llm._shared import first_rows, table, written
 
 FOLDS, HELD_OUT = 5, 0
 TRAIN_ROWS = 20_000
@@ -165,7 +165,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Weights, power, slope and offset, learned from at most train_rows labelled rows outside the fold."""
     spark = documents.sparkSession
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id", folds, fold_))
-    chosen = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    once = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = first_rows(once, [F.xxhash64("doc_id"), "doc_id"], F.shiftright(F.xxhash64("doc_id"), 48), train_rows)
     few = F.broadcast(spark.createDataFrame([(r.doc_id, int(r.toxic > 0)) for r in chosen.collect()], "id long, toxic int"))  # train_rows rows
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     training = written(texts.join(few, "id").select("text", "toxic"), "toxicity-training")
