@@ -3,12 +3,14 @@
 Three base patterns find labelled credentials; fixed public formats add specimens drawn from a
 seeded rule. For each kind of credential the strings form a prefix tree whose states are merged
 when their outcomes are statistically alike (the ALERGIA test, by Hoeffding bounds), which gives a
-probabilistic automaton. Every other run of credential characters of ``MIN_LENGTH`` or more is a
-candidate: its score is the best log-likelihood of an automaton less that of the background, a
-character bigram model of other candidates (but for those that a public format's automaton finds as
-much likelier than characters at even chances). Scores of ``THRESHOLD`` nats and more,
-for strings that an automaton accepts, add a span; base spans always stay, and added ones that touch
-a base span are left out.
+probabilistic automaton. Every other run of credential characters, and every part of a run beside
+a base span, is searched if it has ``LEAST`` characters, as labelled values have at least. A span
+may begin where the part begins, behind a separator or where a public format's literal stands, and
+end where the part ends or before a separator, there in a final state only. Its score is the best
+log-likelihood of an automaton less that of the background, a character bigram model of the runs of
+16 characters or more (but for those that a public format's automaton finds as much likelier than
+characters at even chances). Of spans of ``THRESHOLD`` nats and more the best is added, then the
+best left of it and right of it; base spans always stay, and added ones never overlap any.
 
 Learning uses at most ``TRAIN`` labelled values of each kind and ``BACKGROUND`` other candidates of
 the corpus, those least by a hash (documented bounds of the fit), so the automata stay small. Every
@@ -44,6 +46,9 @@ BASE = {
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+SEPARATORS = frozenset("+/_.=-")
+LEAST = 8
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Public credential formats as (literal or alphabet, length) parts; length 0: literal.
 FORMATS = {
@@ -55,6 +60,7 @@ FORMATS = {
     "npm": (("npm_", 0), (_UPPER + _LOWER + _DIGIT, 36)),
     "jwt": (("eyJ", 0), (_UPPER + _LOWER + _DIGIT + "_-", 33), (".eyJ", 0), (_UPPER + _LOWER + _DIGIT + "_-", 60), (".", 0), (_UPPER + _LOWER + _DIGIT + "_-", 43)),
 }
+_LITERALS = tuple(parts[0][0] for parts in FORMATS.values())
 TRAIN, BACKGROUND, SPECIMENS, SEED = 400, 20_000, 300, 7
 MERGE_CONFIDENCE = 0.01
 THRESHOLD = 20.0
@@ -181,8 +187,12 @@ class Model:
         self.log = {p: math.log((n + 0.5) / (totals[p[0]] + 0.5 * ALPHABET)) for p, n in pairs.items()}
         self.unseen = {a: math.log(0.5 / (n + 0.5 * ALPHABET)) for a, n in totals.items()}
 
+    def pair(self, a: str, b: str) -> float:
+        p = a, b
+        return self.log[p] if p in self.log else self.unseen.get(a, -math.log(ALPHABET))
+
     def background(self, s: str) -> float:
-        return sum(self.log[p] if p in self.log else self.unseen.get(p[0], -math.log(ALPHABET)) for p in zip(["^", *s], [*s, END], strict=True))
+        return sum(map(self.pair, ["^", *s], [*s, END]))
 
     def kind(self, s: str) -> str | None:
         """The kind of the likeliest automaton if it is far likelier than the background."""
@@ -193,6 +203,76 @@ class Model:
         return kind if best - self.background(s) >= THRESHOLD else None
 
 
+    def best(self, s: str, lo: int, hi: int) -> tuple[float, int, int, str] | None:
+        """(score, start, end, kind) of the best span of s[lo:hi], if it reaches the threshold.
+
+        Spans that come to one state at one place have the same future, so only the best of them goes on.
+        """
+        starts = [i == lo or s[i - 1] in SEPARATORS or s.startswith(_LITERALS, i) for i in range(lo, hi)]
+        ends = [i == hi or s[i] in SEPARATORS for i in range(lo + 1, hi + 1)]
+        inner = [0.0, *(self.pair(s[i - 1], s[i]) for i in range(lo + 1, hi))]
+        found = None
+        for kind, automaton in self.automata.items():
+            arcs, logs, other = automaton.arc, automaton.log, automaton.other
+            active: dict[int, tuple[float, int]] = {}  # by state: the best score and the negative start
+            for at, (c, start, end) in enumerate(zip(s[lo:hi], starts, ends, strict=True)):
+                if not (active or start):
+                    continue
+                now: dict[int, tuple[float, int]] = {}
+                for state, (score, begin) in active.items():
+                    nxt = arcs[state].get(c)
+                    if nxt is not None:
+                        new = score + logs[state].get(c, other[state]) - inner[at], begin
+                        if nxt not in now or new > now[nxt]:
+                            now[nxt] = new
+                if start and (nxt := arcs[0].get(c)) is not None:
+                    new = logs[0].get(c, other[0]) - self.pair("^", c), -(lo + at)
+                    if nxt not in now or new > now[nxt]:
+                        now[nxt] = new
+                active = now
+                if end:
+                    for state, (score, begin) in active.items():
+                        if END in logs[state]:
+                            new = score + logs[state][END] - self.pair(c, END), begin, lo + at + 1, kind
+                            if new[0] >= THRESHOLD and (found is None or new > found):
+                                found = new
+        return found and (found[0], -found[1], *found[2:])
+
+    def spans(self, s: str) -> list[tuple[int, int, str]]:
+        """(start, end, kind) of all spans found in a run or a part of one."""
+        found, parts = [], [(0, len(s))]
+        while parts:
+            lo, hi = parts.pop()
+            if hi - lo < LEAST:
+                continue
+            if hit := self.best(s, lo, hi):
+                found.append(hit[1:])
+                parts += [(lo, hit[1]), (hit[2], hi)]
+            elif (lo, hi) == (0, len(s)) and (kind := self.kind(s)):
+                found.append((0, len(s), kind))  # the whole run may also end in a state that is not final
+        return found
+
+
+def parts_beside(text: str, spans: list[tuple]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the parts of runs outside the spans, which are sorted by start."""
+    ends = list(accumulate((x[1] for x in spans), max))
+    starts = [x[0] for x in spans]
+    for m in _RUN.finditer(text):
+        lo, hi = m.span()
+        if hi - lo < LEAST:
+            continue
+        k = bisect_left(starts, lo + 1)
+        if k:
+            lo = max(lo, ends[k - 1])
+        while lo < hi and k < len(starts) and starts[k] < hi:
+            if starts[k] - lo >= LEAST:
+                yield lo, starts[k]
+            lo = max(lo, ends[k])
+            k += 1
+        if hi - lo >= LEAST:
+            yield lo, hi
+
+
 def untouched(text: str, spans: list[tuple]) -> Iterator[re.Match]:
     """Candidates of the text that touch none of the spans, which are sorted by start."""
     ends = list(accumulate((x[1] for x in spans), max))  # the furthest end so far
@@ -259,14 +339,13 @@ def scan(documents: DataFrame, model: Model | None = None, id_col: str = "doc_id
                 text = t.as_py() or ""
                 base = sorted((x[:3] for x in base_spans(text)), key=lambda x: (x[0], x[2]))
                 more = []
-                for m in untouched(text, base):
-                    value = m[0]
+                for at, end in parts_beside(text, base):
+                    value = text[at:end]
                     if value not in known:
                         if len(known) > 100_000:
                             known.clear()
-                        known[value] = model.kind(value)
-                    if known[value]:
-                        more.append((m.start(), m.end(), known[value]))
+                        known[value] = model.spans(value)
+                    more += [(at + a, at + b, kind) for a, b, kind in known[value]]
                 lines = [f"{names[k]}:{a}:{b}" for a, b, k in base]
                 every = sorted([(a, k, f"{names[k]}:{a}:{b}") for a, b, k in base] + [(a, len(names), f"{kind}:{a}:{b}") for a, b, kind in more])
                 counts = Counter(k for *_, k in base)
