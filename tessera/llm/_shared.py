@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Rows in one Arrow batch. A batch holds whole texts, so it is kept small: the size of
 #: a batch, not of a partition, bounds the memory of a Python worker.
@@ -50,6 +50,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of just this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that names of an operator's own columns cannot clash with them."""
+    return F.struct(*map(column, df.columns))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the columns of plain types; rows that are alike in those have the same."""
+    plain = [column(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A to Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

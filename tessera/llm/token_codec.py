@@ -14,8 +14,10 @@ Words repeat, so ids of a blank-separated chunk are kept per worker in a bounded
 encode alone as this tokenizer drops white space and never merges across it.
 
 Nulls: a null text counts as empty, which gives the end id only. A null doc_id sorts first.
-Repeated rows stay, in one place of the order. Other columns are not read. An empty table gives
-no rows. A document may be of any length; a block holds one at least.
+Rows of one doc_id are ordered by the crc32 of their ids, and repeated rows by the task that
+encoded them, so a doc_id that repeats may span partitions. Other columns are not read, whatever
+their names. An empty table gives no rows. A document may be of any length; a block holds one at
+least.
 """
 
 from __future__ import annotations
@@ -31,17 +33,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm._shared import partitions, shared_dir, table, written
+from tessera.llm._shared import column, partitions, shared_dir, table, written
 
 END_ID = 1
 MAX_BITS = 20
 BLOCK_TOKENS = 1 << 16
 STRIDE = 512
 #: Chunks of text whose ids a worker keeps, in each of two generations.
-MEMO = 600_000
+MEMO = 400_000
 #: Bytes of text that are encoded together.
-TOGETHER = 16 << 20
-#: Signs that are cut off the end of a chunk after a letter or digit, and encoded by themselves.
+TOGETHER = 8 << 20
+#: Signs that are cut off the end of a chunk after an ASCII letter or digit, and encoded by themselves.
+#: Other letters may decompose and leave a mark that belongs to the signs.
 TAIL = ".,;:!?|$%&*#)"
 
 
@@ -86,7 +89,7 @@ def chunk_encoder(tokenizer_json: str) -> Callable[[pa.Array], tuple[np.ndarray,
             new = [chunks[i] for i in missing]
             young.update((c, old[c]) for c in new if c in old)
             new = [c for c in new if c not in young]
-            ends = {c: core for c in new if (core := c.rstrip(TAIL)) != c and core and core[-1].isalnum()}
+            ends = {c: core for c in new if (core := c.rstrip(TAIL)) != c and core and core[-1].isascii() and core[-1].isalnum()}
             parts = {*ends.values(), *(c[len(core) :] for c, core in ends.items()), *(c for c in new if c not in ends)}
             parts = [c for c in parts if c not in young]
             learn_words(words := [c for c in parts if c.isascii() and c.isalpha() and c.islower()], young)
@@ -239,14 +242,17 @@ def _ids(documents: DataFrame, id_col: str, text_col: str, tokenizer_json: str,
     broadcast = documents.sparkSession.sparkContext.broadcast(tokenizer_json)  # one tokenizer file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_encoder(broadcast.value)
+        from pyspark import TaskContext
+
+        encode, salt = chunk_encoder(broadcast.value), TaskContext.get().partitionId()
         for batch in _together(batches):
             ids, bounds = encode(batch.column(1))
             end = ids.dtype.type(end_id).tobytes()
             ended = [ids[i:j].tobytes() + end for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ended, type=pa.binary())], names=["doc_id", "ids"])
+            columns = [batch.column(0), pa.array(ended, type=pa.binary()), pa.array(map(zlib.crc32, ended), type=pa.int64()), pa.array(np.full(len(ended), salt, dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "crc", "salt"])
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return documents.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, crc long, salt int")
 
 
 def _counts(ids: DataFrame, vocab: int, kind: str) -> np.ndarray:
@@ -303,7 +309,8 @@ def write(documents: DataFrame, path: str, tokenizer_path: str, id_col: str = "d
         if docs:
             yield block()
 
-    ordered = ids.select("doc_id", "ids").repartitionByRange(partitions(ids), "doc_id").sortWithinPartitions("doc_id", F.crc32("ids"))
+    order = ["doc_id", "crc", "salt"]
+    ordered = ids.select("doc_id", "ids", "crc", "salt").repartitionByRange(partitions(ids), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     ordered.mapInArrow(run, "part int, start long, doc_ids array<long>, sizes array<long>, offsets array<long>, payload binary").write.parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))

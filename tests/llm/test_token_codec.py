@@ -1,3 +1,5 @@
+import random
+import unicodedata
 import zlib
 from itertools import accumulate
 
@@ -84,3 +86,33 @@ def test_edge_rows(spark, memo, monkeypatch):
     want = sorted((i is not None, i or 0, len(x), crc(x)) for (i, _), x in zip(data, direct([t for _, t in data]), strict=True))
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in rows) == want
     assert codec.digest(frame.limit(0), codec.tokenizer_path()).count() == 0
+
+
+def test_every_code_point_beside_a_sign():
+    encode = codec.chunk_encoder(open(codec.tokenizer_path(), encoding="utf-8").read())
+    tokenizer = Tokenizer.from_file(codec.tokenizer_path())
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or chr(c).isalnum() or unicodedata.combining(chr(c)))]
+    signs = codec.TAIL
+    for at in range(0, len(letters), 20_000):
+        part = letters[at : at + 20_000]
+        texts = [f"{c}{signs[i % len(signs)]} {signs[(i + 5) % len(signs)]}{c} a{c}{signs[(i + 9) % len(signs)]} {c}a{signs[(i + 2) % len(signs)]}" for i, c in enumerate(part, at)]
+        ids, bounds = encode(pa.array(texts))
+        want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:], strict=False)] == want
+    twice = [c for c in letters if len(unicodedata.normalize("NFC", c.lower())) > 1]
+    texts = [c + s for c in twice for s in signs]
+    ids, bounds = encode(pa.array(texts))
+    assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:], strict=False)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    rng = random.Random(1)
+    pool = "abcXYZ019 \n\t" + signs + "'éİßΣΔ中文१ी’“—̸́ ​" + "".join(twice)
+    texts = ["".join(rng.choices(pool, k=rng.randint(1, 24))) for _ in range(100_000)]
+    ids, bounds = encode(pa.array(texts))
+    assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:], strict=False)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_repeated_ids_are_split_over_parts(spark):
+    frame = spark.range(3000).selectExpr("cast(if(id % 3 = 0, id, null) as long) doc_id", "if(id % 2 = 0, 'same words', concat('word ', id)) text").repartition(4)
+    path = f"file://{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/hot-ids"
+    codec.write(frame, path, codec.tokenizer_path())
+    parts = spark.read.parquet(f"{path}/blocks").selectExpr("part", "size(doc_ids) n").groupBy("part").sum("n").collect()
+    assert len(parts) >= 3 and max(r[1] for r in parts) < 1800
