@@ -3,25 +3,28 @@
 Each source gets a mean repetition rate: its target share of the output rows over its rows. A
 document's count is the inverse of the Poisson distribution with that mean at a uniform number
 hashed from a seed and its doc_id, so the same document gets the same count in every run and on
-every cluster. Documents are exploded by their counts and shuffled globally: a copy goes to a
-partition and a place in it by a second hash.
+every cluster. Documents are exploded by their counts and shuffled globally: copies are sorted
+by a second hash of doc_id and copy, ``mix_key``, over all partitions.
 
 A source with a third of all rows needs no special care: counts are summed before the shuffle,
 rows get their rate by a join with a table of one row per source, and the global shuffle deals
-copies by a hash of each, not by source.
+copies by ranges of mix_key, not by source. Rows of one mix_key (a doc_id that repeats, null
+doc_ids) are ordered by a hash of their columns of plain types, and those alike in that by the
+partition they came from, so ranges split them as well.
 
 Nulls: rows with a null source are a source of their own. A null doc_id is hashed as an empty
-text. Repeated rows get equal counts each. Without weights a source's target share is in
-proportion to its rows to the power ``temperature``. Sources without a weight, and those of
-weight zero, do not appear in the output. An empty table gives no rows. Columns of documents
-stay as they are; the added ones are ``copy`` and ``mix_key``, which replace equally named ones.
+text. Repeated rows get equal counts each. Texts are never looked at, so they may be empty or of
+any length. Without weights a source's target share is in proportion to its rows to the power
+``temperature``. Sources without a weight, and those of weight zero, do not appear in the output.
+An empty table gives no rows. Columns of documents stay as they are, whatever their names and
+types; the added ones are ``copy`` and ``mix_key``, which replace equally named ones.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.llm._shared import partitions, table
+from tessera.llm._shared import column, partitions, row_hash, table, whole_row
 
 TEMPERATURE = 0.5
 SEED = 42
@@ -50,7 +53,7 @@ def poisson_steps(rate: Column) -> Column:
 
 def rates(documents: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, source_col: str = "source", temperature: float = TEMPERATURE) -> DataFrame:
     """``(source, rate)``, one row per source; total: the rows wanted, as many as there are by default."""
-    counts = documents.groupBy(F.col(source_col).alias("source")).agg(F.count("*").cast("double").alias("n"))
+    counts = documents.groupBy(column(source_col).alias("source")).agg(F.count("*").cast("double").alias("n"))
     if weights is None:
         share = counts.withColumn("w", F.pow("n", F.lit(temperature)))
     else:
@@ -63,16 +66,17 @@ def rates(documents: DataFrame, weights: dict[str, float] | None = None, total:
 
 def replicate(documents: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, id_col: str = "doc_id", source_col: str = "source", temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """Documents exploded by their counts, in a global random order: partitions, and rows in them by mix_key."""
-    rate = rates(documents, weights, total, source_col, temperature).filter("rate > 0").select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_steps"))
+    kept = documents.drop("copy", "mix_key")
+    rate = rates(documents, weights, total, source_col, temperature).filter("rate > 0").select(F.col("source").alias("of"), poisson_steps(F.col("rate")).alias("steps"))
     if rate.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rate = F.broadcast(rate)
-    u = uniform(seed, F.col(id_col))
-    kept = [c for c in documents.columns if c not in ("copy", "mix_key")]
-    joined = documents.select(*kept).join(rate, F.col(source_col).eqNullSafe(F.col("_source")))
-    counted = joined.withColumn("_u", u).withColumn("_n", F.size(F.filter("_steps", lambda s: F.col("_u") >= s)))
-    copies = counted.filter("_n > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    keyed = copies.withColumn("mix_key", uniform(seed + 1, F.col(id_col), F.col("copy")))
-    return keyed.repartition(partitions(documents), "mix_key").sortWithinPartitions("mix_key")
+    rows = documents.select(whole_row(kept).alias("row"), column(source_col).alias("source"), column(id_col).alias("id"), row_hash(kept).alias("tie"), uniform(seed, column(id_col)).alias("u"))
+    counted = rows.join(rate, F.col("source").eqNullSafe(F.col("of"))).withColumn("n", F.size(F.filter("steps", lambda s: F.col("u") >= s)))
+    copies = counted.filter("n > 0").select("row", "id", "tie", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    # the partition of the input, which a repeated task has again, parts rows that are alike in all
+    keyed = copies.select("row", "copy", uniform(seed + 1, F.col("id"), F.col("copy")).alias("mix_key"), "tie", F.spark_partition_id().alias("salt"))
+    order = ["mix_key", "tie", "salt"]
+    return keyed.repartitionByRange(partitions(documents), *order).sortWithinPartitions(*order).select("row.*", "copy", "mix_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

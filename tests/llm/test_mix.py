@@ -51,3 +51,18 @@ def test_large_rates_and_empty_tables(spark):
     assert Counter(r.doc_id for r in mix.replicate(frame, {"s": 1.0}, total=10_000).collect()) == Counter({i: brute(i, 2000.0) for i in range(5)})
     assert mix.replicate(frame.limit(0)).count() == 0
     assert mix.replicate(frame, {}).count() == mix.replicate(frame, {"s": 0.0}).count() == 0
+
+
+def test_any_names_and_types_stay_and_hot_keys_are_split(spark):
+    data = [(None if i % 3 else i, f"t{i % 7}" if i % 2 else "same", "a", i, "x", {"k": i}, [i]) for i in range(2000)]
+    names = "doc_id long, text string, source string, _n int, `_u.v` string, _steps map<string,int>, _source array<int>"
+    frame = spark.createDataFrame(data, names).withColumns({"row": F.lit(1), "tie": F.lit(2), "salt": F.lit(3), "id": F.lit(4), "of": F.lit(5), "n": F.lit(6)})
+    out = mix.replicate(frame, {"a": 1.0}, total=4000)
+    assert out.columns == [*frame.columns, "copy", "mix_key"]
+    rows = out.withColumn("part", F.spark_partition_id()).collect()
+    n_null, sizes = brute(None, 2.0), Counter(r.part for r in rows)
+    assert Counter(r["_n"] for r in rows) == Counter({i: n for i in range(2000) if (n := n_null if i % 3 else brute(i, 2.0))})
+    assert all(r["_steps"] == {"k": r["_n"]} and r["_source"] == [r["_n"]] and r["of"] == 5 for r in rows)
+    assert n_null == 0 or max(sizes.values()) < 0.6 * len(rows)
+    by_part = [[r.mix_key for r in rows if r.part == p] for p in sorted(sizes)]
+    assert [k for part in by_part for k in part] == sorted(r.mix_key for r in rows)
