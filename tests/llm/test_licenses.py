@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,13 +14,17 @@ def words(text):
 def brute(text, threshold=licenses.THRESHOLD):
     w = words(text)
     places = sorted((i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(w)) if " ".join(w[i : i + len(phrase.split())]) == phrase)
-    met, best = set(), 0.0
-    for line in (text or "").split("\n"):
-        for label, t in licenses.TEMPLATES:
-            share = len(set(words(line)) & set(words(t))) / len(set(words(t)))
-            if share >= threshold - 1e-12:
-                met.add(label)
-                best = max(best, share)
+    met = []
+    for family, label, must, never, t in licenses.TEMPLATES:
+        length, own = len(words(t)), set(words(t))
+        for lo in range(0, len(w), length):
+            block = set(w[lo : lo + 2 * length])
+            n = len(block & own)
+            if n / len(own) >= threshold - 1e-12 and block >= set(must.split()) and not block & set(never.split()):
+                met.append((family, label, lo, lo + 2 * length, n, n / len(own)))
+    kept = [m for m in met if not any(o[0] == m[0] and o[4] > m[4] and o[2] < m[3] and m[2] < o[3] for o in met)]
+    best = max((m[5] for m in kept), default=0.0)
+    met = {m[1] for m in kept}
     base = {label for _, label in places}
     at = [i for i, _ in places]
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | met)), 1.0 if at else best
@@ -38,7 +43,7 @@ def test_query_equals_brute_force(spark, size):
 
 
 def test_edge_rows(spark):
-    bsd = licenses.TEMPLATES[10][1]
+    bsd = next(t[4] for t in licenses.TEMPLATES if t[4].startswith("Redistribution"))
     parts = bsd.split(" ")
     data = [
         (1, None), (2, ""), (3, " \n\n."), (None, "Under the MIT License."), (4, "UNDER\nthe--mit\tlicense under the mit license"), (4, "Apache License, Version 2 and CC BY-NC"),
@@ -52,3 +57,22 @@ def test_edge_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = licenses.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_labels_tell_licenses_apart_and_wrapped_texts_are_found(spark):
+    mit = "\n".join(t[4] for t in licenses.TEMPLATES if t[1] == "mit" and len(t[4]) > 100)
+    wrapped = "\n".join(textwrap.wrap(mit, 40))
+    data = {
+        1: ("Released under the BSD License.", "bsd"),
+        2: ("Licensed under the Eclipse License, Version 2.0.", ""),
+        3: ("This work is licensed under the GNU General Public License, version 2.", "gpl-2"),
+        4: ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+        5: ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        6: ("prose " * 300 + wrapped + " prose" * 300, "mit"),
+        7: ("Some words. All rights reserved.", "all-rights-reserved"),
+        8: ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+        9: ("all of the rights of way", ""),
+        10: ("This library is licensed under the GNU Lesser General Public License, version 3.", "lgpl"),
+    }
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in data.items()], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(frame).collect()} == {i: x for i, (_, x) in data.items()}
