@@ -7,17 +7,21 @@ probabilistic automaton. Every other run of credential characters, and every par
 a base span, is searched if it has ``LEAST`` characters, as labelled values have at least. A span
 may begin where the part begins, behind a separator or where a public format's literal stands, and
 end where the part ends or before a separator, there in a final state only. Its score is the best
-log-likelihood of an automaton less that of the background, a character bigram model of the runs of
-16 characters or more (but for those that a public format's automaton finds as much likelier than
-characters at even chances). Of spans of ``THRESHOLD`` nats and more the best is added, then the
-best left of it and right of it; base spans always stay, and added ones never overlap any.
-
-Learning uses at most ``TRAIN`` labelled values of each kind and ``BACKGROUND`` other candidates of
-the corpus, those least by a hash (documented bounds of the fit), so the automata stay small. Every
-whole text is scanned.
+log-likelihood of an automaton less that of the background, a character bigram model of all
+occurrences of runs of ``CANDIDATE_LEAST`` characters or more that touch no base span (but for
+those that a public format's automaton finds as much likelier than characters at even chances, and
+in a second count those that an automaton explains better than the first).
+Of spans of ``THRESHOLD`` nats and more the best is added, then the best left of it and right of
+it; base spans always stay, and added ones never overlap any. Parts whose bound (the sum of the
+largest gains that any path of an automaton could make at their pairs of characters) is below the
+threshold hold no such span, so only the others are walked.
+
+Automata are learned from at most ``TRAIN`` distinct labelled values of a kind, those least by a
+hash, of at most ``TRAIN_LENGTH`` characters each (documented bounds of the labelled sample). The
+background is counted over all texts. Every whole text is scanned, and runs of any length.
 
 Nulls: a null text counts as empty and has no spans. A null doc_id stays. Repeated rows get the same
-result each. Other columns are not read. An empty table gives no rows.
+result each. Other columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,10 +35,11 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm._shared import first_rows, table, written
+from tessera.llm._shared import column, first_rows, table, written
 
 #: Base patterns by kind, in the order that breaks ties. Shorter matches are dropped.
 BASE = {
@@ -45,10 +50,10 @@ BASE = {
 # the same spans as the base pattern and its length: a run is tried from its first character only
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 SEPARATORS = frozenset("+/_.=-")
-LEAST = 8
+LEAST, CANDIDATE_LEAST = 8, 16
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % CANDIDATE_LEAST)
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Public credential formats as (literal or alphabet, length) parts; length 0: literal.
 FORMATS = {
@@ -61,12 +66,17 @@ FORMATS = {
     "jwt": (("eyJ", 0), (_UPPER + _LOWER + _DIGIT + "_-", 33), (".eyJ", 0), (_UPPER + _LOWER + _DIGIT + "_-", 60), (".", 0), (_UPPER + _LOWER + _DIGIT + "_-", 43)),
 }
 _LITERALS = tuple(parts[0][0] for parts in FORMATS.values())
-TRAIN, BACKGROUND, SPECIMENS, SEED = 400, 20_000, 300, 7
+TRAIN, TRAIN_LENGTH, SPECIMENS, SEED = 400, 512, 300, 7
+#: Distinct candidates that a task holds before it adds up their pairs of characters.
+HELD = 50_000
 MERGE_CONFIDENCE = 0.01
 THRESHOLD = 20.0
 END = ""
-#: The candidates' characters, and the end.
-ALPHABET = 69
+#: The candidates' characters; with the end, or the start, one more.
+CHARACTERS = _UPPER + _LOWER + _DIGIT + "+/_.=-"
+START, ALPHABET = "^", len(CHARACTERS) + 1
+_CODES = np.full(256, ALPHABET - 1, dtype=np.int64)
+_CODES[list(CHARACTERS.encode())] = np.arange(ALPHABET - 1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -173,35 +183,64 @@ class Automaton:
 
 
 class Model:
-    """Automata by kind of credential, and the background: a character bigram model with add-half smoothing."""
+    """Automata by kind of credential, and the background: a character bigram model with add-half smoothing, from counts of pairs."""
 
-    def __init__(self, labelled: dict[str, list[str]], background: list[str]):
+    def __init__(self, labelled: dict[str, list[str]], pairs: dict[tuple[str, str], int]):
         self.automata = {kind: Automaton(strings) for kind, strings in sorted(labelled.items()) if strings}
-        self.log: dict[tuple[str, str], float] = {}
-        self.unseen: dict[str, float] = {}
-        ordinary = [s for s in background if self.kind(s) not in FORMATS]
-        pairs = Counter(p for s in ordinary for p in zip(["^", *s], [*s, END], strict=True))
         totals: Counter[str] = Counter()
         for (a, _), n in pairs.items():
             totals[a] += n
         self.log = {p: math.log((n + 0.5) / (totals[p[0]] + 0.5 * ALPHABET)) for p, n in pairs.items()}
         self.unseen = {a: math.log(0.5 / (n + 0.5 * ALPHABET)) for a, n in totals.items()}
+        self.gains = [self._gains(a) for a in self.automata.values()]
+
+    def _gains(self, automaton: Automaton) -> tuple[np.ndarray, float]:
+        """The most that any path gains over the background at a pair of characters (never: minus infinity), and at both its ends."""
+        gain = np.full((ALPHABET, ALPHABET), -np.inf)
+        code = {c: i for i, c in enumerate(CHARACTERS)}
+        first = max((automaton.log[0].get(c, automaton.other[0]) - self.pair(START, c) for c in automaton.arc[0]), default=0.0)
+        last = 0.0
+        for arcs in automaton.arc:
+            for a, state in arcs.items():
+                log, other = automaton.log[state], automaton.other[state]
+                last = max(last, log.get(END, other) - self.pair(a, END))
+                for b in automaton.arc[state]:
+                    gain[code[a], code[b]] = max(gain[code[a], code[b]], log.get(b, other) - self.pair(a, b))
+        return gain.ravel(), first + last
+
+    def promising(self, values: list[str], least: float = THRESHOLD) -> list[str]:
+        """Those of the values whose bound reaches the threshold; the others hold no span of such a score."""
+        if not values:
+            return []
+        raw = np.frombuffer("".join(values).encode("ascii"), dtype=np.uint8)
+        at = _CODES[raw]
+        starts = np.cumsum([0, *map(len, values[:-1])])
+        pair = np.concatenate([[0], at[:-1] * ALPHABET + at[1:]])
+        owner = np.zeros(len(raw), dtype=np.int64)
+        owner[starts[1:]] = 1
+        owner = np.cumsum(owner)
+        good = np.zeros(len(values), dtype=bool)
+        for gain, ends in self.gains:
+            g = gain[pair]
+            broken = np.isneginf(g)
+            broken[starts] = True  # a path goes on between these
+            cut = np.flatnonzero(broken)
+            g[broken] = 0
+            sums = np.add.reduceat(np.maximum(g, 0), cut)
+            good[owner[cut[sums + ends >= least]]] = True
+        return [values[i] for i in np.flatnonzero(good)]
 
     def pair(self, a: str, b: str) -> float:
         p = a, b
         return self.log[p] if p in self.log else self.unseen.get(a, -math.log(ALPHABET))
 
     def background(self, s: str) -> float:
-        return sum(map(self.pair, ["^", *s], [*s, END]))
+        return sum(map(self.pair, [START, *s], [*s, END]))
 
-    def kind(self, s: str) -> str | None:
-        """The kind of the likeliest automaton if it is far likelier than the background."""
+    def likelihood(self, s: str) -> tuple[float, str] | None:
+        """How much likelier than the background a whole string is for the likeliest automaton, and its kind; None if it fits none."""
         scores = [(x, kind) for kind, a in self.automata.items() if (x := a.score(s)) is not None]
-        if not scores:
-            return None
-        best, kind = max(scores)
-        return kind if best - self.background(s) >= THRESHOLD else None
-
+        return (max(scores)[0] - self.background(s), max(scores)[1]) if scores else None
 
     def best(self, s: str, lo: int, hi: int) -> tuple[float, int, int, str] | None:
         """(score, start, end, kind) of the best span of s[lo:hi], if it reaches the threshold.
@@ -226,7 +265,7 @@ class Model:
                         if nxt not in now or new > now[nxt]:
                             now[nxt] = new
                 if start and (nxt := arcs[0].get(c)) is not None:
-                    new = logs[0].get(c, other[0]) - self.pair("^", c), -(lo + at)
+                    new = logs[0].get(c, other[0]) - self.pair(START, c), -(lo + at)
                     if nxt not in now or new > now[nxt]:
                         now[nxt] = new
                 active = now
@@ -238,29 +277,30 @@ class Model:
                                 found = new
         return found and (found[0], -found[1], *found[2:])
 
-    def spans(self, s: str) -> list[tuple[int, int, str]]:
-        """(start, end, kind) of all spans found in a run or a part of one."""
+    def spans(self, s: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, kind, score) of all spans found in a run or a part of one."""
         found, parts = [], [(0, len(s))]
         while parts:
             lo, hi = parts.pop()
             if hi - lo < LEAST:
                 continue
             if hit := self.best(s, lo, hi):
-                found.append(hit[1:])
+                found.append((*hit[1:], hit[0]))
                 parts += [(lo, hit[1]), (hit[2], hi)]
-            elif (lo, hi) == (0, len(s)) and (kind := self.kind(s)):
-                found.append((0, len(s), kind))  # the whole run may also end in a state that is not final
+            elif (lo, hi) == (0, len(s)) and (whole := self.likelihood(s)) and whole[0] >= THRESHOLD:
+                found.append((0, len(s), whole[1], whole[0]))  # the whole run may also end in a state that is not final
         return found
 
 
 def parts_beside(text: str, spans: list[tuple]) -> Iterator[tuple[int, int]]:
     """(start, end) of the parts of runs outside the spans, which are sorted by start."""
+    if not spans:
+        yield from (m.span() for m in _RUN.finditer(text))
+        return
     ends = list(accumulate((x[1] for x in spans), max))
     starts = [x[0] for x in spans]
     for m in _RUN.finditer(text):
         lo, hi = m.span()
-        if hi - lo < LEAST:
-            continue
         k = bisect_left(starts, lo + 1)
         if k:
             lo = max(lo, ends[k - 1])
@@ -275,6 +315,9 @@ def parts_beside(text: str, spans: list[tuple]) -> Iterator[tuple[int, int]]:
 
 def untouched(text: str, spans: list[tuple]) -> Iterator[re.Match]:
     """Candidates of the text that touch none of the spans, which are sorted by start."""
+    if not spans:
+        yield from CANDIDATE.finditer(text)
+        return
     ends = list(accumulate((x[1] for x in spans), max))  # the furthest end so far
     starts = [x[0] for x in spans]
     for m in CANDIDATE.finditer(text):
@@ -283,79 +326,127 @@ def untouched(text: str, spans: list[tuple]) -> Iterator[re.Match]:
             yield m
 
 
+def public_format(value: str, automata: list[Automaton]) -> bool:
+    """Whether an automaton of a public format finds a value far likelier than characters at even chances."""
+    if not value.startswith(_LITERALS):
+        return False
+    return any((x := a.score(value)) is not None and x + (len(value) + 1) * math.log(ALPHABET) >= THRESHOLD for a in automata)
+
+
 def _harvest(documents: DataFrame, text_col: str) -> DataFrame:
-    """``(kind, value)`` of base matches, and candidates without any as kind '-', those least by a hash in each task."""
+    """``(kind, value, n)``: base matches, those least by a hash in each task, and all other candidates as kind '-', each task's added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[str, dict[str, int]] = defaultdict(dict)
-        names, bound = list(BASE), {"-": BACKGROUND}
+        names, held = list(BASE), Counter()
 
         def add(kind: str, value: str) -> None:
-            if len(value) <= 256:
-                least[kind].setdefault(value, int.from_bytes(hashlib.blake2b(value.encode(), digest_size=7).digest()))
-                if len(least[kind]) > 4 * bound.get(kind, TRAIN):
-                    trim(kind)
+            if len(value) <= TRAIN_LENGTH:
+                least[kind].setdefault(value, _hash(value))
+                if len(least[kind]) > 4 * TRAIN:
+                    least[kind] = dict(sorted(least[kind].items(), key=lambda x: x[1])[:TRAIN])
 
-        def trim(kind: str) -> None:
-            least[kind] = dict(sorted(least[kind].items(), key=lambda x: x[1])[: bound.get(kind, TRAIN)])
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["kind", "value", "n"])
 
         for batch in batches:
-            for t in batch.column(0):
-                text = t.as_py() or ""
+            for text in batch.column(0).to_pylist():
+                text = text or ""
                 spans = sorted(base_spans(text))
                 for _, _, kind, value in spans:
                     add(names[kind], value)
-                for m in untouched(text, spans):
-                    add("-", m[0])
-        for kind in list(least):
-            trim(kind)
-        rows = [(k, v, h) for k, found in least.items() for v, h in found.items()]
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["kind", "value", "h"])
+                held.update(m[0] for m in untouched(text, spans))
+            if len(held) > HELD:
+                yield out([("-", v, n) for v, n in held.items()])
+                held.clear()
+        yield out([("-", v, n) for v, n in held.items()])
+        yield out([(k, v, 1) for k, found in least.items() for v in sorted(found, key=found.get)[:TRAIN]])
+
+    return documents.select(column(text_col)).mapInArrow(run, "kind string, value string, n long")
+
+
+def pairs_of(values: list[str], times: list[int]) -> np.ndarray:
+    """How often each pair of characters follow one another, start and end included, in values that occur so many times."""
+    total = np.zeros(ALPHABET * ALPHABET, dtype=np.int64)
+    if values:
+        each = _CODES[np.frombuffer("".join(f"{v}{START}" for v in values).encode(), dtype=np.uint8)]  # the start's code is also the end's
+        weights = np.repeat(times, [len(v) + 1 for v in values])
+        total += np.bincount(np.concatenate([[ALPHABET - 1], each[:-1]]) * ALPHABET + each, weights, len(total)).astype(np.int64)
+    return total
+
+
+def named(pairs: np.ndarray) -> dict[tuple[str, str], int]:
+    return {((CHARACTERS + START)[i // ALPHABET], [*CHARACTERS, END][i % ALPHABET]): int(pairs[i]) for i in np.flatnonzero(pairs)}
 
-    return documents.select(text_col).mapInArrow(run, "kind string, value string, h long").distinct()
+
+def _background(candidates: DataFrame, model: Model | None) -> dict[tuple[str, str], int]:
+    """Pairs of characters of ``(value, n)`` rows but those of a public format, or that an automaton of the model explains better than its background."""
+    shared = candidates.sparkSession.sparkContext.broadcast((model, [Automaton(specimens(kind)) for kind in FORMATS]))  # bounded automata
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, formats = shared.value
+        total = np.zeros(ALPHABET * ALPHABET, dtype=np.int64)
+        for batch in batches:
+            rows = [(v, n) for v, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not public_format(v, formats)]
+            if model:
+                better = {v for v in model.promising([v for v, _ in rows], 0.0) if (x := model.likelihood(v)) and x[0] > 0}
+                rows = [(v, n) for v, n in rows if v not in better]
+            total += pairs_of([v for v, _ in rows], [n for _, n in rows])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    found = np.zeros(ALPHABET * ALPHABET, dtype=np.int64)
+    for r in candidates.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # a row per pair of characters at most
+        found[r.pair] = r.n
+    return named(found)
+
+
+def _hash(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=7).digest())
 
 
 def fit(documents: DataFrame, text_col: str = "text") -> Model:
-    """Automata of the base kinds' values and of the public formats, and the background, all from bounded samples."""
+    """Automata of the base kinds' values (a bounded sample) and of the public formats, and the background of all candidates."""
     found = written(_harvest(documents, text_col), "credentials")
-    bucket = F.shiftright("h", 40)  # of 56 bits: 65,536 values
     labelled: dict[str, list[str]] = {kind: specimens(kind) for kind in FORMATS}
+    order = F.conv(F.substring(F.md5("value"), 1, 13), 16, 10).cast("long")
     for kind in BASE:
-        labelled[kind] = [r.value for r in first_rows(found.filter(F.col("kind") == kind), ["h", "value"], bucket, TRAIN).collect()]
-    background = [r.value for r in first_rows(found.filter("kind = '-'"), ["h", "value"], bucket, BACKGROUND).collect()]
-    return Model(labelled, background)
+        of_kind = found.filter(F.col("kind") == kind).select("value").distinct()
+        labelled[kind] = [r.value for r in first_rows(of_kind, [order, "value"], F.shiftright(order, 36), TRAIN).collect()]
+    candidates = found.filter("kind = '-'").select("value", "n")
+    return Model(labelled, _background(candidates, Model(labelled, _background(candidates, None))))
 
 
 def scan(documents: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` of every row; spans: kind:start:end, comma-joined."""
+    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, scores)`` of every row.
+
+    spans: kind:start:end, comma-joined. scores: of each span the best automaton's log-likelihood less the background's,
+    to three digits; ``-`` for a base span that fits no automaton.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model or fit(documents, text_col))  # bounded automata
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, names, known = shared.value, list(BASE), {}
+        model, names = shared.value, list(BASE)
         for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            bases = [sorted(base_spans(t), key=lambda x: (x[0], x[2])) for t in texts]
+            parts = [[(at, text[at:end]) for at, end in parts_beside(text, base)] for text, base in zip(texts, bases, strict=True)]
+            found = {v: model.spans(v) for v in model.promising(list({v for each in parts for _, v in each}))}
             rows = []
-            for t in batch.column(1):
-                text = t.as_py() or ""
-                base = sorted((x[:3] for x in base_spans(text)), key=lambda x: (x[0], x[2]))
-                more = []
-                for at, end in parts_beside(text, base):
-                    value = text[at:end]
-                    if value not in known:
-                        if len(known) > 100_000:
-                            known.clear()
-                        known[value] = model.spans(value)
-                    more += [(at + a, at + b, kind) for a, b, kind in known[value]]
-                lines = [f"{names[k]}:{a}:{b}" for a, b, k in base]
-                every = sorted([(a, k, f"{names[k]}:{a}:{b}") for a, b, k in base] + [(a, len(names), f"{kind}:{a}:{b}") for a, b, kind in more])
-                counts = Counter(k for *_, k in base)
-                rows.append((counts[0], counts[1], counts[2], hashlib.sha256(",".join(lines).encode()).hexdigest(), ",".join(x for *_, x in every)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    read = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return read.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+            for base, each in zip(bases, parts, strict=True):
+                spans = [(a, k, f"{names[k]}:{a}:{b}", hit and hit[0]) for a, b, k, value in base for hit in [model.likelihood(value)]]
+                spans += [(at + a, len(names), f"{kind}:{at + a}:{at + b}", x) for at, v in each if v in found for a, b, kind, x in found[v]]
+                spans.sort(key=lambda x: x[:3])
+                counts = Counter(k for _, _, k, _ in base)
+                digest = hashlib.sha256(",".join(f"{names[k]}:{a}:{b}" for a, b, k, _ in base).encode()).hexdigest()
+                rows.append((counts[0], counts[1], counts[2], digest, ",".join(x[2] for x in spans), ",".join("-" if x[3] is None else f"{x[3]:.3f}" for x in spans)))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64()] * 3 + [pa.string()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores"])
+
+    read = documents.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    return read.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, scores string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
