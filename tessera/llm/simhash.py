@@ -6,31 +6,35 @@ fingerprint goes to ``budget + 1`` tries, one per block, keyed by the value of t
 holding the bits rotated so that the block comes first. A task gets whole tries. It walks
 pairs of nodes of the same trie together, adds up the bits in which their paths differ and
 drops a pair of nodes as soon as the budget is exceeded. A trie with more than
-``bucket_rows`` fingerprints is dealt out further, by pairs of nodes eight levels below its
-root that are themselves within the budget.
+``bucket_rows`` fingerprints is cut again the same way: its bits after the shared ones are
+cut into ``budget + 1`` blocks and each of its rows goes to as many smaller tries, until none
+is larger. At four bits a row is held 5 times, and in tries past a million rows 25 times, with
+23 bits in common; no trie of a task is larger than bucket_rows.
 
 Copies fall together before the join (a trie holds distinct fingerprints) and a task reports a
-spanning forest of what it linked, never all pairs of a group.
+spanning forest of what it linked, never all pairs of a group. A fingerprint of more than a
+thousandth of all rows is dealt out by a salt when rows get their component.
 
 Nulls: a null text counts as empty. A text without words has fingerprint zero, linked like any
 other. A null doc_id gets a component as well and is never its id unless all are null (then
-null). Repeated rows stay. Other columns are not read. An empty table gives no rows.
+null). Repeated rows stay. Texts of any length are read whole; a task holds the words of one text.
+Other columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm._shared import partitions, table, written
+from tessera.llm._shared import column, keep_rows, partitions, table, written
 from tessera.llm.components import connected_components
 
-EXTRA_BITS = 8
+#: A fingerprint of more than this share of all rows, and this many, is salted into so many parts.
+HOT_SHARE, HOT_ROWS, SALTS = 0.001, 10_000, 64
 #: Pairs of ranges with at most this product of sizes are compared directly.
 SMALL = 32
 #: Pairs of nodes handled at once.
@@ -44,7 +48,11 @@ def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
         return 0
     shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [b" ".join(found)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, seed) for s in shingles], dtype="<u8")
+    return majority(np.array([digest(s, seed) for s in shingles], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -60,14 +68,14 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             fps = np.array([simhash(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    read = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    read = documents.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"), F.xxhash64(column(text_col)).alias("text_hash"))
     return read.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """(first bit from the top, width) of each of the budget + 1 blocks."""
+def _blocks(budget: int, bits: int = 64) -> list[tuple[int, int]]:
+    """(first bit from the top, width) of each of the budget + 1 blocks of so many bits."""
     n = budget + 1
-    widths = [64 // n + (i < 64 % n) for i in range(n)]
+    widths = [bits // n + (i < bits % n) for i in range(n)]
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
 
 
@@ -167,53 +175,71 @@ def trie_links(bits: np.ndarray, starts: list[np.ndarray], budget: int, depth: i
     return forest.label
 
 
-def _chunk_links(keys: np.ndarray, pair: np.ndarray, side: np.ndarray, bits: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """The spanning links (fp, fp of its root) of complete tries."""
-    order = np.lexsort((bits, side, pair, keys))
-    keys, pair, side, bits, fp = (x[order] for x in (keys, pair, side, bits, fp))
-    group = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (pair[1:] != pair[:-1])]))
-    ends = np.append(group[1:], len(keys))
-    split = group + np.add.reduceat((side == 0).astype(np.int64), group)  # rows of side 1 begin here
-    one = split == ends  # a trie with itself
-    two = ~one & (split > group)
-    starts = [np.concatenate([group[one], group[two]]), np.concatenate([ends[one], split[two]]), np.concatenate([group[one], split[two]]), ends[np.concatenate([np.flatnonzero(one), np.flatnonzero(two)])]]
-    widths = [w for _, w in _blocks(budget)]
-    label = trie_links(bits, starts, budget, min(widths))
+def _chunk_links(path: np.ndarray, prefix: np.ndarray, bits: np.ndarray, fp: np.ndarray, budget: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning links (fp, fp of its root) of complete tries, whose rows share their first ``depth`` bits."""
+    order = np.lexsort((bits, prefix, path))
+    path, prefix, bits, fp = (x[order] for x in (path, prefix, bits, fp))
+    group = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (prefix[1:] != prefix[:-1])]))
+    ends = np.append(group[1:], len(path))
+    label = trie_links(bits, [group, ends, group, ends], budget, depth)
     moved = label != np.arange(len(label))
     return fp[moved], fp[label[moved]]
 
 
+def _cut(rows: DataFrame, budget: int) -> DataFrame:
+    """``(fp, path, prefix, bits, used)``: each row once for each block of the bits after its first ``used``.
+
+    The block is moved behind those; path numbers the blocks taken, prefix is their value.
+    """
+    found = None
+    for used in sorted(r.used for r in rows.select("used").distinct().collect()):  # one or two widths a round
+        rest = 64 - used
+        low = F.lit(-1 if rest == 64 else (1 << rest) - 1).cast("long")
+        kept, moving = F.col("bits").bitwiseAND(F.bitwise_not(low)), F.col("bits").bitwiseAND(low)
+        each = []
+        for i, (at, width) in enumerate(_blocks(budget, rest)):
+            turned = moving if not at else F.shiftleft(moving, at).bitwiseOR(F.shiftrightunsigned(moving, rest - at)).bitwiseAND(low)
+            bits = kept.bitwiseOR(turned)
+            if width:
+                each.append(F.struct((F.col("path") * (budget + 1) + i + 1).alias("path"), F.shiftrightunsigned(bits, rest - width).alias("prefix"), bits.alias("bits"), F.lit(used + width).alias("used")))
+        part = rows.filter(F.col("used") == used).select("fp", F.explode(F.array(*each)).alias("t")).select("fp", "t.*")
+        found = part if found is None else found.union(part)
+    return found
+
+
 def _tries(distinct: DataFrame, budget: int, bucket_rows: int) -> DataFrame:
-    """``(key, pair, side, bits, fp)``: the rows of every trie, or of its pairs of nodes."""
-    blocks = _blocks(budget)
-    rotated = [F.col("fp") if at == 0 else F.shiftleft("fp", at).bitwiseOR(F.shiftrightunsigned("fp", 64 - at)) for at, _ in blocks]
-    each = F.explode(F.array(*[F.struct(F.shiftrightunsigned(r, 64 - w).bitwiseOR(F.lit(i << 40)).alias("key"), r.alias("bits"), F.lit(w).alias("width")) for i, (r, (_, w)) in enumerate(zip(rotated, blocks, strict=True))]))
-    rows = distinct.select("fp", each.alias("t")).select("fp", "t.*")
-    large = rows.groupBy("key").count().filter(F.col("count") > bucket_rows).select("key")
-    if not large.take(1):
-        return rows.select("key", F.lit(-1).cast("int").alias("pair"), F.lit(0).alias("side"), "bits", "fp")
-    plain = rows.join(large, "key", "left_anti").select("key", F.lit(-1).cast("int").alias("pair"), F.lit(0).alias("side"), "bits", "fp")
-    masks = [sum(1 << b for b in c) for k in range(budget + 1) for c in combinations(range(EXTRA_BITS), k)]
-    mine = F.expr(f"cast(shiftrightunsigned(shiftleft(bits, width), {64 - EXTRA_BITS}) as int)")
-    dealt = rows.join(large, "key", "left_semi").select("key", "bits", "fp", mine.alias("mine"), F.explode(F.array(*map(F.lit, masks))).alias("mask"))
-    other = F.col("mine").bitwiseXOR(F.col("mask"))
-    pair = F.least("mine", other) * (1 << EXTRA_BITS) + F.greatest("mine", other)
-    return plain.union(dealt.select("key", pair.cast("int"), F.when(F.col("mine") > other, 1).otherwise(0), "bits", "fp"))
+    """``(path, prefix, bits, fp)``: the rows of every trie, none of more than bucket_rows."""
+    rows = distinct.select("fp", F.lit(0).cast("long").alias("path"), F.col("fp").alias("bits"), F.lit(0).alias("used"))
+    if rows.isEmpty():
+        return rows.select("path", F.col("bits").alias("prefix"), "bits", "fp")
+    done = None
+    while True:
+        tries = _cut(rows, budget)
+        large = tries.groupBy("path", "prefix", "used").count().filter((F.col("count") > bucket_rows) & (F.col("used") < 64)).select("path", "prefix")
+        large = written(large, "simhash-large")
+        whole = large.isEmpty()
+        small = tries if whole else tries.join(large, ["path", "prefix"], "left_anti")
+        part = small.select("path", "prefix", "bits", "fp")
+        done = part if done is None else done.union(part)
+        if whole:
+            return done
+        rows = written(tries.join(large, ["path", "prefix"], "left_semi").select("fp", "path", "bits", "used"), "simhash-cut")
 
 
 def links(distinct: DataFrame, budget: int = 4, bucket_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
     """Spanning links ``(a, b)`` between distinct fingerprints within the budget.
 
     Every pair within the budget is joined by a path of links; pairs of a group are not listed.
-    A task holds the rows of one trie, at most about bucket_rows, or chunk_rows of small ones.
+    A task holds the rows of one trie, at most bucket_rows, or chunk_rows of small ones.
     """
+    depth = min(width for _, width in _blocks(budget))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         rows = 0
 
         def done(part: np.ndarray) -> pa.RecordBatch:
-            a, b = _chunk_links(part[0], part[1], part[2], part[3].view(np.uint64), part[4], budget)
+            a, b = _chunk_links(part[0], part[1], part[2].view(np.uint64), part[3], budget, depth)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -230,13 +256,13 @@ def links(distinct: DataFrame, budget: int = 4, bucket_rows: int = 1_000_000, ch
             yield done(np.concatenate(held, axis=1))
 
     tries = _tries(distinct, budget, bucket_rows)
-    return tries.repartition(partitions(distinct), "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(run, "a long, b long")
+    return tries.repartition(partitions(distinct), "path", "prefix").sortWithinPartitions("path", "prefix").mapInArrow(run, "a long, b long")
 
 
 def _groups(documents: DataFrame, id_col: str, text_col: str, words: int, budget: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprint of every row, and ``(fp, least, label)`` of every distinct one; label: the least fp linked."""
+    """The fingerprint of every row, and ``(fp, least, n, label)`` of every distinct one; n: its rows, label: the least fp linked."""
     fps = written(fingerprints(documents, id_col, text_col, words), "simhash")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     label = connected_components(links(distinct.select("fp"), budget, bucket_rows), "a", "b").select(F.col("node").alias("fp"), "label")
     return fps, distinct.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
@@ -245,22 +271,24 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """``(doc_id, fingerprint, component_id)`` of every row; component_id: the least doc_id linked, directly or not."""
     fps, grouped = _groups(documents, id_col, text_col, words, budget, bucket_rows)
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    return fps.join(grouped.join(least, "label").select("fp", "component_id"), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = grouped.join(least, "label").select("fp", "n", "component_id")
+    often = F.col("n") > max(HOT_ROWS, HOT_SHARE * fps.count())
+    hot = F.broadcast(grouped.filter(often).select("fp", F.lit(SALTS).alias("salts")))  # at most 1 / HOT_SHARE rows
+    salt = F.pmod(F.xxhash64("doc_id", "text_hash", F.spark_partition_id()), F.col("salts"))
+    dealt = fps.join(hot, "fp", "left").select("doc_id", "fp", F.coalesce(salt, F.lit(0).cast("long")).alias("salt"))
+    wide = found.select("fp", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.when(often, SALTS - 1).otherwise(0).cast("long"))).alias("salt"))
+    return dealt.join(wide, ["fp", "salt"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4, bucket_rows: int = 1_000_000) -> DataFrame:
     """One row of each component, all columns: that of the least doc_id (null last), then of the least text hash.
 
-    Of rows with the same doc_id and text the least by all columns stays.
+    Columns may have any names and types. Of rows with the same doc_id and text the least by a hash of all columns stays.
     """
     fps, grouped = _groups(documents, id_col, text_col, words, budget, bucket_rows)
     of_each = fps.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("r"))  # before the join, so that no fingerprint is hot in it
     first = of_each.join(grouped.select("fp", "label"), "fp").groupBy("label").agg(F.min("r").alias("r"))
-    # keys that hold no null, so that the join and the aggregation after it share one shuffle of the texts
-    keep = first.select(F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("r.text_hash").alias("_hash"))
-    keyed = documents.withColumns({"_id": F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), "_hash": F.xxhash64(text_col)})
-    joined = keyed.join(keep, ["_id", "_hash"], "left_semi")
-    return joined.groupBy("_id", "_hash").agg(F.min(F.struct(*documents.columns)).alias("row")).select("row.*")
+    return keep_rows(documents, first.select("r.*"), id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,31 @@ def test_edge_rows(spark):
     kept = sorted((str(r.doc_id), r.text) for r in simhash.deduplicate(frame).collect())
     assert kept == sorted([("2", ""), ("4", "same text"), ("9", long), ("None", "alone among these")])
     assert simhash.deduplicate(frame.limit(0)).count() == 0
+
+
+def test_hot_fingerprints_are_salted_and_names_may_clash(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 10)
+    data = [(i, "the same text of some words" if i % 3 == 0 else f"text {i} of words {i * 7} {i * 11}", {"k": i}, "x") for i in range(300)] + [(None, None, {"n": 1}, "y")] * 40
+    frame = spark.createDataFrame(data, "doc_id long, text string, _hash map<string,int>, `_id` string").withColumns({"salt": F.lit(1), "fp": F.lit(2), "row": F.lit(3), "n": F.lit(4), "hash": F.lit(5)})
+    rows = simhash.near_duplicates(frame).collect()
+    texts = [t for _, t, *_ in data]
+    label = brute_components([brute_fingerprint(t) for t in texts])
+    least = {}
+    for (i, *_), c in zip(data, label, strict=True):
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == sorted((str(i), str(least[c])) for (i, *_), c in zip(data, label, strict=True))
+    kept = simhash.deduplicate(frame)
+    assert kept.columns == frame.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(x) for x in least.values())
+
+
+def test_large_tries_are_cut_again_and_again(spark):
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 1 << 62))
+    fps = list(dict.fromkeys(int(base ^ int(x) ^ (int(y) << 40)) for x, y in zip(rng.integers(0, 1 << 12, 400), rng.integers(0, 1 << 10, 400), strict=True)))
+    frame = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    tries = simhash._tries(frame, 4, 8)
+    sizes = [r["count"] for r in tries.groupBy("path", "prefix").count().collect()]
+    assert max(sizes) <= 8
+    label = {r.node: r.label for r in connected_components(simhash.links(frame, bucket_rows=8), "a", "b").collect()}
+    want = brute_components(fps)
+    assert len({*zip([label.get(signed(x), signed(x)) for x in fps], want, strict=True)}) == len(set(want)) == len({label.get(signed(x), signed(x)) for x in fps})
