@@ -66,6 +66,21 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
 
 
+def row_keys(id_: Column, text_hash: Column) -> list[Column]:
+    """Keys of a row that hold no null, so that a join and an aggregation after it share one shuffle."""
+    return [F.coalesce(id_.cast("long").cast("string"), F.lit("")).alias("id"), F.coalesce(text_hash, F.lit(0).cast("long")).alias("hash")]
+
+
+def keep_rows(documents: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of documents, all columns, for each ``(doc_id, text_hash)`` of keep.
+
+    Of rows with the same doc_id and text that of the least ``row_hash`` stays.
+    """
+    keyed = documents.select(whole_row(documents).alias("row"), row_hash(documents).alias("tie"), *row_keys(column(id_col), F.xxhash64(column(text_col))))
+    kept = keyed.join(keep.select(*row_keys(F.col("doc_id"), F.col("text_hash"))), ["id", "hash"], "left_semi")
+    return kept.groupBy("id", "hash").agg(F.min_by("row", "tie").alias("row")).select("row.*")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A to Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
