@@ -30,6 +30,15 @@ def test_errors(spark):
         ("store", '{"key":"k","value":{"a":[1]},"tags":[1,"b"]}'): "",
         ("store", '{"key":null,"value":[],"tags":{}}'): "type:key,type:tags,type:value",
         ("search", '{"query":"q","limit":1.5}'): "type:limit",
+        ("search", '{"query":"q","limit":15e-1}'): "type:limit",
+        ("search", '{"query":"q","limit":1.50e1}'): "",
+        ("search", '{"query":"q","limit":1e400}'): "",
+        ("search", '{"query":"q","query":"r"}'): "object",
+        ("search", '{"query":"q","more":{"a":1,"a":2}}'): "object",
+        ("search", '{"query":"\uffffn5"}'): "object",
+        ("search", '{"query":"q","limit":01}'): "object",
+        ("search", '{"query":"q","deep":' + "[" * 1500 + "]" * 1500 + "}"): "object",
+        ("search", '{"query":"q"} {}'): "object",
     }
     rows = spark.createDataFrame(list(cases), "name string, arguments string").withColumn("e", tools.errors(F.col("name"), F.col("arguments"))).collect()
     assert {(r.name, r.arguments): r.e for r in rows} == cases
@@ -48,7 +57,7 @@ def test_edge_rows(spark):
     calls = spark.createDataFrame(data, "conv_id long, call_id string, name string, arguments string, depends_on array<string>").withColumn("level", F.lit("x")).withColumn("result", F.lit("x"))
     results = spark.createDataFrame([(1, "c", "two"), (1, "c", "one"), (1, "a", None), (None, None, "r"), (9, "c", "lost")], "conv_id long, call_id string, content string").withColumn("name", F.lit("x"))
     by = {(r.conv_id, r.call_id): r for r in tools.link(calls, results).collect()}
-    assert len(by) == 4
+    assert len(by) == 5 and by["9", "c"].errors == "call" and by["9", "c"].n_calls == 0 and by["9", "c"].message == '{"call_id":"c","result":"lost"}'
     assert by["1", "a"].n_calls == 2 and by["1", "a"].n_results == 0 and by["1", "a"].message == '{"arguments":{},"call_id":"a","level":0,"name":"ask"}'
     assert by["1", "c"].n_results == 2 and json.loads(by["1", "c"].message)["result"] == "one" and json.loads(by["1", "c"].message)["arguments"]["text"] == long
     assert by["", ""].errors == "object" and by["", ""].message == '{"call_id":"","level":0,"name":"","result":"r"}'
@@ -60,6 +69,25 @@ def test_edge_rows(spark):
     assert got == {("", "null-null"): (0, 0, "missing:text,missing:turn"), ("1", "1-4"): (1, 1, ""), ("1", "1-2"): (0, 0, "")}
 
 
+def test_the_query_meets_every_kind_of_fault(spark):
+    rows = tools.query(spark, "/root/testdata/sf0.01").collect()
+    seen = {e for r in rows for e in r.errors.split(",")}
+    assert seen >= {"", "object", "tool", "missing:query", "type:limit", "unexpected:page", "type:exact", "type:value"}
+    assert {r.level for r in rows} >= {None, 0, 1, 2} and any(r.n_missing for r in rows) and {r.name for r in rows} >= {"ask", "search", "compute", "store", "fly"}
+
+
+def test_numbers_have_one_form(spark):
+    same = {
+        "1": ["1", "1.0", "1e0", "10e-1", "0.1e1"], "100": ["1e2", "100", "1E+2", "100.00"], "0": ["0", "-0", "0.0", "-0.0e5"], "-2.5": ["-2.5", "-25e-1", "-2.50"],
+        "123456789012345678901": ["123456789012345678901", "1.23456789012345678901e20"], "1.23456789012345678901234567890123456789012e+41": ["123456789012345678901234567890123456789012"],
+        "0.000001": ["1e-6", "0.000001"], "1e-7": ["0.0000001", "1e-7", "10E-8"], "1e+21": ["1000000000000000000000"],
+    }
+    rows = [(want, f'{{ "n" : {n}, "s":"1.0 {n}" }}', n) for want, forms in same.items() for n in forms]
+    got = spark.createDataFrame(rows, "want string, j string, n string").select("want", "n", tools.canonical(F.col("j")).alias("c")).collect()
+    for r in got:
+        assert r.c == f'{{"n":{r.want},"s":"1.0 {r.n}"}}'
+
+
 def test_no_python_in_the_plan(spark):
     plan = tools.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
