@@ -1,51 +1,54 @@
-"""Operator 8, language-model scoring by a weighted backoff automaton.
+"""Operator 8, language-model scoring by a weighted backoff automaton of word trigrams.
 
-Words are counted over every training text, all of them. The ``vocab_size`` most frequent words
-are classes of their own, the rest share one class and keep their own count inside it, so
+States are histories of no word, one or two words seen in training texts; a text begins in the
+state of its start. A state has an arc for each word seen after it and a failure arc to the state
+of one word less. With c(h) the count of a history and ``s`` the strength of its order,
 
-    P(word | history) = P(class | history's class) * P(word | class).
+    P(w | h) = (c(h w) + s P(w | shorter h)) / (c(h) + s),
 
-Class bigrams are smoothed by absolute discounting and become the arcs of an automaton: a state
-for each class as history, an arc for each bigram seen, and a failure arc from each state to the
-root with the state's backoff weight. A text is walked once from left to right; the state after
-a word is its class, an arc that is missing is replaced by the failure arc and the root's arc.
+so the arc of a word seen weighs log P(w | h), and the failure arc log(s / (c(h) + s)). Each state
+is a distribution. The root discounts all counts alike and leaves what that frees to a single
+unknown word, as the base does. One walk over a text from left to right carries the state, takes
+its arc or falls, and adds up the logarithms.
 
-The automaton has at most (vocab_size + 3)^2 arcs of twelve bytes, 200 MB at 4,096, and only it
-is broadcast. Word counts grow with the corpus and are never broadcast: texts are dealt out in
-blocks of ``block_bytes``, each block asks for the counts of its distinct words in one join, and
-scores its texts with the slice it gets.
+All n-grams of all training texts are counted; nothing is cut off, so the automaton grows with the
+corpus, and it is never in one place. Texts are made into blocks of about ``block_bytes`` once: word
+numbers and the distinct words' 64-bit hashes. Each block sends its distinct n-grams, as sorted
+64-bit hashes with their counts in training texts, to the buckets of their hash; a bucket adds up
+the counts of all blocks and sends each block the totals of what it sent. That one exchange is the
+counting and the join. A key comes once from a block, however often it occurs, so no bucket is hot;
+there are as many buckets as keys need. The driver sees four numbers of each bucket of words.
 
 Nulls: a null text counts as empty, which is the end token alone. A null doc_id is no held-out
-row. Repeated rows are counted and scored each. Other columns are not read. An empty table gives
-no rows; without training rows every count is zero.
+row. Repeated rows are counted and scored each. Texts of any length are read whole; a longer one is
+a block of its own. Other columns are not read, whatever their names. An empty table gives no rows;
+without training rows every count is zero and the unknown word is certain.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.llm._shared import first_rows, partitions, table, written
+from tessera.llm._shared import column, table, written
 
-VOCAB = 4096
-BLOCK_BYTES = 8 << 20
 FOLDS, HELD_OUT = 7, 2
-#: Bigrams that a task gathers before it merges them.
-MERGE = 1 << 21
+BLOCK_BYTES = 4 << 20
+#: Keys that a bucket gets from all blocks, about.
+BUCKET_KEYS = 2_000_000
+#: How much the shorter history counts, for histories of one and of two words.
+STRENGTHS = (20.0, 5.0)
+START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
-def words_in(texts: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts in one array, and how many each text has; as words_of, for many texts at once."""
-    lower = pc.ascii_lower(pc.fill_null(texts, "").combine_chunks().cast(pa.large_string()))
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in one array, and how many each text has."""
+    lower = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
     split = pc.ascii_split_whitespace(lower)
     words, owner = split.flatten(), pc.list_parent_indices(split).to_numpy()
     real = pc.greater(pc.binary_length(words), 0)  # none at a text's ends
@@ -57,150 +60,215 @@ def held_out(id_col: str, folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def word_counts(training: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(word, c)`` over all texts, summed per task before the shuffle."""
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two 64-bit numbers."""
+    x = a * np.uint64(0xBF58476D1CE4E5B9) + b
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.binary()), pa.array(list(counts.values()), type=pa.int64())], names=["word", "c"])
+class Block:
+    """The texts of a row of ``blocks``, and the keys of their n-grams."""
 
-        for batch in batches:
-            for t in batch.column(0):
-                counts.update(words_of(t.as_py()))
-            if len(counts) > 500_000:
-                yield out()
-                counts.clear()
-        yield out()
+    def __init__(self, row: dict):
+        self.docs, self.held, self.sizes = row["doc_ids"], np.array(row["held"], dtype=bool), np.array(row["sizes"], dtype=np.int64)
+        words = np.append(np.frombuffer(row["words"], dtype="<u8"), END)
+        ends = np.cumsum(self.sizes + 1) - 1  # where each text's end stands
+        self.firsts = ends - self.sizes
+        codes = np.full(len(self.sizes) + int(self.sizes.sum()), len(words) - 1, dtype=np.int32)
+        inside = np.ones(len(codes), dtype=bool)
+        inside[ends] = False
+        codes[inside] = np.frombuffer(row["codes"], dtype="<i4")
+        self.read = words[codes]
+        self.first = np.zeros(len(codes), dtype=bool)
+        self.first[self.firsts] = True
+
+    def keys(self) -> Iterator[np.ndarray]:
+        """Of words, pairs and triples: a key for each place; triples have none at a text's first place."""
+        yield self.read
+        before = np.concatenate([[START], self.read[:-1]]).astype(np.uint64)
+        before[self.firsts] = START
+        pairs = mixed(before, self.read)
+        yield pairs
+        rest = np.flatnonzero(~self.first)
+        yield mixed(pairs[rest - 1], self.read[rest])
 
-    return training.select(text_col).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    def training(self) -> np.ndarray:
+        return np.repeat(~self.held, self.sizes + 1)
 
 
-def bigram_counts(training: DataFrame, vocab: dict[bytes, int], size: int, text_col: str = "text") -> DataFrame:
-    """``(key, c)`` of class bigrams; key: history's class times size plus the class."""
-    shared = training.sparkSession.sparkContext.broadcast(vocab)  # vocab_size words
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(block, doc_ids, held, sizes, words, codes, n_tokens, n_words)``: texts as word numbers, words as hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, rest, start, end = shared.value.get, size - 3, size - 2, size - 1
-        keys = counts = np.array([], dtype=np.int64)
-        held: list[np.ndarray] = []
-        n = 0
-
-        def merge() -> None:
-            nonlocal keys, counts, n
-            new, c = np.unique(np.concatenate([np.array([], dtype=np.int64), *held]), return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, c]), len(keys)).astype(np.int64)
-            held.clear()
-            n = 0
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+
+        def made(rows: pa.Table) -> pa.RecordBatch:
+            nonlocal number
+            words, sizes = words_in(rows["text"].combine_chunks())
+            coded = words.dictionary_encode()
+            hashes = np.array(list(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist())), dtype="<u8")
+            codes = coded.indices.to_numpy().astype("<i4")
+            number += 1
+            values = [number, rows["doc_id"].to_pylist(), rows["held"].to_pylist(), sizes.tolist(), hashes.tobytes(), codes.tobytes(), len(codes) + len(sizes), len(hashes) + 1]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(values, kinds, strict=True)], names=["block", "doc_ids", "held", "sizes", "words", "codes", "n_tokens", "n_words"])
+
+        held, size = [], 0
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy()
+            begin = 0
+            for i, n in enumerate(lengths.tolist(), 1):
+                size += n + 1
+                if size >= block_bytes:
+                    held.append(batch.slice(begin, i - begin))
+                    yield made(pa.Table.from_batches(held))
+                    begin, held, size = i, [], 0
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
+        if held:
+            yield made(pa.Table.from_batches(held))
+
+    schema = "block long, doc_ids array<long>, held array<boolean>, sizes array<long>, words binary, codes binary, n_tokens long, n_words long"
+    return docs.select("doc_id", "held", "text").mapInArrow(run, schema)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, first all low bytes, and so on up to the high ones, which are zero."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
 
+def small(counts: np.ndarray) -> bytes:
+    """Counts as unsigned numbers of one, four or eight bytes, the first byte."""
+    size = 1 if counts.max(initial=0) < 1 << 8 else 4 if counts.max(initial=0) < 1 << 32 else 8
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def large(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _asks(found: DataFrame, bits: tuple[int, int, int]) -> DataFrame:
+    """``(block, bucket, keys, counts)``: a block's distinct n-grams by bucket, with their counts in its training texts.
+
+    bucket: the order in the bits from 40 up, then the first ``bits`` of the key, so a block's buckets are ranges of its sorted keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0):
-                found = words_of(t.as_py())
-                classes = np.array([start, *[get(w, rest) for w in found], end], dtype=np.int64)
-                held.append(classes[:-1] * size + classes[1:])
-                n += len(found)
-            if n > MERGE:
-                merge()
-        merge()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "c"])
-
-    return training.select(text_col).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-class Automaton:
-    """States are classes as histories; see the module's text. Logarithms are to base 10."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, size: int):
-        order = np.argsort(keys)
-        self.size, self.keys, counts = size, keys[order], counts[order].astype(np.float64)
-        history, word = self.keys // size, self.keys % size
-        root = np.bincount(word, counts, size) + 1.0
-        root[size - 2] = 0  # a start is never read
-        root /= root.sum()
-        with np.errstate(divide="ignore"):
-            self.root = np.log10(root)
-        once, twice = (counts == 1).sum(), (counts == 2).sum()
-        discount = once / (once + 2 * twice) if once and twice else 0.5
-        total, kinds = np.bincount(history, counts, size), np.bincount(history, minlength=size)
-        backoff = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        self.failure = np.log10(backoff)
-        self.arc = np.log10((counts - discount) / total[history] + backoff[history] * root[word]).astype(np.float32)
-        self.keys = self.keys.astype(np.int64)
-
-    def walk(self, state: np.ndarray, read: np.ndarray) -> np.ndarray:
-        """The log-probability of each class read in its state: its arc, or failure and the root's arc."""
-        key = state * self.size + read
-        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        there = self.keys[at] == key if len(self.keys) else np.zeros(len(key), dtype=bool)
-        fallen = self.failure[state] + self.root[read]
-        return np.where(there, self.arc[at], fallen) if len(self.keys) else fallen
-
-
-def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_size: int = VOCAB, block_bytes: int = BLOCK_BYTES, folds: int = FOLDS, fold: int = HELD_OUT) -> DataFrame:
+            for row in batch.to_pylist():
+                block = Block(row)
+                training = block.training()
+                for order, keys in enumerate(block.keys()):
+                    distinct, at = np.unique(keys, return_inverse=True)
+                    counts = np.bincount(at, training if order < 2 else training[~block.first], len(distinct)).astype(np.int64)
+                    number = distinct >> np.uint64(64 - bits[order]) if bits[order] else np.zeros(len(distinct), dtype=np.uint64)
+                    begin = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(distinct) else np.array([], dtype=np.int64)
+                    rows = [(row["block"], order << 40 | int(number[a]), packed(distinct[a:b]), small(counts[a:b])) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(distinct)], strict=False)]
+                    for i in range(0, len(rows), 64):
+                        columns = zip(*rows[i : i + 64], strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "bucket", "keys", "counts"])
+
+    return found.select("block", "doc_ids", "held", "sizes", "words", "codes").mapInArrow(run, "block long, bucket long, keys binary, counts binary")
+
+
+def _answers(asks: DataFrame) -> DataFrame:
+    """``(block, bucket, counts)``: the totals of the keys asked for; and of each bucket of words, with a null block, its statistics."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket = group["bucket"][0].as_py()
+        each = [unpacked(x.as_py()) for x in group["keys"]]
+        counts = np.concatenate([large(x.as_py()) for x in group["counts"]])
+        cut = np.cumsum([0, *map(len, each)])
+        distinct, at = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.bincount(at, counts, len(distinct)).astype(np.int64)
+        blocks_, out = group["block"].to_pylist(), [small(total[at[a:b]]) for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+        if not bucket >> 40:
+            stats = [total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum(), total[distinct == END].sum()]
+            blocks_, out = [*blocks_, None], [*out, np.array(stats, dtype="<i8").tobytes()]
+        return pa.table([pa.array(blocks_, type=pa.int64()), pa.array([bucket] * len(out), type=pa.int64()), pa.array(out, type=pa.binary())], names=["block", "bucket", "counts"])
+
+    return asks.groupBy("bucket").applyInArrow(run, "block long, bucket long, counts binary")
+
+
+class Corpus:
+    """What the walk needs to know of all training texts: tokens, distinct ones, those seen once and twice, texts."""
+
+    def __init__(self, tokens: int, distinct: int, once: int, twice: int, texts: int):
+        self.tokens, self.distinct, self.texts = tokens, distinct, texts
+        self.discount = once / (once + 2 * twice) if once and twice else 0.5
+
+    def root(self, count: np.ndarray) -> np.ndarray:
+        """The logarithm of a word's probability in the root, by its count."""
+        if not self.tokens:
+            return np.zeros(len(count))
+        return np.log10(np.where(count > 0, np.maximum(count, 1) - self.discount, self.discount * self.distinct) / self.tokens)
+
+
+def arcs(history: np.ndarray, count: np.ndarray, fallen: np.ndarray, strength: float) -> np.ndarray:
+    """The logarithm of each word's probability in a state of that count: its arc, or the failure arc and what follows."""
+    failure = np.log10(strength / (history + strength))
+    arc = np.log10((count + strength * 10.0**fallen) / (history + strength))
+    return np.where(count > 0, arc, failure + fallen)
+
+
+def walk(block: Block, counts: list[np.ndarray], corpus: Corpus, strengths: tuple[float, float] = STRENGTHS) -> np.ndarray:
+    """The log-probability of each token. counts: of the word, pair and triple that end at each place (0 for triples at first places).
+
+    The count of the state carried into a place is that of the pair, or word, that ended at the place before.
+    """
+    word, pair, triple = counts
+    one = np.concatenate([[0], word[:-1]])
+    one[block.firsts] = corpus.texts
+    two = np.concatenate([[0], pair[:-1]])
+    two[block.firsts] = 0  # no state of two words yet: its failure arc weighs nothing
+    return arcs(two, triple, arcs(one, pair, corpus.root(word), strengths[0]), strengths[1])
+
+
+def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS, strengths: tuple[float, float] = STRENGTHS, folds: int = FOLDS, fold: int = HELD_OUT) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
     base_score: add-one unigrams. score: the automaton. Both are sums of log10 over words and end.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col, folds, fold).alias("held_out"))
-    training = docs.filter(~F.col("held_out"))
-    counts = written(word_counts(training), "words")
-    n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends, size_of_all = (docs.agg(F.count_if(~F.col("held_out")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first())
-    total, kinds = n_words + ends, distinct + (ends > 0)
-    top = first_rows(counts, [F.desc("c"), "word"], -F.floor(16 * F.log2("c")), vocab_size).collect()  # vocab_size rows
-    vocab = {bytes(r.word): i for i, r in enumerate(top)}
-    size = vocab_size + 3  # the classes, then the rest, start and end
-    rest_words, rest_kinds = n_words - sum(r.c for r in top), distinct - len(top)
-    pairs = bigram_counts(training, vocab, size).toArrow()  # at most size^2 rows
-    automaton = Automaton(pairs["key"].to_numpy(), pairs["c"].to_numpy(), size)
-    shared = spark.sparkContext.broadcast((vocab, automaton))
-
-    blocks = max(1, -(-size_of_all // block_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(partitions(docs), "block")
-
-    def distinct_words(group: pa.Table) -> pa.Table:
-        found = pc.unique(words_in(group["text"])[0]).cast(pa.binary())
-        return pa.table({"block": pa.array(np.full(len(found), group["block"][0].as_py()), type=pa.int64()), "word": found})
-
-    asked = dealt.groupBy("block").applyInArrow(distinct_words, "block long, word binary")
-    slices = asked.join(counts, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c"))
-
-    def run(group: pa.Table, slice_: pa.Table) -> pa.Table:
-        vocab, automaton = shared.value
-        size = automaton.size
-        rest, start, end = size - 3, size - 2, size - 1
-        known = slice_["word"].combine_chunks().cast(pa.large_binary())
-        count = np.append(slice_["c"].to_numpy(), ends).astype(np.float64)  # the end last
-        own = pc.index_in(known, value_set=pa.array(list(vocab), type=pa.large_binary()))  # vocab is in order of class
-        classes = np.append(pc.fill_null(own, rest).to_numpy().astype(np.int64), end)
-        base = np.log10((count + 1) / (total + kinds + 1))
-        inside = np.where(classes == rest, np.log10((count + 1) / (rest_words + rest_kinds + 1)), 0.0)
-        words, sizes = words_in(group["text"])
-        lasts = np.cumsum(sizes + 1) - 1  # where each text's end stands
-        at = np.full(len(words) + len(sizes), len(known), dtype=np.int64)
-        places = np.ones(len(at), dtype=bool)
-        places[lasts] = False
-        at[places] = pc.index_in(words, value_set=known).to_numpy()
-        read = classes[at]
-        state = np.concatenate([[start], read[:-1]])
-        firsts = lasts - sizes
-        state[firsts] = start
-        per_text = lambda x: np.add.reduceat(x, firsts)
-        return pa.table({
-            "doc_id": group["doc_id"],
-            "held_out": group["held_out"],
-            "n_tokens": pa.array(sizes + 1, type=pa.int64()),
-            "n_known": pa.array(per_text((count[at] > 0).astype(np.int64)), type=pa.int64()),
-            "train_tokens": pa.array(np.full(len(sizes), total), type=pa.int64()),
-            "base_score": pa.array(per_text(base[at])),
-            "score": pa.array(per_text(automaton.walk(state, read) + inside[at])),
-        })
+    docs = documents.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    docs = docs.withColumn("held", held_out("doc_id", folds, fold))
+    found = written(blocks(docs, block_bytes), "lm-blocks")
+    tokens, words = found.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    bits = tuple(max(0, (n // bucket_keys).bit_length()) for n in (words, tokens, tokens))
+    answers = written(_answers(_asks(found, bits)), "lm-counts")
+    stats = answers.filter("block is null").select("counts").collect()  # a row for each bucket of words
+    shared = spark.sparkContext.broadcast(Corpus(*np.sum([np.frombuffer(r.counts, dtype="<i8") for r in stats] or [[0] * 5], axis=0).tolist()))
+
+    def run(state: pa.Table, told: pa.Table) -> pa.Table:
+        corpus, rows = shared.value, []
+        order = np.argsort(told["bucket"].to_numpy())
+        buckets = told["bucket"].to_numpy()[order] >> 40
+        found = [large(told["counts"][int(i)].as_py()) for i in order]
+        for row in state.to_pylist():
+            block = Block(row)
+            counts = []
+            for n, keys in enumerate(block.keys()):
+                total = np.concatenate([np.array([], dtype=np.int64), *(x for x, b in zip(found, buckets, strict=True) if b == n)])
+                counts.append(total[np.unique(keys, return_inverse=True)[1]])
+            triple = np.zeros(len(block.read), dtype=np.int64)
+            triple[~block.first] = counts[2]
+            per_text = lambda x, block=block: np.add.reduceat(x, block.firsts)
+            base = np.log10((counts[0] + 1) / (corpus.tokens + corpus.distinct + 1))
+            rows.append([block.docs, block.held, block.sizes + 1, per_text((counts[0] > 0).astype(np.int64)), np.full(len(block.docs), corpus.tokens), per_text(base), per_text(walk(block, [*counts[:2], triple], corpus, strengths))])
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return pa.table([pa.array([v for r in rows for v in r[i]], type=k) for i, k in enumerate(kinds)], names=names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(run, schema)
+    states = found.select("block", "doc_ids", "held", "sizes", "words", "codes")
+    return states.groupBy("block").cogroup(answers.filter("block is not null").groupBy("block")).applyInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

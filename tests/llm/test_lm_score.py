@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -17,39 +18,45 @@ def out(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def brute(rows, vocab_size):
-    training = [words(t) for i, t in rows if not out(i)]
-    counts = Counter(w for ws in training for w in ws)
-    end = len(training)
-    n, v = sum(counts.values()) + end, len(counts) + (end > 0)
-    top = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:vocab_size]}
-    cls = lambda w: w if w in top else None
-    pairs = Counter(p for ws in training for p in zip(["<s>", *map(cls, ws)], [*map(cls, ws), "</s>"], strict=True))
-    history, kinds, last = Counter(), Counter(), Counter()
-    for (h, w), c in pairs.items():
-        history[h] += c
-        kinds[h] += 1
-        last[w] += c
-    ones, twos = sum(c == 1 for c in pairs.values()), sum(c == 2 for c in pairs.values())
-    d = ones / (ones + 2 * twos) if ones and twos else 0.5
-    rest = sum(c for w, c in counts.items() if w not in top)
-    rest_kinds = len(counts) - len(top)
-    classes = vocab_size + 2
-    found = []
-    for i, t in rows:
-        ws = words(t)
-        base = sum(math.log10((c + 1) / (n + v + 1)) for c in [*(counts[w] for w in ws), end])
-        score, h = 0.0, "<s>"
-        for w in [*ws, "</s>"]:
-            k = w if w == "</s>" else cls(w)
-            p = (last[k] + 1) / (sum(last.values()) + classes)
-            if history[h]:
-                p = max(pairs[h, k] - d, 0) / history[h] + d * kinds[h] / history[h] * p
-            score += math.log10(p) + (math.log10((counts[w] + 1) / (rest + rest_kinds + 1)) if k is None else 0)
-            h = k
-        known = sum(counts[w] > 0 for w in ws) + (end > 0)
-        found.append((i, out(i), len(ws) + 1, known, n, base, score))
-    return found
+class Brute:
+    """The model by dictionaries of tuples."""
+
+    def __init__(self, rows):
+        self.counts = Counter()
+        training = [[*words(t), None] for i, t in rows if not out(i)]
+        for ws in training:
+            read = ["<s>", *ws]
+            for n in (1, 2, 3):
+                self.counts.update(tuple(read[i - n + 1 : i + 1]) for i in range(1, len(read)) if i - n + 1 >= 0)
+        self.counts["<s>",] = len(training)
+        self.words = [w for w in {w for ws in training for w in ws}]
+        self.n = sum(map(len, training))
+        each = Counter(self.counts[w,] for w in self.words)
+        self.d = each[1] / (each[1] + 2 * each[2]) if each[1] and each[2] else 0.5
+
+    def p(self, history, w):
+        if not history:
+            if not self.n:
+                return 1.0
+            c = self.counts[w,]
+            return (c - self.d if c else self.d * len(self.words)) / self.n
+        s, h = lm.STRENGTHS[len(history) - 1], self.counts[history]
+        return (self.counts[*history, w] + s * self.p(history[1:], w)) / (h + s)
+
+    def rows(self, rows):
+        found = []
+        for i, t in rows:
+            ws, history, score = [*words(t), None], ("<s>",), 0.0
+            for w in ws:
+                score += math.log10(self.p(history, w))
+                history = (*history, w)[-2:]
+            base = sum(math.log10((self.counts[w,] + 1) / (self.n + len(self.words) + 1)) for w in ws)
+            found.append((i, out(i), len(ws), sum(self.counts[w,] > 0 for w in ws), self.n, base, score))
+        return found
+
+
+def brute(rows):
+    return Brute(rows).rows(rows)
 
 
 def same(rows, want):
@@ -61,30 +68,36 @@ def same(rows, want):
         assert g[5:] == pytest.approx(w[5:], rel=1e-5, abs=1e-5)
 
 
-@pytest.mark.parametrize(("vocab", "block"), [(lm.VOCAB, lm.BLOCK_BYTES), (50, 20_000)])
-def test_query_equals_brute_force(spark, vocab, block):
+@pytest.mark.parametrize(("keys", "block"), [(lm.BUCKET_KEYS, lm.BLOCK_BYTES), (5_000, 20_000)])
+def test_query_equals_brute_force(spark, keys, block):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in documents.collect()]
-    got = lm.score(documents, vocab_size=vocab, block_bytes=block).collect()
-    same(got, brute(rows, vocab))
+    got = lm.score(documents, bucket_keys=keys, block_bytes=block).collect()
+    same(got, brute(rows))
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_probabilities_of_a_state_sum_to_one():
-    size = 8
-    rng = np.random.default_rng(0)
-    keys = np.array([h * size + w for h in range(5) for w in range(size) if w != size - 2 and rng.random() < 0.5])
-    automaton = lm.Automaton(keys, rng.integers(1, 6, len(keys)), size)
-    read = np.array([w for w in range(size) if w != size - 2])
-    for h in range(7):
-        assert (10 ** automaton.walk(np.full(len(read), h), read)).sum() == pytest.approx(1, abs=1e-6)
+    rng = random.Random(0)
+    model = Brute([(i, " ".join(rng.choices("abcdefg", k=rng.randint(0, 9)))) for i in range(40)])
+    for history in [(), ("<s>",), ("a",), ("a", "b"), ("<s>", "c"), ("zz",), ("a", "zz")]:
+        assert sum(model.p(history, w) for w in [*model.words, "unknown"]) == pytest.approx(1, abs=1e-9)
+
+
+def test_packed_keys_and_counts_come_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (lm.unpacked(lm.packed(keys)) == keys).all()
+    for top in (0, 255, 256, 1 << 33):
+        assert lm.large(lm.small(np.array([0, top]))).tolist() == [0, top]
 
 
 def test_edge_rows(spark):
-    data = [(1, None), (2, ""), (2, ""), (3, "a A b"), (None, "a c"), (4, "z " * 50_000), (7, "a a a \x0b\n b")]
-    frame = spark.createDataFrame(data, "doc_id long, text string").withColumn("block", F.lit("x")).withColumn("held_out", F.lit(5)).withColumn("c", F.lit(1))
-    same(lm.score(frame, vocab_size=2, block_bytes=50).collect(), brute(data, 2))
+    data = [(1, None), (2, ""), (2, ""), (3, "a A b"), (None, "a c"), (4, "z " * 50_000), (7, "a a a \x0b\n b"), *[(None, "a a b")] * 40]
+    frame = spark.createDataFrame(data, "doc_id long, text string").withColumn("block", F.lit("x")).withColumn("held_out", F.lit(5)).withColumn("counts", F.lit(1)).withColumn("held", F.lit(1))
+    same(lm.score(frame, block_bytes=50).collect(), brute(data))
     assert lm.score(frame.limit(0)).count() == 0
     only = [(i, "x y") for i in range(50) if out(i)]
-    same(lm.score(spark.createDataFrame(only, "doc_id long, text string")).collect(), brute(only, lm.VOCAB))
+    same(lm.score(spark.createDataFrame(only, "doc_id long, text string")).collect(), brute(only))
