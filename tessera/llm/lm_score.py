@@ -42,7 +42,7 @@ BLOCK_BYTES = 4 << 20
 #: Keys that a bucket gets from all blocks, about.
 BUCKET_KEYS = 2_000_000
 #: How much the shorter history counts, for histories of one and of two words.
-STRENGTHS = (20.0, 5.0)
+STRENGTHS = (1000.0, 5.0)
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
