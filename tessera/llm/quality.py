@@ -1,12 +1,14 @@
 """Operator 2, quality rules with risk-controlled thresholds.
 
 Each rule rejects texts whose ratio exceeds a cutoff. Cutoffs come from labelled holdout rows:
-in a stratum with n good rows (quality 1, base not failed) of which a rule at a cutoff rejects k,
-the cutoff is admitted if an exact binomial test finds the true rate of false rejections below
-``alpha`` divided by the number of rules, that is if P(Bin(n, alpha / rules) <= k) is at most
-``delta`` over the number of tests (Bonferroni over all strata, rules and cutoffs). Of the admitted
-cutoffs the least one counts; with none, the rule does not apply in that stratum. With probability
-1 - delta, no stratum then loses more than a share alpha of its good texts to all rules together.
+in a stratum with n good texts (quality 1, base not failed) of which a rule at a cutoff rejects k,
+an exact binomial test asks whether the true rate of false rejections is below ``alpha`` divided by
+the number of rules: its p-value is P(Bin(n, alpha / rules) <= k). The cutoffs of a rule are nested,
+so they are tested in a fixed sequence from lax to strict, each at the level ``delta`` over the
+number of strata and rules (Bonferroni), up to the first that fails; the last that passed counts.
+With none, the rule does not apply in that stratum. With probability 1 - delta, no stratum then
+loses more than a share alpha of its good texts to all rules together. The bound needs independent
+draws, so a text that is labelled several times counts once.
 
 Features of every whole text are columns of one projection (no explode, no shuffle of texts) and
 are written once, without texts. Counts per stratum are one aggregation of labelled rows. All is
@@ -14,15 +16,16 @@ DataFrame code.
 
 Nulls: a null text has no words, so the base fails. A null stratum is one of its own. A null
 doc_id matches no label. Null labels are left out; a doc_id with several labels is good if all
-are 1. Repeated rows count each. Other columns are not read. An empty table gives no rows, and
-without labels only the base decides.
+are 1, and a text is counted as good if one of its rows is. Repeated rows get the same result each.
+Texts of any length are read whole. Other columns are not read, whatever their names. An empty table
+gives no rows, and without labels only the base decides.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.llm._shared import let, table, written
+from tessera.llm._shared import column, let, table, written
 
 ALPHA, DELTA = 0.05, 0.05
 #: Rules: a ratio of two features, and its cutoffs from strict to lax.
@@ -66,21 +69,22 @@ def _repeat_words(words: Column) -> Column:
 
 def features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Counts of every whole text, and ``base_failed``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(column(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
     words = F.filter(F.split(text, _SPACE), lambda w: w != "")
     lined = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     worded = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
     counted = documents.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(stratum_col).cast("string").alias("stratum"),
+        column(id_col).cast("long").alias("doc_id"),
+        column(stratum_col).cast("string").alias("stratum"),
+        F.xxhash64(text).alias("text_hash"),
         F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         _count(text, _SYMBOLS).alias("n_symbols"),
         _count(text, _CAPITALS).alias("n_capitals"),
         _count(text, "!").alias("n_bangs"),
         lined.alias("l"),
         worded.alias("w"),
-    ).select("doc_id", "stratum", "word_chars", "n_symbols", "n_capitals", "n_bangs", "l.*", "w.*")
+    ).select("doc_id", "stratum", "text_hash", "word_chars", "n_symbols", "n_capitals", "n_bangs", "l.*", "w.*")
     return counted.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -114,22 +118,23 @@ def binomial_cdf(n: Column, k: Column, p: float) -> Column:
 
 def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, label_col: str = "quality") -> DataFrame:
     """``(stratum, <rule>, ...)``: the admitted cutoff of each rule, null where there is none."""
-    marks = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.min(label_col).alias("_good"))
-    good = rows.filter(~F.col("base_failed")).join(marks.filter("_good = 1"), "doc_id", "left_semi")
+    marks = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.min(label_col).alias("good"))
+    good = rows.filter(~F.col("base_failed")).join(marks.filter("good = 1"), "doc_id", "left_semi").dropDuplicates(["stratum", "text_hash"])
     rejected = [F.count_if(_ratio(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(CUTOFFS)]
     counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *rejected)
-    tests = max(1, counts.count()) * len(RULES) * len(CUTOFFS)
+    level = delta / (max(1, counts.count()) * len(RULES))
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r in RULES for i, c in enumerate(CUTOFFS)]))
     tried = counts.select("stratum", "n", each.alias("t")).select("stratum", "n", "t.*")
-    admitted = F.when(binomial_cdf(F.col("n"), F.col("k"), alpha / len(RULES)) <= delta / tests, F.col("cutoff"))
-    least = [F.min(F.when(F.col("rule") == r, F.col("admitted"))).alias(r) for r in RULES]
-    return tried.withColumn("admitted", admitted).groupBy("stratum").agg(*least)
+    failed = F.when(binomial_cdf(F.col("n"), F.col("k"), alpha / len(RULES)) > level, F.col("cutoff"))
+    tested = tried.withColumn("failed", failed).groupBy("stratum", "rule").agg(F.max("failed").alias("first"), F.collect_list("cutoff").alias("all"))  # first: of the sequence from lax to strict
+    passed = tested.withColumn("cutoff", F.array_min(F.filter("all", lambda c: F.col("first").isNull() | (c > F.col("first")))))
+    return passed.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in RULES])
 
 
 def judge(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The counts of every row with ``base_failed`` and ``kept``."""
     rows = written(features(documents, id_col, text_col, stratum_col), "quality")
-    limits = written(cutoffs(rows, labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality"), alpha, delta), "quality-cutoffs")
+    limits = written(cutoffs(rows, labels.select(column(id_col).cast("long").alias("doc_id"), "quality"), alpha, delta), "quality-cutoffs")
     limits = limits.withColumnRenamed("stratum", "_stratum")
     if limits.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA:
         limits = F.broadcast(limits)
@@ -149,8 +154,10 @@ def _sql() -> str:
     counts = ", ".join(f"count(*) FILTER (WHERE {ratio[r]} > {c}) AS {r}_{i}" for r in RULES for i, c in enumerate(CUTOFFS))
     p = ALPHA / len(RULES)
     cdf = "list_sum(list_transform(range(0, {k} + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(%r) + (n - i) * ln(%r))))" % (p, 1 - p)
-    tests = f"({DELTA} / ((SELECT count(*) FROM counts) * {len(RULES) * len(CUTOFFS)}))"
-    least = ", ".join(f"CASE {' '.join(f'WHEN {r}_{i} < n * {p!r} AND {cdf.format(k=f"{r}_{i}")} <= {tests} THEN {c}' for i, c in enumerate(CUTOFFS))} END AS {r}" for r in RULES)
+    level = f"({DELTA} / ((SELECT count(*) FROM counts) * {len(RULES)}))"
+    lax = list(enumerate(CUTOFFS))[::-1]
+    passes = lambda r, i: f"({r}_{i} < n * {p!r} AND {cdf.format(k=f'{r}_{i}')} <= {level})"
+    least = ", ".join(f"CASE {' '.join(f'WHEN NOT {passes(r, i)} THEN {lax[at - 1][1] if at else "NULL"}' for at, (i, _) in enumerate(lax))} ELSE {CUTOFFS[0]} END AS {r}" for r in RULES)
     failed = " OR ".join(f"coalesce({ratio[r]} > limits.{r}, false)" for r in RULES)
     symbols = "length(text) - length(translate(text, '{}', ''))"
     return f"""
@@ -163,13 +170,13 @@ windows AS (SELECT r, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FRO
 often AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM windows),
 repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM often, range(0, 3) t(k) WHERE c > 1 GROUP BY r),
 f AS (
-  SELECT r, doc_id, lang AS stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, ({symbols.format(_SYMBOLS)})::BIGINT AS n_symbols,
+  SELECT r, doc_id, text, lang AS stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, ({symbols.format(_SYMBOLS)})::BIGINT AS n_symbols,
     ({symbols.format(_CAPITALS)})::BIGINT AS n_capitals, ({symbols.format("!")})::BIGINT AS n_bangs,
     len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN repeated USING (r)
 ),
 base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-good AS (SELECT * FROM base WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
+good AS (SELECT DISTINCT ON (stratum, text) * FROM base WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
 counts AS (SELECT stratum, count(*) AS n, {counts} FROM good GROUP BY stratum),
 limits AS (SELECT stratum, {least} FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {failed}) AS kept
