@@ -8,22 +8,27 @@ exact piece hit gives a window of the text in which Myers' bit-parallel algorith
 edit distance of the item to any part of the window.
 
 Items are broadcast in slices of at most ``slice_chars`` characters, so a benchmark of any size
-works, with one pass over the texts per slice.
+works, with one pass over the texts per slice; a worker builds the automaton of a slice once. An
+item with a budget of edits may be found inside words, as an edit may be at its ends; one without
+(of fewer than 1 / max_error_rate characters) counts only where its ends are ends of words.
 
 Nulls: a null text or item counts as empty; items without a word match nothing. A null item_id
 stays as it is. Repeated items are one row per item_id each; repeated documents give repeated
-pairs. Other columns are not read. Empty tables give no rows.
+pairs. Texts of any length are searched whole, one at a time; a long item's windows overlap those
+of its other pieces and are merged. Other columns are not read, or only returned by ``clean``,
+whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm._shared import table
+from tessera.llm._shared import column, table
 
 MAX_ERROR_RATE = 0.08
 SLICE_CHARS = 8_000_000
@@ -96,7 +101,7 @@ def finder(items: list[tuple[int | None, str]], max_error_rate: float) -> Callab
                 first = end - length + 1 - start
                 lo, hi = max(0, first - budgets[i]), first + len(items[i][1]) + budgets[i]
                 spans = windows.setdefault(i, [])
-                if spans and abs(spans[-1][0] - lo) <= 2 * budgets[i]:  # hits of one occurrence: nearly the same window
+                if spans and budgets[i] and abs(spans[-1][0] - lo) <= 2 * budgets[i]:  # hits of one occurrence: nearly the same window
                     spans[-1] = [min(spans[-1][0], lo), max(spans[-1][1], hi)]
                 else:
                     spans.append([lo, hi])
@@ -104,6 +109,8 @@ def finder(items: list[tuple[int | None, str]], max_error_rate: float) -> Callab
         for i, spans in windows.items():
             best = None
             for lo, hi in spans:
+                if not budgets[i] and not (text[lo - 1 : lo] in " " and text[hi : hi + 1] in " "):
+                    continue
                 hit = myers(items[i][1], text[lo:hi], budgets[i])
                 if hit and (best is None or hit[0] < best[0]):
                     best = (hit[0], lo, lo + hit[1])
@@ -116,6 +123,17 @@ def finder(items: list[tuple[int | None, str]], max_error_rate: float) -> Callab
     return find
 
 
+class Items:
+    """A slice of items with their rate of errors; what finds them is built once in each worker."""
+
+    def __init__(self, items: list[tuple[int | None, str]], max_error_rate: float):
+        self.items, self.rate = items, max_error_rate
+
+    @cached_property
+    def find(self) -> Callable[[str], list[tuple[int, int, int, int]]]:
+        return finder(self.items, self.rate)
+
+
 def _slices(benchmark: DataFrame, item_id: str, item_text: str, slice_chars: int) -> Iterator[list[tuple[int | None, str]]]:
     """Items in slices of bounded size; one slice at a time is on the driver."""
     held: list[tuple[int | None, str]] = []
@@ -137,15 +155,15 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     match_end: where the occurrence ends, in characters of the normalised text.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     found = None
     for items in _slices(benchmark, item_id, item_text, slice_chars):
-        shared = spark.sparkContext.broadcast(items)  # slice_chars characters
+        shared = spark.sparkContext.broadcast(Items(items, max_error_rate))  # slice_chars characters
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            find = finder(shared.value, max_error_rate)
+            find = shared.value.find
             for batch in batches:
-                rows = [(d.as_py(), shared.value[i][0], distance, end) for d, t in zip(batch.column(0), batch.column(1), strict=True) for i, distance, _, end in find(normal(t.as_py()))]
+                rows = [(d.as_py(), shared.value.items[i][0], distance, end) for d, t in zip(batch.column(0), batch.column(1), strict=True) for i, distance, _, end in find(normal(t.as_py()))]
                 columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "distance", "match_end"])
@@ -161,10 +179,10 @@ def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     at = documents.schema.fieldNames().index(text_col)
     item_id = F.lit(0).cast("long").alias("_item")
     for items in _slices(benchmark.select(item_id, F.col(item_text)), "_item", item_text, slice_chars):
-        shared = spark.sparkContext.broadcast(items)  # slice_chars characters
+        shared = spark.sparkContext.broadcast(Items(items, max_error_rate))  # slice_chars characters
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            find = finder(shared.value, max_error_rate)
+            find = shared.value.find
             for batch in batches:
                 yield batch.filter(pa.array([not find(normal(t.as_py())) for t in batch.column(at)], type=pa.bool_()))
 

@@ -67,3 +67,19 @@ def test_edge_rows(spark):
         assert sorted(r.doc_id for r in dec.clean(frame, bench, slice_chars=chars).collect()) == [3, 4, 6]
     assert dec.leaks(frame.limit(0), bench).count() == dec.leaks(frame, bench.limit(0)).count() == 0
     assert dec.clean(frame, bench.limit(0)).count() == len(data)
+
+
+def test_short_items_stand_alone_and_the_query_form_finds_edits(spark):
+    words = [f"word{i} of text" for i in range(12)]
+    item = " ".join(words)
+    edited = item.replace("word3", "wrd3").replace("text word7", "text, Word7x")
+    docs = spark.createDataFrame([(1, "the party of art"), (2, "a party"), (3, "Art!"), (4, f"before {edited} after"), (5, "x" * 300_000 + " " + edited), (6, item[:120])], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, "art"), (11, item)], "item_id long, text string")
+    want = {(1, 10), (3, 10)} | {(i, 11) for i, t in [(4, edited), (5, edited), (6, item[:120])] if distance(dec.normal(item), dec.normal(t))[0] <= int(dec.MAX_ERROR_RATE * len(dec.normal(item)))}
+    got = dec.leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) == 4
+    texts = {r.doc_id: dec.normal(r.text) for r in docs.filter("doc_id < 5").collect()}
+    for r in got:
+        if r.doc_id < 5 and r.item_id == 11:
+            assert r.distance == distance(dec.normal(item), texts[r.doc_id])[0]
+    assert {r.doc_id for r in dec.clean(docs, bench).collect()} == {2, 6}
