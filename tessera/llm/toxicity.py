@@ -9,16 +9,22 @@ by a power of the length in words, and a logistic curve turns it into a score.
 
 Everything learned comes from labelled rows outside the held-out fold. Term weights are smoothed
 log-odds of the share of toxic and clean texts that hold the term; a term is kept if its toxic
-share is significantly the larger (z of ``min_z``) and ``min_ratio`` times the clean one. The
-power and the curve are fitted on the same rows. At most ``train_rows`` labelled rows are used
-(those least by a hash of doc_id), a documented bound of the fit; the lexicon has at most
-``max_terms`` terms. Both bounds make the broadcasts small. Scoring covers every whole text.
+share is significantly the larger (z of ``MIN_Z``) and ``MIN_RATIO`` times the clean one. Exception
+phrases are learned too: pairs of neighbouring words of which one is a term, held by a share of
+clean texts that is larger likewise (z of ``EXCEPTION_Z``). The power and the curve are fitted on the same
+rows. At most ``train_rows`` labelled rows are used (those least by a hash of doc_id), a documented
+bound of the fit; a term is in at least ``MIN_SHARE`` of the toxic training rows, so the lexicon
+grows with the words of a text, not with the corpus, and ``MAX_TERMS`` bounds the broadcast. Scoring
+covers every whole text.
+
+Look-alike letters are folded in words that hold a Latin letter too, or that consist of them alone,
+so words of other scripts stay as they are.
 
 Nulls: a null text counts as empty and scores the curve's value at zero. A null doc_id is never
 held out or trained on. Repeated rows are scored each. Labels with null or several values for a
 document: the largest counts. Without both classes among the training rows the lexicon is empty
-and all scores are the smoothed share of toxic rows. Other columns are not read. An empty table
-gives no rows.
+and all scores are the smoothed share of toxic rows. Texts of any length are scored whole. Other columns are not
+read, or only returned by ``reject``, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,19 +33,23 @@ import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.llm._shared import first_rows, table, written
+from tessera.llm._shared import column, first_rows, table, written
 
 FOLDS, HELD_OUT = 5, 0
 TRAIN_ROWS = 20_000
 MAX_TERMS = 5_000
-MIN_Z = 4.0
+#: For terms, and for exception phrases, which are few.
+MIN_Z, EXCEPTION_Z = 4.0, 2.5
 MIN_RATIO = 8.0
 MIN_SHARE = 0.005
+#: Distinct terms that a task holds before it passes their counts on.
+HELD = 300_000
 #: Letters of the stems that are tried as terms beside whole words.
 STEMS = range(4, 9)
 
@@ -47,14 +57,14 @@ STEMS = range(4, 9)
 LOOK_ALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
-    "ı": "i", "ɑ": "a", "ɡ": "g", "ʟ": "l", "ß": "b", "ø": "o", "ł": "l", "đ": "d",
+    "ı": "i", "ɑ": "a", "ɡ": "g", "ʟ": "l", "ø": "o", "ł": "l", "đ": "d",
 }
 #: Digits and signs that stand for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
-#: Phrases in which a term is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "soap scum", "sore loser rule", "dostoevsky the idiot", "class clown award")
-
-_MAP = str.maketrans(LOOK_ALIKES | dict.fromkeys("­​‌‍⁠﻿"))
+_MAP = str.maketrans(LOOK_ALIKES)
+_DROPPED = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
+_MARKS = re.compile("[̀-ͯ]+")
+_LATIN = re.compile(r"[a-z]")
 _WORD = re.compile(r"[^\W_]+(?:[@$]+[^\W_]+)*")
 _DIGITS = str.maketrans(SUBSTITUTES)
 _HAS_SUBSTITUTE = re.compile(r"[0134578@$]")
@@ -65,11 +75,12 @@ def fold(text: str | None) -> list[str]:
     """The folded words of a text. Words without a letter keep their digits."""
     text = text or ""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).lower().translate(_MAP)
-        text = "".join(c for c in text if not "̀" <= c <= "ͯ")
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text).lower().translate(_DROPPED))
     else:
         text = text.lower()
     words = _WORD.findall(text)
+    if not text.isascii():
+        words = [w if w.isascii() else like if (like := w.translate(_MAP)).isascii() or _LATIN.search(w) else w for w in words]
     if _HAS_SUBSTITUTE.search(text):
         words = [w.translate(_DIGITS) if _HAS_SUBSTITUTE.search(w) and _HAS_LETTER.search(w) else w for w in words]
     return words
@@ -109,17 +120,37 @@ def matcher(weights: dict[str, float], exceptions: Sequence[str]) -> Callable[[l
     return total
 
 
-def lexicon(training: DataFrame, toxic: int, clean: int, max_terms: int = MAX_TERMS) -> dict[str, float]:
-    """Term weights from ``(text, toxic)`` rows; toxic and clean: how many rows of each."""
+def _share_counts(training: DataFrame, found: Callable[[list[str]], set[str]]) -> DataFrame:
+    """``(term, t, c)``: how many toxic and clean rows of ``(text, toxic)`` hold each thing that is found in their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
         for batch in batches:
-            for text, mark in zip(batch.column(0), batch.column(1), strict=True):
-                words = set(fold(text.as_py()))
-                terms = sorted(words.union(f"{w[:n]}*" for w in words for n in STEMS if len(w) > n))
-                yield pa.RecordBatch.from_arrays([pa.array(terms, type=pa.string()), pa.array([mark.as_py()] * len(terms), type=pa.int32())], names=["term", "toxic"])
+            for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for term in found(fold(text)):
+                    counts.setdefault(term, [0, 0])[1 - mark] += 1
+            if len(counts) > HELD:
+                yield out(counts)
+                counts = {}
+        yield out(counts)
+
+    def out(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        terms = list(counts)
+        return pa.RecordBatch.from_arrays([pa.array(terms, type=pa.string()), *(pa.array([counts[x][i] for x in terms], type=pa.int64()) for i in (0, 1))], names=["term", "t", "c"])
+
+    marked = training.select("text", F.col("toxic").cast("int").alias("toxic"))
+    return marked.mapInArrow(run, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
-    counts = training.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+
+def terms_of(words: list[str]) -> set[str]:
+    """The words and stems of a text."""
+    distinct = set(words)
+    return distinct.union(f"{w[:n]}*" for w in distinct for n in STEMS if len(w) > n)
+
+
+def lexicon(training: DataFrame, toxic: int, clean: int, max_terms: int = MAX_TERMS) -> dict[str, float]:
+    """Term weights from ``(text, toxic)`` rows; toxic and clean: how many rows of each."""
+    counts = _share_counts(training, terms_of)
     p, q = (F.col("t") + 0.5) / (toxic + 1), (F.col("c") + 0.5) / (clean + 1)
     weight = F.log(p / (1 - p)) - F.log(q / (1 - q))
     z = weight / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
@@ -127,6 +158,21 @@ def lexicon(training: DataFrame, toxic: int, clean: int, max_terms: int = MAX_TE
     return {r.term: float(r.w) for r in kept.orderBy(F.desc("z"), "term").limit(max_terms).collect()}
 
 
+def learned_exceptions(training: DataFrame, weights: dict[str, float], toxic: int, clean: int, max_terms: int = MAX_TERMS) -> tuple[str, ...]:
+    """Pairs of neighbouring words, one of them a term, that are in a significantly larger share of clean texts."""
+    stems = {t[:-1] for t in weights if t.endswith("*")}
+
+    def pairs(words: list[str]) -> set[str]:
+        is_term = [w in weights or any(w[:n] in stems for n in STEMS) for w in words]
+        return {f"{a} {b}" for a, b, x, y in zip(words, words[1:], is_term, is_term[1:], strict=False) if x or y}
+
+    counts = _share_counts(training, pairs)
+    p, q = (F.col("t") + 0.5) / (toxic + 1), (F.col("c") + 0.5) / (clean + 1)
+    z = (F.log(q / (1 - q)) - F.log(p / (1 - p))) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    kept = counts.filter((F.col("c") >= 5) & (q > MIN_RATIO * p) & (z > EXCEPTION_Z)).select("term", z.alias("z"))
+    return tuple(r.term for r in kept.orderBy(F.desc("z"), "term").limit(max_terms).collect())
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Slope, offset and loss of a one-feature logistic fit, by Newton steps with a slight ridge."""
     a = b = 0.0
@@ -144,49 +190,64 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return a, b, loss
 
 
-def _features(rows: DataFrame, weights: dict[str, float], exceptions: Sequence[str], keep: list[str], schema: str) -> DataFrame:
-    """``rows`` with the sum of weights and the number of words instead of the text, their first column."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights)  # max_terms terms
+class Model:
+    """Weights of terms, exception phrases, and the fitted power and curve; what matches them is built once in each worker."""
+
+    def __init__(self, weights: dict[str, float], exceptions: Sequence[str] = (), power: float = 0.0, slope: float = 0.0, offset: float = 0.0):
+        self.weights, self.exceptions, self.power, self.slope, self.offset = weights, tuple(exceptions), power, slope, offset
+
+    @cached_property
+    def total(self) -> Callable[[list[str]], float]:
+        return matcher(self.weights, self.exceptions)
+
+    def logit(self, words: list[str]) -> float:
+        return self.total(words) / max(len(words), 1) ** self.power * self.slope + self.offset
+
+
+def _features(rows: DataFrame, model: Model) -> DataFrame:
+    """``(toxic, total, words)`` of ``(text, toxic)`` rows: the sum of weights and the number of words."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # max_terms terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = matcher(shared.value, exceptions)
         for batch in batches:
-            sums, sizes = [], []
-            for text in batch.column(0):
-                words = fold(text.as_py())
-                sums.append(float(total(words)))
-                sizes.append(len(words))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sums, type=pa.float64()), pa.array(sizes, type=pa.int64())], names=[*keep, "total", "words"])
+            words = [fold(text) for text in batch.column(0).to_pylist()]
+            sums = [float(shared.value.total(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sums, type=pa.float64()), pa.array(map(len, words), type=pa.int64())], names=["toxic", "total", "words"])
 
-    return rows.mapInArrow(run, f"{schema}, total double, words long")
+    return rows.select("text", "toxic").mapInArrow(run, "toxic int, total double, words long")
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, exceptions: Sequence[str] = EXCEPTIONS, folds: int = FOLDS, fold_: int = HELD_OUT) -> dict:
-    """Weights, power, slope and offset, learned from at most train_rows labelled rows outside the fold."""
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, exceptions: Sequence[str] = (), folds: int = FOLDS, fold_: int = HELD_OUT) -> Model:
+    """A model learned from at most train_rows labelled rows outside the fold. exceptions: phrases beside those that are learned."""
     spark = documents.sparkSession
-    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id", folds, fold_))
+    marks = labels.select(column(id_col).cast("long").alias("doc_id"), column(label_col).cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id", folds, fold_))
     once = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = first_rows(once, [F.xxhash64("doc_id"), "doc_id"], F.shiftright(F.xxhash64("doc_id"), 48), train_rows)
     few = F.broadcast(spark.createDataFrame([(r.doc_id, int(r.toxic > 0)) for r in chosen.collect()], "id long, toxic int"))  # train_rows rows
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = documents.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
     training = written(texts.join(few, "id").select("text", "toxic"), "toxicity-training")
     toxic, n = training.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     weights = lexicon(training, toxic, n - toxic) if 0 < toxic < n else {}
-    rows = _features(training, weights, exceptions, ["toxic"], "toxic int").toArrow()
-    total, words, y = (rows[c].to_numpy().astype(np.float64) for c in ("total", "words", "toxic"))
     if not weights:
         share = (toxic + 1) / (n + 2)
-        return {"weights": {}, "power": 0.0, "slope": 0.0, "offset": math.log(share / (1 - share)), "exceptions": tuple(exceptions)}
+        return Model({}, exceptions, offset=math.log(share / (1 - share)))
+    model = Model(weights, (*exceptions, *learned_exceptions(training, weights, toxic, n - toxic)))
+    rows = _features(training, model).toArrow()  # a row per training row
+    total, words, y = (rows[c].to_numpy().astype(np.float64) for c in ("total", "words", "toxic"))
     best = min((_logistic(total / np.maximum(words, 1) ** power, y)[::-1] + (power,) for power in (0.0, 0.125, 0.25, 0.5, 0.75, 1.0)), key=lambda x: x[0])
-    return {"weights": weights, "power": best[3], "slope": best[2], "offset": best[1], "exceptions": tuple(exceptions)}
+    return Model(model.weights, model.exceptions, best[3], best[2], best[1])
 
 
-def score(documents: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score)`` of every row."""
-    read = documents.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    rows = _features(read, model["weights"], model["exceptions"], ["doc_id"], "doc_id long")
-    x = F.col("total") / F.pow(F.greatest("words", F.lit(1)), F.lit(model["power"]))
-    return rows.select("doc_id", (1 / (1 + F.exp(-(x * model["slope"] + model["offset"])))).alias("score"))
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # max_terms terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logits = np.array([shared.value.logit(fold(text)) for text in batch.column(1).to_pylist()], dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits, -700, 700))))], names=["doc_id", "score"])
+
+    return documents.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
@@ -195,22 +256,15 @@ def toxicity(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def reject(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def reject(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents that are not predicted to be toxic, all columns."""
-    model = fit(documents, labels)
-    spark, schema = documents.sparkSession, documents.schema
-    at = schema.fieldNames().index("text")
-    shared = spark.sparkContext.broadcast(model)  # max_terms terms
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, id_col, text_col))  # max_terms terms
+    schema = documents.schema
+    at = schema.fieldNames().index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        total = matcher(model["weights"], model["exceptions"])
         for batch in batches:
-            keep = []
-            for text in batch.column(at):
-                words = fold(text.as_py())
-                keep.append(total(words) / max(len(words), 1) ** model["power"] * model["slope"] + model["offset"] < 0)
-            yield batch.filter(pa.array(keep, type=pa.bool_()))
+            yield batch.filter(pa.array([shared.value.logit(fold(text)) < 0 for text in batch.column(at).to_pylist()], type=pa.bool_()))
 
     return documents.mapInArrow(run, schema)
 

@@ -1,5 +1,8 @@
+import math
+import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import toxicity as tox
@@ -18,6 +21,43 @@ def test_matching_whole_words_and_exceptions():
     assert tox.matcher({}, ())(["x"]) == 0.0
 
 
+def test_other_scripts_stay_and_exceptions_are_learned(spark):
+    assert tox.fold("Straße και жизнь") == ["straße", "kai", "жизнь"] and tox.fold("pаthetic") == ["pathetic"]
+    rng = random.Random(1)
+    filler = lambda: " ".join(rng.choices(["some", "plain", "words", "of", "prose", "and", "more"], k=20))
+    texts = [(i, f"{filler()} you idiot {filler()}" if i % 2 else f"{filler()} the idiot novel {filler()}" if i % 24 == 0 else filler()) for i in range(1, 600)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    model = tox.fit(frame, labels)
+    assert "idiot novel" in model.exceptions and "the idiot" in model.exceptions
+    fresh = spark.createDataFrame([(1, "so he read the idiot novel again"), (2, "what an idiot you are")], "doc_id long, text string")
+    assert [r.score >= 0.5 for r in tox.score(fresh, model).orderBy("doc_id").collect()] == [False, True]
+
+
+def brute_score(model, text):
+    """The score by trying every term and phrase at every word."""
+    words = tox.fold(text)
+    covered = {i + k for e in model.exceptions for i in range(len(words)) if words[i : i + len(e.split(" "))] == e.split(" ") for k in range(len(e.split(" ")))}
+    total = 0.0
+    for i, w in enumerate(words):
+        weights = [x for t, x in model.weights.items() if (w.startswith(t[:-1]) if t.endswith("*") else w == t)]
+        if weights and i not in covered:
+            total += max(weights)
+    return 1 / (1 + math.exp(-(total / max(len(words), 1) ** model.power * model.slope + model.offset)))
+
+
+def test_scores_equal_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = tox.fit(documents, labels)
+    model.exceptions = (*model.exceptions, *[f"{t} the" for t in list(model.weights)[:3] if not t.endswith("*")])
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    rows = tox.score(documents, model).collect()
+    assert len(rows) == len(texts) and model.weights
+    for r in rows:
+        assert r.score == pytest.approx(brute_score(model, texts[r.doc_id]), abs=1e-9)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in tox.query(spark, d).collect()}
