@@ -5,9 +5,12 @@ Logs: (log_id, endpoint, method, status_code, error_message, request, response,
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Rules as (id, category, priority, confidence, status codes or none for any, patterns).
@@ -29,8 +32,11 @@ FALLBACK = (
     ("script_error", ("typeerror", "referenceerror")),
 )
 CATEGORIES = ("token_expired", "permission_denied", "api_changed", "data_error", "network_timeout", "script_error", "unknown")
-#: Keys whose values are hidden, in lower case.
-SECRET_KEYS = ("authorization", "cookie", "set-cookie", "password", "token", "access_token", "accesstoken", "refresh_token", "secret", "api_key", "apikey", "phone", "id_card", "x-api-key")
+#: Header names and body fields whose values are hidden; compared without case.
+SECRET_HEADERS = ("authorization", "cookie", "x-api-key", "x-apikey", "token", "x-auth-token")
+SECRET_FIELDS = ("password", "secret", "token", "accessToken", "refreshToken", "creditCard", "phone", "idCard", "id_card", "ssn", "api_key", "apikey")
+#: Both, and other spellings that this library hides as well.
+SECRET_KEYS = tuple(sorted({k.lower() for k in (*SECRET_HEADERS, *SECRET_FIELDS, "set-cookie", "access_token", "refresh_token")}))
 
 
 def dedup(logs: DataFrame, keys: Sequence[str] = ("endpoint", "method", "status_code"), order: Sequence[str] = ("created_at", "log_id")) -> DataFrame:
@@ -77,6 +83,11 @@ def classify(logs: DataFrame) -> DataFrame:
     }).drop("_r", "_f")
 
 
+def rules_first(findings: DataFrame) -> list[Column]:
+    """The order of a report: findings by rules before fallbacks, the surest first, then by log."""
+    return [F.when(F.col("classifier") == "rule", 0).otherwise(1), F.desc("confidence"), F.col("log_id")]
+
+
 def rule_stats(findings: DataFrame) -> DataFrame:
     """``(matching_rule, hits, hit_rate)`` over all findings; the null rule counts fallbacks."""
     counts = findings.groupBy("matching_rule").agg(F.count("*").alias("hits"))
@@ -84,15 +95,33 @@ def rule_stats(findings: DataFrame) -> DataFrame:
     return counts.withColumn("hit_rate", F.round(F.col("hits") / max(total, 1), 4))
 
 
-def redact_json(json: Column) -> Column:
-    """The values of secret keys hidden at any depth: strings, numbers, true, false and null.
+def redact_json(json_: Column, keys: Sequence[str] = SECRET_KEYS) -> Column:
+    """The whole values of secret keys hidden at any depth, be they scalars, objects or lists; the rest stays as it is written.
 
-    Keys are compared without case. Objects and lists under a secret key keep their shape; what
-    secret keys hold inside is hidden by the same rule.
+    Scalars are replaced by a pattern. Only texts with an object or list under a secret key go to Python, which finds where it
+    ends; in broken JSON all that follows such a key is hidden.
     """
-    keys = "|".join(SECRET_KEYS)
-    value = r'("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null)'
-    return F.regexp_replace(json, rf'(?i)("(?:{keys})"\s*:\s*){value}', '$1"***"')
+    names = "|".join(re.escape(k) for k in keys)
+    key = rf'(?i)("(?:{names})"\s*:\s*)'
+    scalars = F.regexp_replace(json_, key + r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*|true|false|null)', '$1"***"')
+    opens = re.compile(rf'"(?:{names})"\s*:\s*(?=[\[{{])', re.IGNORECASE)
+
+    def hidden(text: str) -> str:
+        out, at = [], 0
+        while found := opens.search(text, at):
+            out += [text[at : found.end()], '"***"']
+            try:
+                at = json.JSONDecoder().raw_decode(text, found.end())[1]
+            except ValueError:
+                at = len(text)
+        return "".join([*out, text[at:]])
+
+    @F.pandas_udf("string")
+    def containers(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else hidden(t))
+
+    nested = F.rlike(json_, F.lit(key + r"[\[{]"))
+    return F.when(nested, containers(F.when(nested, scalars))).otherwise(scalars)
 
 
 def level(logs_found: Column, code_found: Column) -> Column:

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators.joins import overlapping, version_diff
+from tessera.operators.rounds import settled
+
 BOTH, FORWARD = "both", "forward"
 #: How impact follows edges by type: direction, and whether a node found is expanded.
 FOLLOW = {"CALLS": (BOTH, True), "EXTENDS": (FORWARD, False), "METHOD_OVERRIDES": (BOTH, False)}
@@ -49,19 +52,16 @@ def impact(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """``(seed, id, depth, direction)``: what is within max_depth hops of each seed, by the fewest hops.
 
     One join per hop between the frontier and the edges, and an anti-join with what was seen; each
-    frontier is checkpointed where a checkpoint folder is set, so that lineage stays short. Several
-    seeds are walked at once. Of two directions at one depth the lesser counts.
+    frontier is settled, so that lineage stays short. Several seeds are walked at once. Of two directions at one depth the lesser counts.
     """
-    move = steps(edges)
+    move = settled(steps(edges))
     frontier = seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("expand", F.lit(True))
     seen = frontier.select("seed", "id")
     found = None
-    checkpoint = bool(edges.sparkSession.sparkContext.getCheckpointDir())
     for depth in range(1, max_depth + 1):
         reached = frontier.filter("expand").select("seed", F.col("id").alias("at")).join(move, "at")
         fresh = reached.select("seed", F.col("to").alias("id"), "direction", "expand").join(seen, ["seed", "id"], "left_anti")
-        frontier = fresh.groupBy("seed", "id").agg(F.min("direction").alias("direction"), F.max("expand").alias("expand"))
-        frontier = frontier.checkpoint() if checkpoint else frontier.persist()
+        frontier = settled(fresh.groupBy("seed", "id").agg(F.min("direction").alias("direction"), F.max("expand").alias("expand")))
         seen = seen.union(frontier.select("seed", "id"))
         hop = frontier.select("seed", "id", F.lit(depth).alias("depth"), "direction")
         found = hop if found is None else found.union(hop)
@@ -129,22 +129,44 @@ def ask(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
     raise ValueError(f"unknown query: {text}")
 
 
-def communities(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """``(id, community)`` by synchronous label propagation over undirected weighted edges, no self loops.
+def communities(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``(id, community)`` by label propagation over undirected weighted edges, no self loops; labels are texts.
 
-    Each round every node takes the label with the most weight among its neighbours and itself (its own
-    label counts half an edge more), ties to the least label; all nodes move at once, so a round is one
-    join and two aggregations with map-side sums, whatever the degree of a node.
+    A node wants the label with the most weight among its neighbours, ties to the least label, if that outweighs its own label
+    by more than half an edge. With rounds, all nodes that want to move do so together, that many times. Without, a node moves
+    only if its hash is above those of its neighbours that want to move, so no two neighbours move at once and every round
+    raises the weight inside communities; it ends where no node wants to move. A round is joins and aggregations with map-side
+    sums, whatever the degree of a node, and is settled. Communities of one node become one, ``misc``, if there are two or more.
     """
     pair = edges.filter("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b"))
-    weight = pair.union(pair.select("b", "a")).groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
+    weight = settled(pair.union(pair.select("b", "a")).groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
     labels = weight.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        labels = settled(labels)
         votes = weight.join(labels.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "community", "w")
         votes = votes.union(labels.select("id", "community", F.lit(0.5)))
         total = votes.groupBy("id", "community").agg(F.sum("w").alias("w"))
-        labels = total.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("o"), "community")).alias("b")).select("id", "b.community")
-    return labels
+        best = total.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("o"), "community")).alias("b")).select("id", "b.community")
+        done += 1
+        if rounds is not None:
+            labels = best
+            continue
+        wants = settled(best.join(labels, ["id", "community"], "left_anti").withColumn("place", F.xxhash64(F.col("id").cast("string"), F.lit(done))))
+        if wants.isEmpty():
+            break
+        above = weight.join(wants.select(F.col("id").alias("a"), "place"), "a").join(wants.select(F.col("id").alias("b"), F.col("place").alias("other")), "b").filter("other > place or (other = place and b > a)")
+        movers = wants.join(above.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select("id", F.col("community").alias("moved"))
+        labels = labels.join(movers, "id", "left").select("id", F.coalesce("moved", "community").alias("community"))
+    return named(labels)
+
+
+def named(labels: DataFrame) -> DataFrame:
+    """Communities of one node as one community, ``misc``, if there are two or more of them."""
+    single = labels.groupBy("community").agg(F.count("*").alias("n")).filter("n = 1").select("community", F.lit(True).alias("single"))
+    if single.count() < 2:
+        return labels.select("id", F.col("community").cast("string").alias("community"))
+    return labels.join(single, "community", "left").select("id", F.when(F.col("single"), "misc").otherwise(F.col("community").cast("string")).alias("community"))
 
 
 def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -163,10 +185,9 @@ def processes(edges: DataFrame, entries: DataFrame, max_depth: int = 20, least:
     calls = edges.filter("type = 'CALLS'").select("source", "target").distinct()
     frontier = entries.select(F.col("id").alias("entry"), "id").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
-    checkpoint = bool(edges.sparkSession.sparkContext.getCheckpointDir())
     for depth in range(1, max_depth + 1):
         fresh = frontier.join(calls, F.col("id") == F.col("source")).select("entry", F.col("target").alias("id")).distinct().join(seen.select("entry", "id"), ["entry", "id"], "left_anti")
-        frontier = fresh.checkpoint() if checkpoint else fresh.persist()
+        frontier = settled(fresh)
         if frontier.isEmpty():
             break
         seen = seen.union(frontier.withColumn("depth", F.lit(depth)))
@@ -177,24 +198,76 @@ def processes(edges: DataFrame, entries: DataFrame, max_depth: int = 20, least:
     return kept.join(covered, "entry", "left_anti").select("entry", "id", F.row_number().over(w).alias("step"))
 
 
-def overrides(extends: DataFrame, methods: DataFrame, max_depth: int = 10) -> DataFrame:
+def ancestors(extends: DataFrame) -> DataFrame:
+    """``(child, parent, depth)``: every class above each class, by the fewest steps, however far; (child, parent) may hold cycles.
+
+    A round is one step up from the pairs that the round before found, settled, less the pairs known; it ends when none are new.
+    """
+    up = settled(extends.select("child", "parent").filter("child <> parent").distinct())
+    level, depth = up, 1
+    paths = up.withColumn("depth", F.lit(1))
+    while not level.isEmpty():
+        depth += 1
+        step = level.select("child", F.col("parent").alias("mid")).join(up.select(F.col("child").alias("mid"), "parent"), "mid").select("child", "parent").filter("child <> parent").distinct()
+        level = settled(step.join(paths.select("child", "parent"), ["child", "parent"], "left_anti"))
+        paths = paths.union(level.withColumn("depth", F.lit(depth)))
+    return paths
+
+
+def overrides(extends: DataFrame, methods: DataFrame) -> DataFrame:
     """``(cls, method, overridden)``: the same-named method of the nearest class above, one for each method.
 
     extends: (child, parent); methods: (cls, method). Ties at one distance go to the least class.
     """
-    up = extends.select("child", "parent").distinct()
-    paths = up.withColumn("depth", F.lit(1))
-    level = paths
-    for depth in range(2, max_depth + 1):
-        level = level.select("child", F.col("parent").alias("_mid")).join(up.select(F.col("child").alias("_mid"), "parent"), "_mid").select("child", "parent").distinct().withColumn("depth", F.lit(depth))
-        if level.isEmpty():
-            break
-        paths = paths.union(level)
-    near = paths.groupBy("child", "parent").agg(F.min("depth").alias("depth")).filter("child <> parent")
-    hits = methods.join(near, F.col("cls") == F.col("child")).join(methods.select(F.col("cls").alias("parent"), F.col("method").alias("_m")), "parent").filter("method = _m")
+    hits = methods.join(ancestors(extends), F.col("cls") == F.col("child")).join(methods.select(F.col("cls").alias("parent"), F.col("method").alias("same")), "parent").filter("method = same")
     return hits.groupBy("cls", "method").agg(F.min(F.struct("depth", "parent")).alias("b")).select("cls", "method", F.col("b.parent").alias("overridden"))
 
 
+def method_implements(implements: DataFrame, methods: DataFrame) -> DataFrame:
+    """``(cls, method, interface)``: methods that an interface of the class declares. implements: (child, interface); methods: (cls, method) of both."""
+    of_interface = methods.select(F.col("cls").alias("interface"), "method")
+    return methods.join(implements.select(F.col("child").alias("cls"), "interface").distinct(), "cls").join(of_interface, ["interface", "method"], "left_semi").select("cls", "method", "interface")
+
+
+def symbols_in_ranges(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``(change, id)``: the symbols that lie in changed ranges. nodes: (id, file, start, stop); ranges: (change, file, start, stop)."""
+    spans = nodes.select("file", "id", "start", "stop")
+    return overlapping(ranges.select("file", "change", "start", "stop"), spans, "file").select(F.col("range_change").alias("change"), F.col("span_id").alias("id")).distinct()
+
+
+def impact_of_changes(nodes: DataFrame, edges: DataFrame, ranges: DataFrame, max_depth: int = 3) -> DataFrame:
+    """``(change, symbols, upstream, downstream, routes, risk)`` of each change with symbols in its ranges.
+
+    All symbols are walked at once, each only once however many changes touch it; what several symbols of a change reach counts once.
+    """
+    touched = settled(symbols_in_ranges(nodes, ranges))
+    hits = impact(edges, touched.select("id").distinct(), max_depth)
+    reached = touched.join(hits.select(F.col("seed").alias("id"), F.col("id").alias("hit"), "direction"), "id").select("change", "hit", "direction").distinct()
+    kinds = reached.join(nodes.select(F.col("id").alias("hit"), "type"), "hit", "left")
+    counts = kinds.groupBy("change").agg(F.count_if(F.col("direction") == "up").alias("upstream"), F.count_if(F.col("direction") == "down").alias("downstream"), F.count_distinct(F.when(F.col("type") == "route", F.col("hit"))).alias("routes"))
+    sizes = touched.groupBy("change").agg(F.count("*").alias("symbols"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    rows = sizes.join(counts, "change", "left").select("change", "symbols", zero("upstream"), zero("downstream"), zero("routes"))
+    return rows.withColumn("risk", risk_of_change(F.col("routes"), F.col("upstream") + F.col("downstream")))
+
+
+def compare_versions(base_nodes: DataFrame, base_edges: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
+    """One row ``(added, removed, modified, upstream, downstream, new_upstream, new_downstream, routes, risk)`` of two versions of a graph.
+
+    What added and modified symbols reach in the target is its impact; what modified ones don't reach in the base is new.
+    """
+    changes = settled(version_diff(base_nodes, nodes, ["id"], ["type", "name", "file", "start", "stop"]))
+    seeds = changes.filter("change <> 'removed'").select("id")
+    reach = lambda e, s: impact(e, s, max_depth).select("id", "direction").distinct()
+    after = settled(reach(edges, seeds))
+    before = reach(base_edges, changes.filter("change = 'modified'").select("id")).withColumn("old", F.lit(True))
+    joined = after.join(before, ["id", "direction"], "left").join(nodes.select("id", "type"), "id", "left")
+    up, down, new = F.col("direction") == "up", F.col("direction") == "down", F.col("old").isNull()
+    counts = joined.agg(F.count_if(up).alias("upstream"), F.count_if(down).alias("downstream"), F.count_if(up & new).alias("new_upstream"), F.count_if(down & new).alias("new_downstream"), F.count_distinct(F.when(F.col("type") == "route", F.col("id"))).alias("routes"))
+    kinds = changes.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "modified")])
+    return kinds.crossJoin(counts).withColumn("risk", risk_of_diff(F.col("routes"), F.col("upstream") + F.col("downstream"), F.col("removed"), F.col("added")))  # two rows of one
+
+
 def lint_returns(name: Column, returns: Column) -> Column:
     """What is odd about a return annotation, as a sorted comma-joined list."""
     kinds = [
@@ -208,9 +281,11 @@ def lint_returns(name: Column, returns: Column) -> Column:
 
 
 def rename_preview(files: DataFrame, path: str, text: str, word: str) -> DataFrame:
-    """``(path, line, column)`` of whole-word places of a name, both from 1."""
+    """``(path, line, column)`` of whole-word places of a name, both from 1. All of the name is plain text, whatever its signs."""
+    if "\\E" in word:
+        raise ValueError(f"no name: {word}")
     lines = files.select(F.col(path).alias("path"), F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    pattern = f"(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])"
-    marked = lines.filter(F.col("line").rlike(pattern)).withColumn("parts", F.split("line", pattern))
+    pattern = rf"(?<![A-Za-z0-9_])\Q{word}\E(?![A-Za-z0-9_])"
+    marked = lines.filter(F.rlike("line", F.lit(pattern))).withColumn("parts", F.split("line", pattern))
     ends = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.length(F.array_join(F.slice("parts", 1, i), word)) + 1)
     return marked.select("path", (F.col("n") + 1).alias("line"), F.explode(ends).alias("column"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,12 +27,16 @@ def missing_pairs(left: DataFrame, values: Sequence, name: str, present: DataFra
     return each.join(present, [*left.columns, name], "left_anti")
 
 
-def overlapping(ranges: DataFrame, spans: DataFrame, key: str, bucket: int = 64) -> DataFrame:
+def overlapping(ranges: DataFrame, spans: DataFrame, key: str, bucket: int | None = None) -> DataFrame:
     """Pairs of a range and a span of the same key that overlap; both have start and stop.
 
     Ends are cut into buckets, so that a key with many rows is an equi-join on (key, bucket); a pair
-    that meets in several buckets is kept in the first.
+    that meets in several buckets is kept in the first. A bucket is as wide as the mean length (64 at
+    least), unless given, so that a row falls into two buckets on average, whatever the scale.
     """
+    if bucket is None:
+        long = [df.agg(F.avg(F.col("stop") - F.col("start"))).first()[0] or 0 for df in (ranges, spans)]
+        bucket = max(64, math.ceil(max(long)))
 
     def cut(df: DataFrame, prefix: str) -> DataFrame:
         buckets = F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("stop") / bucket)))
@@ -75,6 +80,64 @@ def first_candidate(rows: DataFrame, key: str, candidates: Column, existing: Dat
     return rows.join(best, key, "left")
 
 
+#: Endings and index files that a module's name may stand for, in the order they are tried.
+ENDINGS = ("", ".py", ".pyi", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".mts", ".cts")
+INDEX_FILES = ("/__init__.py", "/index.js", "/index.jsx", "/index.ts", "/index.tsx", "/index.mjs")
+
+
+def module_files(module: Column) -> Column:
+    """The files that a module may mean, in the order they are tried."""
+    return F.array(*[F.concat(module, F.lit(e)) for e in (*ENDINGS, *INDEX_FILES)])
+
+
+#: How sure each rule of ``resolve_calls`` is.
+CONFIDENCE = {1: "high", 2: "high", 3: "medium", 4: "high", 5: "high", 6: "medium", 7: "low"}
+
+
+def resolve_calls(calls: DataFrame, symbols: DataFrame, locals_: DataFrame, imports: DataFrame) -> DataFrame:
+    """Calls with ``(rule, symbol, confidence)`` of the first rule that finds a symbol; nulls where none does.
+
+    calls: (id, file, cls, scope, name); cls: the class around the call. symbols: (kind, file, owner, name), kind class, func or
+    method. locals_: (file, variable, type as file::Class). imports: (file, alias, target). Rules: 1 a method of the same class,
+    by self or cls, and nothing else for those; 2 a method of a local variable's class; 3 an imported class, function or method;
+    4 a function of the file; 5 a method of a class of the file; 6 what an imported name holds; 7 the least function or method
+    of that name anywhere.
+
+    Rules name symbols by id, so all but the last are one look-up of each call's candidates; the last joins one row per name.
+    """
+    scoped = F.when(F.col("owner").isNull(), F.col("name")).otherwise(F.concat_ws(".", "owner", "name"))
+    ids = symbols.select(F.concat(F.col("kind"), F.lit("://"), F.col("file"), F.lit("::"), scoped).alias("symbol"), "kind", "name").distinct()
+    types = locals_.groupBy("file", F.col("variable").alias("scope")).agg(F.min("type").alias("type"))
+    targets = imports.groupBy("file", F.col("alias").alias("said")).agg(F.min("target").alias("target"))
+    anywhere = ids.filter("kind <> 'class'").groupBy("name").agg(F.min("symbol").alias("least"))
+    rows = calls.withColumn("said", F.coalesce("scope", "name")).join(types, ["file", "scope"], "left").join(targets, ["file", "said"], "left").join(anywhere, "name", "left")
+    own, plain = F.col("scope").isin("self", "cls"), F.col("scope").isNull()
+    other = ~own & ~plain
+    named = lambda kind, file, *more: F.concat(F.lit(f"{kind}://"), file, F.lit("::"), *more)
+    file, target, name, scope, dot = F.col("file"), F.col("target"), F.col("name"), F.col("scope"), F.lit(".")
+    none = F.lit(None).cast("string")
+    tried = [
+        (11, own, named("method", file, F.col("cls"), dot, name), none),
+        (21, other, F.concat(F.lit("method://"), F.col("type"), dot, name), none),
+        *[(31 + i, plain, named(kind, target, name), none) for i, kind in enumerate(("class", "func", "method"))],
+        (41, plain, named("func", file, name), none),
+        (51, other, named("method", file, scope, dot, name), named("class", file, scope)),
+        (61, other, named("method", target, name), none),
+        (62, other, named("method", target, scope, dot, name), named("class", target, scope)),
+        (63, other, named("func", target, name), none),
+        (71, ~own | plain, F.col("least"), none),
+    ]
+    array = F.array_compact(F.array(*[F.when(F.coalesce(fits, F.lit(False)) & symbol.isNotNull(), F.struct(F.lit(place).alias("place"), symbol.alias("symbol"), needs.alias("needs"))) for place, fits, symbol, needs in tried]))
+    each = rows.select("id", F.explode(array).alias("c")).select("id", "c.*")
+    known = ids.select("symbol")
+    hits = each.join(known, "symbol", "left_semi")
+    with_class = hits.filter("needs is not null").join(known.withColumnRenamed("symbol", "needs"), "needs", "left_semi").select("id", "place", "symbol")
+    best = hits.filter("needs is null").select("id", "place", "symbol").union(with_class).groupBy("id").agg(F.min(F.struct("place", "symbol")).alias("b"))
+    rule = F.floor(F.col("b.place") / 10)
+    sure = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), rule.cast("int"))
+    return calls.join(best.select("id", rule.alias("rule"), F.col("b.symbol").alias("symbol"), sure.alias("confidence")), "id", "left")
+
+
 def induced(edges: DataFrame, nodes: DataFrame, node: str, source: str = "source", target: str = "target") -> DataFrame:
     """Edges with both ends among the nodes."""
     ids = nodes.select(F.col(node).alias("_n")).distinct()

@@ -6,16 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators.rounds import settled
+
+
+def _filled(text: Column, hole: str, values: Column) -> Column:
+    """Each hole of a text replaced by the value of the name in it, once; unknown and null ones stay."""
+    tokens = F.regexp_extract_all(text, F.lit(rf"{hole}|[^{{]+|\{{"), F.lit(0))
+    name = lambda t: F.regexp_extract(t, f"^{hole}$", 1)
+    return F.array_join(F.transform(tokens, lambda t: F.when(name(t) != "", F.coalesce(F.try_element_at(values, name(t)), t)).otherwise(t)), "")
+
 
 def substitute(text: Column, variables: Column) -> Column:
-    """``{{name}}`` replaced by the value of a map; unknown names stay, a dotted name is one key."""
-    entries = F.filter(F.map_entries(variables), lambda e: e["value"].isNotNull())
-    return F.aggregate(entries, text, lambda t, e: F.replace(t, F.concat(F.lit("{{"), e["key"], F.lit("}}")), e["value"]))
+    """``{{name}}`` replaced by the value of a map; unknown names stay, a dotted name is one key. What a value holds is not replaced again."""
+    return _filled(text, r"\{\{(\w+(?:\.\w+)*)\}\}", variables)
 
 
 def path_parameters(path: Column, values: Column) -> Column:
     """``{id}`` of a path replaced by the value of a map."""
-    return F.aggregate(F.map_entries(values), path, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
+    return _filled(path, r"\{(\w+)\}", values)
 
 
 def mapped(source: Column, previous: Column, path: Column, variables: Column, static: Column) -> Column:
@@ -76,36 +84,126 @@ def stopped(steps: DataFrame, run: str = "run_id", order: str = "step_order") ->
     return joined.withColumn("status", F.when(F.col(order) > F.col("_stop"), "skipped").otherwise(F.col("status"))).drop("_stop")
 
 
+#: Words in a step's name that suggest an HTTP method, in the order they are tried.
+METHOD_WORDS = {"POST": ("创建", "新建", "添加", "create", "add", "new"), "GET": ("获取", "查询", "get", "fetch", "list"), "PUT": ("更新", "修改", "update", "edit", "modify"), "DELETE": ("删除", "delete", "remove")}
+
+
 def method_of(name: Column) -> Column:
-    """The HTTP method that a step's name suggests, in English or Chinese; GET by default."""
-    words = {"DELETE": "delete|remove|删除", "PUT": "update|modify|edit|更新|修改", "POST": "create|add|login|submit|register|创建|新增|登录|提交", "GET": "get|query|list|fetch|查询|获取"}
-    out = None
-    for method, pattern in words.items():
-        hit = name.rlike(f"(?i){pattern}")
-        out = F.when(hit, method) if out is None else out.when(hit, method)
-    return out.otherwise("GET")
+    """The HTTP method that a step's name suggests, in English or Chinese, as it is written; POST by default."""
+    out = F.when(F.lit(False), "")
+    for method, words in METHOD_WORDS.items():
+        out = out.when(F.rlike(F.coalesce(name, F.lit("")), F.lit("|".join(words))), method)
+    return out.otherwise("POST")
+
+
+def endpoint_of(test_name: Column) -> Column:
+    """The struct (endpoint, method) of a test's name such as ``GET /users``; without a method the whole name, and GET."""
+    pattern = r"^(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+(.+)$"
+    named = F.rlike(test_name, F.lit(pattern))
+    return F.struct(F.when(named, F.regexp_extract(test_name, pattern, 2)).otherwise(test_name).alias("endpoint"), F.when(named, F.regexp_extract(test_name, pattern, 1)).otherwise("GET").alias("method"))
+
+
+def resolved(method: Column, path: Column, parameters: Column, override: Column, headers: Column, mappings: Column, variables: Column) -> Column:
+    """A request as the struct (method, url, params, headers, body) from an endpoint and its step.
+
+    parameters: the endpoint's, as structs (place, name, default), place query or header. override: a struct (method, url, params,
+    body), nulls where nothing is overridden. headers: a map laid over the endpoint's. mappings: a map from ``params.x``,
+    ``headers.x`` or ``body`` to values, laid over all. Variables are filled in last.
+    """
+    of = lambda place: F.map_from_entries(F.transform(F.filter(parameters, lambda p: p["place"] == place), lambda p: F.struct(p["name"], p["default"])))
+    under = lambda prefix: F.transform_keys(F.map_filter(mappings, lambda k, _: F.startswith(k, F.lit(prefix))), lambda k, _: F.substr(k, F.lit(len(prefix) + 1)))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    fill = lambda m: F.transform_values(m, lambda _, v: substitute(v, variables))
+    return F.struct(
+        F.coalesce(override["method"], method, F.lit("POST")).alias("method"),
+        substitute(F.coalesce(override["url"], path, F.lit("/")), variables).alias("url"),
+        fill(laid_over(laid_over(of("query"), F.coalesce(override["params"], empty)), under("params."))).alias("params"),
+        fill(laid_over(laid_over(of("header"), F.coalesce(headers, empty)), under("headers."))).alias("headers"),
+        substitute(F.coalesce(F.try_element_at(mappings, F.lit("body")), override["body"]), variables).alias("body"),
+    )
+
+
+def laid_over(below: Column, above: Column) -> Column:
+    """A map with the entries of another over its own."""
+    return F.map_concat(F.map_filter(below, lambda k, _: ~F.map_contains_key(above, k)), above)
+
+
+def set_nested(json_: Column, path: Sequence[str], value: Column) -> Column:
+    """A JSON object with a value at a path of keys; objects on the way are made where they are missing or no objects.
+
+    Built from the inside: each level is the object's other keys and the one that changes, so keys come in order.
+    """
+    if not path:
+        return value
+    now = F.from_json(json_, "map<string,variant>")
+    inner = set_nested(F.coalesce(F.to_json(F.try_element_at(now, F.lit(path[0]))), F.lit("{}")), path[1:], value)
+    rest = F.coalesce(F.map_filter(now, lambda k, _: k != path[0]), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")))
+    return F.to_json(F.try_parse_json(F.to_json(F.map_concat(rest, F.create_map(F.lit(path[0]), F.try_parse_json(inner))))))
+
+
+_SUITES = "$.suites"
+
+
+def _parts(value: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(value, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _text(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "string")
 
 
-def flatten_reports(reports: DataFrame, id_col: str, json_col: str, max_depth: int = 16) -> DataFrame:
-    """``(id, path, title, project, status, duration)``: a row per result of a nested report.
+def suites_of(reports: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """``(id, path, file, suite)``: every suite of nested reports, however deep; path joins titles with ' > '.
 
-    A suite holds specs and suites; each round takes the suites of one depth, as variants, so nothing
-    is assumed of how deep they go. A suite's path joins titles with ' > '.
+    A report is parsed once. Each round takes the suites inside those of the round before, which are settled, until there are none.
     """
-    parts = lambda v, p: F.coalesce(F.try_variant_get(v, p, "array<variant>"), F.array().cast("array<variant>"))
-    text = lambda v, p: F.try_variant_get(v, p, "string")
-    level = reports.select(F.col(id_col).alias("id"), F.lit("").alias("up"), F.explode(parts(F.try_parse_json(json_col), "$.suites")).alias("suite"))
-    suites = None
-    for _ in range(max_depth):
-        here = level.withColumn("path", F.when(F.col("up") == "", F.coalesce(text(F.col("suite"), "$.title"), F.lit(""))).otherwise(F.concat("up", F.lit(" > "), F.coalesce(text(F.col("suite"), "$.title"), F.lit("")))))
-        suites = here.select("id", "path", "suite") if suites is None else suites.union(here.select("id", "path", "suite"))
-        level = here.select("id", F.col("path").alias("up"), F.explode(parts(F.col("suite"), "$.suites")).alias("suite"))
-        if level.isEmpty():
-            break
-    specs = suites.select("id", "path", F.explode(parts(F.col("suite"), "$.specs")).alias("spec"))
-    tests = specs.select("id", "path", text(F.col("spec"), "$.title").alias("title"), F.explode(parts(F.col("spec"), "$.tests")).alias("test"))
-    results = tests.select("id", "path", "title", text(F.col("test"), "$.projectName").alias("project"), F.explode(parts(F.col("test"), "$.results")).alias("r"))
-    return results.select("id", "path", "title", "project", text(F.col("r"), "$.status").alias("status"), F.try_variant_get("r", "$.duration", "double").alias("duration"))
+    level = reports.select(F.col(id_col).alias("id"), F.lit("").alias("up"), F.explode(_parts(F.try_parse_json(json_col), _SUITES)).alias("suite"))
+    found = None
+    while True:
+        title = F.coalesce(_text(F.col("suite"), "$.title"), F.lit(""))
+        path = F.when(F.col("up") == "", title).when(title == "", F.col("up")).otherwise(F.concat("up", F.lit(" > "), title))
+        here = settled(level.select("id", path.alias("path"), F.coalesce(_text(F.col("suite"), "$.file"), F.lit("")).alias("file"), "suite"))
+        if here.isEmpty():
+            return found if found is not None else here
+        found = here if found is None else found.union(here)
+        level = here.select("id", F.col("path").alias("up"), F.explode(_parts(F.col("suite"), _SUITES)).alias("suite"))
+
+
+def _tests(suites: DataFrame) -> DataFrame:
+    """``(id, path, file, title, ok, test)`` of suites."""
+    specs = suites.select("id", "path", "file", F.explode(_parts(F.col("suite"), "$.specs")).alias("spec"))
+    return specs.select("id", "path", "file", _text(F.col("spec"), "$.title").alias("title"), F.try_variant_get("spec", "$.ok", "boolean").alias("ok"), F.explode(_parts(F.col("spec"), "$.tests")).alias("test"))
+
+
+def flatten_reports(reports: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """``(id, path, title, project, status, duration, expected, ok, error)``: a row per result of a nested report of any depth."""
+    tests = _tests(suites_of(reports, id_col, json_col))
+    results = tests.withColumn("r", F.explode(_parts(F.col("test"), "$.results")))
+    r, t = F.col("r"), F.col("test")
+    error = F.coalesce(_text(r, "$.errors[0].message"), _text(r, "$.errors[0]"), _text(r, "$.errors.message"), _text(r, "$.error[0].message"), _text(r, "$.error.message"))
+    return results.select(
+        "id", "path", "title", F.coalesce(_text(t, "$.projectName"), F.lit("default")).alias("project"), F.coalesce(_text(r, "$.status"), F.lit("unknown")).alias("status"),
+        F.coalesce(F.try_variant_get(r, "$.duration", "double"), F.lit(0.0)).alias("duration"), F.coalesce(_text(t, "$.expectedStatus"), F.lit("passed")).alias("expected"), F.coalesce("ok", F.lit(True)).alias("ok"), error.alias("error"),
+    )
+
+
+def tests_of_reports(reports: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """``(id, name, file, project, status, expected, ok, duration, error)``: a row per test of a nested report, by its first result."""
+    tests = _tests(suites_of(reports, id_col, json_col))
+    t = F.col("test")
+    none = F.size(_parts(t, "$.results")) == 0
+    status = _text(t, "$.results[0].status")
+    ok = F.when(none, True).otherwise(F.coalesce(F.try_variant_get(t, "$.ok", "boolean"), status == "expected", F.lit(False)))
+    return tests.select(
+        "id", F.coalesce("title", F.lit("")).alias("name"), "file", F.coalesce(_text(t, "$.projectName"), F.lit("")).alias("project"), F.coalesce(status, _text(t, "$.status"), F.lit("unknown")).alias("status"),
+        F.coalesce(_text(t, "$.expectedStatus"), F.lit("passed")).alias("expected"), ok.alias("ok"), F.coalesce(F.try_variant_get(t, "$.results[0].duration", "double"), F.lit(0.0)).alias("duration"), _text(t, "$.results[0].error.message").alias("error"),
+    )
+
+
+def top_tests(reports: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """``(id, name, passed)``: a row per test of the outermost suites; a test passes if it says ``ok``."""
+    suites = reports.select(F.col(id_col).alias("id"), F.lit("").alias("path"), F.lit("").alias("file"), F.explode(_parts(F.try_parse_json(json_col), _SUITES)).alias("suite"))
+    return _tests(suites).select("id", F.coalesce(_text(F.col("test"), "$.title"), F.lit("")).alias("name"), F.coalesce(F.try_variant_get("test", "$.ok", "boolean"), F.lit(False)).alias("passed"))
 
 
 def result_lines(logs: DataFrame, id_col: str, text_col: str, keep: int = 10) -> DataFrame:

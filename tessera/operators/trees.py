@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.operators.rounds import settled
+
 
 def closure(tree: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 64) -> DataFrame:
     """``(ancestor, id, depth)`` of every node with itself and each node above it.
 
     Pointers double: in each round the known paths are joined end to end, so a tree of depth d
-    takes about log2(d) joins. Raises if a cycle, or a path longer than max_depth, is found.
+    takes about log2(d) joins; each round is settled before the next. Raises if a cycle, or a path longer than max_depth, is found.
     """
     edges = tree.filter(F.col(parent_col).isNotNull()).select(F.col(parent_col).alias("ancestor"), F.col(id_col).alias("id"))
     edges = edges.join(tree.select(F.col(id_col).alias("ancestor")), "ancestor", "left_semi")
-    paths, reach = edges.withColumn("depth", F.lit(1)), 1
+    paths, reach = settled(edges.withColumn("depth", F.lit(1))), 1
     while True:
         step = paths.filter(F.col("depth") == reach).select(F.col("ancestor").alias("top"), F.col("id").alias("ancestor"), F.col("depth").alias("above"))
         if step.isEmpty():
@@ -21,7 +23,7 @@ def closure(tree: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
         if reach >= max_depth:
             raise ValueError(f"a cycle, or a path of more than {max_depth} edges")
         longer = paths.join(step, "ancestor").select(F.col("top").alias("ancestor"), "id", (F.col("depth") + F.col("above")).alias("depth"))
-        paths, reach = paths.union(longer).checkpoint() if reach >= 8 else paths.union(longer), reach * 2
+        paths, reach = paths.union(settled(longer)), reach * 2
     own = tree.select(F.col(id_col).alias("ancestor"), F.col(id_col).alias("id"), F.lit(0).alias("depth"))
     return own.union(paths)
 

@@ -99,9 +99,14 @@ def degradation_level(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", D.level(F.col("s_acctbal") > 0, F.col("s_nationkey") > 5).alias("level"))
 
 
-@query("redact", "SELECT event_id, '{\"Authorization\": \"***\", \"data\": {\"accessToken\": \"***\", \"name\": \"' || event_type || '\", \"phone\": \"***\"}, \"k\": ' || json_extract_string(props, '$.k') || '}' AS request FROM events")
+@query("redact", """
+SELECT event_id, '{"Authorization": "***", "data": {"accessToken": "***", "name": "' || event_type || '", "phone": "***", "list": [{"ssn": "***"}, {"note": "token"}]}, ' ||
+  CASE event_id % 3 WHEN 0 THEN '"password": "***", ' WHEN 1 THEN '"creditCard": "***", "x-auth-token": "***", ' ELSE '"idCard" : "***", ' END || '"k": ' || json_extract_string(props, '$.k') || '}' AS request FROM events""")
 def redact(spark, sf_dir):
-    request = F.format_string('{"Authorization": "Bearer %s", "data": {"accessToken": "a\\"b%d", "name": "%s", "phone": %d}, "k": %s}', "event_type", "event_id", "event_type", "user_id", F.get_json_object("props", "$.k"))
+    """Secrets as scalars, objects and lists, at the top, in objects and in lists."""
+    more = F.when(F.col("event_id") % 3 == 0, '"password": ["p1", {"secret": "p2}"}], ').when(F.col("event_id") % 3 == 1, '"creditCard": {"number": {"value": "4111]"}}, "x-auth-token": true, ').otherwise('"idCard" : [], ')
+    start = F.format_string('{"Authorization": "Bearer %s", "data": {"accessToken": "a\\"b%d", "name": "%s", "phone": %d, "list": [{"ssn": {"a": 1}}, {"note": "token"}]}, ', "event_type", "event_id", "event_type", "user_id")
+    request = F.concat(start, more, F.lit('"k": '), F.get_json_object("props", "$.k"), F.lit("}"))
     return table(spark, sf_dir, "events").select("event_id", D.redact_json(request).alias("request"))
 
 

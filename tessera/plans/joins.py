@@ -98,10 +98,10 @@ def version_diff(spark, sf_dir):
     return J.version_diff(version("<"), version(">="), ["id"], ["p", "s"])
 
 
-@query("anti_join", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("anti_join", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def anti_join(spark, sf_dir):
-    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part").join(returned, "p_partkey", "left_anti").select("p_partkey")
+    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(returned, "o_orderkey", "left_anti").select("o_orderkey")
 
 
 @query("induced_subgraph", "SELECT DISTINCT l_suppkey AS source, l_partkey AS target FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)")
@@ -121,18 +121,45 @@ def substring_membership_join(spark, sf_dir):
     return methods.join(classes, "file").filter(F.col("node").contains(F.concat(F.lit("::"), F.col("cls"), F.lit(".")))).select("id", "cls")
 
 
-@query("priority_cascade_join", """
-WITH calls AS (SELECT s_suppkey AS id, s_nationkey AS nation, s_suppkey % 5 AS seg FROM supplier),
-a AS (SELECT c_nationkey AS nation, c_custkey % 5 AS seg, c_custkey AS hit FROM customer WHERE c_acctbal > 9000), b AS (SELECT c_nationkey AS nation, c_custkey AS hit FROM customer WHERE c_acctbal > 9500), c AS (SELECT c_custkey % 5 AS seg, c_custkey AS hit FROM customer WHERE c_acctbal > 9900),
-hits AS (SELECT id, 1 AS rule, hit FROM calls JOIN a USING (nation, seg) UNION ALL SELECT id, 2, hit FROM calls JOIN b USING (nation) UNION ALL SELECT id, 3, hit FROM calls JOIN c USING (seg)),
-best AS (SELECT id, rule, hit, row_number() OVER (PARTITION BY id ORDER BY rule, hit) AS r FROM hits)
-SELECT calls.id, rule, hit FROM calls LEFT JOIN best ON calls.id = best.id AND r = 1""")
+_FILE = "'f' || ({} % 50) || '.py'"
+
+
+@query("priority_cascade_join", f"""
+WITH calls AS (SELECT o_orderkey AS id, {_FILE.format("o_custkey")} AS file, 'C' || (o_custkey % 7) AS cls, 'n' || (o_orderkey % 90) AS name,
+  CASE o_orderkey % 6 WHEN 0 THEN 'self' WHEN 1 THEN 'v' || (o_orderkey % 10) WHEN 3 THEN 'C' || (o_orderkey % 7) WHEN 4 THEN 'm' || (o_orderkey % 10) END AS scope FROM orders),
+symbols AS (SELECT DISTINCT kind || '://' || file || '::' || CASE kind WHEN 'class' THEN cls WHEN 'func' THEN name ELSE CASE WHEN free THEN name ELSE cls || '.' || name END END AS id, kind, CASE kind WHEN 'class' THEN cls ELSE name END AS name
+  FROM (SELECT CASE p_size % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'func' ELSE 'method' END AS kind, {_FILE.format("p_partkey")} AS file, 'C' || (p_partkey % 7) AS cls, 'n' || (p_partkey % 40) AS name, p_size % 5 = 0 AS free FROM part)),
+locals AS (SELECT {_FILE.format("s_suppkey")} AS file, 'v' || (s_suppkey % 10) AS variable, min(CASE WHEN s_suppkey % 3 = 0 THEN {_FILE.format("(s_suppkey + 1)")} ELSE {_FILE.format("s_suppkey")} END || '::C' || (s_nationkey % 7)) AS type FROM supplier GROUP BY 1, 2),
+imports AS (SELECT {_FILE.format("c_custkey")} AS file, CASE WHEN c_custkey % 2 = 0 THEN 'm' || (c_custkey % 10) ELSE 'n' || (c_custkey % 40) END AS alias, min({_FILE.format("c_nationkey")}) AS target FROM customer GROUP BY 1, 2),
+found AS (SELECT c.*, type, target FROM calls c LEFT JOIN locals l ON l.file = c.file AND l.variable = c.scope LEFT JOIN imports i ON i.file = c.file AND i.alias = coalesce(c.scope, c.name)),
+candidates AS (
+  SELECT id, 11 AS place, 'method://' || file || '::' || cls || '.' || name AS symbol FROM found WHERE scope = 'self'
+  UNION ALL SELECT id, 21, 'method://' || type || '.' || name FROM found WHERE type IS NOT NULL
+  UNION ALL SELECT id, 31, 'class://' || target || '::' || name FROM found WHERE scope IS NULL AND target IS NOT NULL
+  UNION ALL SELECT id, 32, 'func://' || target || '::' || name FROM found WHERE scope IS NULL AND target IS NOT NULL
+  UNION ALL SELECT id, 33, 'method://' || target || '::' || name FROM found WHERE scope IS NULL AND target IS NOT NULL
+  UNION ALL SELECT id, 41, 'func://' || file || '::' || name FROM found WHERE scope IS NULL
+  UNION ALL SELECT id, 51, 'method://' || file || '::' || scope || '.' || name FROM found WHERE scope <> 'self' AND 'class://' || file || '::' || scope IN (SELECT id FROM symbols)
+  UNION ALL SELECT id, 61, 'method://' || target || '::' || name FROM found WHERE scope <> 'self' AND target IS NOT NULL
+  UNION ALL SELECT id, 62, 'method://' || target || '::' || scope || '.' || name FROM found WHERE scope <> 'self' AND target IS NOT NULL AND 'class://' || target || '::' || scope IN (SELECT id FROM symbols)
+  UNION ALL SELECT id, 63, 'func://' || target || '::' || name FROM found WHERE scope <> 'self' AND target IS NOT NULL
+  UNION ALL SELECT f.id, 71, s.id FROM found f JOIN (SELECT name, min(id) AS id FROM symbols WHERE kind <> 'class' GROUP BY 1) s USING (name) WHERE scope IS DISTINCT FROM 'self'),
+best AS (SELECT id, min(place) AS place, arg_min(symbol, place) AS symbol FROM candidates WHERE symbol IN (SELECT id FROM symbols) GROUP BY 1)
+SELECT c.id, place // 10 AS rule, symbol, CASE WHEN place // 10 IN (1, 2, 4, 5) THEN 'high' WHEN place // 10 IN (3, 6) THEN 'medium' WHEN place // 10 = 7 THEN 'low' END AS confidence FROM calls c LEFT JOIN best b ON b.id = c.id""")
 def priority_cascade_join(spark, sf_dir):
-    """Call to symbol: same place and name, then place, then name."""
-    calls = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 5).alias("seg"))
-    symbols = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 5).alias("seg"), F.col("c_custkey").alias("sym"), "c_acctbal")
-    rules = [(1, symbols.filter("c_acctbal > 9000"), ["nation", "seg"], "sym"), (2, symbols.filter("c_acctbal > 9500"), ["nation"], "sym"), (3, symbols.filter("c_acctbal > 9900"), ["seg"], "sym")]
-    return J.first_rule(calls, ["id"], rules, "hit").select("id", "rule", "hit")
+    """Calls resolved to symbols by seven rules in order, over calls, symbols, local types and imports made of whole tables."""
+    file = lambda c: F.concat(F.lit("f"), (c % 50).cast("string"), F.lit(".py"))
+    tag = lambda p, c, n: F.concat(F.lit(p), (c % n).cast("string"))
+    o, p, s, c = F.col("o_orderkey"), F.col("p_partkey"), F.col("s_suppkey"), F.col("c_custkey")
+    scope = F.when(o % 6 == 0, "self").when(o % 6 == 1, tag("v", o, 10)).when(o % 6 == 3, tag("C", o, 7)).when(o % 6 == 4, tag("m", o, 10))
+    calls = table(spark, sf_dir, "orders").select(o.alias("id"), file(F.col("o_custkey")).alias("file"), tag("C", F.col("o_custkey"), 7).alias("cls"), scope.alias("scope"), tag("n", o, 90).alias("name"))
+    kind = F.when(F.col("p_size") % 3 == 0, "class").when(F.col("p_size") % 3 == 1, "func").otherwise("method")
+    owner = F.when((kind == "method") & (F.col("p_size") % 5 != 0), tag("C", p, 7))
+    symbols = table(spark, sf_dir, "part").select(kind.alias("kind"), file(p).alias("file"), owner.alias("owner"), F.when(kind == "class", tag("C", p, 7)).otherwise(tag("n", p, 40)).alias("name"))
+    type_ = F.concat(F.when(s % 3 == 0, file(s + 1)).otherwise(file(s)), F.lit("::"), tag("C", F.col("s_nationkey"), 7))
+    locals_ = table(spark, sf_dir, "supplier").select(file(s).alias("file"), tag("v", s, 10).alias("variable"), type_.alias("type"))
+    imports = table(spark, sf_dir, "customer").select(file(c).alias("file"), F.when(c % 2 == 0, tag("m", c, 10)).otherwise(tag("n", c, 40)).alias("alias"), file(F.col("c_nationkey")).alias("target"))
+    return J.resolve_calls(calls, symbols, locals_, imports).select("id", "rule", "symbol", "confidence")
 
 
 @query("dangling_edges_removed", "SELECT l_orderkey, count(*) AS edges FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 40) GROUP BY 1")
@@ -143,26 +170,27 @@ def dangling_edges_removed(spark, sf_dir):
     return edges.groupBy("l_orderkey").agg(F.count("*").alias("edges"))
 
 
-@query("import_resolution", """
-WITH m AS (SELECT s_suppkey AS id, ['part' || (s_suppkey * 7) || '.py', 'part' || (s_suppkey * 3) || '.ts', 'part' || s_suppkey || '/index.js'] AS c FROM supplier),
-files AS (SELECT 'part' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '/index.js' END AS path FROM part),
-hits AS (SELECT id, i, c[i] AS path FROM m, range(1, 4) t(i) WHERE c[i] IN (SELECT path FROM files))
-SELECT m.id, arg_min(path, i) AS path FROM m LEFT JOIN hits USING (id) GROUP BY m.id""")
+_ENDINGS = ", ".join(f"'{e}'" for e in (*J.ENDINGS, *J.INDEX_FILES))
+
+
+@query("import_resolution", f"""
+WITH ends AS (SELECT unnest([{_ENDINGS}]) AS e, unnest(range(1, {len(J.ENDINGS) + len(J.INDEX_FILES) + 1})) AS i),
+m AS (SELECT s_suppkey AS id, 'part' || (s_suppkey * 7 % 2500) AS module FROM supplier),
+files AS (SELECT DISTINCT 'part' || (p_partkey % 2000) || e AS path FROM part JOIN ends ON i = 1 + p_partkey % {len(J.ENDINGS) + len(J.INDEX_FILES)})
+SELECT m.id, arg_min(module || e, i) FILTER (WHERE path IS NOT NULL) AS path FROM m CROSS JOIN ends LEFT JOIN files ON path = module || e GROUP BY m.id""")
 def import_resolution(spark, sf_dir):
-    """The first of the file names that a module may mean which exists."""
-    name = lambda c, end: F.concat(F.lit("part"), c.cast("string"), F.lit(end))
-    key = F.col("id")
-    modules = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
-    end = F.when(F.col("p_partkey") % 3 == 0, ".py").when(F.col("p_partkey") % 3 == 1, ".ts").otherwise("/index.js")
-    files = table(spark, sf_dir, "part").select(F.concat(F.lit("part"), F.col("p_partkey").cast("string"), end).alias("path"))
-    return J.first_candidate(modules, "id", F.array(name(key * 7, ".py"), name(key * 3, ".ts"), name(key, "/index.js")), files, "path")
+    """The first of the files that a module may mean which exists."""
+    modules = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("part"), (F.col("s_suppkey") * 7 % 2500).cast("string")).alias("module"))
+    ends = F.array(*map(F.lit, (*J.ENDINGS, *J.INDEX_FILES)))
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("part"), (F.col("p_partkey") % 2000).cast("string"), F.element_at(ends, (1 + F.col("p_partkey") % F.size(ends)).cast("int"))).alias("path"))
+    return J.first_candidate(modules, "id", J.module_files(F.col("module")), files, "path").select("id", "path")
 
 
 @query("dependency_check", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN o_orderkey IS NULL THEN 'missing source step' WHEN o_orderstatus = 'P' THEN 'source not finished' ELSE 'ok' END AS verdict
-FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) ON l_orderkey = o_orderkey WHERE l_quantity > 45""")
+FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) ON l_orderkey = o_orderkey""")
 def dependency_check(spark, sf_dir):
     steps = table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus")
     verdict = F.when(F.col("o_orderkey").isNull(), "missing source step").when(F.col("o_orderstatus") == "P", "source not finished").otherwise("ok")
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
+    lines = table(spark, sf_dir, "lineitem")
     return lines.join(steps, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", verdict.alias("verdict"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import changes as C, graph as G, joins as J, scenario as S
 from tessera.operators.predicates import page
-from tessera.plans.graph import _EDGES, _edges, _nodes
+from tessera.plans.graph import _EDGES, _NODES, _edges, _nodes
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -40,26 +40,27 @@ def version_resolution(spark, sf_dir):
 
 
 @query("graph_sample", f"""
-WITH {_EDGES}, n AS (SELECT 's:' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p:' || p_partkey FROM part UNION ALL SELECT 'n:' || n_nationkey FROM nation), s AS (SELECT id FROM n ORDER BY id DESC LIMIT 200)
+WITH {_EDGES}, {_NODES}, s AS (SELECT id FROM nodes ORDER BY start, id LIMIT 200)
 SELECT source, target, type FROM edges WHERE source IN (SELECT id FROM s) AND target IN (SELECT id FROM s)""")
 def graph_sample(spark, sf_dir):
     """The edges inside a sample of nodes for display; none dangles."""
-    sample = _nodes(spark, sf_dir).select("id").orderBy(F.desc("id")).limit(200)
+    sample = _nodes(spark, sf_dir).orderBy("start", "id").limit(200).select("id")
     return J.induced(_edges(spark, sf_dir), sample, "id")
 
 
 @query("route_impact", f"""
-WITH {_EDGES}, r AS (SELECT 's:' || s_suppkey AS id, s_nationkey FROM supplier WHERE s_name ILIKE '%7%'), t AS (SELECT r.id, target AS other FROM edges JOIN r ON source = r.id UNION SELECT r.id, source FROM edges JOIN r ON target = r.id),
-near AS (SELECT r.id, count(*) AS handlers FROM r JOIN supplier s ON s.s_nationkey = r.s_nationkey AND 's:' || s.s_suppkey <> r.id GROUP BY 1)
+WITH {_EDGES}, {_NODES}, r AS (SELECT id, file FROM nodes WHERE type = 'route' AND name ILIKE '%7%'), t AS (SELECT r.id, target AS other FROM edges JOIN r ON source = r.id UNION SELECT r.id, source FROM edges JOIN r ON target = r.id),
+near AS (SELECT r.id, count(*) AS handlers FROM r JOIN nodes s ON s.file ILIKE r.file || '%' AND s.type = 'function' GROUP BY 1)
 SELECT r.id, (SELECT count(*) FROM t WHERE t.id = r.id) AS touching, coalesce(any_value(handlers), 0) AS handlers FROM r LEFT JOIN near USING (id) GROUP BY r.id""")
 def route_impact(spark, sf_dir):
-    """Routes by name, the nodes their edges touch and the handlers of the same folder."""
+    """Routes by name, the nodes their edges touch and the handlers whose file begins with the route's folder."""
     nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir)
-    functions = nodes.filter("id like 's:%'").select("id", "file")
-    found = functions.join(nodes.filter(F.col("name").ilike("%7%")).select("id"), "id", "left_semi")
+    found = nodes.filter((F.col("type") == "route") & F.col("name").ilike("%7%")).select("id", "file")
     both = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).union(edges.select("target", "source"))
     touching = both.join(found.select("id"), "id", "left_semi").distinct().groupBy("id").agg(F.count("*").alias("touching"))
-    sizes = functions.groupBy("file").agg((F.count("*") - 1).alias("handlers"))
+    files = nodes.filter("type = 'function'").groupBy(F.col("file").alias("of")).agg(F.count("*").alias("n"))
+    folders = found.select("file").distinct()
+    sizes = folders.join(files, F.lower("of").startswith(F.lower("file"))).groupBy("file").agg(F.sum("n").alias("handlers"))  # folders of routes with files
     return found.join(touching, "id", "left").join(sizes, "file", "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("touching", "handlers")])
 
 
@@ -78,13 +79,26 @@ def incremental_plan(spark, sf_dir):
 
 
 @query("request_resolution", """
-SELECT o_orderkey, 'POST /customers/' || o_custkey || '/orders' AS line, '{"id":' || o_orderkey || ',"note":"for ' || o_orderpriority || '"}' AS body FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 'PUT' WHEN o_orderstatus = 'P' THEN 'GET' ELSE 'POST' END || ' /customers/' || o_custkey || '/orders' AS line,
+  'limit=' || CASE WHEN o_orderkey % 3 = 0 THEN '5' ELSE '20' END || CASE WHEN o_orderkey % 5 = 0 THEN '&trace=' || o_orderstatus ELSE '' END AS params,
+  'x-trace=' || CASE WHEN o_orderkey % 5 = 1 THEN 'on-' || o_orderkey ELSE 'off' END AS headers,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'mapped {{prio}}' ELSE '{"id":' || o_orderkey || ',"note":"for ' || o_orderpriority || '","raw":"{{none}}"}' END AS body FROM orders""")
 def request_resolution(spark, sf_dir):
-    """A request from its endpoint, path parameters, mappings and templates."""
-    variables = F.create_map(F.lit("prio"), F.col("o_orderpriority"), F.lit("id"), F.col("o_orderkey").cast("string"))
+    """A request from its endpoint, default parameters, overrides, mappings and templates. Values are filled in once."""
+    key = F.col("o_orderkey")
+    text = key.cast("string")
+    variables = F.create_map(F.lit("prio"), F.col("o_orderpriority"), F.lit("id"), text, F.lit("brace"), F.lit("{{prio}}"))
     path = S.path_parameters(F.lit("/customers/{customer}/orders"), F.create_map(F.lit("customer"), F.col("o_custkey").cast("string")))
-    name = F.concat(F.lit("Create order "), F.col("o_orderkey").cast("string"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", S.method_of(name), path).alias("line"), S.substitute(F.lit('{"id":{{id}},"note":"for {{prio}}"}'), variables).alias("body"))
+    defaults = F.array(*[F.struct(F.lit(p).alias("place"), F.lit(n).alias("name"), F.lit(d).alias("default")) for p, n, d in (("query", "limit", "20"), ("header", "x-trace", "off"), ("path", "customer", None))])
+    of = lambda condition, k, v: F.when(condition, F.create_map(F.lit(k), v))
+    override = F.struct(F.when(key % 4 == 1, "PUT").alias("method"), F.lit(None).cast("string").alias("url"), of(key % 3 == 0, "limit", F.lit("5")).alias("params"), F.lit('{"id":{{id}},"note":"for {{prio}}","raw":"{{none}}"}').alias("body"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    mappings = F.map_concat(F.coalesce(of(key % 5 == 0, "params.trace", F.col("o_orderstatus")), none), F.coalesce(of(key % 7 == 0, "body", F.lit("mapped {{brace}}")), none))
+    method = F.when(F.col("o_orderstatus") == "P", "GET")
+    request = S.resolved(method, path, defaults, override, of(key % 5 == 1, "x-trace", F.lit("on-{{id}}")), mappings, variables)
+    flat = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), "&")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", request.alias("r"))
+    return rows.select("o_orderkey", F.concat_ws(" ", "r.method", "r.url").alias("line"), flat(F.col("r.params")).alias("params"), flat(F.col("r.headers")).alias("headers"), F.col("r.body").alias("body"))
 
 
 @query("feature_export", "SELECT 'Feature: ' || p_name || chr(10) || '  # p_brand: ' || p_brand || chr(10) || '  # p_size: ' || p_size AS value FROM part")
@@ -93,11 +107,11 @@ def feature_export(spark, sf_dir):
 
 
 @query("process_trace", f"""
-WITH {_EDGES}, p AS (SELECT DISTINCT target AS id FROM edges WHERE source = 's:1' AND type = 'CALLS'), i AS (SELECT source, target FROM edges WHERE type = 'CALLS' AND source IN (SELECT source FROM edges WHERE target IN (SELECT id FROM p)) AND target IN (SELECT id FROM p))
+WITH {_EDGES}, c AS (SELECT source, target FROM edges WHERE type = 'CALLS'), p AS (SELECT target AS id FROM c WHERE source = 'o:1'), i AS (SELECT source, target FROM c WHERE source IN (SELECT source FROM c WHERE target IN (SELECT id FROM p)) AND target IN (SELECT id FROM p))
 SELECT source, count(*) AS n FROM i GROUP BY 1""")
 def process_trace(spark, sf_dir):
     """The calls inside one process: its nodes, and what calls them."""
     calls = _edges(spark, sf_dir).filter("type = 'CALLS'")
-    inside = calls.filter("source = 's:1'").select(F.col("target").alias("id")).distinct()
+    inside = calls.filter("source = 'o:1'").select(F.col("target").alias("id")).distinct()
     callers = calls.join(inside.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id")).distinct()
     return J.induced(calls, inside.union(callers), "id").join(inside.withColumnRenamed("id", "target"), "target", "left_semi").groupBy("source").agg(F.count("*").alias("n"))

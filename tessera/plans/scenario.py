@@ -9,10 +9,13 @@ from tessera.plans.registry import query
 from tessera.sources.tables import table
 
 
-@query("template_substitute", "SELECT s_suppkey, 'GET /nation/' || s_nationkey || '/supplier/{{unknown}}?name=' || s_name AS url FROM supplier")
+@query("template_substitute", """
+SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'GET /nation/' || s_nationkey || '/supplier/{{unknown}}?name=' || s_name WHEN 1 THEN '{{name}} {' || s_name || '} {{none}}{{' ELSE '{{ name }}' || s_name || s_nationkey || '}}' END AS url FROM supplier""")
 def template_substitute(spark, sf_dir):
-    variables = F.create_map(F.lit("nation.id"), F.col("s_nationkey").cast("string"), F.lit("name"), F.col("s_name"), F.lit("none"), F.lit(None).cast("string"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", S.substitute(F.lit("GET /nation/{{nation.id}}/supplier/{{unknown}}?name={{name}}"), variables).alias("url"))
+    """Unknown and null names stay; a value that looks like a template is not filled in again."""
+    variables = F.create_map(F.lit("nation.id"), F.col("s_nationkey").cast("string"), F.lit("name"), F.col("s_name"), F.lit("none"), F.lit(None).cast("string"), F.lit("self"), F.lit("{{name}}"))
+    text = F.element_at(F.array(*map(F.lit, ("GET /nation/{{nation.id}}/supplier/{{unknown}}?name={{name}}", "{{self}} {{{name}}} {{none}}{{", "{{ name }}{{name}}{{nation.id}}}}"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", S.substitute(text, variables).alias("url"))
 
 
 @query("path_parameters", "SELECT o_orderkey, '/customers/' || o_custkey || '/orders/' || o_orderkey AS path FROM orders")
@@ -53,25 +56,71 @@ def run_stop_rule(spark, sf_dir):
     return S.stopped(steps).select("event_id", "status")
 
 
-@query("method_inference", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'PUT' WHEN 2 THEN 'POST' ELSE 'GET' END AS method FROM part")
+_NAMES = ("Remove part ", "修改 part ", "create part ", "part ", "list of new part ", "GET part ", "delete and get part ", "edit, then remove ", "新建 part ", "查询并删除 part ", "update ")
+
+
+@query("method_inference", f"""
+WITH n AS (SELECT p_partkey, {list(_NAMES)!r}[1 + p_size % {len(_NAMES)}] || p_name AS name FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(name, '创建|新建|添加|create|add|new') THEN 'POST' WHEN regexp_matches(name, '获取|查询|get|fetch|list') THEN 'GET' WHEN regexp_matches(name, '更新|修改|update|edit|modify') THEN 'PUT' WHEN regexp_matches(name, '删除|delete|remove') THEN 'DELETE' ELSE 'POST' END AS method FROM n""")
 def method_inference(spark, sf_dir):
-    name = F.element_at(F.array(*map(F.lit, ("Remove part ", "修改 part ", "Create part ", "part "))), (F.col("p_size") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", S.method_of(F.concat(name, F.col("p_partkey").cast("string"))).alias("method"))
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_size") % len(_NAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.method_of(F.concat(name, F.col("p_name"))).alias("method"))
+
+
+@query("endpoint_of_test", """
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN '/' || event_type WHEN 1 THEN event_type ELSE 'get /' || event_type END AS endpoint, CASE event_id % 3 WHEN 0 THEN 'POST' WHEN 1 THEN 'PATCH' ELSE 'GET' END AS method FROM events""")
+def endpoint_of_test(spark, sf_dir):
+    name = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("POST  /"), "event_type")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("PATCH "), "event_type")).otherwise(F.concat(F.lit("get /"), "event_type"))
+    return table(spark, sf_dir, "events").select("event_id", S.endpoint_of(name).alias("e")).select("event_id", "e.*")
+
+
+@query("nested_value_set", """
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"a":{"b":"' || event_type || '","keep":1},"k":' || json_extract_string(props, '$.k') || '}' WHEN 1 THEN '{"a":{"b":"' || event_type || '"},"k":' || json_extract_string(props, '$.k') || '}' ELSE '{"a":{"b":"' || event_type || '"},"k":' || json_extract_string(props, '$.k') || ',"z":[1,2]}' END AS body FROM events""")
+def nested_value_set(spark, sf_dir):
+    """A value set at a path of a JSON body; what is in the way and no object is replaced."""
+    k = F.get_json_object("props", "$.k")
+    body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"k": '), k, F.lit(', "a": {"keep": 1}}'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"k": '), k, F.lit("}"))).otherwise(F.concat(F.lit('{"z":[1,2],"a":5,"k":'), k, F.lit("}")))
+    return table(spark, sf_dir, "events").select("event_id", S.set_nested(body, ["a", "b"], F.concat(F.lit('"'), "event_type", F.lit('"'))).alias("body"))
+
 
+_DEPTH = 20
+_PLACED = f"""placed AS (SELECT *, turn % {_DEPTH} AS level FROM conversations WHERE conv_id IS NOT NULL),
+deep AS (SELECT conv_id, max(level) AS top FROM placed GROUP BY 1),
+rows AS (SELECT conv_id AS id, 'conv ' || conv_id || array_to_string(list_transform(range(1, level + 1), lambda i: ' > level ' || i), '') AS path, role || ' ' || turn AS title, CASE WHEN length(text) % 3 = 0 THEN 'failed' ELSE 'passed' END AS status, length(text)::DOUBLE AS duration, turn, level FROM placed)"""
 
-@query("report_flatten", """
-SELECT conv_id AS id, 'conv ' || conv_id || CASE role WHEN 'user' THEN '' WHEN 'assistant' THEN ' > replies' ELSE ' > replies > notes' END AS path, role || ' ' || turn AS title, 'p' AS project, CASE WHEN length(text) % 3 = 0 THEN 'failed' ELSE 'passed' END AS status, length(text)::DOUBLE AS duration
-FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE conv_id IS NOT NULL)""")
+
+def _reports(spark, sf_dir):
+    """Reports as deep as 20 suites: a turn is a spec of the suite of level turn % 20; a conversation's suites lie in each other."""
+    result = F.struct(F.when(F.length("text") % 3 == 0, "failed").otherwise("passed").alias("status"), F.length("text").alias("duration"), F.when(F.length("text") % 3 == 0, F.array(F.struct(F.concat(F.lit("wrong "), "role").alias("message")))).alias("errors"))
+    test = F.struct(F.when(F.col("turn") % 2 == 0, "p").alias("projectName"), F.when(F.col("turn") % 4 != 3, F.array(result)).alias("results"), (F.col("turn") % 5 == 0).alias("ok"), F.concat_ws(" ", F.lit("test"), F.col("turn").cast("string")).alias("title"))
+    spec = F.struct(F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("title"), F.array(test).alias("tests"))
+    level = F.col("turn") % _DEPTH
+    turns = table(spark, sf_dir, "conversations").filter("conv_id is not null")
+    specs = turns.groupBy("conv_id", level.alias("level")).agg(F.to_json(F.collect_list(spec)).alias("specs"))
+    maps = specs.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("level", "specs"))).alias("m"), F.max("level").alias("top"))
+    title = lambda i: F.when(i == 0, F.concat(F.lit("conv "), F.col("conv_id").cast("string"))).otherwise(F.concat(F.lit("level "), i.cast("string")))
+    inside = lambda now, i: F.concat(F.lit('{"title":"'), title(i), F.lit('","file":"f'), i.cast("string"), F.lit('","specs":'), F.coalesce(F.try_element_at("m", i), F.lit("[]")), F.lit(',"suites":['), now, F.lit("]}"))
+    nested = F.aggregate(F.sequence(F.col("top"), F.lit(0).cast(maps.schema["top"].dataType), F.lit(-1).cast(maps.schema["top"].dataType)), F.lit(""), inside)
+    return maps.select("conv_id", F.concat(F.lit('{"suites":['), nested, F.lit("]}")).alias("json"))
+
+
+@query("report_flatten", f"""WITH {_PLACED} SELECT id, path, title, CASE WHEN turn % 2 = 0 THEN 'p' ELSE 'default' END AS project, status, duration, 'passed' AS expected, true AS ok, CASE WHEN status = 'failed' THEN 'wrong ' || split_part(title, ' ', 1) END AS error FROM rows WHERE turn % 4 <> 3""")
 def report_flatten(spark, sf_dir):
-    """Reports of three levels, built from the turns of a conversation, and flattened again."""
-    result = F.struct(F.when(F.length("text") % 3 == 0, "failed").otherwise("passed").alias("status"), F.length("text").alias("duration"))
-    spec = F.struct(F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("title"), F.array(F.struct(F.lit("p").alias("projectName"), F.array(result).alias("results"))).alias("tests"))
-    of = lambda role: F.array_compact(F.collect_list(F.when(F.col("role") == role, spec)))
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(of("user").alias("u"), of("assistant").alias("a"), of("system").alias("s"))
-    notes = F.struct(F.lit("notes").alias("title"), F.col("s").alias("specs"))
-    replies = F.struct(F.lit("replies").alias("title"), F.col("a").alias("specs"), F.array(notes).alias("suites"))
-    suite = F.struct(F.concat_ws(" ", F.lit("conv"), F.col("conv_id").cast("string")).alias("title"), F.col("u").alias("specs"), F.array(replies).alias("suites"))
-    return S.flatten_reports(turns.select("conv_id", F.to_json(F.struct(F.array(suite).alias("suites"))).alias("json")), "conv_id", "json")
+    """Reports of up to 20 levels, built from the turns of a conversation, and flattened again."""
+    return S.flatten_reports(_reports(spark, sf_dir), "conv_id", "json")
+
+
+@query("report_tests", f"""
+WITH {_PLACED} SELECT id, title AS name, 'f' || level AS file, CASE WHEN turn % 2 = 0 THEN 'p' ELSE '' END AS project, CASE WHEN turn % 4 = 3 THEN 'unknown' ELSE status END AS status, 'passed' AS expected,
+  CASE WHEN turn % 4 = 3 THEN true ELSE turn % 5 = 0 END AS ok, CASE WHEN turn % 4 = 3 THEN 0.0 ELSE duration END AS duration, NULL::VARCHAR AS error FROM rows""")
+def report_tests(spark, sf_dir):
+    """A row per test, with or without results."""
+    return S.tests_of_reports(_reports(spark, sf_dir), "conv_id", "json")
+
+
+@query("report_top_tests", f"""WITH {_PLACED} SELECT id, 'test ' || turn AS name, turn % 5 = 0 AS passed FROM rows WHERE level = 0""")
+def report_top_tests(spark, sf_dir):
+    return S.top_tests(_reports(spark, sf_dir), "conv_id", "json")
 
 
 @query("diff_ranges", """
