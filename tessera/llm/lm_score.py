@@ -14,9 +14,10 @@ its arc or falls, and adds up the logarithms.
 All n-grams of all training texts are counted; nothing is cut off, so the automaton grows with the
 corpus, and it is never in one place. Texts are made into blocks of about ``block_bytes`` once: word
 numbers and the distinct words' 64-bit hashes. Each block sends its distinct n-grams, as sorted
-64-bit hashes with their counts in training texts, to the buckets of their hash; a bucket adds up
-the counts of all blocks and sends each block the totals of what it sent. That one exchange is the
-counting and the join. A key comes once from a block, however often it occurs, so no bucket is hot;
+hashes with their counts in training texts, to the buckets of their hash; a bucket adds up the
+counts of all blocks and sends each block the totals of what it sent. That one exchange is the
+counting and the join. Words have 64-bit keys; those of pairs and triples are as wide as the number
+of tokens and 20 bits more, so one in a million may share a count with another. A key comes once from a block, however often it occurs, so no bucket is hot;
 there are as many buckets as keys need. The driver sees four numbers of each bucket of words.
 
 Nulls: a null text counts as empty, which is the end token alone. A null doc_id is no held-out
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.llm._shared import column, table, written
@@ -43,6 +45,8 @@ BLOCK_BYTES = 4 << 20
 BUCKET_KEYS = 2_000_000
 #: How much the shorter history counts, for histories of one and of two words.
 STRENGTHS = (1000.0, 5.0)
+#: Bits of a pair's or triple's key beyond those that number all tokens.
+SPARE = 20
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -78,7 +82,7 @@ class Block:
         codes = np.full(len(self.sizes) + int(self.sizes.sum()), len(words) - 1, dtype=np.int32)
         inside = np.ones(len(codes), dtype=bool)
         inside[ends] = False
-        codes[inside] = np.frombuffer(row["codes"], dtype="<i4")
+        codes[inside] = from_planes(row["codes"])
         self.read = words[codes]
         self.first = np.zeros(len(codes), dtype=bool)
         self.first[self.firsts] = True
@@ -110,9 +114,9 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             words, sizes = words_in(rows["text"].combine_chunks())
             coded = words.dictionary_encode()
             hashes = np.array(list(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist())), dtype="<u8")
-            codes = coded.indices.to_numpy().astype("<i4")
+            codes = coded.indices.to_numpy()
             number += 1
-            values = [number, rows["doc_id"].to_pylist(), rows["held"].to_pylist(), sizes.tolist(), hashes.tobytes(), codes.tobytes(), len(codes) + len(sizes), len(hashes) + 1]
+            values = [number, rows["doc_id"].to_pylist(), rows["held"].to_pylist(), sizes.tolist(), hashes.tobytes(), planes(codes), len(codes) + len(sizes), len(hashes) + 1]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(values, kinds, strict=True)], names=["block", "doc_ids", "held", "sizes", "words", "codes", "n_tokens", "n_words"])
 
@@ -135,29 +139,52 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return docs.select("doc_id", "held", "text").mapInArrow(run, schema)
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Whole numbers, first all their low bytes, and so on up to the high ones, compressed."""
+    n = np.ascontiguousarray(numbers, dtype="<u8")
+    raw = n.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(n).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    found = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[8:], max_output_size=8 * n + 1), dtype=np.uint8)
+    return np.ascontiguousarray(found.reshape(8, n).T).view("<u8").ravel()
+
+
 def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences, first all low bytes, and so on up to the high ones, which are zero."""
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys, as their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(from_planes(raw), dtype=np.uint64)
 
 
-def small(counts: np.ndarray) -> bytes:
-    """Counts as unsigned numbers of one, four or eight bytes, the first byte."""
-    size = 1 if counts.max(initial=0) < 1 << 8 else 4 if counts.max(initial=0) < 1 << 32 else 8
-    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+class Layout:
+    """How keys of words, pairs and triples are cut: their bits, and how many of those number the buckets.
+
+    Words keep 64 bits. Of pairs and triples, of which there are at most ``tokens`` each, ``SPARE`` bits more than tokens has are
+    kept, so two of them share a key with a chance of 2^-SPARE at most.
+    """
+
+    def __init__(self, words: int, tokens: int, bucket_keys: int):
+        wide = min(64, tokens.bit_length() + SPARE)
+        self.width = (64, wide, wide)
+        self.bits = tuple(max(0, (n // bucket_keys).bit_length()) for n in (words, tokens, tokens))
 
+    def cut(self, order: int, keys: np.ndarray) -> np.ndarray:
+        return keys >> np.uint64(64 - self.width[order]) if self.width[order] < 64 else keys
 
-def large(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).astype(np.int64)
+    def bucket(self, order: int, keys: np.ndarray) -> np.ndarray:
+        bits = self.bits[order]
+        return keys >> np.uint64(self.width[order] - bits) if bits else np.zeros(len(keys), dtype=np.uint64)
 
 
-def _asks(found: DataFrame, bits: tuple[int, int, int]) -> DataFrame:
+def _asks(found: DataFrame, layout: Layout) -> DataFrame:
     """``(block, bucket, keys, counts)``: a block's distinct n-grams by bucket, with their counts in its training texts.
 
-    bucket: the order in the bits from 40 up, then the first ``bits`` of the key, so a block's buckets are ranges of its sorted keys.
+    bucket: the order in the bits from 40 up, then the first bits of the key, so a block's buckets are ranges of its sorted keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,11 +193,11 @@ def _asks(found: DataFrame, bits: tuple[int, int, int]) -> DataFrame:
                 block = Block(row)
                 training = block.training()
                 for order, keys in enumerate(block.keys()):
-                    distinct, at = np.unique(keys, return_inverse=True)
+                    distinct, at = np.unique(layout.cut(order, keys), return_inverse=True)
                     counts = np.bincount(at, training if order < 2 else training[~block.first], len(distinct)).astype(np.int64)
-                    number = distinct >> np.uint64(64 - bits[order]) if bits[order] else np.zeros(len(distinct), dtype=np.uint64)
+                    number = layout.bucket(order, distinct)
                     begin = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(distinct) else np.array([], dtype=np.int64)
-                    rows = [(row["block"], order << 40 | int(number[a]), packed(distinct[a:b]), small(counts[a:b])) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(distinct)], strict=False)]
+                    rows = [(row["block"], order << 40 | int(number[a]), packed(distinct[a:b]), planes(counts[a:b])) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(distinct)], strict=False)]
                     for i in range(0, len(rows), 64):
                         columns = zip(*rows[i : i + 64], strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "bucket", "keys", "counts"])
@@ -184,11 +211,11 @@ def _answers(asks: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         bucket = group["bucket"][0].as_py()
         each = [unpacked(x.as_py()) for x in group["keys"]]
-        counts = np.concatenate([large(x.as_py()) for x in group["counts"]])
+        counts = np.concatenate([from_planes(x.as_py()) for x in group["counts"]])
         cut = np.cumsum([0, *map(len, each)])
         distinct, at = np.unique(np.concatenate(each), return_inverse=True)
         total = np.bincount(at, counts, len(distinct)).astype(np.int64)
-        blocks_, out = group["block"].to_pylist(), [small(total[at[a:b]]) for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+        blocks_, out = group["block"].to_pylist(), [planes(total[at[a:b]]) for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
         if not bucket >> 40:
             stats = [total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum(), total[distinct == END].sum()]
             blocks_, out = [*blocks_, None], [*out, np.array(stats, dtype="<i8").tobytes()]
@@ -241,8 +268,8 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.withColumn("held", held_out("doc_id", folds, fold))
     found = written(blocks(docs, block_bytes), "lm-blocks")
     tokens, words = found.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    bits = tuple(max(0, (n // bucket_keys).bit_length()) for n in (words, tokens, tokens))
-    answers = written(_answers(_asks(found, bits)), "lm-counts")
+    layout = Layout(words, tokens, bucket_keys)
+    answers = written(_answers(_asks(found, layout)), "lm-counts")
     stats = answers.filter("block is null").select("counts").collect()  # a row for each bucket of words
     shared = spark.sparkContext.broadcast(Corpus(*np.sum([np.frombuffer(r.counts, dtype="<i8") for r in stats] or [[0] * 5], axis=0).tolist()))
 
@@ -250,13 +277,13 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         corpus, rows = shared.value, []
         order = np.argsort(told["bucket"].to_numpy())
         buckets = told["bucket"].to_numpy()[order] >> 40
-        found = [large(told["counts"][int(i)].as_py()) for i in order]
+        found = [from_planes(told["counts"][int(i)].as_py()).astype(np.int64) for i in order]
         for row in state.to_pylist():
             block = Block(row)
             counts = []
             for n, keys in enumerate(block.keys()):
                 total = np.concatenate([np.array([], dtype=np.int64), *(x for x, b in zip(found, buckets, strict=True) if b == n)])
-                counts.append(total[np.unique(keys, return_inverse=True)[1]])
+                counts.append(total[np.unique(layout.cut(n, keys), return_inverse=True)[1]])
             triple = np.zeros(len(block.read), dtype=np.int64)
             triple[~block.first] = counts[2]
             per_text = lambda x, block=block: np.add.reduceat(x, block.firsts)

@@ -90,8 +90,12 @@ def test_packed_keys_and_counts_come_back():
     for n in (0, 1, 1000):
         keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
         assert (lm.unpacked(lm.packed(keys)) == keys).all()
-    for top in (0, 255, 256, 1 << 33):
-        assert lm.large(lm.small(np.array([0, top]))).tolist() == [0, top]
+        layout = lm.Layout(n, 50 * n, 10)
+        for order in range(3):
+            cut = layout.cut(order, keys)
+            number = layout.bucket(order, cut)
+            assert (np.diff(number.astype(np.int64)) >= 0).all() and (not n or int(number.max()) < 1 << layout.bits[order])
+    assert lm.from_planes(lm.planes(np.array([0, 255, 1 << 40]))).tolist() == [0, 255, 1 << 40]
 
 
 def test_edge_rows(spark):
