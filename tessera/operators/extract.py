@@ -3,30 +3,58 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+import re
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SYMBOLS = "path string, kind string, name string, qualified string, start int, stop int, doc string, decorators array<string>, returns string"
-CALLS = "path string, caller string, callee string, line int"
+CALLS = "path string, caller string, callee string, line int, cls string, scope string, name string"
+SCRIPT_SYMBOLS = "path string, kind string, name string, start int, stop int"
+SCRIPT_CALLS = "path string, caller string, callee string, line int"
+#: (kind, pattern, and optionally an ending of the paths it is tried in)
+Pattern = tuple
 
 
-def _found(lines: Column, pattern: str, fields: dict[str, int], keep: dict[str, Column] | None = None) -> Column:
-    """An array of structs (line, fields) of lines that the pattern fits."""
-    marked = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), *[F.regexp_extract(x, pattern, g).alias(n) for n, g in fields.items()], x.rlike(pattern).alias("_hit")))
-    return F.filter(marked, lambda s: s["_hit"])
+def matches(files: DataFrame, path: str, text: str, patterns: Sequence[Pattern]) -> DataFrame:
+    """``(path, line, kind, a, b)``: every match of every pattern in every line, with its first two groups (empty if there are fewer).
 
+    A text is split once and all patterns are tried in one projection. A pattern of more than a line is none of this function's.
+    """
 
-def matches(files: DataFrame, path: str, text: str, pattern: str, fields: dict[str, int]) -> DataFrame:
-    """``(path, line, fields)`` of every line that fits a pattern, its groups as fields."""
-    rows = files.select(F.col(path).alias("path"), F.explode(_found(F.split(F.coalesce(text, F.lit("")), "\n"), pattern, fields)).alias("s"))
-    return rows.select("path", "s.line", *[f"s.{f}" for f in fields])
+    def of_line(x: Column, i: Column) -> Column:
+        def found(kind: str, pattern: str, endings: str | None = None) -> Column:
+            hits = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+            group = lambda m, g: F.regexp_extract(m, pattern, g) if re.compile(pattern).groups >= g else F.lit("")
+            rows = F.transform(hits, lambda m: F.struct((i + 1).alias("line"), F.lit(kind).alias("kind"), group(m, 1).alias("a"), group(m, 2).alias("b")))
+            return rows if endings is None else F.when(F.rlike(F.col("path").cast("string"), F.lit(endings)), rows).otherwise(F.filter(rows, lambda _: F.lit(False)))
+
+        return F.concat(*[found(*p) for p in patterns])
+
+    lines = files.select(F.col(path).alias("path"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
+    return lines.select("path", F.explode(F.flatten(F.transform("lines", of_line))).alias("s")).select("path", "s.*")
+
+
+def nearest_heading(files: DataFrame, path: str, text: str, marked: str) -> DataFrame:
+    """``(path, line, heading)`` of lines that fit a pattern, with the last heading above or on them; null above the first.
+
+    Only headings and marked lines are kept; the heading is the last one by a window over the lines of a file.
+    """
+    lines = files.select(F.col(path).alias("path"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("n", "x"))
+    title = F.when(F.rlike("x", F.lit(_HEADING)), F.regexp_extract("x", _HEADING, 2))
+    kept = lines.select("path", (F.col("n") + 1).alias("line"), title.alias("title"), F.rlike("x", F.lit(marked)).alias("hit")).filter("hit or title is not null")
+    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    return kept.withColumn("heading", F.last("title", ignorenulls=True).over(w)).filter("hit").select("path", "line", "heading")
+
+
+_HEADING = r"^(#{1,4}) +([^\r]*?)[ \r]*$"
 
 
 def headings(files: DataFrame, path: str, text: str) -> DataFrame:
     """``(path, line, level, title)`` of Markdown headings of levels 1 to 4."""
-    return matches(files, path, text, r"^(#{1,4}) +([^\r]*?)[ \r]*$", {"marks": 1, "title": 2}).select("path", "line", F.length("marks").alias("level"), "title")
+    return matches(files, path, text, [("heading", _HEADING)]).select("path", "line", F.length("a").alias("level"), F.col("b").alias("title"))
 
 
 def links(files: DataFrame, path: str, text: str) -> DataFrame:
@@ -40,64 +68,159 @@ def hrefs(pages: DataFrame, path: str, html: str) -> DataFrame:
     return pages.select(F.col(path).alias("path"), F.explode(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), 1)).alias("target"))
 
 
-def script_symbols(files: DataFrame, path: str, text: str) -> DataFrame:
-    """``(path, line, kind, name)`` of JavaScript and TypeScript declarations by line patterns."""
-    patterns = {
-        "class": r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)",
-        "interface": r"^\s*(?:export\s+)?interface\s+(\w+)",
-        "enum": r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)",
-        "function": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)",
-        "arrow": r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>",
-        "import": r"""^\s*import\s+(?:[^'"]*\s+from\s+)?['"]([^'"]+)['"]""",
-        "require": r"""require\(\s*['"]([^'"]+)['"]\s*\)""",
-    }
-    return _by_kind(files, path, text, patterns)
+def imports(files: DataFrame, path: str, text: str) -> DataFrame:
+    """``(path, line, kind, name)`` of what JavaScript and TypeScript files import or require; all of a line."""
+    patterns = [("import", r"""\bimport\s+(?:[^'";]*?\s+from\s+)?['"]([^'"]+)['"]"""), ("require", r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)""")]
+    return matches(files, path, text, patterns).select("path", "line", "kind", F.col("a").alias("name"))
 
 
 def heritage(files: DataFrame, path: str, text: str) -> DataFrame:
-    """``(path, line, child, parent)`` of class declarations in Python or JavaScript; a row per base."""
-    python = matches(files, path, text, r"^\s*class\s+(\w+)\s*\(([^)]*)\)\s*:", {"child": 1, "bases": 2})
-    script = matches(files, path, text, r"class\s+(\w+)\s+(?:extends\s+(\w+))", {"child": 1, "bases": 2})
-    rows = python.union(script).select("path", "line", "child", F.explode(F.split("bases", ",")).alias("parent"))
-    return rows.select("path", "line", "child", F.trim("parent").alias("parent")).filter("parent <> '' and parent not like '%=%'")
+    """``(path, line, child, parent, kind)`` of class declarations in Python, JavaScript or TypeScript; a row per EXTENDS or IMPLEMENTS."""
+    patterns = [
+        ("EXTENDS", r"\bclass\s+(\w+)\s*\(([^)]*)\)\s*:"),
+        ("EXTENDS", r"\bclass\s+(\w+)(?:<[^>]*>)?\s+extends\s+(\w+)"),
+        ("IMPLEMENTS", r"\bclass\s+(\w+)(?:<[^>]*>)?(?:\s+extends\s+\w+(?:<[^>]*>)?)?\s+implements\s+([\w\s,<>]+)"),
+    ]
+    rows = matches(files, path, text, patterns).select("path", "line", F.col("a").alias("child"), F.explode(F.split("b", ",")).alias("parent"), "kind")
+    return rows.withColumn("parent", F.trim("parent")).filter("parent <> '' and parent not like '%=%'").distinct()
+
+
+_METHODS = "get|post|put|patch|delete|options|head"
+_PY, _JS = r"\.pyi?$", r"\.[jtcm]*[jt]sx?$"
+#: (framework, pattern, endings): route declarations; groups are a method, or nothing, and a URL.
+ROUTES = (
+    ("fastapi", rf"""(?i)@\s*(?:app|router|\w*_router)\.\s*({_METHODS})\s*\(\s*['"]([^'"]+)['"]""", _PY),
+    ("express", r"""(?i)(?:app|router|server)\.(get|post|put|delete|patch|use)\s*\(\s*['"`]([^'"`]+)['"`]""", _JS),
+    ("nest", r"""@(Get|Post|Put|Patch|Delete)\(\s*['"]([^'"]+)['"]""", r"\.ts$"),
+    ("spring", r"""@(Get|Post|Put|Patch|Delete)Mapping\(\s*['"]([^'"]+)['"]""", r"\.java$"),
+    ("laravel", r"""(?i)Route::\s*(get|post|put|delete|patch|any)\s*\(\s*['"]([^'"]+)['"]""", r"\.php$"),
+)
+FLASK = ("flask", r"""(?i)@\s*(?:app|blueprint|bp)\.route\s*\(\s*['"]([^'"]+)['"](?:\s*,\s*methods\s*=\s*\[([^\]]+)\])?""", _PY)
+DJANGO = ("django", r"""\bpath\s*\(\s*['"]([^'"]+)['"]\s*,""", r"(^|/)urls\.py$")
 
 
 def routes(files: DataFrame, path: str, text: str) -> DataFrame:
-    """``(path, line, method, url)`` of route declarations of common frameworks, first one per method and URL."""
-    patterns = {
-        "decorator": r"""@\w+\.(get|post|put|patch|delete)\(\s*['"]([^'"]+)['"]""",
-        "call": r"""\b(?:app|router|server)\.(get|post|put|patch|delete)\(\s*['"]([^'"]+)['"]""",
-        "annotation": r"""@(Get|Post|Put|Patch|Delete)(?:Mapping)?\(\s*['"]([^'"]+)['"]""",
-    }
-    rows = None
-    for p in patterns.values():
-        part = matches(files, path, text, p, {"method": 1, "url": 2})
-        rows = part if rows is None else rows.union(part)
-    url = F.regexp_replace(F.when(F.col("url").startswith("/"), F.col("url")).otherwise(F.concat(F.lit("/"), "url")), r"\[(\w+)\]", "{$1}")
-    trimmed = F.when(F.length(url) > 1, F.regexp_replace(url, "/$", "")).otherwise(url)
-    one = rows.select("path", "line", F.upper("method").alias("method"), trimmed.alias("url"))
-    return one.groupBy("method", "url").agg(F.min(F.struct("path", "line")).alias("f")).select("f.path", "f.line", "method", "url")
+    """``(path, line, method, url, framework)``: all route declarations of common frameworks, the first one per method and URL.
+
+    Decorators, calls and facades by pattern, where the file's ending fits; Next.js pages and handlers (line 0, methods GET and API)
+    by their paths. URLs begin with a slash and don't end with one; [id] is written {id}.
+    """
+    hits = matches(files, path, text, [*ROUTES, FLASK, DJANGO])
+    flask, django = F.col("kind") == "flask", F.col("kind") == "django"
+    named = F.transform(F.split(F.when(F.col("b") == "", F.lit("GET")).otherwise(F.col("b")), ","), lambda m: F.upper(F.regexp_replace(m, r"""['"\s]""", "")))
+    rows = hits.select("path", "line", F.explode(F.when(flask, named).when(django, F.array(F.lit("GET"))).otherwise(F.array(F.upper("a")))).alias("method"), F.when(flask | django, F.col("a")).otherwise(F.col("b")).alias("url"), F.col("kind").alias("framework"))
+    name = F.concat(F.lit("/"), F.replace(F.col(path).cast("string"), F.lit("\\"), F.lit("/")))
+    page = F.regexp_extract(name, r"/app/(?:(.*)/)?(?:page\.[jt]sx?|layout\.[jt]sx)$", 1)
+    handler = F.regexp_extract(name, r"/app/(?:(.*)/)?route\.[jt]s$", 1)
+    pages = F.regexp_replace(F.regexp_extract(name, r"/pages/(.*)\.[jt]sx?$", 1), "(^|/)index$", "")
+    fits = lambda p: F.rlike(name, F.lit(p))
+    url = F.when(fits(r"/app/(?:.*/)?(?:page\.[jt]sx?|layout\.[jt]sx)$"), page).when(fits(r"/app/(?:.*/)?route\.[jt]s$"), handler).when(fits(r"/pages/.*\.[jt]sx?$"), pages)
+    method = F.when(fits(r"/app/(?:.*/)?route\.[jt]s$"), "API").otherwise("GET")
+    by_path = files.select(F.col(path).alias("path"), F.lit(0).alias("line"), method.alias("method"), url.alias("url"), F.lit("nextjs").alias("framework")).filter("url is not null")
+    both = rows.union(by_path)
+    slash = F.regexp_replace(F.when(F.startswith("url", F.lit("/")), F.col("url")).otherwise(F.concat(F.lit("/"), "url")), r"\[(\w+)\]", "{$1}")
+    clean = both.withColumn("url", F.when(F.length(slash) > 1, F.regexp_replace(slash, "/$", "")).otherwise(slash))
+    return clean.groupBy("method", "url").agg(F.min(F.struct("path", "line", "framework")).alias("f")).select("f.path", "f.line", "method", "url", "f.framework")
 
 
 def tools(files: DataFrame, path: str, text: str) -> DataFrame:
-    """``(path, name, description)`` of decorated tool functions; descriptions are cut at 200 characters."""
-    pattern = r'@(?:\w+\.)?tool(?:\([^)]*\))?\s*\n\s*(?:async\s+)?def\s+(\w+)\([^)]*\)[^:]*:[ \t]*(?:\n\s*"""([^"]*))?'
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("name"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("doc"))
-    return files.select(F.col(path).alias("path"), F.explode(both).alias("t")).select("path", "t.name", F.substring(F.trim("t.doc"), 1, 200).alias("description"))
+    """``(path, name, description)`` of tools: decorated functions, classes that extend a tool, and objects with name and description.
+
+    Descriptions are cut at 200 characters. The first of each name in a file counts, in that order of forms.
+    """
+    forms = (
+        (r"""name\s*:\s*['"](\w+)['"]\s*,\s*description\s*:\s*(?:'([^']*)'|"([^"]*)"|`([^`]*)`)""", (1,), (2, 3, 4)),
+        (r'''@(?:\w+\.)?tool\s*(?:\(\s*(?:["']([^"']+)["'])?[^)]*\))?\s*\n\s*(?:async\s+)?def\s+(\w+)\([^)]*\)[^:]*:[ \t]*(?:\n\s*"""([^"]*))?''', (1, 2), (3,)),
+        (r"class\s+(\w+Tool)\s*\(\s*\w*Tool\s*\)", (1,), ()),
+    )
+
+    def of_form(number: int, pattern: str, names: tuple, descriptions: tuple) -> Column:
+        first = lambda m, groups: F.coalesce(*[F.nullif(F.regexp_extract(m, pattern, g), F.lit("")) for g in groups], F.lit(""))
+        described = lambda m: F.substring(F.trim(F.regexp_replace(first(m, descriptions), r"\\n|\n", " ")), 1, 200)
+        hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+        return F.transform(hits, lambda m, i: F.struct(F.lit(number).alias("form"), i.alias("i"), first(m, names).alias("name"), described(m).alias("description")))
+
+    rows = files.select(F.col(path).alias("path"), F.explode(F.concat(*[of_form(n, *f) for n, f in enumerate(forms)])).alias("t")).select("path", "t.*")
+    return rows.groupBy("path", "name").agg(F.min(F.struct("form", "i", "description")).alias("t")).select("path", "name", "t.description")
 
 
 def orm_usage(files: DataFrame, path: str, text: str) -> DataFrame:
-    """``(path, model, method)`` of ORM calls, once per file."""
-    patterns = {"query": r"\.query\((\w+)\)", "select": r"\bselect\((\w+)", "objects": r"\b(\w+)\.objects\.\w+", "get": r"session\.get\((\w+)"}
-    return _by_kind(files, path, text, patterns).select("path", F.col("name").alias("model"), F.col("kind").alias("method")).distinct()
+    """``(path, model, orm, method)`` of ORM calls, once per file."""
+    patterns = [
+        ("django", r"\b(\w+)\.objects\.(get|filter|create|update|delete|all|first|last)\b"),
+        ("sqlalchemy", r"(?i)\b(?:session|db)\.(query)\((\w+)\)"),
+        ("sqlalchemy", r"\b(select)\((\w+)"),
+        ("sqlalchemy", r"\bsession\.(get)\((\w+)"),
+        ("prisma", r"(?i)\bprisma\.(\w+)\.(findMany|findUnique|findFirst|create|update|delete|upsert)\b"),
+        ("supabase", r"""(?i)\bsupabase\.(from)\(['"]([^'"]+)['"]\)"""),
+    ]
+    first = F.col("kind").isin("django", "prisma")
+    rows = matches(files, path, text, patterns)
+    return rows.select("path", F.when(first, F.col("a")).otherwise(F.col("b")).alias("model"), F.col("kind").alias("orm"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("method")).distinct()
+
+
+_DECLARED = (
+    ("class", re.compile(r"\bclass\s+(\w+)")),
+    ("interface", re.compile(r"\binterface\s+(\w+)")),
+    ("enum", re.compile(r"\benum\s+(\w+)")),
+    ("function", re.compile(r"\bfunction\s*\*?\s*(\w+)\s*\(")),
+    ("function", re.compile(r"\b(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)\n]*\)|\w+)\s*(?::[^=\n]+)?=>")),
+    ("method", re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|get|set)\s+)*(\w+)\s*\([^)\n]*\)\s*(?::[^{\n]+)?\{", re.MULTILINE)),
+)
+_CALLED = re.compile(r"(\bthis\.|\bself\.|(?<![.\w]))([A-Za-z_]\w*)\s*\(([^)]*)")
+#: Words before a bracket that call nothing.
+_NO_CALLS = frozenset("if for while switch catch function typeof instanceof return throw yield import export new delete void try class extends implements".split())
+
+
+def _script_symbols(path: str, text: str | None) -> list[tuple]:
+    """Declarations with the lines of their blocks, which end where braces are even again; a declaration without a block is one line."""
+    text = text or ""
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    line = lambda at: bisect_right(starts, at)
+    found = []
+    for kind, pattern in _DECLARED:
+        for m in pattern.finditer(text):
+            if m[1] in _NO_CALLS:
+                continue
+            depth, end, at = 0, m.end(1), m.end() - (kind == "method")
+            while at < len(text) and (c := text[at]) not in ";\n" or depth:
+                if at >= len(text):
+                    break
+                depth += (c == "{") - (c == "}") if (c := text[at]) in "{}" else 0
+                at += 1
+                if c == "}" and depth <= 0:
+                    break
+            end = max(end, min(at, len(text)) - 1)
+            found.append((path, kind, m[1], line(m.start(1)), line(end)))
+    return sorted(set(found), key=lambda r: (r[3], -r[4], r[1]))
+
+
+def _script_calls(path: str, text: str | None) -> list[tuple]:
+    """Calls of the file's own functions, and of its methods by this or self, inside its functions and methods."""
+    text = text or ""
+    blocks = [(k, n, a, b) for _, k, n, a, b in _script_symbols(path, text) if k in ("function", "method")]
+    functions, methods = {n for k, n, *_ in blocks if k == "function"}, {n for k, n, *_ in blocks if k == "method"}
+    found = []
+    for m in _CALLED.finditer(text):
+        name, before = m[2], text[: m.start(2)].rstrip()
+        declared = before.endswith("function") or before.endswith("*")
+        if name in _NO_CALLS or "=>" in m[3] or "{" in m[3] or declared or name not in (methods if m[1] else functions):
+            continue
+        line = text.count("\n", 0, m.start(2)) + 1
+        around = [x for x in blocks if x[2] <= line <= x[3]]
+        if around:
+            found.append((path, min(around, key=lambda x: x[3] - x[2])[1], name, line))
+    return found
+
+
+def script_symbols(files: DataFrame, path: str, text: str) -> DataFrame:
+    """Classes, interfaces, enums, functions (arrow ones too) and methods of JavaScript and TypeScript files, with the lines of their blocks."""
+    return _parsed(files, path, text, _script_symbols, SCRIPT_SYMBOLS)
 
 
-def _by_kind(files: DataFrame, path: str, text: str, patterns: dict[str, str]) -> DataFrame:
-    rows = None
-    for kind, p in patterns.items():
-        part = matches(files, path, text, p, {"name": 1}).select("path", "line", F.lit(kind).alias("kind"), "name")
-        rows = part if rows is None else rows.union(part)
-    return rows
+def script_calls(files: DataFrame, path: str, text: str) -> DataFrame:
+    """``(path, caller, callee, line)`` of JavaScript and TypeScript files; the caller is the innermost function or method around a call."""
+    return _parsed(files, path, text, _script_calls, SCRIPT_CALLS)
 
 
 def _module(text: str | None) -> ast.Module | None:
@@ -127,6 +250,8 @@ def _symbols(path: str, text: str | None) -> list[tuple]:
                 walk(child, outer, in_class)
 
     if tree := _module(text):
+        name = str(path).replace("\\", "/").rsplit("/", 1)[-1].removesuffix(".py")
+        found.append((path, "module", name, str(path), 1, (text or "").count("\n") + 1, ast.get_docstring(tree), [], None))
         walk(tree, "", False)
     return found
 
@@ -134,15 +259,23 @@ def _symbols(path: str, text: str | None) -> list[tuple]:
 def _calls(path: str, text: str | None) -> list[tuple]:
     found: list[tuple] = []
 
-    def walk(node: ast.AST, caller: str) -> None:
+    def walk(node: ast.AST, caller: str, cls: str | None) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.Call):
-                found.append((path, caller, ast.unparse(child.func), child.lineno))
-            named = isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))
-            walk(child, f"{caller}.{child.name}".lstrip(".") if named else caller)
+                f = child.func
+                plain = isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name)
+                scope = f.value.id if plain else None
+                name = f.id if isinstance(f, ast.Name) else f.attr if plain else None
+                found.append((path, caller, ast.unparse(f), child.lineno, cls, scope, name))
+            if isinstance(child, ast.ClassDef):
+                walk(child, f"{caller}.{child.name}".lstrip("."), child.name)
+            elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                walk(child, f"{caller}.{child.name}".lstrip("."), cls)
+            else:
+                walk(child, caller, cls)
 
     if tree := _module(text):
-        walk(tree, "")
+        walk(tree, "", None)
     return found
 
 
@@ -162,5 +295,8 @@ def python_symbols(files: DataFrame, path: str, text: str) -> DataFrame:
 
 
 def python_calls(files: DataFrame, path: str, text: str) -> DataFrame:
-    """``(path, caller, callee, line)`` of Python files; the caller is empty at module level."""
+    """``(path, caller, callee, line, cls, scope, name)`` of Python files; the caller is empty at module level.
+
+    cls, scope and name are what ``joins.resolve_calls`` takes; scope and name are null where a call is of no name or attribute of one.
+    """
     return _parsed(files, path, text, _calls, CALLS)

@@ -42,9 +42,20 @@ def hybrid_topk(spark, sf_dir):
     return S.hybrid(table(spark, sf_dir, "documents"), "doc_id", "text", F.substring("text", 1, 40), QUERY, 20)
 
 
-@query("name_search", "SELECT p_partkey AS id, 50.0 AS score FROM part WHERE p_name ILIKE '%r%1%' ORDER BY p_name, p_partkey LIMIT 40")
+@query("name_search", "SELECT c_custkey AS id, 50.0 AS score FROM customer WHERE c_name ILIKE '%USTOMER%1%' ORDER BY c_name, c_custkey LIMIT 40")
 def name_search(spark, sf_dir):
-    return S.by_name(table(spark, sf_dir, "part"), "p_partkey", F.col("p_name"), "r%1", 40)
+    return S.by_name(table(spark, sf_dir, "customer"), "c_custkey", F.col("c_name"), "USTOMER%1", 40)
+
+
+@query("hybrid_filled", f"""
+WITH fused AS (SELECT r_regionkey::BIGINT AS id, round(100.0::DOUBLE / ({S.RRF_K} + row_number() OVER (ORDER BY r_regionkey)), 4) AS score FROM region),
+names AS (SELECT (100 + n_nationkey)::BIGINT AS id, 50.0::DOUBLE AS score FROM nation WHERE n_name ILIKE '%1%' ORDER BY n_name, n_nationkey LIMIT 20)
+SELECT id, score FROM (SELECT * FROM fused UNION ALL SELECT * FROM names) ORDER BY score DESC, id LIMIT 20""")
+def hybrid_filled(spark, sf_dir):
+    """Too few documents, so names of another table fill up."""
+    docs = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), "r_name")
+    others = table(spark, sf_dir, "nation").select((100 + F.col("n_nationkey")).cast("long").alias("id"), "n_name")
+    return S.hybrid(docs, "id", "r_name", F.col("n_name"), "1", 20, others=others)
 
 
 @query("fts_top_up", f"""
