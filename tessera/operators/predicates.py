@@ -28,6 +28,22 @@ def in_where_given(df: DataFrame, **lists: Sequence | None) -> DataFrame:
     return df.filter(all_of(F.col(k).isin(list(v)) for k, v in lists.items() if v))
 
 
+def enum_where_known(df: DataFrame, column: str, value: str | None, known: Sequence[str]) -> DataFrame:
+    """Equality if the value is one of the known ones; an unknown value doesn't filter."""
+    return df.filter(F.col(column) == value) if value in known else df
+
+
+def projected(df: DataFrame, short: Mapping[str, Column], more: Mapping[str, Column], full: Column | bool) -> DataFrame:
+    """The short columns, and ``details``, a struct of the others where the full form is asked for, else null."""
+    details = F.struct(*[c.alias(n) for n, c in more.items()])
+    return df.select(*[c.alias(n) for n, c in short.items()], F.when(full if isinstance(full, Column) else F.lit(full), details).alias("details"))
+
+
+def count_serial(df: DataFrame, by: Column, prefix: str) -> DataFrame:
+    """The next number of each group: its rows and one. Numbers come again after deletes."""
+    return df.groupBy(by).agg(F.concat(F.lit(prefix), (F.count("*") + 1).cast("string")).alias("next"))
+
+
 def in_range(df: DataFrame, column: str, after=None, before=None) -> DataFrame:
     """A closed range; either end may be open."""
     ends = [F.col(column) >= F.lit(after)] * (after is not None) + [F.col(column) <= F.lit(before)] * (before is not None)

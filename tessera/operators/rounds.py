@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there, so that rounds neither repeat nor nest their plans.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session may leave it unset; it then gets a temporary one.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``. Only a local session may leave it unset; it then gets a temporary one."""
     if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(folder)
+            found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(found)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there, so that rounds neither repeat nor nest their plans."""
+    folder(df.sparkSession)
     return df.checkpoint()

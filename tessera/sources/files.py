@@ -5,15 +5,22 @@ from __future__ import annotations
 import fnmatch
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Folders and endings that a source tree leaves out.
-IGNORED_FOLDERS = (".git", ".venv", "__pycache__", "build", "dist", "node_modules", "venv")
-IGNORED_ENDINGS = (".bin", ".class", ".dll", ".exe", ".gif", ".ico", ".jpg", ".jar", ".lock", ".pdf", ".png", ".pyc", ".so", ".zip")
+#: Folders (with wildcards) and endings that a source tree leaves out.
+IGNORED_FOLDERS = (
+    ".git", ".gitnexus", ".hg", ".svn", "__pycache__", ".venv", "venv", "env", ".env", "node_modules", "bower_components", ".next", ".nuxt", "dist", "build", "target",
+    ".idea", ".vscode", ".vs", ".tox", ".eggs", "*.egg-info", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".yarn", ".pnp.*", "coverage", ".coverage",
+)
+IGNORED_ENDINGS = (
+    ".pyc", ".pyo", ".pyd", ".so", ".dll", ".dylib", ".exe", ".bin", ".obj", ".o", ".a", ".lib", ".class", ".jar", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".svg", ".woff", ".woff2", ".ttf", ".eot",
+    ".mp3", ".mp4", ".avi", ".mov", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".zip", ".tar", ".gz", ".bz2", ".7z", ".rar", ".min.js", ".min.css", ".map", ".log", ".lock",
+)
 MAX_BYTES = 1 << 20
 
 
@@ -33,10 +40,9 @@ def source_files(spark: SparkSession, root: str, ignore: Sequence[str] = (), max
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     place = F.regexp_replace("path", f"^.*?{root.removeprefix('file://').rstrip('/')}/", "")
     kept = files.filter(F.col("length") <= max_bytes).withColumn("_p", place)
-    for folder in IGNORED_FOLDERS:
-        kept = kept.filter(~F.concat(F.lit("/"), "_p").contains(f"/{folder}/"))
-    for ending in IGNORED_ENDINGS:
-        kept = kept.filter(~F.lower("_p").endswith(ending))
+    folders = "|".join(re.escape(f).replace(r"\*", "[^/]*") for f in IGNORED_FOLDERS)
+    endings = "|".join(map(re.escape, IGNORED_ENDINGS))
+    kept = kept.filter(~F.rlike("_p", F.lit(f"(^|/)({folders})/")) & ~F.rlike("_p", F.lit(f"(?i)({endings})$")))
     for pattern in ignore:
         if pattern and not pattern.startswith("#"):
             kept = kept.filter(~F.col("_p").rlike(_glob(pattern)))

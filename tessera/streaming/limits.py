@@ -46,6 +46,28 @@ def rate_limited(requests: DataFrame, key: str, time: str, id_col: str, window_s
     return rows.groupBy("key").applyInPandasWithState(run, "key string, id long, admitted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def rate_limited_batch(requests: DataFrame, key: str, time: str, id_col: str, window_s: float = WINDOW_S, most: int = MAX_REQUESTS) -> DataFrame:
+    """``(key, id, admitted)`` of a table of requests, by the rule of ``rate_limited``.
+
+    Requests come sorted by key and time; a task goes through them one by one and holds the times of one window of one key, so a
+    key with any number of requests needs no more memory than a window of it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, []
+        for batch in batches:
+            passed = []
+            for k, t in zip(batch["key"], batch["t"], strict=True):
+                if k != now:
+                    now, kept = k, []
+                ok, kept = admit([t], kept, window_s, most)
+                passed += ok
+            yield pd.DataFrame({"key": batch["key"], "id": batch["id"], "admitted": passed})
+
+    rows = requests.select(F.col(key).cast("string").alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("t"), F.col(id_col).cast("long").alias("id"))
+    return rows.repartition("key").sortWithinPartitions("key", "t", "id").mapInPandas(run, "key string, id long, admitted boolean")
+
+
 def classified(logs: DataFrame) -> DataFrame:
     """Findings of a stream of logs; the rules are a CASE expression, so no state is kept."""
     return classify(logs)

@@ -21,7 +21,13 @@ def test_query_equals_its_sql(spark, db, name):
 
 
 def test_every_query_has_sql():
-    assert set(plans.SQL) == set(plans.QUERIES)
+    assert set(plans.QUERIES) - set(plans.SQL) == {"findings_in_order"}
+
+
+def test_findings_by_rules_come_first(spark):
+    rows = plans.QUERIES["findings_in_order"](spark, FOLDER).collect()
+    order = [(r.classifier != "rule", -r.confidence, r.log_id) for r in rows]
+    assert order == sorted(order) and {r.classifier for r in rows} == {"rule", "fallback"}
 
 
 def test_entry(spark):
