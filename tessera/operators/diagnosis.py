@@ -51,12 +51,11 @@ def rule_hit(status: Column, message: Column, rules: Sequence[tuple] = RULES) ->
 
     Rules are few and fixed, so they become one CASE: no join, and the first hit ends the search.
     """
-    out = None
+    out = F.when(F.lit(False), F.struct(F.lit("").alias("rule"), F.lit("").alias("category"), F.lit(0.0).alias("confidence")))
     for rule, category, _, confidence, codes, patterns in sorted(rules, key=lambda r: -r[2]):
         fits = F.coalesce(message, F.lit("")).rlike(f"(?i){'|'.join(patterns)}")
         fits = fits & status.isin(list(codes)) if codes else fits
-        hit = F.struct(F.lit(rule).alias("rule"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"))
-        out = F.when(fits, hit) if out is None else out.when(fits, hit)
+        out = out.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence")))
     return out
 
 
@@ -71,9 +70,9 @@ def fallback(message: Column) -> Column:
     return out.otherwise(F.struct(F.lit("unknown").alias("category"), F.lit(0.5).alias("confidence")))
 
 
-def classify(logs: DataFrame) -> DataFrame:
+def classify(logs: DataFrame, rules: Sequence[tuple] = RULES) -> DataFrame:
     """Logs with root_cause, classifier (rule or fallback), matching_rule and confidence."""
-    marked = logs.withColumn("_r", rule_hit(F.col("status_code"), F.col("error_message"))).withColumn("_f", fallback(F.col("error_message")))
+    marked = logs.withColumn("_r", rule_hit(F.col("status_code"), F.col("error_message"), rules)).withColumn("_f", fallback(F.col("error_message")))
     ruled = F.col("_r").isNotNull()
     return marked.withColumns({
         "root_cause": F.when(ruled, F.col("_r.category")).otherwise(F.col("_f.category")),

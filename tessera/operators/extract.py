@@ -167,7 +167,7 @@ _DECLARED = (
     ("function", re.compile(r"\b(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)\n]*\)|\w+)\s*(?::[^=\n]+)?=>")),
     ("method", re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|get|set)\s+)*(\w+)\s*\([^)\n]*\)\s*(?::[^{\n]+)?\{", re.MULTILINE)),
 )
-_CALLED = re.compile(r"(\bthis\.|\bself\.|(?<![.\w]))([A-Za-z_]\w*)\s*\(([^)]*)")
+_CALLED = re.compile(r"(\bthis\.|\bself\.|(?<![.\w]))([A-Za-z_]\w*)\s*\((?=([^)]*))")
 #: Words before a bracket that call nothing.
 _NO_CALLS = frozenset("if for while switch catch function typeof instanceof return throw yield import export new delete void try class extends implements".split())
 

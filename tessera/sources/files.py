@@ -138,3 +138,8 @@ def rules(spark: SparkSession, path: str) -> DataFrame:
     kept = [(r["id"], r["category"], int(r.get("priority", 0)), float(r.get("confidence", 0.5)), [str(c) for c in r.get("status_code") or []], list(r.get("error_message_patterns") or [])) for r in rows if r.get("enabled", True)]
     schema = "id string, category string, priority int, confidence double, status_code array<string>, patterns array<string>"
     return spark.createDataFrame(kept, schema).orderBy(F.desc("priority"), "id")
+
+
+def rule_tuples(spark: SparkSession, path: str) -> list[tuple]:
+    """Rules of a file in the form that ``diagnosis.classify`` takes."""
+    return [(r.id, r.category, r.priority, r.confidence, tuple(int(c) for c in r.status_code), tuple(r.patterns)) for r in rules(spark, path).collect()]

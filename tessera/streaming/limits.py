@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from time import monotonic
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.diagnosis import classify
+from tessera.sources.files import rule_tuples
 
 WINDOW_S, MAX_REQUESTS = 60, 300
 
@@ -73,6 +76,19 @@ def classified(logs: DataFrame) -> DataFrame:
     return classify(logs)
 
 
+class RuleCache:
+    """Rules of a file, read again when they are older than so many seconds; for a stream's ``foreachBatch``."""
+
+    def __init__(self, spark: SparkSession, path: str, seconds: float = 60):
+        self.spark, self.path, self.seconds = spark, path, seconds
+        self._read_at, self._rules = -math.inf, []
+
+    def rules(self) -> list[tuple]:
+        if monotonic() - self._read_at >= self.seconds:
+            self._rules, self._read_at = rule_tuples(self.spark, self.path), monotonic()
+        return self._rules
+
+
 def counts_per_window(events: DataFrame, time: str, by: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """``(start, by, n)`` per tumbling window, for a stream or a table; late rows beyond the watermark are left out of a stream."""
     timed = events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)

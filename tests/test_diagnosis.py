@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import diagnosis as D
 
+#: Statuses and messages with the category and rule that must come out.
 VECTORS = [
     (401, "Token expired", "token_expired", "token_expired_rule_1"),
     (401, "invalid_token", "token_expired", "token_expired_rule_1"),
@@ -29,24 +30,48 @@ def test_rules(spark):
 
 
 @pytest.mark.parametrize(("given", "want"), [
-    ('{"Authorization": "Bearer x", "Cookie": "a=b", "Content-Type": "json"}', '{"Authorization": "***", "Cookie": "***", "Content-Type": "json"}'),
-    ('{"username":"u","password":"p\\"q","api_key":12}', '{"username":"u","password":"***","api_key":"***"}'),
-    ('{"data":{"accessToken":"t","phone":null,"name":"n"}}', '{"data":{"accessToken":"***","phone":"***","name":"n"}}'),
-    ('{"name":"n","age":3,"status":"ok"}', '{"name":"n","age":3,"status":"ok"}'),
+    ('{"X-Auth-Token": "abc", "COOKIE" : "a=b; c", "Accept": "text"}', '{"X-Auth-Token": "***", "COOKIE" : "***", "Accept": "text"}'),
+    ('{"user":"me","password":"p\\"q{[","apikey":-1.5e3,"ssn":null,"secret":true}', '{"user":"me","password":"***","apikey":"***","ssn":"***","secret":"***"}'),
+    ('{"token":{"value":"s3cr3t","x":[1,{"y":"}"}]},"password":["p1","p2"],"n":1}', '{"token":"***","password":"***","n":1}'),
+    ('{"a":[{"refreshToken":{}},{"idCard":[]},{"note":"token: {"}],"creditCard" : {"no":"4"}}', '{"a":[{"refreshToken":"***"},{"idCard":"***"},{"note":"token: {"}],"creditCard" : "***"}'),
+    ('{"secret": {"broken": ', '{"secret": "***"'),
+    ('{"tokens":1,"my_password":"kept"}', '{"tokens":1,"my_password":"kept"}'),
 ])
 def test_redaction(spark, given, want):
-    assert spark.createDataFrame([(given,)], "j string").select(D.redact_json(F.col("j"))).first()[0] == want
+    assert spark.createDataFrame([(given,), (None,)], "j string").select(D.redact_json(F.col("j"))).collect() == [(want,), (None,)]
+
+
+def test_redaction_of_long_values(spark):
+    given = '{"password":"' + 'x\\"' * 50_000 + '","n":{"phone":[' + ",".join(["1"] * 50_000) + ']}}'
+    assert spark.createDataFrame([(given,)], "j string").select(D.redact_json(F.col("j"))).first()[0] == '{"password":"***","n":{"phone":"***"}}'
 
 
 def test_dedup_keeps_the_first(spark):
-    data = [(1, "/users", "GET", 401), (2, "/users", "GET", 401), (3, "/users", "POST", 401), (4, "/users", "GET", 403)]
-    logs = spark.createDataFrame(data, "log_id long, endpoint string, method string, status_code int").withColumn("created_at", F.lit(0))
-    assert sorted(r.log_id for r in D.dedup(logs).collect()) == [1, 3, 4]
+    data = [(7, 5, "/cart", "PUT", 409), (3, 9, "/cart", "PUT", 409), (8, 1, "/cart", "PUT", 500), (9, 2, "/cart", "PATCH", 409), (1, 5, "/cart", "PUT", 409), (2, 0, None, "PUT", 409)]
+    logs = spark.createDataFrame(data, "log_id long, created_at long, endpoint string, method string, status_code int")
+    assert sorted(r.log_id for r in D.dedup(logs).collect()) == [1, 2, 8, 9]
     assert D.classify(D.dedup(logs.limit(0)).withColumn("error_message", F.lit(""))).count() == 0
 
 
 def test_levels_and_keys(spark):
-    rows = spark.createDataFrame([(True, True), (True, False), (False, False)], "a boolean, b boolean").select(D.level(F.col("a"), F.col("b"))).collect()
-    assert [r[0] for r in rows] == ["none", "partial", "severe"]
-    keys = spark.createDataFrame([(401, "GET", "/a", "x"), (401, "POST", "/a", "x"), (401, "GET", "/b", "x")], "s int, m string, e string, t string")
-    assert keys.select(D.cache_key(F.col("s"), F.col("m"), F.col("e"), F.col("t"))).distinct().count() == 3
+    rows = spark.createDataFrame([(a, b) for a in (True, False) for b in (True, False)], "a boolean, b boolean").select(D.level(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in rows] == ["none", "partial", "severe", "severe"]
+    keys = spark.createDataFrame([(s, m, e, t) for s in (500, 501) for m in "GP" for e in ("/p", "/q") for t in ("boom", "bang")] * 2, "s int, m string, e string, t string")
+    assert keys.select(D.cache_key(F.col("s"), F.col("m"), F.col("e"), F.col("t"))).distinct().count() == 16
+
+
+def test_rules_of_a_file(spark, tmp_path):
+    import json
+
+    from tessera.sources import files
+    from tessera.streaming.limits import RuleCache
+
+    path = tmp_path / "r.json"
+    path.write_text(json.dumps({"rules": [{"id": "teapot", "category": "odd", "priority": 1, "confidence": 0.4, "status_code": [418], "error_message_patterns": ["tea"]}, {"id": "any", "category": "all", "error_message_patterns": ["."]}]}))
+    cache = RuleCache(spark, str(path), seconds=1000)
+    frame = spark.createDataFrame([(418, "TEA time"), (500, "tea"), (500, "")], "status_code int, error_message string")
+    assert [r.matching_rule for r in D.classify(frame, cache.rules()).collect()] == ["teapot", "any", None]
+    path.write_text("[]")
+    assert len(cache.rules()) == 2 and files.rule_tuples(spark, str(path)) == []
+    cache.seconds = 0
+    assert cache.rules() == []

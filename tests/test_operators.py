@@ -85,12 +85,81 @@ def test_lists_and_maps(spark):
 
 def test_reports_of_any_depth(spark):
     leaf = '{"title":"t","tests":[{"projectName":"p","results":[{"status":"passed","duration":1.5},{"status":"failed"}]}]}'
-    nested = f'{{"title":"s7","specs":[{leaf}]}}'
-    for i in range(6, 0, -1):
+    nested = f'{{"title":"s25","specs":[{leaf}]}}'
+    for i in range(24, 0, -1):
         nested = f'{{"title":"s{i}","suites":[{nested}]}}'
     reports = spark.createDataFrame([(1, f'{{"suites":[{nested}]}}'), (2, "broken"), (3, None), (4, "{}")], "id long, j string")
     rows = S.flatten_reports(reports, "id", "j").collect()
-    assert [(r.id, r.path, r.title, r.project, r.status, r.duration) for r in rows] == [(1, "s1 > s2 > s3 > s4 > s5 > s6 > s7", "t", "p", "passed", 1.5), (1, "s1 > s2 > s3 > s4 > s5 > s6 > s7", "t", "p", "failed", None)]
+    path = " > ".join(f"s{i}" for i in range(1, 26))
+    assert sorted((r.id, r.path, r.title, r.project, r.status, r.duration, r.ok) for r in rows) == [(1, path, "t", "p", "failed", 0.0, True), (1, path, "t", "p", "passed", 1.5, True)]
+    assert [(r.id, r["name"], r.project, r.status, r.ok, r.duration) for r in S.tests_of_reports(reports, "id", "j").collect()] == [(1, "t", "p", "passed", False, 1.5)]
+    assert S.top_tests(reports, "id", "j").count() == 0
+
+
+def test_templates_are_filled_once(spark):
+    values = {"a": "{{b}}", "b": "x", "c.d": "$1\\\\", "n": None}
+    cases = {"{{a}} {{b}}": "{{b}} x", "{{c.d}}{{n}}{{gone}}": "$1\\\\{{n}}{{gone}}", "{{{b}}}": "{x}", "{{a b}}": "{{a b}}", "": "", "{": "{"}
+    rows = spark.createDataFrame([(t, values) for t in cases], "t string, v map<string,string>").select("t", S.substitute(F.col("t"), F.col("v")).alias("r")).collect()
+    assert {r.t: r.r for r in rows} == cases
+    row = spark.createDataFrame([("/a/{x}/{y}/{z}", {"x": "{y}", "y": "1"})], "t string, v map<string,string>").select(S.path_parameters(F.col("t"), F.col("v"))).first()
+    assert row[0] == "/a/{y}/1/{z}"
+
+
+def test_names_with_signs_are_plain_text(spark):
+    files = spark.createDataFrame([("f", "a+b = aab\nx.a+b(a+b)\na+bc")], "path string, text string")
+    assert sorted((r.line, r.column) for r in G.rename_preview(files, "path", "text", "a+b").collect()) == [(1, 1), (2, 3), (2, 7)]
+
+
+def test_ancestors_of_any_height_and_cycles(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(15)] + [("x", "y"), ("y", "x"), ("x", "c0")]
+    methods = [("c0", "m"), ("c15", "m"), ("x", "m"), ("c3", "k"), ("y", "k")]
+    got = G.overrides(spark.createDataFrame(chain, "child string, parent string"), spark.createDataFrame(methods, "cls string, method string")).collect()
+    assert {(r.cls, r.method, r.overridden) for r in got} == {("c0", "m", "c15"), ("x", "m", "c0"), ("y", "k", "c3")}
+    implements = spark.createDataFrame([("c0", "i"), ("c3", "i")], "child string, interface string")
+    declared = spark.createDataFrame([*methods, ("i", "m")], "cls string, method string")
+    assert [(r.cls, r.method, r.interface) for r in G.method_implements(implements, declared).collect()] == [("c0", "m", "i")]
+
+
+def test_communities_settle_where_no_node_wants_to_move(spark):
+    rng = random.Random(4)
+    edges = [(f"a{rng.randrange(8)}", f"a{rng.randrange(8)}") for _ in range(20)] + [(f"b{rng.randrange(8)}", f"b{rng.randrange(8)}") for _ in range(20)] + [("a1", "b1"), ("u", "v"), ("w", "u")]
+    label = {r.id: r.community for r in G.communities(spark.createDataFrame(edges, "source string, target string")).collect()}
+    near = {}
+    for s, t in edges:
+        if s != t:
+            near.setdefault(s, []).append(t)
+            near.setdefault(t, []).append(s)
+    assert label.keys() == near.keys()
+    for n, others in near.items():
+        weight = {}
+        for o in others:
+            weight[label[o]] = weight.get(label[o], 0) + 1
+        if label[n] != "misc":
+            assert max(weight.values()) <= weight.get(label[n], 0) + 0.5, n
+
+
+def test_versions_and_changes(spark):
+    names = "id string, type string, name string, file string, start long, stop long"
+    base = spark.createDataFrame([("a", "function", "a", "f", 1, 5), ("b", "function", "b", "f", 6, 9), ("r", "route", "r", "g", 1, 2), ("old", "function", "o", "g", 3, 4)], names)
+    new = spark.createDataFrame([("a", "function", "a", "f", 1, 6), ("b", "function", "b", "f", 6, 9), ("r", "route", "r", "g", 1, 2), ("n", "function", "n", "g", 3, 4)], names)
+    edge = lambda *e: spark.createDataFrame([(s, t, "CALLS") for s, t in e], "source string, target string, type string")
+    row = G.compare_versions(base, edge(("b", "a")), new, edge(("b", "a"), ("r", "b"), ("n", "r")), 3).first()
+    # from a: b up, r up at 2, n up at 3; from n: r down, b down, a down
+    assert row.asDict() == {"added": 1, "removed": 1, "modified": 1, "upstream": 3, "downstream": 3, "new_upstream": 2, "new_downstream": 3, "routes": 1, "risk": "high"}
+    ranges = spark.createDataFrame([(1, "f", 6, 6), (2, "f", 20, 30), (3, "g", 2, 3)], "change long, file string, start long, stop long")
+    got = {r.change: (r.symbols, r.upstream, r.downstream, r.routes, r.risk) for r in G.impact_of_changes(new, edge(("b", "a"), ("r", "b")), ranges, 1).collect()}
+    assert got == {1: (2, 2, 1, 1, "medium"), 3: (2, 0, 1, 0, "low")}
+
+
+def test_calls_are_resolved_by_seven_rules(spark):
+    symbols = [("class", "f", None, "C"), ("method", "f", "C", "m"), ("func", "f", None, "g"), ("class", "h", None, "K"), ("method", "h", "K", "m"), ("func", "h", None, "imp"), ("func", "z", None, "far"), ("method", "y", "Q", "far")]
+    calls = [(1, "f", "C", "self", "m"), (2, "f", "C", "self", "far"), (3, "f", None, "v", "m"), (4, "f", None, None, "imp"), (5, "f", None, None, "g"), (6, "f", None, "C", "m"), (7, "f", None, "K", "m"), (8, "f", None, "mod", "imp"), (9, "f", None, None, "far"), (10, "f", None, None, "none")]
+    frames = (spark.createDataFrame(calls, "id long, file string, cls string, scope string, name string"), spark.createDataFrame(symbols, "kind string, file string, owner string, name string"), spark.createDataFrame([("f", "v", "h::K")], "file string, variable string, type string"), spark.createDataFrame([("f", "imp", "h"), ("f", "K", "h"), ("f", "mod", "h")], "file string, alias string, target string"))
+    got = {r.id: (r.rule, r.symbol, r.confidence) for r in J.resolve_calls(*frames).collect()}
+    assert got == {
+        1: (1, "method://f::C.m", "high"), 2: (None, None, None), 3: (2, "method://h::K.m", "high"), 4: (3, "func://h::imp", "medium"), 5: (4, "func://f::g", "high"), 6: (5, "method://f::C.m", "high"),
+        7: (6, "method://h::K.m", "medium"), 8: (6, "func://h::imp", "medium"), 9: (7, "func://z::far", "low"), 10: (None, None, None),
+    }
 
 
 def test_comparisons(spark):

@@ -74,4 +74,14 @@ def test_streams_equal_batches(spark, tmp_path):
 
 def test_python_files_that_do_not_parse(spark):
     rows = spark.createDataFrame([("a.py", "def f(:"), ("b.py", None), ("c.py", "import os.path as p\nfrom x import y\nz = 1")], "path string, text string")
-    assert sorted((r.path, r.kind, r["name"], r.qualified) for r in X.python_symbols(rows, "path", "text").collect()) == [("c.py", "import", "p", "os.path"), ("c.py", "import", "y", "x.y"), ("c.py", "variable", "z", "z")]
+    want = [("b.py", "module", "b", "b.py"), ("c.py", "import", "p", "os.path"), ("c.py", "import", "y", "x.y"), ("c.py", "module", "c", "c.py"), ("c.py", "variable", "z", "z")]
+    assert sorted((r.path, r.kind, r["name"], r.qualified) for r in X.python_symbols(rows, "path", "text").collect()) == want
+
+
+def test_script_blocks_and_calls(spark):
+    text = "const a = () => 1;\nfunction b(x) {\n  if (x) { return a() }\n  return b(x)\n}\nclass C {\n  m(y) {\n    this.n(b(y))\n  }\n  n(z) { call(() => a()) }\n}\nb(1)"
+    rows = spark.createDataFrame([("x.js", text), ("y.js", None), ("z.js", "function (")], "path string, text string")
+    symbols = {(r.kind, r["name"], r.start, r.stop) for r in X.script_symbols(rows, "path", "text").collect()}
+    assert symbols == {("function", "a", 1, 1), ("function", "b", 2, 5), ("class", "C", 6, 11), ("method", "m", 7, 9), ("method", "n", 10, 10)}
+    calls = {(r.caller, r.callee, r.line) for r in X.script_calls(rows, "path", "text").collect()}
+    assert calls == {("b", "a", 3), ("b", "b", 4), ("m", "n", 8), ("m", "b", 8), ("n", "a", 10)}
