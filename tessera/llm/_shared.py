@@ -38,14 +38,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The folder of this run below the shared one.
+RUN = f"tessera-{uuid.uuid4().hex}"
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this run: all that operators write there on their way. ``remove_written`` removes it."""
+    return f"{shared_dir(spark)}/{RUN}"
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Remove what operators wrote on their way; call it when no result of theirs will be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
+    """Write ``df`` to the run's folder and read it again.
 
     This cuts the lineage: a later job rereads files that outlive any executor instead of
     repeating the scan, and every reader sees the same rows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

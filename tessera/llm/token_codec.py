@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm._shared import column, partitions, shared_dir, table, written
+from tessera.llm._shared import column, partitions, run_dir, table, written
 
 END_ID = 1
 MAX_BITS = 20
@@ -359,7 +359,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
 def digest(documents: DataFrame, tokenizer_path: str, **columns: str) -> DataFrame:
     """Write documents to a new folder of the shared one, read it back: ``(doc_id, start, n_tokens, ids_crc32)``."""
     spark = documents.sparkSession
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write(documents, path, tokenizer_path, **columns)
     return read(spark, path, with_ids=False)
 

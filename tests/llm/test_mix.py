@@ -66,3 +66,16 @@ def test_any_names_and_types_stay_and_hot_keys_are_split(spark):
     assert n_null == 0 or max(sizes.values()) < 0.6 * len(rows)
     by_part = [[r.mix_key for r in rows if r.part == p] for p in sorted(sizes)]
     assert [k for part in by_part for k in part] == sorted(r.mix_key for r in rows)
+
+
+def test_what_operators_write_can_be_removed(spark):
+    import os
+
+    from tessera.llm import _shared
+
+    _shared.written(spark.range(3), "numbers").count()
+    folder = _shared.run_dir(spark).removeprefix("file://")
+    assert os.listdir(folder)
+    _shared.remove_written(spark)
+    assert not os.path.exists(folder)
+    assert _shared.written(spark.range(3), "numbers").count() == 3
