@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions.scalars import last_folder
 from tessera.operators.joins import overlapping, version_diff
 from tessera.operators.rounds import settled
 
@@ -169,6 +170,12 @@ def named(labels: DataFrame) -> DataFrame:
     return labels.join(single, "community", "left").select("id", F.when(F.col("single"), "misc").otherwise(F.col("community").cast("string")).alias("community"))
 
 
+def community_names(labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(community, name, nodes)``: the folder that most of a community's nodes lie in, ties to the least; nodes: (id, file)."""
+    folders = labels.join(nodes.select("id", last_folder(F.col("file")).alias("name")), "id").groupBy("community", "name").agg(F.count("*").alias("n"))
+    return folders.groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("o"), "name")).alias("b"), F.sum("n").alias("nodes")).select("community", "b.name", "nodes")
+
+
 def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """``(community, nodes, internal, cohesion)``: edges inside over nodes."""
     inside = edges.join(labels.select(F.col("id").alias("source"), F.col("community").alias("c")), "source").join(labels.select(F.col("id").alias("target"), F.col("community").alias("d")), "target").filter("c = d")

@@ -132,3 +132,11 @@ def pick(docs: DataFrame, scored: DataFrame, id_col: str, name_col: str, query:
     """The exact name among the top five, or else the first hit."""
     five = top(scored, 5).join(docs.select(F.col(id_col).alias("id"), F.col(name_col).alias("name")), "id")
     return five.orderBy(F.when(F.col("name") == query, 0).otherwise(1), F.desc("score"), "id").limit(1)
+
+
+def source_lines(nodes: DataFrame, files: DataFrame, before: int = 2) -> DataFrame:
+    """``(id, first, lines)`` of nodes (id, file, start, stop) whose file (file, text) is there: its lines from ``before`` above start to stop."""
+    text = F.split("text", "\n")
+    first = F.greatest(F.col("start") - before, F.lit(1)).cast("int")
+    last = F.least(F.col("stop"), F.size(text)).cast("int")
+    return nodes.join(files, "file").select("id", first.alias("first"), F.slice(text, first, F.greatest(last - first + 1, F.lit(0))).alias("lines"))

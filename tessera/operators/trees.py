@@ -50,6 +50,15 @@ def copy(tree: DataFrame, root, new_id: Column, new_parent, id_col: str = "id",
     return rows.join(ids, parent_col, "left").withColumn(parent_col, parent).withColumn(id_col, new_id).select(*tree.columns)
 
 
+def copy_rows(rows: DataFrame, copied: DataFrame, column: str, new_id: Column, id_col: str = "id") -> DataFrame:
+    """Copies of the rows that belong to copied ones, with new ids: items of copied folders, and again parts of copied items.
+
+    copied: ``(old, new)`` ids of what was copied; column: whose it is. All other columns stay as they are.
+    """
+    ids = copied.select(F.col("old").alias(column), F.col("new").alias("new_owner"))
+    return rows.join(ids, column).withColumn(column, F.col("new_owner")).withColumn(id_col, new_id).select(*rows.columns)
+
+
 def move(tree: DataFrame, node, new_parent, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """The tree with node below new_parent; raises if that is node itself or below it."""
     below = closure(tree, id_col, parent_col).filter((F.col("ancestor") == node) & (F.col("id") == new_parent))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import diagnosis as D
+from tessera.operators import changes as C, diagnosis as D
 from tessera.operators.aggregates import histogram
 from tessera.plans.registry import query
 from tessera.sources.tables import table
@@ -94,6 +94,18 @@ def already_diagnosed(spark, sf_dir):
     return events.filter("event_type = 'error'").select("user_id").distinct().join(done, "user_id", "left_anti")
 
 
+@query("upsert_of_two_stores", """
+WITH old AS (SELECT user_id, min(event_id) AS report, 'old' AS state FROM events WHERE event_type = 'signup' GROUP BY 1), new AS (SELECT user_id, max(event_id) AS report, 'new' AS state FROM events WHERE event_type = 'error' AND user_id % 3 <> 0 GROUP BY 1)
+SELECT 'relational' AS store, * FROM old UNION ALL SELECT 'relational', * FROM new WHERE user_id NOT IN (SELECT user_id FROM old) UNION ALL SELECT 'document', * FROM new UNION ALL SELECT 'document', * FROM old WHERE user_id NOT IN (SELECT user_id FROM new)""")
+def upsert_of_two_stores(spark, sf_dir):
+    """Reports by run: the relational store keeps what it has under a key, the document store replaces it."""
+    events = table(spark, sf_dir, "events")
+    old = events.filter("event_type = 'signup'").groupBy("user_id").agg(F.min("event_id").alias("report")).withColumn("state", F.lit("old"))
+    new = events.filter("event_type = 'error' and user_id % 3 <> 0").groupBy("user_id").agg(F.max("event_id").alias("report")).withColumn("state", F.lit("new"))
+    kept, replaced = C.get_or_create(old, new, ["user_id"]), C.replace_versions(old, new, ["user_id"])
+    return kept.select(F.lit("relational").alias("store"), "*").union(replaced.select(F.lit("document"), "*"))
+
+
 @query("degradation_level", "SELECT s_suppkey, CASE WHEN s_acctbal > 0 AND s_nationkey > 5 THEN 'none' WHEN s_acctbal > 0 THEN 'partial' ELSE 'severe' END AS level FROM supplier")
 def degradation_level(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", D.level(F.col("s_acctbal") > 0, F.col("s_nationkey") > 5).alias("level"))

@@ -201,6 +201,15 @@ def community_cohesion(spark, sf_dir):
     return G.cohesion(edges, G.communities(edges, 3))
 
 
+@query("community_names", f"""
+WITH {_CALLS}, {_rounds(3)}, f AS (SELECT community, CASE WHEN id % 5 = 0 THEN '' ELSE 'm' || (id % 4) END AS name, count(*) AS n FROM named GROUP BY ALL)
+SELECT community, arg_min(name, {{'o': -n, 'n': name}}) AS name, sum(n)::BIGINT AS nodes FROM f GROUP BY 1""")
+def community_names(spark, sf_dir):
+    labels = G.communities(_calls(spark, sf_dir), 3)
+    file = F.when(F.col("id") % 5 == 0, "main.py").otherwise(F.concat(F.lit("src/m"), (F.col("id") % 4).cast("string"), F.lit("/x.py")))
+    return G.community_names(labels, labels.select("id", file.alias("file")))
+
+
 @query("process_steps", f"""
 WITH RECURSIVE {_CALLS}, entries AS (SELECT DISTINCT source AS entry FROM calls),
 walk(entry, id, depth) AS (SELECT entry, entry, 0 FROM entries UNION SELECT w.entry, c.target, w.depth + 1 FROM walk w JOIN calls c ON c.source = w.id WHERE w.depth < 20),

@@ -133,6 +133,22 @@ def tree_copy(spark, sf_dir):
     return T.copy(_tree(spark, sf_dir), "r:2", F.concat(F.lit("copy-"), "id"), "r:0")
 
 
+@query("tree_copy_with_rows", f"""
+WITH RECURSIVE {_TREE}, below AS (SELECT id FROM walk WHERE ancestor = 'r:2'), cases AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE 'c:' || o_custkey IN (SELECT id FROM below))
+SELECT 'case' AS kind, 'copy-o:' || o_orderkey AS id, 'copy-c:' || o_custkey AS owner, o_orderpriority AS what FROM cases
+UNION ALL SELECT 'step', 'copy-l:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, 'copy-o:' || l_orderkey, l_returnflag FROM lineitem JOIN cases ON l_orderkey = o_orderkey""")
+def tree_copy_with_rows(spark, sf_dir):
+    """A folder's subtree copied with its cases (orders) and their steps (lines)."""
+    new = F.concat(F.lit("copy-"), "id")
+    copied = T.subtree(_tree(spark, sf_dir), "r:2").select(F.col("id").alias("old"), new.alias("new"))
+    key = lambda p, *c: F.concat(F.lit(p), F.concat_ws("-", *[F.col(x).cast("string") for x in c]))
+    cases = table(spark, sf_dir, "orders").select(key("o:", "o_orderkey").alias("id"), key("c:", "o_custkey").alias("owner"), F.col("o_orderpriority").alias("what"))
+    steps = table(spark, sf_dir, "lineitem").select(key("l:", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), key("o:", "l_orderkey").alias("owner"), F.col("l_returnflag").alias("what"))
+    new_cases = T.copy_rows(cases, copied, "owner", new)
+    new_steps = T.copy_rows(steps, new_cases.select(F.expr("substr(id, 6)").alias("old"), F.col("id").alias("new")), "owner", new)
+    return new_cases.select(F.lit("case").alias("kind"), "*").union(new_steps.select(F.lit("step"), "*"))
+
+
 @query("tree_move", f"WITH RECURSIVE {_TREE} SELECT id, CASE WHEN id = 'n:5' THEN 'r:3' ELSE parent_id END AS parent_id FROM tree")
 def tree_move(spark, sf_dir):
     return T.move(_tree(spark, sf_dir), "n:5", "r:3")

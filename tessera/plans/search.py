@@ -92,3 +92,15 @@ def node_context(spark, sf_dir):
     node = table(spark, sf_dir, "supplier").orderBy("s_suppkey").select(F.col("s_suppkey").alias("id")).limit(1)
     edges = table(spark, sf_dir, "lineitem").join(F.broadcast(node), F.col("l_suppkey") == F.col("id"))
     return edges.groupBy("id", F.col("l_partkey").alias("other")).agg(F.count("*").alias("n")).orderBy("other").limit(50)
+
+
+@query("node_source_lines", """
+WITH n AS (SELECT doc_id AS id, 1 + doc_id % 5 AS start, 1 + doc_id % 5 + doc_id % 3 AS stop, string_split(text, chr(10)) AS l FROM documents)
+SELECT id, greatest(start - 2, 1)::INTEGER AS first, coalesce(array_to_string(l[greatest(start - 2, 1) : stop], chr(10)), '') AS lines FROM n""")
+def node_source_lines(spark, sf_dir):
+    """The source of nodes that lie in documents, with two lines before."""
+    docs = table(spark, sf_dir, "documents")
+    start = 1 + F.col("doc_id") % 5
+    nodes = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file"), start.alias("start"), (start + F.col("doc_id") % 3).alias("stop"))
+    found = S.source_lines(nodes, docs.select(F.col("doc_id").alias("file"), "text"))
+    return found.select("id", "first", F.array_join("lines", "\n").alias("lines"))
