@@ -273,7 +273,8 @@ def compare_versions(base_nodes: DataFrame, base_edges: DataFrame, nodes: DataFr
     up, down, new = F.col("direction") == "up", F.col("direction") == "down", F.col("old").isNull()
     counts = joined.agg(F.count_if(up).alias("upstream"), F.count_if(down).alias("downstream"), F.count_if(up & new).alias("new_upstream"), F.count_if(down & new).alias("new_downstream"), F.count_distinct(F.when(F.col("type") == "route", F.col("id"))).alias("routes"))
     kinds = changes.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "modified")])
-    return kinds.crossJoin(counts).withColumn("risk", risk_of_diff(F.col("routes"), F.col("upstream") + F.col("downstream"), F.col("removed"), F.col("added")))  # two rows of one
+    both = kinds.withColumn("of", F.lit("diff")).join(counts.withColumn("of", F.lit("diff")), "of").drop("of")  # a row each
+    return both.withColumn("risk", risk_of_diff(F.col("routes"), F.col("upstream") + F.col("downstream"), F.col("removed"), F.col("added")))
 
 
 def lint_returns(name: Column, returns: Column) -> Column:

@@ -12,10 +12,15 @@ from tessera.streaming.limits import counts_per_window
 @query("requests_in_last_hour", """
 SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n FROM events""")
 def requests_in_last_hour(spark, sf_dir):
-    """How many requests a limiter without feedback would see: an upper bound of the stateful one."""
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy("t").rangeBetween(-3_600_000_000, 0)
-    return table(spark, sf_dir, "events").withColumn("t", t).select("event_id", F.count("*").over(w).alias("n"))
+    """How many requests a limiter without feedback would see: an upper bound of the stateful one.
+
+    Events are dealt to their hour and the next one, so a window holds two hours of a user, not all of a user's history.
+    """
+    t, hour = F.unix_micros(F.col("ts").cast("timestamp")), 3_600_000_000
+    own = F.floor(t / hour)
+    dealt = table(spark, sf_dir, "events").select("event_id", "user_id", t.alias("t"), own.alias("own"), F.explode(F.array(own, own + 1)).alias("bucket"))
+    w = Window.partitionBy("user_id", "bucket").orderBy("t").rangeBetween(-hour, 0)
+    return dealt.withColumn("n", F.count("*").over(w)).filter("own = bucket").select("event_id", "n")
 
 
 @query("events_per_window", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
