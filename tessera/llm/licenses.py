@@ -175,13 +175,15 @@ def matches(library: Library, often: dict[int, int], hits: Column, n_words: Colu
     def windows(h: Column) -> Column:
         def both(x: Column) -> Column:
             last = F.floor(h["at"] / x["len"]).cast("int")
-            return F.transform(F.filter(F.array(last - 1, last), lambda b: b >= 0), lambda b: F.struct(x["t"].alias("t"), x["i"].alias("i"), (b * x["len"]).alias("lo"), ((b + 2) * x["len"]).alias("hi")))
+            return F.transform(F.filter(F.array(last - 1, last), lambda b: b >= 0), lambda b: F.struct(x["t"].alias("t"), x["i"].alias("i"), h["x"].alias("x"), (b * x["len"]).alias("lo"), ((b + 2) * x["len"]).alias("hi")))
 
         return F.flatten(F.transform(F.get(starts, h["code"]), both))
 
     def compared(p: Column) -> Column:
         k, ts = F.get(needed, p["t"]), F.get(ranks, p["t"])
-        inside = F.array_distinct(F.transform(F.filter(hits, lambda h: (h["at"] >= p["lo"]) & (h["at"] < p["hi"])), lambda h: h["code"]))
+        wide = p["hi"] - p["lo"]  # a window's words, so no more of its hits lie on either side of one of them
+        around = F.slice(hits, F.greatest(p["x"] - wide, F.lit(0)) + 1, 2 * wide + 1)
+        inside = F.array_distinct(F.transform(F.filter(around, lambda h: (h["at"] >= p["lo"]) & (h["at"] < p["hi"])), lambda h: h["code"]))
 
         def exact(own: Column) -> Column:
             block = F.array_sort(F.transform(own, lambda c: F.get(rank_of, c)))
@@ -199,8 +201,9 @@ def matches(library: Library, often: dict[int, int], hits: Column, n_words: Colu
 
         return F.when(F.least(n_words, p["hi"].cast("long")) - p["lo"] >= k, let(inside, exact))
 
-    starters = F.filter(hits, lambda h: F.size(F.get(starts, h["code"])) > 0)
-    return F.array_compact(F.transform(F.array_distinct(F.flatten(F.transform(starters, windows))), compared))
+    placed = F.transform(hits, lambda h, x: F.struct(h["at"].alias("at"), h["code"].alias("code"), x.alias("x")))
+    starters = F.filter(placed, lambda h: F.size(F.get(starts, h["code"])) > 0)
+    return F.array_distinct(F.array_compact(F.transform(F.flatten(F.transform(starters, windows)), compared)))
 
 
 def _best(met: Column) -> Column:
