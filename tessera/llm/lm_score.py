@@ -17,7 +17,7 @@ numbers and the distinct words' 64-bit hashes. Each block sends its distinct n-g
 hashes with their counts in training texts, to the buckets of their hash; a bucket adds up the
 counts of all blocks and sends each block the totals of what it sent. That one exchange is the
 counting and the join. Words have 64-bit keys; those of pairs and triples are as wide as the number
-of tokens and 20 bits more, so one in a million may share a count with another. A key comes once from a block, however often it occurs, so no bucket is hot;
+of tokens and 16 bits more, so one in 65,000 may share a count with another. A key comes once from a block, however often it occurs, so no bucket is hot;
 there are as many buckets as keys need. The driver sees four numbers of each bucket of words.
 
 Nulls: a null text counts as empty, which is the end token alone. A null doc_id is no held-out
@@ -37,16 +37,18 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.llm._shared import column, table, written
+from tessera.llm._shared import column, partitions, table, written
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Keys that a bucket gets from all blocks, about.
 BUCKET_KEYS = 2_000_000
+#: Buckets, or blocks, that a task gets at most on average, however few partitions the session asks for.
+TOGETHER = 4
 #: How much the shorter history counts, for histories of one and of two words.
 STRENGTHS = (1000.0, 5.0)
 #: Bits of a pair's or triple's key beyond those that number all tokens.
-SPARE = 20
+SPARE = 16
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -267,9 +269,11 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = documents.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     docs = docs.withColumn("held", held_out("doc_id", folds, fold))
     found = written(blocks(docs, block_bytes), "lm-blocks")
-    tokens, words = found.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    tokens, words, n_blocks = found.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
     layout = Layout(words, tokens, bucket_keys)
-    answers = written(_answers(_asks(found, layout)), "lm-counts")
+    parts = lambda n: max(partitions(documents), -(-n // TOGETHER))  # noqa: E731  # so many groups, or blocks, are a task's share
+    asks = _asks(found, layout).repartition(parts(sum(1 << b for b in layout.bits)), "bucket")
+    answers = written(_answers(asks), "lm-counts")
     stats = answers.filter("block is null").select("counts").collect()  # a row for each bucket of words
     shared = spark.sparkContext.broadcast(Corpus(*np.sum([np.frombuffer(r.counts, dtype="<i8") for r in stats] or [[0] * 5], axis=0).tolist()))
 
@@ -294,8 +298,10 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table([pa.array([v for r in rows for v in r[i]], type=k) for i, k in enumerate(kinds)], names=names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    states = found.select("block", "doc_ids", "held", "sizes", "words", "codes")
-    return states.groupBy("block").cogroup(answers.filter("block is not null").groupBy("block")).applyInArrow(run, schema)
+    dealt = parts(n_blocks)
+    states = found.select("block", "doc_ids", "held", "sizes", "words", "codes").repartition(dealt, "block")
+    told = answers.filter("block is not null").repartition(dealt, "block")
+    return states.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
