@@ -47,6 +47,8 @@ from tessera.llm._shared import column, partitions, run_dir, table, written
 REVISIT_BYTES = 100
 #: Unpacked bytes of a frame and packed bytes of a bundle; one record may be longer.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
+#: Frames that a task of a reader takes at most, on average.
+TASK_FRAMES = 256
 #: Rows of repeated digests up to which they are broadcast (at most about 200 bytes each).
 BROADCAST_DIGESTS = 200_000
 #: WARC-Date of all records; pages carry no time of their own.
@@ -268,7 +270,8 @@ def _frames(spark: SparkSession, path: str, frames: DataFrame, wanted: bool, pay
                 found = [_parsed(headers, block) for _, _, headers, block in parts]
                 yield pa.RecordBatch.from_pylist([f | {"payload": p} if payloads else f for f, p in found], schema=_types(schema))
 
-    dealt = frames.repartition(partitions(frames), "bundle", "frame").sortWithinPartitions("bundle", "frame")
+    tasks = max(partitions(frames), frames.count() // TASK_FRAMES)
+    dealt = frames.repartition(tasks, F.xxhash64("bundle", "frame")).sortWithinPartitions("bundle", "frame")  # a key of its own, for Spark drops a second exchange by the same one
     return dealt.mapInArrow(run, schema)
 
 
