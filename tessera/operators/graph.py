@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -35,38 +35,83 @@ def without_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[
     return nodes.join(ids, "id", "left_anti"), left.select(*edges.columns)
 
 
-def steps(edges: DataFrame) -> DataFrame:
-    """``(at, to, direction, expand)``: where impact goes from a node. up: to callers, down: to callees."""
-    parts = []
-    for kind, (way, expand) in FOLLOW.items():
-        own = edges.filter(F.col("type") == kind)
-        parts.append(own.select(F.col("source").alias("at"), F.col("target").alias("to"), F.lit("down").alias("direction"), F.lit(expand).alias("expand")))
-        if way == BOTH:
-            parts.append(own.select(F.col("target").alias("at"), F.col("source").alias("to"), F.lit("up").alias("direction"), F.lit(expand).alias("expand")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+#: Rows up to which a frontier, or the numbers of seeds, are broadcast (at most about 100 bytes each).
+BROADCAST_ROWS = 200_000
+#: Seeds of a batch: the bits of a word.
+WORD = 64
 
 
-def impact(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """``(seed, id, depth, direction)``: what is within max_depth hops of each seed, by the fewest hops.
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def numbered(seeds: DataFrame) -> DataFrame:
+    """``(seed, place, batch, bit)`` of distinct ids: bit ``place % 64`` of the word of batch ``place // 64``."""
+    places = settled(seeds.select(F.col("id").alias("seed")).distinct().withColumn("place", F.monotonically_increasing_id()))
+    return places.select("seed", "place", F.shiftright("place", 6).alias("batch"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+
+
+def stepped(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """``(batch, id, down, up, calls)``: the words of a frontier (batch, at, bits) one hop on, by direction; calls: those that go on from there.
+
+    Each direction is a join of the frontier with the edges as they are, a broadcast while the frontier is small.
+    """
+    known = F.col("type").isin(*FOLLOW)
+    back = F.col("type").isin(*[k for k, (way, _) in FOLLOW.items() if way == BOTH])
+    on = F.col("type").isin(*[k for k, (_, expand) in FOLLOW.items() if expand])
+    none = F.lit(0).cast("long")
+    word = lambda c: F.expr(f"bit_or({c})").alias(c)
+    from_ = _small(frontier)
+
+    def hop(own: DataFrame, here: str, there: str, down: bool) -> DataFrame:
+        found = own.join(from_, F.col(here) == F.col("at"))
+        ways = [F.col("bits"), none] if down else [none, F.col("bits")]
+        return found.select("batch", F.col(there).alias("id"), ways[0].alias("down"), ways[1].alias("up"), F.when(on, F.col("bits")).otherwise(none).alias("calls"))
+
+    both = hop(edges.filter(known), "source", "target", True).union(hop(edges.filter(back), "target", "source", False))
+    return both.groupBy("batch", "id").agg(word("down"), word("up"), word("calls"))
 
-    One join per hop between the frontier and the edges, and an anti-join with what was seen; each
-    frontier is settled, so that lineage stays short. Several seeds are walked at once. Of two directions at one depth the lesser counts.
+
+def walk(edges: DataFrame, number: DataFrame, max_depth: int) -> DataFrame | None:
+    """``(batch, id, down, up, calls, depth)``: for each node and batch of 64 seeds, which seeds first reach it at which depth, and by which direction.
+
+    Calls are walked breadth first from every seed; what a call reaches goes on, what only another
+    edge reaches doesn't. A node counts at the fewest hops; of two directions there the lesser counts.
+    All seeds move together: a row is a node and a batch, whatever the number of seeds that reach it,
+    and a hop is one aggregation by bit_or. It ends where a hop finds nothing, None if none does.
     """
-    move = settled(steps(edges))
-    frontier = seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("expand", F.lit(True))
-    seen = frontier.select("seed", "id")
-    found = None
+    frontier = number.groupBy("batch", F.col("seed").alias("at")).agg(F.expr("bit_or(bit)").alias("bits"))
+    seen = frontier.select("batch", F.col("at").alias("id"), F.col("bits").alias("found"), F.col("bits").alias("called"))
+    hops = None
     for depth in range(1, max_depth + 1):
-        reached = frontier.filter("expand").select("seed", F.col("id").alias("at")).join(move, "at")
-        fresh = reached.select("seed", F.col("to").alias("id"), "direction", "expand").join(seen, ["seed", "id"], "left_anti")
-        frontier = settled(fresh.groupBy("seed", "id").agg(F.min("direction").alias("direction"), F.max("expand").alias("expand")))
-        seen = seen.union(frontier.select("seed", "id"))
-        hop = frontier.select("seed", "id", F.lit(depth).alias("depth"), "direction")
-        found = hop if found is None else found.union(hop)
-    return found
+        before = seen.groupBy("batch", "id").agg(F.expr("bit_or(found)").alias("found"), F.expr("bit_or(called)").alias("called"))
+        hop = stepped(edges, frontier).join(before, ["batch", "id"], "left")
+        down, up = "down & ~coalesce(found, 0L)", "up & ~coalesce(found, 0L) & ~down"
+        fresh = hop.select("batch", "id", F.expr(down).alias("down"), F.expr(up).alias("up"), F.expr("calls & ~coalesce(called, 0L)").alias("calls"), F.lit(depth).alias("depth"))
+        fresh = settled(fresh.filter("(down | up | calls) <> 0"))
+        if fresh.isEmpty():
+            break
+        hops = fresh if hops is None else hops.union(fresh)
+        seen = seen.union(fresh.select("batch", "id", F.expr("down | up").alias("found"), F.col("calls").alias("called")))
+        frontier = fresh.filter("calls <> 0").select("batch", F.col("id").alias("at"), F.col("calls").alias("bits"))
+    return hops
+
+
+def places_of(word: str) -> Column:
+    """The places in a batch whose bits are set, as an array."""
+    return F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit(F.col(word), i) == 1)
+
+
+def impact(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """``(seed, id, depth, direction)``: what is within max_depth hops of each seed, by the fewest hops, as ``walk`` goes; up: to callers, down: to callees."""
+    number = numbered(seeds)
+    hops = walk(edges, number, max_depth)
+    if hops is None:
+        return number.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit("").alias("direction")).limit(0)
+    way = lambda name: F.transform(places_of(name), lambda i: F.struct(i.alias("i"), F.lit(name).alias("direction")))
+    each = hops.select("batch", "id", "depth", F.explode(F.concat(way("down"), way("up"))).alias("r"))
+    named_ = each.withColumn("place", F.shiftleft("batch", 6) + F.col("r.i")).join(_small(number.select("seed", "place")), "place")
+    return named_.select("seed", "id", "depth", "r.direction")
 
 
 def one_hop(edges: DataFrame, symbol: str, names: DataFrame | None = None) -> DataFrame:
@@ -130,36 +175,140 @@ def ask(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
     raise ValueError(f"unknown query: {text}")
 
 
-def communities(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """``(id, community)`` by label propagation over undirected weighted edges, no self loops; labels are texts.
+def weighted(edges: DataFrame) -> DataFrame:
+    """``(a, b, w)`` of an undirected graph, each pair both ways; w: how many edges join them. Self loops are dropped."""
+    pair = edges.filter("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    return settled(pair.union(pair.select("b", "a")).groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> float:
+    """Of a partition ``(id, community)`` of all nodes that an edge to another touches; 0 without edges."""
+    weight = weighted(edges)
+    ends = weight.join(labels.select(F.col("id").alias("a"), F.col("community").alias("c")), "a").join(labels.select(F.col("id").alias("b"), F.col("community").alias("d")), "b")
+    total = weight.agg(F.sum("w")).first()[0]
+    if not total:
+        return 0.0
+    each = ends.groupBy("c").agg(F.sum("w").alias("degree"), F.sum(F.when(F.col("c") == F.col("d"), F.col("w"))).alias("inside"))
+    return each.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / total - (F.col("degree") / total) ** 2)).first()[0]
+
+
+#: Gains of edges up to which a change counts as none.
+NO_GAIN = 1e-9
+
+
+def rounds_of_communities(edges: DataFrame) -> Iterator[DataFrame]:
+    """The labels ``(id, community)`` at the start, each node its own, and after each round that raises modularity.
 
-    A node wants the label with the most weight among its neighbours, ties to the least label, if that outweighs its own label
-    by more than half an edge. With rounds, all nodes that want to move do so together, that many times. Without, a node moves
-    only if its hash is above those of its neighbours that want to move, so no two neighbours move at once and every round
-    raises the weight inside communities; it ends where no node wants to move. A round is joins and aggregations with map-side
-    sums, whatever the degree of a node, and is settled. Communities of one node become one, ``misc``, if there are two or more.
+    Communities merge while a merge gains; then single nodes move while a move gains, and if any did,
+    communities merge again. It ends where neither gains, not after a number of rounds. Every round that is
+    given out raises modularity, for what merges or moves in it is chosen so that gains of a round add up.
     """
-    pair = edges.filter("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b"))
-    weight = settled(pair.union(pair.select("b", "a")).groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
-    labels = weight.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
-    done = 0
-    while rounds is None or done < rounds:
-        labels = settled(labels)
-        votes = weight.join(labels.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "community", "w")
-        votes = votes.union(labels.select("id", "community", F.lit(0.5)))
-        total = votes.groupBy("id", "community").agg(F.sum("w").alias("w"))
-        best = total.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("o"), "community")).alias("b")).select("id", "b.community")
-        done += 1
-        if rounds is not None:
-            labels = best
-            continue
-        wants = settled(best.join(labels, ["id", "community"], "left_anti").withColumn("place", F.xxhash64(F.col("id").cast("string"), F.lit(done))))
+    base = weighted(edges)
+    total = base.agg(F.sum("w")).first()[0]
+    labels = settled(base.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")))
+    yield labels
+    degree = settled(base.groupBy("a").agg(F.sum("w").alias("k")))
+    turn, changed = 0, bool(total)
+    while changed:
+        own = lambda end, as_: labels.select(F.col("id").alias(end), F.col("community").alias(as_))  # noqa: B023, E731
+        weight = base.join(own("a", "c"), "a").join(own("b", "d"), "b").filter("c <> d").groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum("w").alias("w"))
+        sums = degree.join(own("a", "c"), "a").groupBy(F.col("c").alias("a")).agg(F.sum("k").alias("k"))
+        for moved in _merges(settled(weight), settled(sums), total):
+            labels = settled(labels.join(moved.select(F.col("a").alias("community"), "to"), "community", "left").select("id", F.coalesce("to", "community").alias("community")))
+            yield labels
+        changed = False
+        while True:
+            turn += 1
+            moved = _node_moves(base, degree, labels, total, turn)
+            if moved is None:
+                break
+            labels = settled(labels.join(moved, "id", "left").select("id", F.coalesce("to", "community").alias("community")))
+            changed = True
+            yield labels
+
+
+def _merges(weight: DataFrame, degree: DataFrame, total: float) -> Iterator[DataFrame]:
+    """``(a, to)``, the merges of each round, until no merge gains.
+
+    Each community wants the neighbour that it gains most with (ties to the least). A hash of the round says which
+    ones stay and which move, so whoever is moved to doesn't move itself; of two that want each other and would both
+    move, the lesser stays. Several may move to one: each then needs a gain even if all the others come too, or else
+    only the best of them moves. Merged communities become the nodes of a smaller weighted graph, so a round is joins and sums
+    of edges between communities.
+    """
+    turn = 0
+    while True:
+        turn += 1
+        wants = settled(_wants(weight, degree, total).withColumn("moves", F.xxhash64(F.col("a").cast("string"), F.lit(turn)) % 2 == 0))
         if wants.isEmpty():
-            break
-        above = weight.join(wants.select(F.col("id").alias("a"), "place"), "a").join(wants.select(F.col("id").alias("b"), F.col("place").alias("other")), "b").filter("other > place or (other = place and b > a)")
-        movers = wants.join(above.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select("id", F.col("community").alias("moved"))
-        labels = labels.join(movers, "id", "left").select("id", F.coalesce("moved", "community").alias("community"))
-    return named(labels)
+            return
+        moved = settled(_moved(wants, total))
+        if moved.isEmpty():
+            continue
+        yield moved
+        new = lambda end, as_: moved.select(F.col("a").alias(end), F.col("to").alias(as_))  # noqa: B023, E731
+        ends = weight.join(new("a", "na"), "a", "left").join(new("b", "nb"), "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "w")
+        weight = settled(ends.filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w")))
+        degree = settled(degree.join(new("a", "na"), "a", "left").groupBy(F.coalesce("na", "a").alias("a")).agg(F.sum("k").alias("k")))
+
+
+def _node_moves(base: DataFrame, degree: DataFrame, labels: DataFrame, total: float, turn: int) -> DataFrame | None:
+    """``(id, to)``: nodes that move to the community of a neighbour, None if none gains.
+
+    Of neighbours that want to move only the one with the larger hash does, so links of a mover stay. It must gain even if its new
+    community gets, and its old one loses, all that want to; if that holds for none, the best mover of each pair of communities moves alone.
+    """
+    own = lambda end, as_: labels.select(F.col("id").alias(end), F.col("community").alias(as_))
+    sums = degree.join(own("a", "c"), "a").groupBy("c").agg(F.sum("k").alias("s"))
+    links = base.join(own("b", "d"), "b").groupBy("a", "d").agg(F.sum("w").alias("w")).join(own("a", "c"), "a")
+    inner = links.filter("c = d").select("a", F.col("w").alias("w0"))
+    out = links.filter("c <> d").join(inner, "a", "left").join(degree, "a").join(sums.withColumnRenamed("s", "sc"), "c").join(sums.select(F.col("c").alias("d"), F.col("s").alias("sd")), "d")
+    apart = F.col("w") - F.coalesce("w0", F.lit(0.0))
+    gains = out.select("a", "c", "d", "k", "sc", "sd", apart.alias("apart"), (apart - F.col("k") * (F.col("sd") - F.col("sc") + F.col("k")) / total).alias("gain")).filter(F.col("gain") > NO_GAIN)
+    best = gains.groupBy("a").agg(F.min(F.struct((-F.col("gain")).alias("o"), "d", "c", "k", "sc", "sd", "apart", "gain")).alias("r")).select("a", "r.*")
+    wants = settled(best.withColumn("place", F.xxhash64(F.col("a").cast("string"), F.lit(turn))))
+    if wants.isEmpty():
+        return None
+    near = base.join(wants.select("a", "place"), "a").join(wants.select(F.col("a").alias("b"), F.col("place").alias("other")), "b").filter("other > place or (other = place and b > a)")
+    free = settled(wants.join(near.select("a").distinct(), "a", "left_anti"))
+    into, from_ = free.groupBy("d").agg(F.sum("k").alias("into")), free.groupBy("c").agg(F.sum("k").alias("out"))
+    least = F.col("apart") - F.col("k") * (F.col("sd") - F.col("sc") + F.col("into") + F.col("out") - F.col("k")) / total
+    moved = settled(free.join(into, "d").join(from_, "c").filter(least > NO_GAIN).select(F.col("a").alias("id"), F.col("d").alias("to")))
+    if not moved.isEmpty():
+        return moved
+    rank = F.struct("gain", "place", "a")
+    top_to, top_from = free.groupBy("d").agg(F.max(rank).alias("t")), free.groupBy("c").agg(F.max(rank).alias("f"))
+    return settled(free.join(top_to, "d").join(top_from, "c").filter((rank == F.col("t")) & (rank == F.col("f"))).select(F.col("a").alias("id"), F.col("d").alias("to")))
+
+
+def _wants(weight: DataFrame, degree: DataFrame, total: float) -> DataFrame:
+    """``(a, b, w, k, kb, gain)``: the neighbour b that each community gains most with, if it gains; both ends of a pair gain the same, so the best pair of all want each other."""
+    ks = degree.select(F.col("a").alias("b"), F.col("k").alias("kb"))
+    gains = weight.join(degree, "a").join(ks, "b").withColumn("gain", F.col("w") - F.col("k") * F.col("kb") / total)
+    best = gains.filter(F.col("gain") > NO_GAIN).groupBy("a").agg(F.min(F.struct((-F.col("gain")).alias("o"), "b", "w", "k", "kb")).alias("r"))
+    return best.select("a", F.col("r.b").alias("b"), "r.w", "r.k", "r.kb", (-F.col("r.o")).alias("gain"))
+
+
+def _moved(wants: DataFrame, total: float) -> DataFrame:
+    """``(a, to)``: the communities that move to the one they want."""
+    other = wants.select(F.col("a").alias("b"), F.col("b").alias("back"), F.col("moves").alias("bmoves"))
+    stays = ~F.col("bmoves") | ((F.col("back") == F.col("a")) & (F.col("b") < F.col("a")))
+    asks = wants.filter("moves").join(other, "b", "left").filter(stays | F.col("bmoves").isNull())
+    crowd = asks.groupBy("b").agg(F.sum("k").alias("all"), F.max(F.struct("gain", "a")).alias("first"))
+    checked = asks.join(crowd, "b").withColumn("sure", F.col("w") - F.col("k") * (F.col("kb") + F.col("all") - F.col("k")) / total > NO_GAIN)
+    any_ = checked.groupBy("b").agg(F.max("sure").alias("any"))
+    return checked.join(any_, "b").filter(F.col("sure") | (~F.col("any") & (F.col("first.a") == F.col("a")))).select("a", F.col("b").alias("to"))
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """``(id, community)`` by modularity, over undirected edges weighted by how often they stand: the last labels of ``rounds_of_communities``.
+
+    A label is the least id of its members, as text. Communities of one node become one, ``misc``, if there are two or more.
+    """
+    for labels in rounds_of_communities(edges):
+        last = labels
+    least = last.groupBy("community").agg(F.min("id").alias("least"))
+    return named(last.join(least, "community").select("id", F.col("least").alias("community")))
 
 
 def named(labels: DataFrame) -> DataFrame:
@@ -177,58 +326,81 @@ def community_names(labels: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(community, nodes, internal, cohesion)``: edges inside over nodes."""
-    inside = edges.join(labels.select(F.col("id").alias("source"), F.col("community").alias("c")), "source").join(labels.select(F.col("id").alias("target"), F.col("community").alias("d")), "target").filter("c = d")
+    """``(community, nodes, internal, cohesion)``: pairs of a community that an edge joins, in whichever direction, over its nodes; to three digits."""
+    pairs = edges.filter("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    inside = pairs.join(labels.select(F.col("id").alias("a"), F.col("community").alias("c")), "a").join(labels.select(F.col("id").alias("b"), F.col("community").alias("d")), "b").filter("c = d")
     sizes = labels.groupBy("community").agg(F.count("*").alias("nodes"))
     counts = inside.groupBy(F.col("c").alias("community")).agg(F.count("*").alias("internal"))
-    return sizes.join(counts, "community", "left").select("community", "nodes", F.coalesce("internal", F.lit(0)).alias("internal"), F.round(F.coalesce("internal", F.lit(0)) / F.col("nodes"), 6).alias("cohesion"))
+    return sizes.join(counts, "community", "left").select("community", "nodes", F.coalesce("internal", F.lit(0)).alias("internal"), F.round(F.coalesce("internal", F.lit(0)) / F.col("nodes"), 3).alias("cohesion"))
 
 
 def processes(edges: DataFrame, entries: DataFrame, max_depth: int = 20, least: int = 3) -> DataFrame:
-    """``(entry, id, step)``: for each entry the nodes its calls reach, by depth then id, if there are ``least`` of them with itself.
+    """``(entry, id, step)``: the process of an entry holds what its calls reach, by depth then id, if there are ``least`` of them with itself.
 
-    All entries are walked at once; entries that another, lesser entry's process holds are left out.
+    Entries go by id, and one that the process of an earlier kept entry holds gets none. Which are kept is
+    fixed in rounds: an entry is kept once every earlier entry whose process holds it is known to be dropped, and
+    dropped once one of them is kept; the least open entry is always fixed, so it ends. Reach is held as words of
+    64 entries; only the processes of kept entries become rows.
     """
-    calls = edges.filter("type = 'CALLS'").select("source", "target").distinct()
-    frontier = entries.select(F.col("id").alias("entry"), "id").distinct()
-    seen = frontier.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
-        fresh = frontier.join(calls, F.col("id") == F.col("source")).select("entry", F.col("target").alias("id")).distinct().join(seen.select("entry", "id"), ["entry", "id"], "left_anti")
-        frontier = settled(fresh)
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier.withColumn("depth", F.lit(depth)))
-    sizes = seen.groupBy("entry").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("entry")
-    kept = seen.join(sizes, "entry", "left_semi")
-    covered = kept.filter(F.col("id") > F.col("entry")).join(sizes.select(F.col("entry").alias("id")), "id", "left_semi").select(F.col("id").alias("entry")).distinct()
+    number = numbered(entries)
+    reach = _calls_of(edges.filter("type = 'CALLS'").select("source", "target"), number, max_depth)
+    sizes = reach.select("batch", F.explode(places_of("bits")).alias("i")).groupBy("batch", "i").agg(F.count("*").alias("n"))
+    long = sizes.filter(F.col("n") >= least).withColumn("place", F.shiftleft("batch", 6) + F.col("i")).join(number, "place").select("place", F.col("seed").alias("entry"))
+    long = settled(long)
+    # an entry is held by earlier long ones: pairs of entries, one for each process that an entry lies in
+    in_ = reach.join(long.select(F.col("entry").alias("id")), "id").select("id", "batch", F.explode(places_of("bits")).alias("i")).withColumn("place", F.shiftleft("batch", 6) + F.col("i"))
+    open_ = settled(in_.join(_small(long), "place").filter("entry < id").select("id", "entry"))
+    left, kept = settled(long.select(F.col("entry").alias("id"))), None
+    while not left.isEmpty():
+        sure = settled(left.join(open_, "id", "left_anti"))  # no earlier open entry holds them
+        kept = sure if kept is None else kept.union(sure)
+        gone = settled(open_.join(sure.select(F.col("id").alias("entry")), "entry", "left_semi").select("id").distinct())
+        fixed = sure.union(gone)
+        left = settled(left.join(fixed, "id", "left_anti"))
+        open_ = settled(open_.join(gone, "id", "left_anti").join(fixed.select(F.col("id").alias("entry")), "entry", "left_anti"))
+    if kept is None:
+        return long.select("entry", F.col("entry").alias("id"), F.lit(0).alias("step")).limit(0)
+    mine = reach.select("id", "batch", "depth", F.explode(places_of("bits")).alias("i")).withColumn("place", F.shiftleft("batch", 6) + F.col("i"))
+    of = number.join(kept.withColumnRenamed("id", "seed"), "seed", "left_semi").select("place", F.col("seed").alias("entry"))
+    rows = mine.join(_small(of), "place").select("entry", "id", "depth")
     w = Window.partitionBy("entry").orderBy("depth", "id")
-    return kept.join(covered, "entry", "left_anti").select("entry", "id", F.row_number().over(w).alias("step"))
-
+    return rows.select("entry", "id", F.row_number().over(w).alias("step"))
 
-def ancestors(extends: DataFrame) -> DataFrame:
-    """``(child, parent, depth)``: every class above each class, by the fewest steps, however far; (child, parent) may hold cycles.
 
-    Pointers double: a round joins the paths known end to end and keeps the shortest of each pair, settled, so a chain of d
-    classes takes about log2(d) rounds; it ends when a round changes nothing.
-    """
-    size = lambda df: tuple(df.agg(F.count("*"), F.sum("depth")).first())
-    paths = settled(extends.select("child", "parent").filter("child <> parent").distinct().withColumn("depth", F.lit(1).cast("long")))
-    now, before = size(paths), None
-    while now != before:
-        step = paths.select(F.col("child").alias("mid"), "parent", F.col("depth").alias("more"))
-        longer = paths.select("child", F.col("parent").alias("mid"), "depth").join(step, "mid").select("child", "parent", (F.col("depth") + F.col("more")).alias("depth")).filter("child <> parent")
-        paths = settled(paths.union(longer).groupBy("child", "parent").agg(F.min("depth").alias("depth")))
-        before, now = now, size(paths)
-    return paths
+def _calls_of(calls: DataFrame, number: DataFrame, max_depth: int) -> DataFrame:
+    """``(batch, id, bits, depth)``: which entries first reach a node at which depth, themselves at 0; along calls only, not against them."""
+    frontier = settled(number.groupBy("batch", F.col("seed").alias("id")).agg(F.expr("bit_or(bit)").alias("bits")))
+    every = frontier.withColumn("depth", F.lit(0))
+    for depth in range(1, max_depth + 1):
+        seen = every.groupBy("batch", "id").agg(F.expr("bit_or(bits)").alias("seen"))
+        hop = calls.join(_small(frontier.select(F.col("id").alias("source"), "batch", "bits")), "source").groupBy("batch", F.col("target").alias("id")).agg(F.expr("bit_or(bits)").alias("bits"))
+        frontier = settled(hop.join(seen, ["batch", "id"], "left").select("batch", "id", F.expr("bits & ~coalesce(seen, 0L)").alias("bits")).filter("bits <> 0"))
+        if frontier.isEmpty():
+            break
+        every = every.union(frontier.withColumn("depth", F.lit(depth)))
+    return every
 
 
 def overrides(extends: DataFrame, methods: DataFrame) -> DataFrame:
     """``(cls, method, overridden)``: the same-named method of the nearest class above, one for each method.
 
-    extends: (child, parent); methods: (cls, method). Ties at one distance go to the least class.
+    extends: (child, parent), cycles allowed; methods: (cls, method). Ties at one distance go to the least class. Methods climb
+    a class at a time and stop where they are found, so only those without any are carried to the top.
     """
-    hits = methods.join(ancestors(extends), F.col("cls") == F.col("child")).join(methods.select(F.col("cls").alias("parent"), F.col("method").alias("same")), "parent").filter("method = same")
-    return hits.groupBy("cls", "method").agg(F.min(F.struct("depth", "parent")).alias("b")).select("cls", "method", F.col("b.parent").alias("overridden"))
+    up = settled(extends.select(F.col("child").alias("at"), "parent").filter("at <> parent").distinct())
+    have = settled(methods.select("cls", "method").distinct())
+    seen = have.withColumn("at", F.col("cls"))
+    climbing, found = seen, None
+    while True:
+        higher = climbing.join(up, "at").select("cls", "method", F.col("parent").alias("at")).distinct().join(seen, ["cls", "method", "at"], "left_anti")
+        higher = settled(higher.join(have.select(F.col("cls").alias("at"), "method", F.lit(True).alias("hit")), ["at", "method"], "left"))
+        if higher.isEmpty():
+            break
+        hit = settled(higher.filter("hit").groupBy("cls", "method").agg(F.min("at").alias("overridden")))
+        found = hit if found is None else found.union(hit)
+        climbing = higher.join(hit, ["cls", "method"], "left_anti").select("cls", "method", "at")
+        seen = seen.union(climbing)
+    return found if found is not None else have.select("cls", "method", F.col("cls").alias("overridden")).limit(0)
 
 
 def method_implements(implements: DataFrame, methods: DataFrame) -> DataFrame:
@@ -247,27 +419,51 @@ def impact_of_changes(nodes: DataFrame, edges: DataFrame, ranges: DataFrame, max
     """``(change, symbols, upstream, downstream, routes, risk)`` of each change with symbols in its ranges.
 
     All symbols are walked at once, each only once however many changes touch it; what several symbols of a change reach counts once.
+    Words of symbols become words of changes before they are shuffled, so pairs of a change and what it reaches are only ever counted.
     """
     touched = settled(symbols_in_ranges(nodes, ranges))
-    hits = impact(edges, touched.select("id").distinct(), max_depth)
-    reached = touched.join(hits.select(F.col("seed").alias("id"), F.col("id").alias("hit"), "direction"), "id").select("change", "hit", "direction").distinct()
-    kinds = reached.join(nodes.select(F.col("id").alias("hit"), "type"), "hit", "left")
-    counts = kinds.groupBy("change").agg(F.count_if(F.col("direction") == "up").alias("upstream"), F.count_if(F.col("direction") == "down").alias("downstream"), F.count_distinct(F.when(F.col("type") == "route", F.col("hit"))).alias("routes"))
+    number = numbered(touched)
+    hops = walk(edges, number, max_depth)
     sizes = touched.groupBy("change").agg(F.count("*").alias("symbols"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    counts = sizes.select("change", *[F.lit(0).alias(c) for c in ("upstream", "downstream", "routes")]).limit(0)
+    if hops is not None:
+        counts = _counts_of_changes(nodes, touched, number, hops)
     rows = sizes.join(counts, "change", "left").select("change", "symbols", zero("upstream"), zero("downstream"), zero("routes"))
     return rows.withColumn("risk", risk_of_change(F.col("routes"), F.col("upstream") + F.col("downstream")))
 
 
+def _counts_of_changes(nodes: DataFrame, touched: DataFrame, number: DataFrame, hops: DataFrame) -> DataFrame:
+    changes = numbered(touched.select(F.col("change").alias("id"))).select(F.col("seed").alias("change"), F.col("place").alias("cplace"), F.col("batch").alias("of"), F.col("bit").alias("own"))
+    masks = touched.join(number, F.col("id") == F.col("seed")).join(changes, "change").groupBy("batch", "of", "own").agg(F.expr("bit_or(bit)").alias("mask"))
+    reached = hops.groupBy("batch", "id").agg(F.expr("bit_or(down)").alias("down"), F.expr("bit_or(up)").alias("up"))
+    hits = reached.join(_small(settled(masks)), "batch").filter("((down | up) & mask) <> 0")
+    own = lambda c: F.when(F.expr(f"({c} & mask) <> 0"), F.col("own")).otherwise(F.lit(0).cast("long"))
+    words = hits.select("of", "id", own("down").alias("down"), own("up").alias("up")).groupBy("of", "id").agg(F.expr("bit_or(down)").alias("down"), F.expr("bit_or(up)").alias("up"))
+    kinds = words.join(nodes.filter("type = 'route'").select("id").distinct().withColumn("route", F.lit(True)), "id", "left")
+    each = kinds.withColumn("any", F.expr("down | up")).select("of", "down", "up", "route", F.explode(places_of("any")).alias("i"))
+    set_ = lambda c: F.getbit(F.col(c), F.col("i")) == 1
+    sums = each.groupBy("of", "i").agg(F.count_if(set_("up")).alias("upstream"), F.count_if(set_("down")).alias("downstream"), F.count_if(F.col("route")).alias("routes"))
+    return sums.withColumn("cplace", F.shiftleft("of", 6) + F.col("i")).join(changes.select("change", "cplace"), "cplace").select("change", "upstream", "downstream", "routes")
+
+
 def compare_versions(base_nodes: DataFrame, base_edges: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
     """One row ``(added, removed, modified, upstream, downstream, new_upstream, new_downstream, routes, risk)`` of two versions of a graph.
 
     What added and modified symbols reach in the target is its impact; what modified ones don't reach in the base is new.
     """
     changes = settled(version_diff(base_nodes, nodes, ["id"], ["type", "name", "file", "start", "stop"]))
-    seeds = changes.filter("change <> 'removed'").select("id")
-    reach = lambda e, s: impact(e, s, max_depth).select("id", "direction").distinct()
-    after = settled(reach(edges, seeds))
+
+    def reach(e: DataFrame, seeds: DataFrame) -> DataFrame:
+        """``(id, direction)`` of all seeds together: the words of a node only say whether any seed reaches it."""
+        hops = walk(e, numbered(seeds), max_depth)
+        if hops is None:
+            return seeds.select("id", F.lit("").alias("direction")).limit(0)
+        any_ = hops.groupBy("id").agg(F.max(F.col("down") != 0).alias("down"), F.max(F.col("up") != 0).alias("up"))
+        ways = F.array_compact(F.array(F.when(F.col("down"), "down"), F.when(F.col("up"), "up")))
+        return any_.select("id", F.explode(ways).alias("direction"))
+
+    after = settled(reach(edges, changes.filter("change <> 'removed'").select("id")))
     before = reach(base_edges, changes.filter("change = 'modified'").select("id")).withColumn("old", F.lit(True))
     joined = after.join(before, ["id", "direction"], "left").join(nodes.select("id", "type"), "id", "left")
     up, down, new = F.col("direction") == "up", F.col("direction") == "down", F.col("old").isNull()

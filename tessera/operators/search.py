@@ -29,7 +29,7 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPACE), lambda w: w != "")
 
 
-def _terms(query: str) -> list[str]:
+def terms_of(query: str) -> list[str]:
     return list(dict.fromkeys(query.lower().split()))
 
 
@@ -77,7 +77,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, mean: float |
 
     A negative idf is replaced by FLOOR times the mean idf over all terms of the corpus; mean: that number, if it is known.
     """
-    terms = _terms(query)
+    terms = terms_of(query)
     return _bm25(counted(docs, id_col, text_col, terms), range(len(terms)), lambda n: mean_idf(docs, text_col, n) if mean is None else mean)
 
 
@@ -86,7 +86,7 @@ def full_text(docs: DataFrame, id_col: str, text_col: str, query: str) -> DataFr
 
     The score is our own: the mean over terms of tf / (tf + 1), times 100.
     """
-    terms = [t for t in _terms(query) if t not in STOP_WORDS]
+    terms = [t for t in terms_of(query) if t not in STOP_WORDS]
     return _full_text(counted(docs, id_col, text_col, terms), range(len(terms)))
 
 
@@ -101,13 +101,22 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def fuse(lists: Sequence[DataFrame], limit: int) -> DataFrame:
-    """Reciprocal rank fusion of short ranked lists: the sum of 1 / (60 + rank), rank from 1, times 100."""
+    """Reciprocal rank fusion of short ranked lists: ``(id, score, raw)``, raw the sum of 1 / (60 + rank), rank from 1; score that times 100, to two digits."""
     w = Window.orderBy(F.desc("score"), "id")  # lists are top-k results, cut before
     parts = [x.withColumn("r", 1.0 / (RRF_K + F.row_number().over(w))).select("id", "r") for x in lists]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return top(both.groupBy("id").agg(F.round(100 * F.sum("r"), 4).alias("score")), limit)
+    fused = both.groupBy("id").agg(F.sum("r").alias("raw")).orderBy(F.desc("raw"), "id").limit(limit)
+    return fused.select("id", F.round(100 * F.col("raw"), 2).alias("score"), "raw")
+
+
+def filled(fused: DataFrame, limit: int, more: Callable[[], DataFrame]) -> DataFrame:
+    """The first ``limit`` of a fusion; where it has less than half of them, others are sorted in by their scores."""
+    if fused.count() >= limit // 2:
+        return fused.orderBy(F.desc("raw"), "id").limit(limit).select("id", "score")
+    both = fill(fused, more().withColumn("raw", F.lit(0.0)))
+    return both.orderBy(F.desc("score"), F.desc("raw"), "id").limit(limit).select("id", "score")
 
 
 def hybrid(docs: DataFrame, id_col: str, text_col: str, name: Column, query: str, limit: int, mean: float | None = None, others: DataFrame | None = None) -> DataFrame:
@@ -115,12 +124,12 @@ def hybrid(docs: DataFrame, id_col: str, text_col: str, name: Column, query: str
 
     others: a table with the id column where names are searched, if it isn't docs.
     """
-    terms = _terms(query)
+    terms = terms_of(query)
     rows = counted(docs, id_col, text_col, terms)
     found = _full_text(rows, [i for i, t in enumerate(terms) if t not in STOP_WORDS])
     scored = _bm25(rows, range(len(terms)), lambda n: mean_idf(docs, text_col, n) if mean is None else mean)
     fused = settled(fuse([top(found, 3 * limit), top(scored, 3 * limit)], 2 * limit))  # 2 * limit rows
-    return top(fused if fused.count() >= limit // 2 else fill(fused, by_name(docs if others is None else others, id_col, name, query, limit)), limit)
+    return filled(fused, limit, lambda: by_name(docs if others is None else others, id_col, name, query, limit))
 
 
 def fill(found: DataFrame, more: DataFrame) -> DataFrame:

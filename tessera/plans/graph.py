@@ -169,53 +169,66 @@ def staleness_grade(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", G.staleness(F.col("s_suppkey") % 16, F.col("s_nationkey") % 5 != 0).alias("grade"))
 
 
-_CALLS = "calls AS (SELECT DISTINCT o_custkey AS source, o_custkey * 2 + o_orderkey % 2 AS target FROM orders WHERE o_custkey * 2 < (SELECT max(o_custkey) FROM orders))"
+_CALLS = "calls AS (SELECT DISTINCT o_custkey AS source, o_custkey * 2 + o_orderkey % 2 AS target FROM orders)"
 
 
 def _calls(spark, sf_dir):
+    """Each order makes its customer call one of two others, so customers form branching chains."""
     orders = table(spark, sf_dir, "orders")
-    top = orders.agg(F.max("o_custkey")).first()[0]
-    return orders.filter(F.col("o_custkey") * 2 < top).select(F.col("o_custkey").alias("source"), (F.col("o_custkey") * 2 + F.col("o_orderkey") % 2).alias("target"), F.lit("CALLS").alias("type")).distinct()
+    return orders.select(F.col("o_custkey").alias("source"), (F.col("o_custkey") * 2 + F.col("o_orderkey") % 2).alias("target"), F.lit("CALLS").alias("type")).distinct()
 
 
-def _rounds(n: int) -> str:
-    rounds = ", ".join(f"""v{i} AS (SELECT id, community, sum(w) AS w FROM (SELECT a AS id, community, w FROM weight JOIN l{i - 1} ON id = b UNION ALL SELECT id, community, 0.5 FROM l{i - 1}) GROUP BY ALL),
-l{i} AS (SELECT id, arg_min(community, {{'o': -w, 'c': community}}) AS community FROM v{i} GROUP BY id)""" for i in range(1, n + 1))
-    weight = "weight AS (SELECT a, b, count(*)::DOUBLE AS w FROM (SELECT source AS a, target AS b FROM calls WHERE source <> target UNION ALL SELECT target, source FROM calls WHERE source <> target) GROUP BY ALL), l0 AS (SELECT DISTINCT a AS id, a AS community FROM weight)"
-    single = f"single AS (SELECT community FROM l{n} GROUP BY 1 HAVING count(*) = 1)"
-    named = f"named AS (SELECT id, CASE WHEN (SELECT count(*) FROM single) > 1 AND community IN (SELECT community FROM single) THEN 'misc' ELSE community::VARCHAR END AS community FROM l{n})"
-    return f"{weight}, {rounds}, {single}, {named}"
+@query("communities")
+def communities(spark, sf_dir):
+    """Merges of communities in rounds, which SQL can't say; tested by modularity against a greedy search."""
+    return G.communities(_calls(spark, sf_dir))
 
 
-@query("communities", f"WITH {_CALLS}, {_rounds(3)} SELECT id, community FROM named")
-def communities(spark, sf_dir):
-    """Three rounds, which SQL can say; without a number of rounds, labels move until they settle (tested by brute force)."""
-    return G.communities(_calls(spark, sf_dir), 3)
+_NATIONS = "labels AS (SELECT c_custkey AS id, c_nationkey AS community FROM customer)"
+
+
+def _nations(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
 
 
 @query("community_cohesion", f"""
-WITH {_CALLS}, {_rounds(3)}, i AS (SELECT x.community, count(*) AS internal FROM calls JOIN named x ON x.id = source JOIN named y ON y.id = target WHERE x.community = y.community GROUP BY 1)
-SELECT community, count(*) AS nodes, coalesce(any_value(internal), 0) AS internal, round(coalesce(any_value(internal), 0) / count(*), 6) AS cohesion FROM named LEFT JOIN i USING (community) GROUP BY community""")
+WITH {_CALLS}, {_NATIONS}, pairs AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM calls WHERE source <> target),
+i AS (SELECT x.community, count(*) AS internal FROM pairs JOIN labels x ON x.id = a JOIN labels y ON y.id = b WHERE x.community = y.community GROUP BY 1)
+SELECT community, count(*) AS nodes, coalesce(any_value(internal), 0) AS internal, round(coalesce(any_value(internal), 0) / count(*), 3) AS cohesion FROM labels LEFT JOIN i USING (community) GROUP BY community""")
 def community_cohesion(spark, sf_dir):
+    """Nations as communities of calling customers."""
+    return G.cohesion(_calls(spark, sf_dir), _nations(spark, sf_dir))
+
+
+@query("modularity", f"""
+WITH {_CALLS}, {_NATIONS}, both_ AS (SELECT source AS a, target AS b FROM calls WHERE source <> target UNION ALL SELECT target, source FROM calls WHERE source <> target),
+own AS (SELECT n.id, coalesce(l.community, n.id % 25) AS c FROM (SELECT DISTINCT a AS id FROM both_) n LEFT JOIN labels l USING (id)), m AS (SELECT count(*)::DOUBLE AS m FROM both_),
+ends AS (SELECT x.c, y.c AS d FROM both_ JOIN own x ON x.id = a JOIN own y ON y.id = b), each AS (SELECT c, count(*)::DOUBLE AS degree, count(*) FILTER (c = d)::DOUBLE AS inside FROM ends GROUP BY c)
+SELECT round(sum(inside / m - pow(degree / m, 2)), 9) AS modularity FROM each, m""")
+def modularity(spark, sf_dir):
+    """Of nations as communities; who is called but no customer falls into one by its number."""
     edges = _calls(spark, sf_dir)
-    return G.cohesion(edges, G.communities(edges, 3))
+    nodes = edges.filter("source <> target").select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    labels = nodes.join(_nations(spark, sf_dir), "id", "left").select("id", F.coalesce("community", F.col("id") % 25).alias("community"))
+    return spark.range(1).select(F.round(F.lit(G.modularity(edges, labels)), 9).alias("modularity"))
 
 
 @query("community_names", f"""
-WITH {_CALLS}, {_rounds(3)}, f AS (SELECT community, CASE WHEN id % 5 = 0 THEN '' ELSE 'm' || (id % 4) END AS name, count(*) AS n FROM named GROUP BY ALL)
+WITH {_NATIONS}, f AS (SELECT community, CASE WHEN id % 5 = 0 THEN '' ELSE 'm' || (id % 4) END AS name, count(*) AS n FROM labels GROUP BY ALL)
 SELECT community, arg_min(name, {{'o': -n, 'n': name}}) AS name, sum(n)::BIGINT AS nodes FROM f GROUP BY 1""")
 def community_names(spark, sf_dir):
-    labels = G.communities(_calls(spark, sf_dir), 3)
+    labels = _nations(spark, sf_dir)
     file = F.when(F.col("id") % 5 == 0, "main.py").otherwise(F.concat(F.lit("src/m"), (F.col("id") % 4).cast("string"), F.lit("/x.py")))
     return G.community_names(labels, labels.select("id", file.alias("file")))
 
 
 @query("process_steps", f"""
-WITH RECURSIVE {_CALLS}, entries AS (SELECT DISTINCT source AS entry FROM calls),
-walk(entry, id, depth) AS (SELECT entry, entry, 0 FROM entries UNION SELECT w.entry, c.target, w.depth + 1 FROM walk w JOIN calls c ON c.source = w.id WHERE w.depth < 20),
-seen AS (SELECT entry, id, min(depth) AS depth FROM walk GROUP BY ALL), big AS (SELECT entry FROM seen GROUP BY 1 HAVING count(*) >= 3),
-covered AS (SELECT DISTINCT s.id AS entry FROM seen s JOIN big b ON s.entry = b.entry WHERE s.id > s.entry AND s.id IN (SELECT entry FROM big))
-SELECT entry, id, row_number() OVER (PARTITION BY entry ORDER BY depth, id) AS step FROM seen WHERE entry IN (SELECT entry FROM big) AND entry NOT IN (SELECT entry FROM covered)""")
+WITH RECURSIVE {_CALLS}, walk(entry, id, depth) AS (SELECT DISTINCT source, source, 0 FROM calls UNION SELECT w.entry, c.target, w.depth + 1 FROM walk w JOIN calls c ON c.source = w.id WHERE w.depth < 20),
+seen AS (SELECT entry, id, min(depth) AS depth FROM walk GROUP BY ALL),
+big AS (SELECT entry, list(id) AS ids, row_number() OVER (ORDER BY entry) AS n FROM seen GROUP BY 1 HAVING count(*) >= 3),
+greedy(n, held, kept) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL
+  SELECT b.n, CASE WHEN list_contains(held, b.entry) THEN held ELSE list_concat(held, b.ids) END, CASE WHEN NOT list_contains(held, b.entry) THEN b.entry END FROM greedy g JOIN big b ON b.n = g.n + 1)
+SELECT entry, id, row_number() OVER (PARTITION BY entry ORDER BY depth, id) AS step FROM seen WHERE entry IN (SELECT kept FROM greedy)""")
 def process_steps(spark, sf_dir):
     calls = _calls(spark, sf_dir)
     return G.processes(calls, calls.select(F.col("source").alias("id")).distinct())

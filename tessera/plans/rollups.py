@@ -128,6 +128,17 @@ def subtree_counts(spark, sf_dir):
     return T.subtree_counts(_tree(spark, sf_dir), items, "folder")
 
 
+@query("tree_depth_first", f"""
+WITH RECURSIVE {_TREE}, items AS (SELECT 'c:' || o_custkey AS folder FROM orders),
+paths(id, parent, path, depth) AS (SELECT id, parent_id, [id], 0 FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.id, t.parent_id, list_append(p.path, t.id), p.depth + 1 FROM paths p JOIN tree t ON t.parent_id = p.id)
+SELECT row_number() OVER (ORDER BY path) AS position, p.id, parent, depth, (SELECT count(*) FROM items WHERE folder = p.id) AS direct,
+  coalesce((SELECT count(*) FROM walk w JOIN items ON folder = w.id WHERE w.ancestor = p.id), 0) AS total, (SELECT count(*) FROM tree k WHERE k.parent_id = p.id) AS children FROM paths p""")
+def tree_depth_first(spark, sf_dir):
+    """The folder tree as it is shown: depth first, with counts."""
+    items = table(spark, sf_dir, "orders").select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("folder"))
+    return T.depth_first(_tree(spark, sf_dir), items, "folder")
+
+
 @query("tree_copy", f"WITH RECURSIVE {_TREE} SELECT 'copy-' || t.id AS id, CASE WHEN t.id = 'r:2' THEN 'r:0' ELSE 'copy-' || t.parent_id END AS parent_id FROM walk w JOIN tree t ON t.id = w.id WHERE w.ancestor = 'r:2'")
 def tree_copy(spark, sf_dir):
     return T.copy(_tree(spark, sf_dir), "r:2", F.concat(F.lit("copy-"), "id"), "r:0")
