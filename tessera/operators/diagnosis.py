@@ -143,8 +143,19 @@ def search_terms(endpoint: Column, message: Column) -> Column:
     return F.array_distinct(F.concat(parts, names))
 
 
+#: The methods, and the words of which one must stand behind the status.
+HTTP_METHODS, FAILED_WORDS = ("GET", "POST", "PUT", "DELETE", "PATCH"), ("error", "fail", "timeout")
+#: Characters of the text from the method on that are kept as message.
+MESSAGE = 200
+
+
 def http_errors(text: Column) -> Column:
-    """All ``METHOD /path ... [nnn]`` of a text as structs (method, path, status)."""
-    pattern = r"(GET|POST|PUT|PATCH|DELETE) (/[^ ]*)[^\[\n]*\[([0-9]{3})\]"
-    three = [F.regexp_extract_all(text, F.lit(pattern), i) for i in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*[x.alias(n) for x, n in zip(three, ("method", "path", "status"), strict=True)]), lambda s: F.struct(s["method"].alias("method"), s["path"].alias("path"), s["status"].cast("int").alias("status")))
+    """All ``METHOD /path ... [nnn] ... error`` within lines of a text, in any case, as structs (method, path, status, message).
+
+    The message is what stands from the method on, also beyond the line, up to MESSAGE characters; a look-ahead takes it.
+    """
+    ahead = rf"(?=((?s:.{{0,{MESSAGE}}})))"
+    pattern = rf"(?i){ahead}({'|'.join(HTTP_METHODS)})\s+(/\S+)\s+.*?\[([0-9]{{3}})\].*?(?:{'|'.join(FAILED_WORDS)})"
+    names = ("message", "method", "path", "status")
+    groups = [F.regexp_extract_all(text, F.lit(pattern), i).alias(n) for i, n in enumerate(names, 1)]
+    return F.transform(F.arrays_zip(*groups), lambda s: F.struct(F.upper(s["method"]).alias("method"), s["path"].alias("path"), s["status"].cast("int").alias("status"), s["message"].alias("message")))

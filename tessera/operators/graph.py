@@ -213,10 +213,12 @@ def rounds_of_communities(edges: DataFrame) -> Iterator[DataFrame]:
         own = lambda end, as_: labels.select(F.col("id").alias(end), F.col("community").alias(as_))  # noqa: B023, E731
         weight = base.join(own("a", "c"), "a").join(own("b", "d"), "b").filter("c <> d").groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum("w").alias("w"))
         sums = degree.join(own("a", "c"), "a").groupBy(F.col("c").alias("a")).agg(F.sum("k").alias("k"))
-        for moved in _merges(settled(weight), settled(sums), total):
-            labels = settled(labels.join(moved.select(F.col("a").alias("community"), "to"), "community", "left").select("id", F.coalesce("to", "community").alias("community")))
+        weight = settled(weight.join(sums, "a").join(sums.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b").select("a", "b", "w", "k", "kb"))
+        for n, moved in enumerate(_merges(weight, total), 1):
+            labels = labels.join(moved.filter("a <> to").select(F.col("a").alias("community"), "to"), "community", "left").select("id", F.coalesce("to", "community").alias("community"))
+            labels = settled(labels) if n % 4 == 0 else labels
             yield labels
-        changed = False
+        labels, changed = settled(labels), False
         while True:
             turn += 1
             moved = _node_moves(base, degree, labels, total, turn)
@@ -227,29 +229,53 @@ def rounds_of_communities(edges: DataFrame) -> Iterator[DataFrame]:
             yield labels
 
 
-def _merges(weight: DataFrame, degree: DataFrame, total: float) -> Iterator[DataFrame]:
-    """``(a, to)``, the merges of each round, until no merge gains.
+def _merges(weight: DataFrame, total: float) -> Iterator[DataFrame]:
+    """``(a, to, k)``, the merges of each round and the degrees of what they make, until no merge gains. weight: (a, b, w, k, kb) with the degrees of both ends.
 
-    Each community wants the neighbour that it gains most with (ties to the least). A hash of the round says which
-    ones stay and which move, so whoever is moved to doesn't move itself; of two that want each other and would both
-    move, the lesser stays. Several may move to one: each then needs a gain even if all the others come too, or else
-    only the best of them moves. Merged communities become the nodes of a smaller weighted graph, so a round is joins and sums
-    of edges between communities.
+    Each community wants the neighbour that it gains most with (ties to the least). One that no other wants moves there, and
+    a quarter of the others by a hash of the round, if what they want doesn't move itself; of two that want only each other the lesser
+    stays. Several may move to one: each then needs a gain even if all the others come too, or else
+    only the best of them moves. Merged communities become the nodes of a smaller weighted graph, so a round is joins and
+    sums of edges between communities.
     """
     turn = 0
     while True:
         turn += 1
-        wants = settled(_wants(weight, degree, total).withColumn("moves", F.xxhash64(F.col("a").cast("string"), F.lit(turn)) % 2 == 0))
-        if wants.isEmpty():
-            return
-        moved = settled(_moved(wants, total))
+        wants = settled(_wants(weight, total))
+        moved = settled(_moved(wants, total, turn))
         if moved.isEmpty():
+            if wants.isEmpty():
+                return
             continue
         yield moved
-        new = lambda end, as_: moved.select(F.col("a").alias(end), F.col("to").alias(as_))  # noqa: B023, E731
-        ends = weight.join(new("a", "na"), "a", "left").join(new("b", "nb"), "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "w")
-        weight = settled(ends.filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w")))
-        degree = settled(degree.join(new("a", "na"), "a", "left").groupBy(F.coalesce("na", "a").alias("a")).agg(F.sum("k").alias("k")))
+        new = lambda end, as_, k: moved.select(F.col("a").alias(end), F.col("to").alias(as_), F.col("k").alias(k))  # noqa: B023, E731
+        ends = weight.join(new("a", "na", "ka"), "a", "left").join(new("b", "nb", "kn"), "b", "left")
+        ends = ends.select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "w", F.coalesce("ka", "k").alias("k"), F.coalesce("kn", "kb").alias("kb"))
+        weight = settled(ends.filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("k").alias("k"), F.max("kb").alias("kb")))
+
+
+def _wants(weight: DataFrame, total: float) -> DataFrame:
+    """``(a, b, w, k, kb, gain)``: the neighbour b that each community gains most with, if it gains; both ends of a pair gain the same, so the best pair of all want each other."""
+    gains = weight.withColumn("gain", F.col("w") - F.col("k") * F.col("kb") / total).filter(F.col("gain") > NO_GAIN)
+    best = gains.groupBy("a").agg(F.min(F.struct((-F.col("gain")).alias("o"), "b", "w", "k", "kb")).alias("r"))
+    return best.select("a", F.col("r.b").alias("b"), "r.w", "r.k", "r.kb", (-F.col("r.o")).alias("gain"))
+
+
+def _moved(wants: DataFrame, total: float, turn: int) -> DataFrame:
+    """``(a, to, k)``: the communities that move to the one they want, and those moved to, with the new degree of either's."""
+    both = wants.join(wants.select(F.col("a").alias("b"), F.col("b").alias("back")), "b", "left")
+    wanted = both.filter("back is null or back <> a").select(F.col("b").alias("a")).distinct().withColumn("wanted", F.lit(True))
+    moves = (F.col("wanted").isNull()) | (F.pmod(F.xxhash64(F.col("a").cast("string"), F.lit(turn)), F.lit(4)) == 0)
+    marked = wants.join(wanted, "a", "left").withColumn("moves", moves)
+    other = marked.select(F.col("a").alias("b"), F.col("b").alias("back"), F.col("moves").alias("bmoves"))
+    stays = ~F.coalesce("bmoves", F.lit(False)) | ((F.col("back") == F.col("a")) & (F.col("b") < F.col("a")))
+    asks = marked.filter("moves").join(other, "b", "left").filter(stays)
+    crowd = asks.groupBy("b").agg(F.sum("k").alias("all"), F.max(F.struct("gain", "a")).alias("first"))
+    checked = asks.join(crowd, "b").withColumn("sure", F.col("w") - F.col("k") * (F.col("kb") + F.col("all") - F.col("k")) / total > NO_GAIN)
+    any_ = checked.groupBy("b").agg(F.max("sure").alias("any"))
+    kept = checked.join(any_, "b").filter(F.col("sure") | (~F.col("any") & (F.col("first.a") == F.col("a")))).select("a", "b", "k", "kb")
+    made = kept.groupBy("b").agg((F.sum("k") + F.max("kb")).alias("new"))
+    return kept.join(made, "b").select("a", F.col("b").alias("to"), F.col("new").alias("k")).union(made.select("b", "b", "new"))
 
 
 def _node_moves(base: DataFrame, degree: DataFrame, labels: DataFrame, total: float, turn: int) -> DataFrame | None:
@@ -281,25 +307,6 @@ def _node_moves(base: DataFrame, degree: DataFrame, labels: DataFrame, total: fl
     return settled(free.join(top_to, "d").join(top_from, "c").filter((rank == F.col("t")) & (rank == F.col("f"))).select(F.col("a").alias("id"), F.col("d").alias("to")))
 
 
-def _wants(weight: DataFrame, degree: DataFrame, total: float) -> DataFrame:
-    """``(a, b, w, k, kb, gain)``: the neighbour b that each community gains most with, if it gains; both ends of a pair gain the same, so the best pair of all want each other."""
-    ks = degree.select(F.col("a").alias("b"), F.col("k").alias("kb"))
-    gains = weight.join(degree, "a").join(ks, "b").withColumn("gain", F.col("w") - F.col("k") * F.col("kb") / total)
-    best = gains.filter(F.col("gain") > NO_GAIN).groupBy("a").agg(F.min(F.struct((-F.col("gain")).alias("o"), "b", "w", "k", "kb")).alias("r"))
-    return best.select("a", F.col("r.b").alias("b"), "r.w", "r.k", "r.kb", (-F.col("r.o")).alias("gain"))
-
-
-def _moved(wants: DataFrame, total: float) -> DataFrame:
-    """``(a, to)``: the communities that move to the one they want."""
-    other = wants.select(F.col("a").alias("b"), F.col("b").alias("back"), F.col("moves").alias("bmoves"))
-    stays = ~F.col("bmoves") | ((F.col("back") == F.col("a")) & (F.col("b") < F.col("a")))
-    asks = wants.filter("moves").join(other, "b", "left").filter(stays | F.col("bmoves").isNull())
-    crowd = asks.groupBy("b").agg(F.sum("k").alias("all"), F.max(F.struct("gain", "a")).alias("first"))
-    checked = asks.join(crowd, "b").withColumn("sure", F.col("w") - F.col("k") * (F.col("kb") + F.col("all") - F.col("k")) / total > NO_GAIN)
-    any_ = checked.groupBy("b").agg(F.max("sure").alias("any"))
-    return checked.join(any_, "b").filter(F.col("sure") | (~F.col("any") & (F.col("first.a") == F.col("a")))).select("a", F.col("b").alias("to"))
-
-
 def communities(edges: DataFrame) -> DataFrame:
     """``(id, community)`` by modularity, over undirected edges weighted by how often they stand: the last labels of ``rounds_of_communities``.
 

@@ -21,9 +21,17 @@ def lookup(df: DataFrame, column: str, names: DataFrame, key: str, value: str, a
     return df.join(right, F.col(column) == F.col("_k"), "left").withColumn(as_, F.coalesce(F.col("_v").cast("string"), F.col(column).cast("string"))).drop("_k", "_v")
 
 
-def missing_pairs(left: DataFrame, values: Sequence, name: str, present: DataFrame) -> DataFrame:
-    """Rows of left with each of a few values that present doesn't hold yet; no cross join."""
-    each = left.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+#: Rows up to which a table of choices is one; more are refused.
+CHOICES = 1_000
+
+
+def missing_pairs(left: DataFrame, choices: DataFrame, present: DataFrame) -> DataFrame:
+    """Rows of left with each value of a small table of one column that present doesn't hold yet; each row is multiplied where it is, so no cross join."""
+    name = choices.columns[0]
+    values = sorted(r[0] for r in choices.distinct().limit(CHOICES + 1).collect())
+    if len(values) > CHOICES:
+        raise ValueError(f"more than {CHOICES} choices")
+    each = left.withColumn(name, F.explode(F.array(*map(F.lit, values)))) if values else left.withColumn(name, F.lit(None).cast(choices.schema[0].dataType)).limit(0)
     return each.join(present, [*left.columns, name], "left_anti")
 
 
@@ -142,3 +150,15 @@ def induced(edges: DataFrame, nodes: DataFrame, node: str, source: str = "source
     """Edges with both ends among the nodes."""
     ids = nodes.select(F.col(node).alias("_n")).distinct()
     return edges.join(ids, F.col(source) == F.col("_n"), "left_semi").join(ids, F.col(target) == F.col("_n"), "left_semi")
+
+
+def prefix_counts(prefixes: DataFrame, prefix: str, rows: DataFrame, text: str, n: str) -> DataFrame:
+    """``(prefix, total)``: the sum of n over the rows whose text begins with a prefix, in any case; prefixes without any are left out.
+
+    Each text is cut to the lengths that prefixes have (as many as the longest has characters at most), so the join is one of equal keys.
+    """
+    lengths = F.array_sort(F.collect_set(F.length(prefix)))
+    known = [x for x in (prefixes.agg(lengths.alias("l")).first().l or [])]
+    cut = F.explode(F.array(*[F.lit(x) for x in known]).cast("array<int>"))
+    parts = rows.select(F.col(n).alias("n"), F.lower(text).alias("t"), cut.alias("l")).filter(F.length("t") >= F.col("l")).groupBy(F.expr("substr(t, 1, l)").alias("key")).agg(F.sum("n").alias("total"))
+    return prefixes.select(F.col(prefix), F.lower(prefix).alias("key")).join(parts, "key").select(prefix, "total")

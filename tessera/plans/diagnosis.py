@@ -131,9 +131,19 @@ def code_search_terms(spark, sf_dir):
     return rows.select("log_id", F.size("t").alias("n_terms"), F.concat(F.array_join(parts, "/"), F.lit("|"), F.array_join(names, "/")).alias("terms"))
 
 
-@query("http_errors", f"""WITH {_LOGS} SELECT endpoint AS path, method, status_code AS status, count(*) AS n FROM logs WHERE status_code >= 400 GROUP BY ALL""")
+_OUTPUT = """paths AS (SELECT *, replace(endpoint, '/error/', '/fault/') AS path FROM logs), lines AS (SELECT log_id, CASE log_id % 2 WHEN 0 THEN method ELSE lower(method) END || ' ' || path || ' gave [' || status_code || '] ' ||
+  CASE log_id % 4 WHEN 0 THEN 'Error: ' || error_message WHEN 1 THEN 'and TIMEOUT' WHEN 2 THEN 'as it should' ELSE 'failed twice' END AS line FROM paths),
+texts AS (SELECT log_id, 'run ' || log_id || chr(10) || line || chr(10) || repeat(line || ' ', 3) AS text, line FROM lines)"""
+
+
+@query("http_errors", f"""WITH {_LOGS}, {_OUTPUT}
+SELECT log_id, method, path, status_code AS status, substr(text, instr(text, line), 200) AS message, 1 AS line FROM texts JOIN paths USING (log_id) WHERE log_id % 4 <> 2
+UNION ALL SELECT log_id, method, path, status_code, substr(text, length(text) - 3 * length(line) - 2 + i * (length(line) + 1), 200), 2 FROM texts JOIN paths USING (log_id), (VALUES (0), (1), (2)) t(i) WHERE log_id % 4 <> 2""")
 def http_errors(spark, sf_dir):
-    """Method, path and status scraped from lines of output."""
-    line = F.format_string("run: %s %s failed with [%d] error: %s", "method", "endpoint", "status_code", "error_message")
-    found = logs(spark, sf_dir).select(F.explode(D.http_errors(line)).alias("e")).select("e.*")
-    return found.filter("status >= 400").groupBy("path", "method", "status").agg(F.count("*").alias("n"))
+    """Method, path, status and message scraped from output; of each log one line with one error, and one with three."""
+    said = F.when(F.col("log_id") % 4 == 0, F.concat(F.lit("Error: "), "error_message")).when(F.col("log_id") % 4 == 1, "and TIMEOUT").when(F.col("log_id") % 4 == 2, "as it should").otherwise("failed twice")
+    method = F.when(F.col("log_id") % 2 == 0, F.col("method")).otherwise(F.lower("method"))
+    line = F.concat_ws(" ", method, F.replace("endpoint", F.lit("/error/"), F.lit("/fault/")), F.lit("gave"), F.format_string("[%d]", "status_code"), said)
+    text = F.concat(F.format_string("run %d\n", "log_id"), line, F.lit("\n"), F.repeat(F.concat(line, F.lit(" ")), 3))
+    found = logs(spark, sf_dir).select("log_id", F.posexplode(D.http_errors(text)).alias("n", "e"))
+    return found.select("log_id", "e.*", F.when(F.col("n") == 0, 1).otherwise(2).alias("line"))

@@ -64,12 +64,14 @@ def array_membership_join(spark, sf_dir):
 
 
 @query("cross_missing_pairs", """
-SELECT s_nationkey AS case_id, c AS config FROM (SELECT DISTINCT s_nationkey FROM supplier), (VALUES ('BUILDING'), ('MACHINERY'), ('NEW'), ('AUTOMOBILE')) t(c)
-WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_mktsegment = c AND c_acctbal > 8000)""")
+SELECT s_nationkey AS case_id, config FROM (SELECT DISTINCT s_nationkey FROM supplier), (SELECT DISTINCT c_mktsegment AS config FROM customer) t
+WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_mktsegment = config AND c_acctbal > 9000)""")
 def cross_missing_pairs(spark, sf_dir):
+    """Cases (nations) without a run in a configuration (segment)."""
     cases = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("case_id")).distinct()
-    present = table(spark, sf_dir, "customer").filter("c_acctbal > 8000").select(F.col("c_nationkey").alias("case_id"), F.col("c_mktsegment").alias("config"))
-    return J.missing_pairs(cases, ["BUILDING", "MACHINERY", "NEW", "AUTOMOBILE"], "config", present)
+    configs = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("config"))
+    present = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("case_id"), F.col("c_mktsegment").alias("config"))
+    return J.missing_pairs(cases, configs, present)
 
 
 @query("range_overlap_join", """

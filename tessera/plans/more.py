@@ -59,8 +59,7 @@ def route_impact(spark, sf_dir):
     both = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).union(edges.select("target", "source"))
     touching = both.join(found.select("id"), "id", "left_semi").distinct().groupBy("id").agg(F.count("*").alias("touching"))
     files = nodes.filter("type = 'function'").groupBy(F.col("file").alias("of")).agg(F.count("*").alias("n"))
-    folders = found.select("file").distinct()
-    sizes = folders.join(files, F.lower("of").startswith(F.lower("file"))).groupBy("file").agg(F.sum("n").alias("handlers"))  # folders of routes with files
+    sizes = J.prefix_counts(found.select("file").distinct(), "file", files, "of", "n").withColumnRenamed("total", "handlers")
     return found.join(touching, "id", "left").join(sizes, "file", "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("touching", "handlers")])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as C
 from tessera.operators import changes, diagnosis as D, predicates as P, scenario as S
 from tessera.operators.rounds import folder
-from tessera.plans.diagnosis import logs
+from tessera.plans.diagnosis import _CLASSIFIED, logs
 from tessera.plans.registry import query
 from tessera.sources import files
 from tessera.sources.tables import table
@@ -83,9 +83,9 @@ def count_serial(spark, sf_dir):
     return P.count_serial(table(spark, sf_dir, "customer").filter("c_custkey % 10 <> 3"), F.col("c_mktsegment").alias("project"), "TR-")
 
 
-@query("findings_in_order")
+@query("findings_in_order", f"WITH {_CLASSIFIED} SELECT log_id, classifier, confidence FROM found ORDER BY classifier <> 'rule', confidence DESC, log_id")
 def findings_in_order(spark, sf_dir):
-    """Findings by rules before fallbacks, the surest first. No SQL: the rules are checked by rule_classify, the order by a test."""
+    """Findings by rules before fallbacks, the surest first."""
     found = D.classify(logs(spark, sf_dir))
     return found.orderBy(*D.rules_first(found)).select("log_id", "classifier", "confidence")
 

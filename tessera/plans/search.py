@@ -127,13 +127,17 @@ def exact_then_best_pick(spark, sf_dir):
 
 
 @query("node_context", """
-WITH node AS (SELECT s_suppkey AS id FROM supplier ORDER BY s_suppkey LIMIT 1)
-SELECT id, l_partkey AS other, count(*) AS n FROM node JOIN lineitem ON l_suppkey = id GROUP BY ALL ORDER BY other LIMIT 50""")
+WITH edges AS (SELECT DISTINCT 'o:' || l_orderkey AS source, 'p:' || l_partkey AS target FROM lineitem UNION SELECT DISTINCT 'p:' || l_partkey, 's:' || l_suppkey FROM lineitem),
+node AS (SELECT 'p:' || max(p_partkey) AS id FROM part)
+SELECT id, source, target FROM node JOIN edges ON source = id OR target = id ORDER BY source, target LIMIT 50""")
 def node_context(spark, sf_dir):
-    """A node and the first fifty edges that touch it."""
-    node = table(spark, sf_dir, "supplier").orderBy("s_suppkey").select(F.col("s_suppkey").alias("id")).limit(1)
-    edges = table(spark, sf_dir, "lineitem").join(F.broadcast(node), F.col("l_suppkey") == F.col("id"))
-    return edges.groupBy("id", F.col("l_partkey").alias("other")).agg(F.count("*").alias("n")).orderBy("other").limit(50)
+    """A part and the first fifty edges that touch it: orders that call it, suppliers that it calls."""
+    lines = table(spark, sf_dir, "lineitem")
+    id_ = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    key = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
+    own = lines.filter(F.col("l_partkey") == key)
+    edges = own.select(id_("o:", "l_orderkey").alias("source"), id_("p:", "l_partkey").alias("target")).union(own.select(id_("p:", "l_partkey"), id_("s:", "l_suppkey"))).distinct()
+    return edges.orderBy("source", "target").limit(50).select(F.lit(f"p:{key}").alias("id"), "source", "target")
 
 
 @query("node_source_lines", """

@@ -21,7 +21,7 @@ def test_query_equals_its_sql(spark, db, name):
 
 
 def test_every_query_has_sql():
-    assert set(plans.QUERIES) - set(plans.SQL) == {"findings_in_order"}
+    assert set(plans.QUERIES) - set(plans.SQL) == {"communities"}
 
 
 def test_findings_by_rules_come_first(spark):
