@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from tessera.operators import scenario as S
+from tessera.operators import runs as R, scenario as S
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -145,3 +145,43 @@ def openapi_endpoints(spark, sf_dir):
     doc = F.format_string('{"openapi": "3.0", "paths": {"/parts/%d/{id}": {"parameters": [], "get": {"tags": ["%s", "x"], "summary": "Show %s"}, "delete": {"tags": []}}}}', "p_partkey", "p_brand", "p_name")
     text = F.regexp_replace(doc, '"parameters": \\[\\], ', "")
     return S.endpoints(table(spark, sf_dir, "part").select("p_partkey", text.alias("json")), "p_partkey", "json")
+
+
+_VALUES = """e AS (SELECT event_id, user_id, event_type, json_extract_string(props, '$.k') AS k FROM events),
+a AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN k END IGNORE NULLS) OVER w AS click, last_value(CASE WHEN event_type = 'view' THEN k END IGNORE NULLS) OVER w AS seen FROM e
+  WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, coalesce(click, '{{click}}') || '-' || coalesce(seen, '{{view}}') AS pair FROM a),
+c AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN pair END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS joined FROM b),
+d AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'buy ' || k || ' of ' || coalesce(joined, 'nothing') || coalesce(click, '{{click}}') END AS bought FROM c),
+f AS (SELECT *, last_value(bought IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_bought FROM d)"""
+
+
+@query("run_variables", f"""
+WITH {_VALUES} SELECT event_id, CASE event_type WHEN 'error' THEN 'GET /' || coalesce(last_bought, 'none yet') || '?' || coalesce(click, '{{{{click}}}}') WHEN 'purchase' THEN bought WHEN 'signup' THEN pair ELSE k END AS value FROM f""")
+def run_variables(spark, sf_dir):
+    """Users as runs, events as steps: clicks and views extract from their responses, sign-ups set a variable from both, purchases one from that, errors send a request with all."""
+    events = table(spark, sf_dir, "events")
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k")
+    steps = events.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("props").alias("body"), kind)
+    own = F.array(F.struct(kind.alias("name"), F.lit("$.k").alias("path")))
+    extracts = R.extracted(steps.filter(kind.isin("click", "view")).withColumn("extractors", own))
+    name = F.when(kind == "signup", "joined").when(kind == "purchase", "bought")
+    text = F.when(kind == "signup", "{{click}}-{{view}}").when(kind == "purchase", F.concat(F.lit("buy "), k, F.lit(" of {{joined}}{{click}}"))).otherwise("GET /{{bought}}?{{click}}")
+    row = lambda step, n, t: (F.col("user_id").alias("run"), step.alias("step"), F.lit(0).alias("nth"), n.alias("name"), t.alias("text"), F.lit(False).alias("fixed"))
+    sets = events.filter(kind.isin("signup", "purchase", "error")).select(*row(F.col("event_id"), name, text))
+    users = events.select("user_id").distinct()
+    begin = [users.select(*row(F.lit(R.START).cast("long"), F.lit(n), F.lit(t))) for n, t in (("joined", "nothing"), ("bought", "none yet"))]
+    found = R.resolved(extracts.unionByName(sets).unionByName(begin[0]).unionByName(begin[1]))
+    return found.filter(F.col("step") != R.START).select(F.col("step").alias("event_id"), "value")
+
+
+@query("previous_responses", """
+WITH s AS (SELECT user_id, event_id, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events)
+SELECT a.event_id, CASE WHEN a.event_id % 5 > 0 THEN json_extract_string(b.props, CASE a.event_id % 3 WHEN 0 THEN '$.none' ELSE '$.k' END) END AS value FROM s a LEFT JOIN s b ON b.user_id = a.user_id AND b.step = a.step - a.event_id % 5""")
+def previous_responses(spark, sf_dir):
+    """Mappings that take a value from the response of a step up to four before; one that names its own step, or a path that isn't there, gets none."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    steps = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", F.col("props").alias("body"), F.row_number().over(order).alias("step"))
+    path = F.when(F.col("event_id") % 3 == 0, "$.none").otherwise("$.k")
+    mappings = steps.select("run", "step", "event_id", (F.col("step") - F.col("event_id") % 5).cast("int").alias("source_step"), path.alias("path"))
+    return R.responses_before(mappings, steps).select("event_id", "value")
