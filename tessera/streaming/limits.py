@@ -1,14 +1,14 @@
-"""Streams: a rate limiter with state, rules on a stream, a cache that expires."""
+"""Streams: rules on a stream, windows, first events; and the rate limiter over a table."""
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 from time import monotonic
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.diagnosis import classify
 from tessera.sources.files import rule_tuples
@@ -16,55 +16,25 @@ from tessera.sources.files import rule_tuples
 WINDOW_S, MAX_REQUESTS = 60, 300
 
 
-def admit(times: list[float], kept: list[float], window_s: float, most: int) -> tuple[list[bool], list[float]]:
-    """Which requests pass, in order of time, and the times still in the window. Rejected ones are not recorded."""
-    passed = []
-    for t in times:
-        kept = [k for k in kept if k > t - window_s]
-        passed.append(len(kept) < most)
-        if passed[-1]:
-            kept = [*kept, t]
-    return passed, kept
-
-
-def rate_limited(requests: DataFrame, key: str, time: str, id_col: str, window_s: float = WINDOW_S, most: int = MAX_REQUESTS) -> DataFrame:
-    """``(key, id, admitted)`` of a stream of requests. State per key: at most ``most`` times.
-
-    Requests of a key are taken in order of time in each micro-batch; the state is dropped when the
-    stream's time is two windows past a key's last request.
-    """
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["t", "id"])
-        passed, kept = admit(rows["t"].tolist(), list(state.get[0]) if state.exists else [], window_s, most)
-        state.update((kept,))
-        state.setTimeoutTimestamp(max(int(1000 * (rows["t"].max() + 2 * window_s)), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": [str(k[0])] * len(rows), "id": rows["id"], "admitted": passed})
-
-    at = F.col(time).cast("timestamp").alias("at")
-    rows = requests.select(F.col(key).cast("string").alias("key"), at, F.col(id_col).cast("long").alias("id")).withWatermark("at", f"{int(window_s)} seconds").withColumn("t", F.col("at").cast("double"))
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, id long, admitted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def rate_limited_batch(requests: DataFrame, key: str, time: str, id_col: str, window_s: float = WINDOW_S, most: int = MAX_REQUESTS) -> DataFrame:
-    """``(key, id, admitted)`` of a table of requests, by the rule of ``rate_limited``.
+    """``(key, id, admitted)`` of a table of requests, by the rule of ``state.rate_limited``.
 
     Requests come sorted by key and time; a task goes through them one by one and holds the times of one window of one key, so a
     key with any number of requests needs no more memory than a window of it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, kept = None, []
+        now, window = None, deque()
         for batch in batches:
             passed = []
             for k, t in zip(batch["key"], batch["t"], strict=True):
                 if k != now:
-                    now, kept = k, []
-                ok, kept = admit([t], kept, window_s, most)
-                passed += ok
+                    now, window = k, deque()
+                while window and window[0] <= t - window_s:
+                    window.popleft()
+                passed.append(len(window) < most)
+                if passed[-1]:
+                    window.append(t)
             yield pd.DataFrame({"key": batch["key"], "id": batch["id"], "admitted": passed})
 
     rows = requests.select(F.col(key).cast("string").alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("t"), F.col(id_col).cast("long").alias("id"))

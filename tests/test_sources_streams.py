@@ -49,18 +49,6 @@ def test_rule_files(spark, tmp_path):
     assert [r.id for r in files.rules(spark, f"{tmp_path}/r.json").collect()] == ["b", "a"]
 
 
-def test_rate_limiter_state(spark, tmp_path):
-    passed, kept = limits.admit([0, 1, 2, 3, 61, 61.5, 62], [], 60, 3)
-    assert passed == [True, True, True, False, True, True, True] and kept == [61, 61.5, 62]
-    times = [("k", i, float(t)) for i, t in enumerate([0, 1, 2, 3, 61, 61.5, 62])] + [("m", 99, 0.0)]
-    frame = spark.createDataFrame(times, "key string, id long, t double").withColumn("at", F.timestamp_seconds(F.col("t") + 1_700_000_000))
-    frame.write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
-    q = limits.rate_limited(stream, "key", "at", "id", 60, 3).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
-    assert {r.id: r.admitted for r in spark.table("limited").collect()} == {0: True, 1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 99: True}
-
-
 def test_streams_equal_batches(spark, tmp_path):
     from tessera.plans.diagnosis import logs
 
