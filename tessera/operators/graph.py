@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.scalars import last_folder
@@ -388,6 +389,46 @@ def _calls_of(calls: DataFrame, number: DataFrame, max_depth: int) -> DataFrame:
     return every
 
 
+#: Nodes and calls of one process up to which its trace is told; a larger one is refused, not cut.
+TRACE_ROWS = 2_000_000
+
+
+def traces(steps: DataFrame, calls: DataFrame, entries: DataFrame | None = None, max_depth: int = 20, most: int = TRACE_ROWS) -> DataFrame:
+    """``(process, position, id, depth)``: the nodes of each process in depth-first order along the calls among them, no deeper than max_depth.
+
+    steps: (process, id); calls: (source, target); entries: (process, entry). Called nodes go by id. A process whose entry is one of its
+    nodes is walked from there; others from each node by id that no earlier one has reached. A process is a group of its own, its nodes
+    cogrouped with its calls; one of more than ``most`` rows raises, by a count before any is walked.
+    """
+    nodes = settled(steps.select("process", "id").distinct())
+    inside = calls.select("source", "target").distinct().join(nodes.select("process", F.col("id").alias("source")), "source")
+    inside = settled(inside.join(nodes.select("process", F.col("id").alias("target")), ["process", "target"], "left_semi").select("process", "source", "target"))
+    sizes = nodes.select("process").union(inside.select("process")).groupBy("process").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max(F.struct("n", "process")).alias("l")).first().l
+    if largest and largest.n > most:
+        raise ValueError(f"process {largest.process} has {largest.n} nodes and calls, more than {most}")
+    first = nodes.limit(0) if entries is None else entries.select("process", F.col("entry").alias("id")).distinct()
+    marked = nodes.join(first.withColumn("starts", F.lit(True)), ["process", "id"], "left").select("process", "id", F.coalesce("starts", F.lit(False)).alias("starts"))
+    kind = {c: nodes.schema[c].dataType.simpleString() for c in ("process", "id")}
+
+    def told(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        called: dict = {}
+        for s, t in sorted(zip(links["source"], links["target"], strict=True), reverse=True):
+            called.setdefault(s, []).append(t)
+        starts = sorted(own.loc[own["starts"], "id"]) or sorted(own["id"])
+        seen: dict = {}
+        for root in starts:
+            stack = [(root, 0)]
+            while stack:
+                node, depth = stack.pop()
+                if node not in seen and depth <= max_depth:
+                    seen[node] = depth
+                    stack += [(t, depth + 1) for t in called.get(node, ())]
+        return pd.DataFrame({"process": [own["process"].iloc[0]] * len(seen), "position": range(1, len(seen) + 1), "id": list(seen), "depth": list(seen.values())})
+
+    return marked.groupBy("process").cogroup(inside.groupBy("process")).applyInPandas(told, f"process {kind['process']}, position int, id {kind['id']}, depth int")
+
+
 def overrides(extends: DataFrame, methods: DataFrame) -> DataFrame:
     """``(cls, method, overridden)``: the same-named method of the nearest class above, one for each method.
 

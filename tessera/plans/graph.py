@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
+from tessera.operators.rounds import settled
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -222,18 +223,32 @@ def community_names(spark, sf_dir):
     return G.community_names(labels, labels.select("id", file.alias("file")))
 
 
-@query("process_steps", f"""
-WITH RECURSIVE {_CALLS}, walk(entry, id, depth) AS (SELECT DISTINCT source, source, 0 FROM calls UNION SELECT w.entry, c.target, w.depth + 1 FROM walk w JOIN calls c ON c.source = w.id WHERE w.depth < 20),
-seen AS (SELECT entry, id, min(depth) AS depth FROM walk GROUP BY ALL),
-big AS (SELECT entry, list(id) AS ids, row_number() OVER (ORDER BY entry) AS n FROM seen GROUP BY 1 HAVING count(*) >= 3),
+_PROCESSES = f"""WITH RECURSIVE {_CALLS}, walk(entry, id, depth) AS (SELECT DISTINCT source, source, 0 FROM calls UNION SELECT w.entry, c.target, w.depth + 1 FROM walk w JOIN calls c ON c.source = w.id WHERE w.depth < 20),
+seen AS MATERIALIZED (SELECT entry, id, min(depth) AS depth FROM walk GROUP BY ALL),
+big AS MATERIALIZED (SELECT entry, list(id) AS ids, row_number() OVER (ORDER BY entry) AS n FROM seen GROUP BY 1 HAVING count(*) >= 3),
 greedy(n, held, kept) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL
-  SELECT b.n, CASE WHEN list_contains(held, b.entry) THEN held ELSE list_concat(held, b.ids) END, CASE WHEN NOT list_contains(held, b.entry) THEN b.entry END FROM greedy g JOIN big b ON b.n = g.n + 1)
+  SELECT b.n, CASE WHEN list_contains(held, b.entry) THEN held ELSE list_concat(held, b.ids) END, CASE WHEN NOT list_contains(held, b.entry) THEN b.entry END FROM greedy g JOIN big b ON b.n = g.n + 1)"""
+
+
+@query("process_steps", f"""{_PROCESSES}
 SELECT entry, id, row_number() OVER (PARTITION BY entry ORDER BY depth, id) AS step FROM seen WHERE entry IN (SELECT kept FROM greedy)""")
 def process_steps(spark, sf_dir):
     calls = _calls(spark, sf_dir)
     return G.processes(calls, calls.select(F.col("source").alias("id")).distinct())
 
 
+@query("process_trace", f"""{_PROCESSES}, starts AS MATERIALIZED (SELECT kept FROM greedy WHERE kept IS NOT NULL),
+paths(entry, id, path) AS (SELECT kept, kept, [kept] FROM starts UNION ALL SELECT p.entry, c.target, list_append(p.path, c.target) FROM paths p JOIN calls c ON c.source = p.id WHERE len(p.path) <= 20),
+first AS (SELECT entry, id, min(path) AS path FROM paths GROUP BY ALL)
+SELECT entry AS process, row_number() OVER (PARTITION BY entry ORDER BY path) AS position, id, len(path) - 1 AS depth FROM first""")
+def process_trace(spark, sf_dir):
+    """All processes in depth-first order from their entries."""
+    calls = _calls(spark, sf_dir)
+    steps = settled(G.processes(calls, calls.select(F.col("source").alias("id")).distinct()).select(F.col("entry").alias("process"), "id"))
+    entries = steps.select("process", F.col("process").alias("entry")).distinct()
+    return G.traces(steps, calls, entries)
+
+
 @query("method_overrides", """
 WITH RECURSIVE up AS (SELECT s_suppkey AS child, s_suppkey - CASE WHEN s_suppkey % 50 = 1 THEN s_suppkey ELSE 1 END AS parent FROM supplier WHERE s_suppkey % 50 <> 1), methods AS (SELECT DISTINCT l_suppkey AS cls, l_returnflag || l_linestatus || l_linenumber AS method FROM lineitem),
 walk(child, parent, depth) AS (SELECT child, parent, 1 FROM up UNION SELECT w.child, u.parent, w.depth + 1 FROM walk w JOIN up u ON u.child = w.parent)

@@ -103,14 +103,3 @@ def request_resolution(spark, sf_dir):
 @query("feature_export", "SELECT 'Feature: ' || p_name || chr(10) || '  # p_brand: ' || p_brand || chr(10) || '  # p_size: ' || p_size AS value FROM part")
 def feature_export(spark, sf_dir):
     return S.features_text(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_size"])
-
-
-@query("process_trace", f"""
-WITH {_EDGES}, c AS (SELECT source, target FROM edges WHERE type = 'CALLS'), p AS (SELECT target AS id FROM c WHERE source = 'o:1'), i AS (SELECT source, target FROM c WHERE source IN (SELECT source FROM c WHERE target IN (SELECT id FROM p)) AND target IN (SELECT id FROM p))
-SELECT source, count(*) AS n FROM i GROUP BY 1""")
-def process_trace(spark, sf_dir):
-    """The calls inside one process: its nodes, and what calls them."""
-    calls = _edges(spark, sf_dir).filter("type = 'CALLS'")
-    inside = calls.filter("source = 'o:1'").select(F.col("target").alias("id")).distinct()
-    callers = calls.join(inside.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id")).distinct()
-    return J.induced(calls, inside.union(callers), "id").join(inside.withColumnRenamed("id", "target"), "target", "left_semi").groupBy("source").agg(F.count("*").alias("n"))

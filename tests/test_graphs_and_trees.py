@@ -225,3 +225,35 @@ def test_running_sums_go_over_ranges(spark):
         total[r.k] = total.get(r.k, 0) + r.v
         assert r.s == total[r.k]
     assert len(got) == 3000
+
+
+def told(nodes, calls, entry, max_depth):
+    seen = {}
+
+    def visit(n, depth):
+        if n in seen or depth > max_depth:
+            return
+        seen[n] = depth
+        for t in sorted(t for s, t in calls if s == n and t in nodes):
+            visit(t, depth + 1)
+
+    for n in [entry] if entry in nodes else sorted(nodes):
+        visit(n, 0)
+    return list(seen.items())
+
+
+@pytest.mark.parametrize("max_depth", [2, 20])
+def test_traces_equal_a_recursive_walk(spark, max_depth):
+    rng = random.Random(11)
+    calls = {(f"n{rng.randrange(25):02}", f"n{rng.randrange(25):02}") for _ in range(60)}
+    steps = {p: {f"n{rng.randrange(25):02}" for _ in range(15)} for p in "abc"}
+    entries = {"a": sorted(steps["a"])[3], "b": "elsewhere"}
+    frame = spark.createDataFrame([(p, n) for p, ns in steps.items() for n in ns], "process string, id string")
+    edges = spark.createDataFrame(sorted(calls), "source string, target string")
+    got = {}
+    for r in G.traces(frame, edges, spark.createDataFrame(sorted(entries.items()), "process string, entry string"), max_depth).orderBy("position").collect():
+        got.setdefault(r.process, []).append((r.id, r.depth))
+    assert got == {p: told(ns, calls, entries.get(p), max_depth) for p, ns in steps.items()}
+    with pytest.raises(ValueError, match="more than 10"):
+        G.traces(frame, edges, None, max_depth, most=10)
+    assert G.traces(frame.limit(0), edges).count() == 0
