@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tessera.operators.rounds import remove_written, run_dir, settled  # noqa: F401
+
 #: Rows in one Arrow batch. A batch holds whole texts, so it is kept small: the size of
 #: a batch, not of a partition, bounds the memory of a Python worker.
 ARROW_ROWS = 500
@@ -23,46 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session may leave it unset; it then gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: The folder of this run below the shared one.
-RUN = f"tessera-{uuid.uuid4().hex}"
-
-
-def run_dir(spark: SparkSession) -> str:
-    """The folder of this run: all that operators write there on their way. ``remove_written`` removes it."""
-    return f"{shared_dir(spark)}/{RUN}"
-
-
-def remove_written(spark: SparkSession) -> None:
-    """Remove what operators wrote on their way; call it when no result of theirs will be read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the run's folder and read it again.
-
-    This cuts the lineage: a later job rereads files that outlive any executor instead of
-    repeating the scan, and every reader sees the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the run's folder and read it again, as ``settled`` does; name: how its folder begins."""
+    return settled(df, name)
 
 
 def column(name: str) -> Column:

@@ -13,9 +13,8 @@ share is significantly the larger (z of ``MIN_Z``) and ``MIN_RATIO`` times the c
 phrases are learned too: pairs of neighbouring words of which one is a term, held by a share of
 clean texts that is larger likewise (z of ``EXCEPTION_Z``). The power and the curve are fitted on the same
 rows. At most ``train_rows`` labelled rows are used (those least by a hash of doc_id), a documented
-bound of the fit; a term is in at least ``MIN_SHARE`` of the toxic training rows, so the lexicon
-grows with the words of a text, not with the corpus, and ``MAX_TERMS`` bounds the broadcast. Scoring
-covers every whole text.
+bound of the fit; a term is in at least ``MIN_SHARE`` of the toxic training rows, so the lexicon, which
+is broadcast, grows with the words of a text, not with the corpus. Scoring covers every whole text.
 
 Look-alike letters are folded in words that hold a Latin letter too, or that consist of them alone,
 so words of other scripts stay as they are.
@@ -32,8 +31,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,6 @@ from tessera.llm._shared import column, first_rows, table, written
 
 FOLDS, HELD_OUT = 5, 0
 TRAIN_ROWS = 20_000
-MAX_TERMS = 5_000
 #: For terms, and for exception phrases, which are few.
 MIN_Z, EXCEPTION_Z = 4.0, 2.5
 MIN_RATIO = 8.0
@@ -94,28 +94,39 @@ def matcher(weights: dict[str, float], exceptions: Sequence[str]) -> Callable[[l
     """A function from folded words to the sum of the weights of the terms in them."""
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
+    patterns: dict[str, tuple[bool, float | None]] = {}  # whether it is an exception, and its weight as a term
+    for term, weight in weights.items():
+        patterns[f" {term[:-1]}" if term.endswith("*") else f" {term} "] = (False, weight)
     for phrase in exceptions:
         folded = " ".join(fold(phrase))
         if folded:
-            automaton.add_word(f" {folded} ", (len(folded) + 2, None))
-    for term, weight in weights.items():
-        pattern = f" {term[:-1]}" if term.endswith("*") else f" {term} "
-        automaton.add_word(pattern, (len(pattern), weight))
-    if not len(automaton):
+            pattern = f" {folded} "
+            patterns[pattern] = (True, patterns.get(pattern, (False, None))[1])
+    if not patterns:
         return lambda words: 0.0
+    automaton = ahocorasick.Automaton()
+    for pattern, (exception, weight) in patterns.items():
+        automaton.add_word(pattern, (len(pattern), exception, weight))
     automaton.make_automaton()
 
     def total(words: list[str]) -> float:
         terms: dict[int, float] = {}
         covered = []
-        for end, (length, weight) in automaton.iter(f" {' '.join(words)} "):
+        for end, (length, exception, weight) in automaton.iter(f" {' '.join(words)} "):
             start = end - length + 1
-            if weight is None:
+            if exception:
                 covered.append((start, end))
-            else:
+            if weight is not None:
                 terms[start] = max(terms.get(start, weight), weight)
-        return sum(w for a, w in terms.items() if not any(c <= a < d for c, d in covered))
+        covered.sort()
+        ends = list(accumulate((d for _, d in covered), max))  # the furthest end of the ranges up to each
+        starts = [c for c, _ in covered]
+
+        def free(at: int) -> bool:
+            before = bisect_right(starts, at)
+            return not before or at >= ends[before - 1]
+
+        return sum(w for at, w in terms.items() if free(at))
 
     return total
 
@@ -148,18 +159,25 @@ def terms_of(words: list[str]) -> set[str]:
     return distinct.union(f"{w[:n]}*" for w in distinct for n in STEMS if len(w) > n)
 
 
-def lexicon(training: DataFrame, toxic: int, clean: int, max_terms: int = MAX_TERMS) -> dict[str, float]:
-    """Term weights from ``(text, toxic)`` rows; toxic and clean: how many rows of each."""
+def lexicon(training: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+    """Term weights from ``(text, toxic)`` rows; toxic and clean: how many rows of each.
+
+    A term stands in MIN_SHARE of the toxic rows at least, so the driver gets 1 / MIN_SHARE times as many as a toxic training text has
+    terms on average, at most; training rows are a bounded sample.
+    """
     counts = _share_counts(training, terms_of)
     p, q = (F.col("t") + 0.5) / (toxic + 1), (F.col("c") + 0.5) / (clean + 1)
     weight = F.log(p / (1 - p)) - F.log(q / (1 - q))
     z = weight / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     kept = counts.filter((F.col("t") >= max(3, MIN_SHARE * toxic)) & (p > MIN_RATIO * q) & (z > MIN_Z)).select("term", weight.alias("w"), z.alias("z"))
-    return {r.term: float(r.w) for r in kept.orderBy(F.desc("z"), "term").limit(max_terms).collect()}
+    return {r.term: float(r.w) for r in sorted(kept.collect(), key=lambda r: (-r.z, r.term))}
+
 
+def learned_exceptions(training: DataFrame, weights: dict[str, float], toxic: int, clean: int) -> tuple[str, ...]:
+    """Pairs of neighbouring words, one of them a term, that are in a significantly larger share of clean texts.
 
-def learned_exceptions(training: DataFrame, weights: dict[str, float], toxic: int, clean: int, max_terms: int = MAX_TERMS) -> tuple[str, ...]:
-    """Pairs of neighbouring words, one of them a term, that are in a significantly larger share of clean texts."""
+    A pair stands in five clean training rows at least, which are a bounded sample, so the driver gets at most a fifth of their pairs with a term.
+    """
     stems = {t[:-1] for t in weights if t.endswith("*")}
 
     def pairs(words: list[str]) -> set[str]:
@@ -170,7 +188,7 @@ def learned_exceptions(training: DataFrame, weights: dict[str, float], toxic: in
     p, q = (F.col("t") + 0.5) / (toxic + 1), (F.col("c") + 0.5) / (clean + 1)
     z = (F.log(q / (1 - q)) - F.log(p / (1 - p))) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     kept = counts.filter((F.col("c") >= 5) & (q > MIN_RATIO * p) & (z > EXCEPTION_Z)).select("term", z.alias("z"))
-    return tuple(r.term for r in kept.orderBy(F.desc("z"), "term").limit(max_terms).collect())
+    return tuple(r.term for r in sorted(kept.collect(), key=lambda r: (-r.z, r.term)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -206,7 +224,7 @@ class Model:
 
 def _features(rows: DataFrame, model: Model) -> DataFrame:
     """``(toxic, total, words)`` of ``(text, toxic)`` rows: the sum of weights and the number of words."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # max_terms terms
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # as many terms as lexicon and learned_exceptions say
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +258,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score)`` of every row."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # max_terms terms
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # as many terms as lexicon and learned_exceptions say
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +276,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def reject(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents that are not predicted to be toxic, all columns."""
-    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, id_col, text_col))  # max_terms terms
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, id_col, text_col))  # as many terms as lexicon and learned_exceptions say
     schema = documents.schema
     at = schema.fieldNames().index(text_col)
 

@@ -83,3 +83,22 @@ def test_edge_rows(spark):
     none = tox.toxicity(frame, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
     assert tox.toxicity(frame.limit(0), labels).count() == 0
+
+
+def test_an_exception_equal_to_a_term_covers_it():
+    assert tox.matcher({"trash": 2.0}, ("trash",))(["trash"]) == 0
+    assert tox.matcher({"trash": 2.0, "tra*": 3.0}, ("trash",))(["trash", "tramp"]) == 3.0
+    assert tox.matcher({"trash": 2.0}, ("trash can",))(["trash", "trash", "can"]) == 2.0
+
+
+def test_covered_terms_take_linear_time():
+    import time
+
+    total = tox.matcher({"trash": 2.0}, ("trash can",))
+    took = []
+    for n in (20_000, 80_000):
+        words = ["trash", "can"] * n
+        began = time.process_time()
+        assert total(words) == 0
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.2
