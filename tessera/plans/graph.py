@@ -238,7 +238,7 @@ def process_steps(spark, sf_dir):
 
 
 @query("process_trace", f"""{_PROCESSES}, starts AS MATERIALIZED (SELECT kept FROM greedy WHERE kept IS NOT NULL),
-paths(entry, id, path) AS (SELECT kept, kept, [kept] FROM starts UNION ALL SELECT p.entry, c.target, list_append(p.path, c.target) FROM paths p JOIN calls c ON c.source = p.id WHERE len(p.path) <= 20),
+paths(entry, id, path) AS (SELECT kept, kept, [kept] FROM starts UNION ALL SELECT p.entry, c.target, list_append(p.path, c.target) FROM paths p JOIN calls c ON c.source = p.id AND c.target <> p.id WHERE len(p.path) <= 20),
 first AS (SELECT entry, id, min(path) AS path FROM paths GROUP BY ALL)
 SELECT entry AS process, row_number() OVER (PARTITION BY entry ORDER BY path) AS position, id, len(path) - 1 AS depth FROM first""")
 def process_trace(spark, sf_dir):
