@@ -30,9 +30,10 @@ def _nodes(spark, sf_dir):
     return orders.union(parts).union(of("customer", _id("c:", "c_custkey"), F.lit("class"), F.col("c_name"), "c_mktsegment", F.col("c_custkey"), F.lit(9)))
 
 
-def _edges(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(_id("o:", "l_orderkey").alias("source"), _id("p:", "l_partkey").alias("target"), F.lit("CALLS").alias("type")).distinct()
-    return lines.union(table(spark, sf_dir, "orders").select(_id("o:", "o_orderkey"), _id("c:", "o_custkey"), F.lit("EXTENDS")))
+def _edges(spark, sf_dir, distinct: bool = True):
+    """Calls and classes of orders. Walks may have calls as often as they stand: words of bits don't count them."""
+    lines = table(spark, sf_dir, "lineitem").select(_id("o:", "l_orderkey").alias("source"), _id("p:", "l_partkey").alias("target"), F.lit("CALLS").alias("type"))
+    return (lines.distinct() if distinct else lines).union(table(spark, sf_dir, "orders").select(_id("o:", "o_orderkey"), _id("c:", "o_custkey"), F.lit("EXTENDS")))
 
 
 def _walk(seeds: str, depth: int, h: str = "h", steps: str = "steps") -> str:
@@ -50,7 +51,7 @@ _HOPS = " UNION ALL ".join(f"SELECT seed, id, {d} AS depth, direction FROM h{d}"
 
 @query("bfs_impact", f"WITH {_EDGES}, {_STEPS}, {_ONE} SELECT * FROM ({_HOPS})")
 def bfs_impact(spark, sf_dir):
-    return G.impact(_edges(spark, sf_dir), spark.createDataFrame([("p:1",)], "id string"), 3)
+    return G.impact(_edges(spark, sf_dir, False), spark.createDataFrame([("p:1",)], "id string"), 3)
 
 
 _RANGES = "ranges AS (SELECT s_suppkey AS change, 'Brand#' || (1 + s_suppkey % 5) || (1 + s_nationkey % 5) AS file, s_suppkey * 3 AS start, s_suppkey * 3 + 40 * (s_suppkey % 4) AS stop FROM supplier)"
@@ -70,7 +71,7 @@ def change_impact(spark, sf_dir):
     file = F.concat(F.lit("Brand#"), (1 + F.col("s_suppkey") % 5).cast("string"), (1 + F.col("s_nationkey") % 5).cast("string"))
     start = F.col("s_suppkey") * 3
     ranges = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("change"), file.alias("file"), start.alias("start"), (start + 40 * (F.col("s_suppkey") % 4)).alias("stop"))
-    return G.impact_of_changes(_nodes(spark, sf_dir), _edges(spark, sf_dir), ranges, 2)
+    return G.impact_of_changes(_nodes(spark, sf_dir), _edges(spark, sf_dir, False), ranges, 2)
 
 
 @query("one_hop_impact", f"WITH {_EDGES} SELECT string_agg(DISTINCT source, ',' ORDER BY source) AS callers, '' AS callees FROM edges WHERE type = 'CALLS' AND target = (SELECT min(target) FROM edges WHERE type = 'CALLS')")
@@ -157,7 +158,7 @@ k AS (SELECT count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER
 SELECT *, CASE WHEN removed > 0 OR routes > 5 OR upstream + downstream > 50 THEN 'high' WHEN added > 5 OR routes > 0 OR upstream + downstream > 10 THEN 'medium' ELSE 'low' END AS risk FROM k, c""")
 def version_diff_risk(spark, sf_dir):
     """Two versions of the graph: parts that only one has, parts with other ends, and fewer calls in the older one."""
-    nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir)
+    nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir, False)
     key = F.when(F.col("id").startswith("p:"), F.substring("id", 3, 20).cast("long"))
     is_ = lambda n, r: F.coalesce(key % n == r, F.lit(False))
     base = nodes.filter(~is_(389, 11) | is_(401, 7)).withColumn("stop", F.when(is_(37, 0), F.col("stop") + 5).otherwise(F.col("stop")))
