@@ -6,13 +6,15 @@ when their outcomes are statistically alike (the ALERGIA test, by Hoeffding boun
 probabilistic automaton. Every other run of credential characters, and every part of a run beside
 a base span, is searched if it has ``LEAST`` characters, as labelled values have at least. A span
 may begin where the part begins, behind a separator or where a public format's literal stands, and
-end where the part ends or before a separator, there in a final state only. Its score is the best
+end where the part ends, before a separator or before such a literal, there in a final state only. Its score is the best
 log-likelihood of an automaton less that of the background, a character bigram model of all
 occurrences of runs of ``CANDIDATE_LEAST`` characters or more that touch no base span (but for
 those that a public format's automaton finds as much likelier than characters at even chances, and
 in a second count those that an automaton explains better than the first).
-Of spans of ``THRESHOLD`` nats and more the best is added, then the best left of it and right of
-it; base spans always stay, and added ones never overlap any. Parts whose bound (the sum of the
+A dynamic program adds the disjoint spans whose scores have the largest sum, each less ``OPENING``
+nats, if they reach ``THRESHOLD`` nats; in what these leave, those whose scores above the threshold
+have the largest sum. Its time is linear in the part. Base spans always stay, and added ones never
+overlap any. Parts whose bound (the sum of the
 largest gains that any path of an automaton could make at their pairs of characters) is below the
 threshold hold no such span, so only the others are walked.
 
@@ -71,6 +73,8 @@ TRAIN, TRAIN_LENGTH, SPECIMENS, SEED = 400, 512, 300, 7
 HELD = 50_000
 MERGE_CONFIDENCE = 0.01
 THRESHOLD = 20.0
+#: What a span costs where spans compete for a place, in nats: as if one boundary in some thousands began a credential.
+OPENING = 8.0
 END = ""
 #: The candidates' characters; with the end, or the start, one more.
 CHARACTERS = _UPPER + _LOWER + _DIGIT + "+/_.=-"
@@ -120,8 +124,8 @@ class Automaton:
         red, blue = [0], [t for _, t in sorted(arcs[0].items())]
         parent = {t: (0, c) for c, t in arcs[0].items()}
         while blue:
-            state = blue.pop(0)
-            for other in reversed(red):
+            state = max(blue, key=lambda t: sum(counts[t].values()))  # of a state met rarely too little is known yet
+            for other in red[:0:-1]:  # what a string begins with is not what it goes on with: nothing merges with the root
                 if self._alike(other, state, bound):
                     source, c = parent[state]
                     arcs[source][c] = other
@@ -242,54 +246,69 @@ class Model:
         scores = [(x, kind) for kind, a in self.automata.items() if (x := a.score(s)) is not None]
         return (max(scores)[0] - self.background(s), max(scores)[1]) if scores else None
 
-    def best(self, s: str, lo: int, hi: int) -> tuple[float, int, int, str] | None:
-        """(score, start, end, kind) of the best span of s[lo:hi], if it reaches the threshold.
+    def chosen(self, s: str, lo: int, hi: int, cost: float) -> list[tuple[int, int, str, float]]:
+        """(start, end, kind, score) of the disjoint spans of s[lo:hi] whose scores, less a cost for each, have the largest sum.
 
-        Spans that come to one state at one place have the same future, so only the best of them goes on.
+        One pass from left to right over all automata at once. Spans that come to one state at one place have the same future, so
+        only that goes on whose score and the best sum before its start are the most together.
         """
-        starts = [i == lo or s[i - 1] in SEPARATORS or s.startswith(_LITERALS, i) for i in range(lo, hi)]
-        ends = [i == hi or s[i] in SEPARATORS for i in range(lo + 1, hi + 1)]
-        inner = [0.0, *(self.pair(s[i - 1], s[i]) for i in range(lo + 1, hi))]
-        found = None
-        for kind, automaton in self.automata.items():
-            arcs, logs, other = automaton.arc, automaton.log, automaton.other
-            active: dict[int, tuple[float, int]] = {}  # by state: the best score and the negative start
-            for at, (c, start, end) in enumerate(zip(s[lo:hi], starts, ends, strict=True)):
-                if not (active or start):
+        first, last = s[lo:hi], range(lo + 1, hi)
+        starts = [True, *(s[i - 1] in SEPARATORS or s.startswith(_LITERALS, i) for i in last)]
+        ends = [*(s[i] in SEPARATORS or (s[i - 1] not in SEPARATORS and s.startswith(_LITERALS, i)) for i in last), True]
+        inner = [0.0, *(self.pair(s[i - 1], s[i]) for i in last)]
+        automata = [(kind, a.arc, a.log, a.other) for kind, a in self.automata.items()]
+        active: list[dict[int, tuple[float, int, float]]] = [{} for _ in automata]  # by state: sum up to here, negative start, own score
+        sums, taken = [0.0], [None]  # of each place: the best sum before it, and the span that ends there in it, if any
+        for at, c in enumerate(first):
+            top, span = sums[at], None
+            for n, (kind, arcs, logs, other) in enumerate(automata):
+                if not (active[n] or starts[at]):
                     continue
-                now: dict[int, tuple[float, int]] = {}
-                for state, (score, begin) in active.items():
+                now: dict[int, tuple[float, int, float]] = {}
+                for state, (total, begin, own) in active[n].items():
                     nxt = arcs[state].get(c)
                     if nxt is not None:
-                        new = score + logs[state].get(c, other[state]) - inner[at], begin
+                        gain = logs[state].get(c, other[state]) - inner[at]
+                        new = total + gain, begin, own + gain
                         if nxt not in now or new > now[nxt]:
                             now[nxt] = new
-                if start and (nxt := arcs[0].get(c)) is not None:
-                    new = logs[0].get(c, other[0]) - self.pair(START, c), -(lo + at)
+                if starts[at] and (nxt := arcs[0].get(c)) is not None:
+                    gain = logs[0].get(c, other[0]) - self.pair(START, c)
+                    new = sums[at] + gain - cost, -at, gain
                     if nxt not in now or new > now[nxt]:
                         now[nxt] = new
-                active = now
-                if end:
-                    for state, (score, begin) in active.items():
+                active[n] = now
+                if ends[at]:
+                    for state, (total, begin, own) in now.items():
                         if END in logs[state]:
-                            new = score + logs[state][END] - self.pair(c, END), begin, lo + at + 1, kind
-                            if new[0] >= THRESHOLD and (found is None or new > found):
-                                found = new
-        return found and (found[0], -found[1], *found[2:])
+                            gain = logs[state][END] - self.pair(c, END)
+                            if total + gain > top:
+                                top, span = total + gain, (-begin, at + 1, kind, own + gain)
+            sums.append(top)
+            taken.append(span)
+        found, at = [], hi - lo
+        while at:
+            if span := taken[at]:
+                found.append((lo + span[0], lo + span[1], *span[2:]))
+                at = span[0]
+            else:
+                at -= 1
+        return found[::-1]
 
     def spans(self, s: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, kind, score) of all spans found in a run or a part of one."""
-        found, parts = [], [(0, len(s))]
-        while parts:
-            lo, hi = parts.pop()
-            if hi - lo < LEAST:
-                continue
-            if hit := self.best(s, lo, hi):
-                found.append((*hit[1:], hit[0]))
-                parts += [(lo, hit[1]), (hit[2], hi)]
-            elif (lo, hi) == (0, len(s)) and (whole := self.likelihood(s)) and whole[0] >= THRESHOLD:
-                found.append((0, len(s), whole[1], whole[0]))  # the whole run may also end in a state that is not final
-        return found
+        """(start, end, kind, score) of all spans found in a run or a part of one, by start.
+
+        The best set at a cost of ``OPENING`` each, but for those below the threshold; then, in each part that this leaves, the
+        best set at a cost of the threshold, which is empty only where no span reaches it.
+        """
+        found = [x for x in self.chosen(s, 0, len(s), OPENING) if x[3] >= THRESHOLD]
+        edges = [0, *(i for x in found for i in x[:2]), len(s)]
+        for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+            if hi - lo >= LEAST:
+                found += self.chosen(s, lo, hi, THRESHOLD)
+        if not found and (whole := self.likelihood(s)) and whole[0] >= THRESHOLD:
+            found.append((0, len(s), whole[1], whole[0]))  # the whole run may also end in a state that is not final
+        return sorted(found)
 
 
 def parts_beside(text: str, spans: list[tuple]) -> Iterator[tuple[int, int]]:

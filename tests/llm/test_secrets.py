@@ -73,22 +73,30 @@ def test_held_out_credentials_are_found_and_words_are_not():
     assert not any((x := model.likelihood(w)) and x[0] >= secrets.THRESHOLD for w in words[2000:])
 
 
-def brute_best(model, s):
-    """The best span of a part by scoring every substring between boundaries in every automaton."""
+def brute_spans(model, s):
+    """(score, start, end) of every substring between boundaries that an automaton accepts."""
     found = []
     for lo in range(len(s)):
         if lo and s[lo - 1] not in secrets.SEPARATORS and not s.startswith(secrets._LITERALS, lo):
             continue
         for hi in range(lo + 1, len(s) + 1):
-            if hi < len(s) and s[hi] not in secrets.SEPARATORS:
+            if hi < len(s) and s[hi] not in secrets.SEPARATORS and (s[hi - 1] in secrets.SEPARATORS or not s.startswith(secrets._LITERALS, hi)):
                 continue
-            for kind, a in model.automata.items():
+            for a in model.automata.values():
                 at = 0
                 for c in s[lo:hi]:
                     at = a.arc[at].get(c) if at is not None else None
                 if at is not None and secrets.END in a.log[at]:
-                    found.append((round(a.score(s[lo:hi]) - model.background(s[lo:hi]), 6), lo, hi, kind))
-    return max((x for x in found if x[0] >= secrets.THRESHOLD), default=None)
+                    found.append((a.score(s[lo:hi]) - model.background(s[lo:hi]), lo, hi))
+    return found
+
+
+def brute_sum(spans, length, cost):
+    """The largest sum that disjoint spans make, each less the cost."""
+    best = [0.0] * (length + 1)
+    for hi in range(1, length + 1):
+        best[hi] = max([best[hi - 1], *(best[lo] + x - cost for x, lo, end in spans if end == hi)])
+    return best[length]
 
 
 def test_best_spans_equal_brute_force_and_bounds_lose_none():
@@ -99,9 +107,15 @@ def test_best_spans_equal_brute_force_and_bounds_lose_none():
     hits = 0
     for _ in range(400):
         s = "".join(rng.choices(pieces, k=rng.randint(1, 4)))
-        got, want = model.best(s, 0, len(s)), brute_best(model, s)
-        assert (got is None) == (want is None) and (got is None or abs(got[0] - want[0]) < 1e-5), s
+        every = brute_spans(model, s)
+        for cost in (secrets.OPENING, secrets.THRESHOLD):
+            got = model.chosen(s, 0, len(s), cost)
+            assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+            assert all(min((abs(x - g[3]) for x, lo, hi in every if (lo, hi) == g[:2]), default=9.0) < 1e-6 for g in got)
+            assert abs(sum(g[3] - cost for g in got) - brute_sum(every, len(s), cost)) < 1e-5, s
         spans = model.spans(s)
+        inside = [x for x in every if x[0] >= secrets.THRESHOLD + 1e-6 and all(x[2] <= a or b <= x[1] for a, b, *_ in spans)]
+        assert not inside, s  # nothing over the threshold is left beside those found
         hits += bool(spans)
         assert not spans or model.promising([s, "word", s[:1] * 9]) [:1] == [s]
     assert 100 < hits < 400
