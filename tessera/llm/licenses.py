@@ -29,6 +29,7 @@ cut. Other columns are not read, whatever their names. An empty table gives no r
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from functools import reduce
@@ -151,14 +152,16 @@ def frequencies(found: DataFrame) -> dict[int, int]:
     return {r["code"]: r["count"] for r in counted.collect()}  # one row per word of the library at most
 
 
-def _structs(rows: list[tuple], names: tuple[str, ...], kinds: tuple[str, ...]) -> Column:
-    made = [F.struct(*[F.lit(v).cast(k).alias(n) for v, n, k in zip(row, names, kinds, strict=True)]) for row in rows]
-    kind = "array<struct<" + ",".join(f"{n}:{k}" for n, k in zip(names, kinds, strict=True)) + ">>"
-    return (F.array(*made) if made else F.array()).cast(kind)
+def _fixed(value: list, kind: str) -> Column:
+    """A nested list as one literal: written as JSON and read once, when the plan's constants are folded."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def matches(library: Library, often: dict[int, int], hits: Column, n_words: Column) -> Column:
-    """(template, family, label, lo, hi, shared, containment) of every window that a template meets."""
+    """(family, lo, hi, template, label, shared, containment) of every window that a template meets, once each.
+
+    A match is found where the first word it shares stands first in the window, so no two need be compared to tell them apart.
+    """
     ranked = sorted(range(len(library.vocabulary)), key=lambda c: (often.get(c, 0), library.vocabulary[c]))
     rank = {c: i for i, c in enumerate(ranked)}
     index: list[list[tuple]] = [[] for _ in ranked]
@@ -166,8 +169,8 @@ def matches(library: Library, often: dict[int, int], hits: Column, n_words: Colu
         order = sorted(words, key=rank.get)
         for i, code in enumerate(order[: len(order) - library.needed[t] + 1], 1):
             index[code].append((t, i, library.lengths[t]))
-    starts = F.array(*[_structs(rows, ("t", "i", "len"), ("int", "int", "int")) for rows in index])
-    codes = lambda lists: F.array(*[F.lit(x).cast("array<int>") if x else F.array().cast("array<int>") for x in lists])
+    starts = _fixed([[dict(zip(("t", "i", "len"), row, strict=True)) for row in rows] for rows in index], "array<array<struct<t:int,i:int,len:int>>>")
+    codes = lambda lists: _fixed(lists, "array<array<int>>")
     ranks, must, never = codes([sorted(rank[c] for c in w) for w in library.words]), codes(library.must), codes(library.never)
     needed, rank_of = F.lit(library.needed), F.lit([rank[c] for c in range(len(rank))])
     families, labels = F.lit(library.families), F.lit(library.labels)
@@ -175,7 +178,7 @@ def matches(library: Library, often: dict[int, int], hits: Column, n_words: Colu
     def windows(h: Column) -> Column:
         def both(x: Column) -> Column:
             last = F.floor(h["at"] / x["len"]).cast("int")
-            return F.transform(F.filter(F.array(last - 1, last), lambda b: b >= 0), lambda b: F.struct(x["t"].alias("t"), x["i"].alias("i"), h["x"].alias("x"), (b * x["len"]).alias("lo"), ((b + 2) * x["len"]).alias("hi")))
+            return F.transform(F.filter(F.array(last - 1, last), lambda b: b >= 0), lambda b: F.struct(x["t"].alias("t"), x["i"].alias("i"), h["x"].alias("x"), h["at"].alias("at"), (b * x["len"]).alias("lo"), ((b + 2) * x["len"]).alias("hi")))
 
         return F.flatten(F.transform(F.get(starts, h["code"]), both))
 
@@ -183,7 +186,12 @@ def matches(library: Library, often: dict[int, int], hits: Column, n_words: Colu
         k, ts = F.get(needed, p["t"]), F.get(ranks, p["t"])
         wide = p["hi"] - p["lo"]  # a window's words, so no more of its hits lie on either side of one of them
         around = F.slice(hits, F.greatest(p["x"] - wide, F.lit(0)) + 1, 2 * wide + 1)
-        inside = F.array_distinct(F.transform(F.filter(around, lambda h: (h["at"] >= p["lo"]) & (h["at"] < p["hi"])), lambda h: h["code"]))
+        inside = F.filter(around, lambda h: (h["at"] >= p["lo"]) & (h["at"] < p["hi"]))
+
+        def once(held: Column) -> Column:
+            code = F.get(hits, p["x"])["code"]
+            again = F.exists(held, lambda h: (h["code"] == code) & (h["at"] < p["at"]))  # then that place gives the same match
+            return F.when(~again, let(F.array_distinct(F.transform(held, lambda h: h["code"])), exact))
 
         def exact(own: Column) -> Column:
             block = F.array_sort(F.transform(own, lambda c: F.get(rank_of, c)))
@@ -194,25 +202,38 @@ def matches(library: Library, often: dict[int, int], hits: Column, n_words: Colu
                 both = F.array_intersect(mine, ts)
                 right = (F.size(F.array_except(F.get(must, p["t"]), own)) == 0) & ~F.arrays_overlap(F.get(never, p["t"]), own)
                 met = close & right & (F.size(both) >= k) & (F.get(both, F.lit(0)) == first)
-                row = F.struct(p["t"].alias("t"), F.get(families, p["t"]).alias("family"), F.get(labels, p["t"]).alias("label"), p["lo"].alias("lo"), p["hi"].alias("hi"), F.size(both).alias("shared"), (F.size(both) / F.size(ts)).alias("containment"))
+                row = F.struct(F.get(families, p["t"]).alias("family"), p["lo"].alias("lo"), p["hi"].alias("hi"), p["t"].alias("t"), F.get(labels, p["t"]).alias("label"), F.size(both).alias("shared"), (F.size(both) / F.size(ts)).alias("containment"))
                 return F.when(met, row)
 
             return let(block, shared)
 
-        return F.when(F.least(n_words, p["hi"].cast("long")) - p["lo"] >= k, let(inside, exact))
+        return F.when(F.least(n_words, p["hi"].cast("long")) - p["lo"] >= k, let(inside, once))
 
     placed = F.transform(hits, lambda h, x: F.struct(h["at"].alias("at"), h["code"].alias("code"), x.alias("x")))
     starters = F.filter(placed, lambda h: F.size(F.get(starts, h["code"])) > 0)
-    return F.array_distinct(F.array_compact(F.transform(F.flatten(F.transform(starters, windows)), compared)))
+    return F.array_compact(F.transform(F.flatten(F.transform(starters, windows)), compared))
 
 
-def _best(met: Column) -> Column:
-    """Matches but for those that overlap one of their family with more shared words."""
+def _best(library: Library, met: Column) -> Column:
+    """Matches but for those that overlap one of their family with more shared words.
+
+    A template has one window at every L-th word, so sorted by family and place a match has at most as many neighbours that
+    it can overlap as the family's windows begin within the length of its longest; only those are looked at.
+    """
+    lengths: dict[str, list[int]] = {}
+    for family, length in zip(library.families, library.lengths, strict=True):
+        lengths.setdefault(family, []).append(length)
+    near = max(sum(2 * max(each) // n + 1 for n in each) for each in lengths.values())
+
+    def of(ordered: Column) -> Column:
+        def left(m: Column, i: Column) -> Column:
+            around = F.slice(ordered, F.greatest(i - near, F.lit(0)) + 1, 2 * near + 1)
+            beaten = F.exists(around, lambda o: (o["family"] == m["family"]) & (o["shared"] > m["shared"]) & (o["lo"] < m["hi"]) & (m["lo"] < o["hi"]))
+            return ~beaten
 
-    def beaten(m: Column) -> Column:
-        return F.exists(met, lambda o: (o["family"] == m["family"]) & (o["shared"] > m["shared"]) & (o["lo"] < m["hi"]) & (m["lo"] < o["hi"]))
+        return F.filter(ordered, left)
 
-    return F.filter(met, lambda m: ~beaten(m))
+    return let(F.array_sort(met), of)
 
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -223,7 +244,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     library = Library(threshold=threshold)
     found = written(occurrences(documents, library, id_col, text_col), "licenses")
     met = matches(library, frequencies(found), F.col("hits"), F.col("n_words"))
-    rows = found.withColumn("met", let(met, _best))
+    rows = found.withColumn("met", _best(library, met))
     labels = F.array_distinct(F.col("places.label"))
     more = F.array_distinct(F.concat(labels, F.col("met.label")))
     return rows.select(

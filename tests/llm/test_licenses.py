@@ -1,5 +1,6 @@
 import re
 import textwrap
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,28 @@ def test_labels_tell_licenses_apart_and_wrapped_texts_are_found(spark):
     rows = licenses.scan(frame).collect()
     assert {r.doc_id: r.labels for r in rows if r.doc_id != 11} == {i: x for i, (_, x) in data.items() if i != 11}
     check([r for r in rows if r.doc_id == 11], [(11, data[11][0])])
+
+
+def test_many_licenses_in_a_text_take_linear_time(spark):
+    """Of n, 2n and 4n paragraphs; planning, which is the same for all, counts in none."""
+    paragraphs = "\n".join(t[4] for t in licenses.TEMPLATES if t[1] == "mit" and len(t[4]) > 100)
+
+    def took(n):
+        rows = licenses.scan(spark.createDataFrame([(1, "\n".join([paragraphs] * n))], "doc_id long, text string"))
+        best = 1e9
+        for _ in range(3):
+            begin = time.perf_counter()
+            assert [r.labels for r in rows.collect()] == ["mit"]
+            best = min(best, time.perf_counter() - begin)
+        return best
+
+    took(50)
+    one, two, four = took(400), took(800), took(1600)
+    assert two < 2.8 * one and four < 2.8 * two
+
+
+def test_repeated_and_overlapping_matches_equal_brute_force(spark):
+    notices = [t[4] for t in licenses.TEMPLATES if t[0] in ("mit", "gpl", "reserved", "cc")]
+    texts = [" ".join(notices * 3), "\n".join(n for n in notices for _ in range(4)), "all rights reserved " * 400, " ".join(" ".join(n.split()[1:]) for n in notices * 2)]
+    data = list(enumerate(texts))
+    check(licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect(), data)
