@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tessera.operators import runs as R, scenario as S
+from tessera.operators import json_paths, runs as R, scenario as S
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -33,6 +33,31 @@ def mapping_sources(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", S.transformed(value, F.when(kind == "static", "upper").otherwise("no such")).alias("value"))
 
 
+@query("json_path_first", """
+SELECT l_orderkey, l_partkey::VARCHAR AS part FROM lineitem WHERE l_quantity > 45
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1""")
+def json_path_first(spark, sf_dir):
+    """Of each order, as a nested body, the part of its first line of a large quantity: a descent, then a comparison."""
+    line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.struct(F.col("l_quantity").alias("quantity")).alias("amount"))
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    bodies = orders.select("l_orderkey", F.to_json(F.struct(F.struct("lines").alias("order"))).alias("body"))
+    found = json_paths.first(bodies, "$..lines[?(@.amount.quantity > 45)].part", key="l_orderkey")
+    return found.select(F.col("key").alias("l_orderkey"), F.col("value").alias("part"))
+
+
+@query("json_path_wildcard", """
+WITH m AS (SELECT event_id, unnest([json_extract_string(props, '$.k'), event_type, user_id::VARCHAR]) AS value, unnest([0, 1, 2]) AS nth FROM events)
+SELECT value, nth, count(*) AS n FROM m GROUP BY value, nth""")
+def json_path_wildcard(spark, sf_dir):
+    """How often each value stands at each place among all values of two objects of an event's body."""
+    body = F.concat(F.lit('{"a":{"p":'), F.coalesce(F.get_json_object("props", "$.k"), F.lit("null")), F.lit(',"b":'), F.to_json(F.struct(F.col("event_type").alias("v"))), F.lit('},"c":['), F.coalesce(F.col("user_id").cast("string"), F.lit("null")), F.lit("]}"))
+    events = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+    leaves = json_paths.matches(events, "$..*", key="event_id").filter(~F.col("text").startswith("{") & ~F.col("text").startswith("["))
+    plain = F.when(F.col("text") != "null", F.try_variant_get(F.try_parse_json("text"), F.lit("$"), "string"))
+    where = F.when(F.col("at")[0] == -1, None).when((F.size("at") == 3) & (F.col("at")[0] == 0), 0).when(F.size("at") == 4, 1).otherwise(2)
+    return leaves.select(plain.alias("value"), where.alias("nth")).groupBy("value", "nth").agg(F.count("*").alias("n"))
+
+
 @query("assertion_eval", """
 WITH s AS (SELECT event_id, CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
 SELECT event_id, status = 200 AND event_type <> 'click' AND k > 9 AS passed,
