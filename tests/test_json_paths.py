@@ -83,3 +83,17 @@ def test_what_is_no_path_is_refused():
     for path in ("", "a", "$a", "$.", "$.a[", "$[?(@.a ~ 1)]", "$.a..", "$[?(a > 1)]"):
         with pytest.raises(ValueError):
             J.steps_of(path)
+
+
+def test_matches_are_written_as_spark_writes_them(spark):
+    """Numbers keep all digits, objects their order, and no job but the caller's own runs on the way."""
+    odd = ['{"z": 0.12345678901234567890123, "b": {"y": "ü\\u00fc", "x": [2.50, 1e3, -0]}}', '{"b": 10.0}', '{"b": "\\ud800"}', '{"b": {"a": "\\ud83d\\ude00"}} ', '{"c": [{"b": 12345678901234567890}]}']
+    frame = spark.createDataFrame(list(enumerate(odd)), "key long, body string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("walk", "walk")
+    found = J.matches(frame, "$..*")
+    assert len(tracker.getJobIdsForGroup("walk")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = {(r.key, tuple(r.at)): r.text for r in found.collect()}
+    assert got[0, (-1, 0)] == "0.12345678901234567890123" and got[0, (-1, 1)] == '{"y":"üü","x":[2.5,1000.0,0]}'
+    assert got[1, (-1, 0)] == "10" and got[3, (-1, 0)] == '{"a":"\\uD83D\\uDE00"}' and got[4, (0, 0, -1, 0)] == "12345678901234567890"
