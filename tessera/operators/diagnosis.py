@@ -152,10 +152,12 @@ MESSAGE = 200
 def http_errors(text: Column) -> Column:
     """All ``METHOD /path ... [nnn] ... error`` within lines of a text, in any case, as structs (method, path, status, message).
 
-    The message is what stands from the method on, also beyond the line, up to MESSAGE characters; a look-ahead takes it.
+    The message is what stands from the method on, also beyond the line, up to MESSAGE characters; a look-ahead takes it,
+    only where a method stands.
     """
-    ahead = rf"(?=((?s:.{{0,{MESSAGE}}})))"
-    pattern = rf"(?i){ahead}({'|'.join(HTTP_METHODS)})\s+(/\S+)\s+.*?\[([0-9]{{3}})\].*?(?:{'|'.join(FAILED_WORDS)})"
-    names = ("message", "method", "path", "status")
-    groups = [F.regexp_extract_all(text, F.lit(pattern), i).alias(n) for i, n in enumerate(names, 1)]
-    return F.transform(F.arrays_zip(*groups), lambda s: F.struct(F.upper(s["method"]).alias("method"), s["path"].alias("path"), s["status"].cast("int").alias("status"), s["message"].alias("message")))
+    ahead = rf"(?=(?:{'|'.join(HTTP_METHODS)})\s)(?=((?s:.{{0,{MESSAGE}}})))"
+    start = rf"({'|'.join(HTTP_METHODS)})\s+(/\S+)\s+.*?\[([0-9]{{3}})\]"
+    pattern = rf"(?i){ahead}{start}.*?(?:{'|'.join(FAILED_WORDS)})"
+    whole = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), i).alias(n) for i, n in enumerate(("all", "message"))])
+    part = lambda s, i: F.regexp_extract(s["all"], rf"(?i)^{start}", i)
+    return F.transform(whole, lambda s: F.struct(F.upper(part(s, 1)).alias("method"), part(s, 2).alias("path"), part(s, 3).cast("int").alias("status"), s["message"].alias("message")))

@@ -75,3 +75,13 @@ def test_rules_of_a_file(spark, tmp_path):
     assert len(cache.rules()) == 2 and files.rule_tuples(spark, str(path)) == []
     cache.seconds = 0
     assert cache.rules() == []
+
+
+def test_http_errors_of_long_texts_in_linear_time(spark):
+    """A long text without a method costs one pass; the look-ahead is only taken where a method stands."""
+    pattern = D.http_errors(F.col("t"))._jc.toString()
+    assert pattern.index("(?=(?:GET") < pattern.index("(?s:")
+    text = "x" * 3000 + "\nget /a\t/b [12] [404] y [500] Error GET /c [1000] [200] fail\nPUT /d [503] fine\n" + "y" * 300
+    row = spark.createDataFrame([(text,)], "t string").select(D.http_errors(F.col("t")).alias("e")).first().e
+    assert [(e.method, e.path, e.status) for e in row] == [("GET", "/a", 404), ("GET", "/c", 200)]
+    assert [len(e.message) for e in row] == [200, 200] and row[1].message.startswith("GET /c [1000]")
