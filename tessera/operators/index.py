@@ -11,8 +11,8 @@ CRC of the term, sorted by term, so that a query opens only its terms' folders a
 for all of them the documents, their length and the mean idf of all terms. It is written last, so a reader
 sees a whole version or the one before.
 
-Building shuffles the texts once, by block, and then the lists of postings by folder; a term that stands in
-every document is a row a block, dealt to one folder among ``SHARDS``. A query sums the bounds of a block
+Building counts words and makes the lists of postings where texts are read, and shuffles the lists once, by folder and to
+several tasks a folder; a term that stands in every document is a row a block, dealt to one folder among ``SHARDS``. A query sums the bounds of a block
 over its terms, takes the k-th best score of the most promising blocks, and scores only those blocks that
 may hold a better one.
 """
@@ -22,9 +22,13 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.operators.rounds import settled
@@ -34,6 +38,10 @@ from tessera.operators.search import B, FLOOR, K1, STOP_WORDS, by_name, filled,
 WIDTH = 256
 #: Folders of postings.
 SHARDS = 32
+#: Rows in one Arrow batch; a batch holds whole texts, so it bounds the memory of a Python worker.
+ARROW_ROWS = 512
+#: Tasks that a share of the texts, as many as one task reads, is dealt to as postings at least.
+SHARES = 4
 #: Blocks of a query's terms up to which all are scored at once, without bounds.
 UNPRUNED = 2_000
 #: The row of all types among those of each; types themselves have a sign before them.
@@ -78,31 +86,82 @@ def _read(spark: SparkSession, path: str, name: str, segments: Sequence[str]) ->
     return both
 
 
+def _lists(rows: DataFrame, width: int) -> DataFrame:
+    """``(term, kind, block, n, most, shortest, ids, tfs, sizes)`` of rows ``(id, kind, words)``: the postings of each term and block.
+
+    A block is what one task reads together of a type, up to width rows, so words are counted and listed where
+    they are read, and lists are all that is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
+        for whole in batches:
+            for at in range(0, len(whole), width):
+                batch = whole.slice(at, width)
+                kinds, words = batch.column(1).dictionary_encode(), batch.column(2)
+                sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+                terms = words.flatten().dictionary_encode()
+                if not len(terms):
+                    continue
+                doc = np.repeat(np.arange(len(batch)), sizes)
+                kind = kinds.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                # one number for a type, a term and a row, so that equal ones stand together when sorted
+                lists = kind[doc] * len(terms.dictionary) + terms.indices.to_numpy(zero_copy_only=False)
+                found, tf = np.unique(lists * len(batch) + doc, return_counts=True)
+                own, doc = np.divmod(found, len(batch))
+                start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                kind, term = np.divmod(own[start], len(terms.dictionary))
+                ends = pa.array(np.r_[start, len(own)].astype(np.int32))
+                size = sizes[doc].astype(np.int32)
+                tf = tf.astype(np.int32)
+                made = [
+                    terms.dictionary.take(pa.array(term)),
+                    kinds.dictionary.take(pa.array(kind)),
+                    pa.array(np.full(len(start), block, np.int64)),
+                    pa.array(np.diff(np.r_[start, len(own)]).astype(np.int32)),
+                    pa.array(np.maximum.reduceat(tf, start)),
+                    pa.array(np.minimum.reduceat(size, start)),
+                    *(pa.ListArray.from_arrays(ends, values) for values in (batch.column(0).take(pa.array(doc)), pa.array(tf), pa.array(size))),
+                ]
+                yield pa.RecordBatch.from_arrays(made, names=["term", "kind", "block", "n", "most", "shortest", "ids", "tfs", "sizes"])
+                block += 1
+
+    own = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"term string, kind string, block long, n int, most int, shortest int, ids array<{own}>, tfs array<int>, sizes array<int>")
+
+
+def _dealt(df: DataFrame, shards: int, tasks: int) -> DataFrame:
+    """Rows with a term by folder, and each folder by the term to several tasks, so that a task's share doesn't grow with the input."""
+    parts = max(1, -(-tasks // shards))
+    crc = F.crc32(F.col("term").cast("binary"))
+    return df.withColumns({"shard": (crc % shards).cast("int"), "_part": F.pmod(F.floor(crc / shards), F.lit(parts)).cast("int")}).repartition(shards * parts, "shard", "_part")
+
+
 def _write_segment(docs: DataFrame, path: str, id_col: str, text_col: str, type_col: str | None, shards: int, width: int) -> str:
     segment = f"segment-{uuid.uuid4().hex}"
     kind = F.concat(F.lit("="), F.coalesce(F.col(type_col).cast("string"), F.lit(""))) if type_col else F.lit("=")
-    rows = docs.select(F.col(id_col).alias("id"), kind.alias("kind"), F.col(text_col).alias("text"))
-    folder, tasks = f"{path}/{segment}", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.select("id", "kind", F.size(tokens(F.col("text"))).alias("size")).write.parquet(f"{folder}/documents")
-    placed = rows.withColumn("place", F.monotonically_increasing_id()).withColumn("block", F.shiftright("place", width.bit_length() - 1))
-    words = placed.repartition(tasks, "block").select("id", "kind", "place", "block", tokens(F.col("text")).alias("words"))
-    each = words.select("id", "kind", "place", "block", F.size("words").alias("size"), F.explode("words").alias("term"))
-    counted = each.groupBy("block", "kind", "place", "id", "size", "term").agg(F.count("*").cast("int").alias("tf"))
-    shard = (F.crc32(F.col("term").cast("binary")) % shards).cast("int").alias("shard")
-    lists = counted.groupBy(shard, "term", "kind", "block").agg(
-        F.count("*").cast("int").alias("n"), F.max("tf").alias("most"), F.min("size").alias("shortest"), F.collect_list(F.struct("id", "tf", "size")).alias("docs")
-    )
-    lists.repartition(shards, "shard").sortWithinPartitions("shard", "term", "kind", "block").write.partitionBy("shard").parquet(f"{folder}/postings")
-    known = _read(docs.sparkSession, path, "postings", [segment]).groupBy("shard", "term", "kind").agg(F.sum("n").alias("df"))
-    known.repartition(shards, "shard").sortWithinPartitions("shard", "term", "kind").write.partitionBy("shard").parquet(f"{folder}/terms")
+    rows = docs.select(F.col(id_col).alias("id"), kind.alias("kind"), tokens(F.col(text_col)).alias("words"))
+    spark, folder = docs.sparkSession, f"{path}/{segment}"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    splits = docs.rdd.getNumPartitions()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), SHARES * splits)
+    rows.select("id", "kind", F.size("words").alias("size")).write.parquet(f"{folder}/documents")
+    lists = _dealt(_lists(rows, width), shards, tasks).sortWithinPartitions("shard", "term", "kind", "block")
+    columns = [c for c in lists.columns if c not in ("ids", "tfs", "sizes", "_part", "shard")]
+    docs_ = F.transform("ids", lambda d, i: F.struct(d.alias("id"), F.get("tfs", i).alias("tf"), F.get("sizes", i).alias("size")))
+    lists.select(*columns, docs_.alias("docs"), "shard").write.partitionBy("shard").parquet(f"{folder}/postings")
+    known = _dealt(_read(spark, path, "postings", [segment]).select("term", "kind", "n"), shards, tasks).groupBy("shard", "_part", "term", "kind").agg(F.sum("n").alias("df"))
+    known.drop("_part").sortWithinPartitions("shard", "term", "kind").write.partitionBy("shard").parquet(f"{folder}/terms")
     return segment
 
 
 def _write_statistics(spark: SparkSession, path: str, version: int, segments: Sequence[str], shards: int) -> None:
     sizes = _read(spark, path, "documents", segments).groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     both = sizes.union(sizes.agg(F.lit(_ALL), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))))
-    df = _read(spark, path, "terms", segments).groupBy("term", "kind").agg(F.sum("df").alias("df"))
-    each = settled(df).select("term", F.explode(F.array("kind", F.lit(_ALL))).alias("kind"), "df").groupBy("term", "kind").agg(F.sum("df").alias("df"))
+    terms = _read(spark, path, "terms", segments).select("term", "kind", "df")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), terms.rdd.getNumPartitions())
+    of = terms.repartition(tasks, "term").groupBy("term", "kind").agg(F.sum("df").alias("df"))  # both sums from one shuffle, by term
+    each = of.union(of.groupBy("term").agg(F.sum("df").alias("df")).select("term", F.lit(_ALL), "df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = each.join(F.broadcast(both.select("kind", "n")), "kind").groupBy("kind").agg(F.avg(idf).alias("mean_idf"))  # as many rows as types
     rows = both.join(mean, "kind", "left").select("kind", "n", "total", F.coalesce("mean_idf", F.lit(0.0)).alias("mean_idf"), F.array(*map(F.lit, segments)).alias("segments"), F.lit(shards).alias("shards"))

@@ -110,3 +110,17 @@ def test_no_documents(spark, path):
     assert I.bm25(empty, "cat", 3).count() == 0 and I.full_text(empty, "cat").count() == 0
     grown = I.append(empty, spark.createDataFrame([(1, "a", "cat")], SCHEMA), "id", "text", "kind")
     assert [r.id for r in I.bm25(grown, "cat", 3).collect()] == [1]
+
+
+def test_lists_are_made_where_texts_are_read(spark):
+    """Words aren't shuffled one by one: a task makes lists of a block, and equal terms of one folder go to one of several tasks."""
+    frame = spark.createDataFrame(documents(100, 4), SCHEMA).repartition(2).selectExpr("id", "coalesce(kind, '') kind", "filter(split(lower(coalesce(text, '')), '[ \t]+'), w -> w != '') words")
+    lists = I._lists(frame, 16)
+    assert lists._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the repartition above
+    rows = lists.collect()
+    assert len({(r.term, r.kind, r.block) for r in rows}) == len(rows) and max(r.n for r in rows) <= 16
+    got = {(r.term, i, tf, size) for r in rows for i, tf, size in zip(r.ids, r.tfs, r.sizes, strict=True)}
+    assert got == {(w, r.id, r.words.count(w), len(r.words)) for r in frame.collect() for w in r.words}
+    dealt = I._dealt(lists, 4, 12).withColumn("task", F.spark_partition_id())
+    assert {r.n for r in dealt.groupBy("term").agg(F.countDistinct("task").alias("n")).collect()} == {1}
+    assert dealt.rdd.getNumPartitions() == 12
