@@ -249,10 +249,7 @@ def _merges(weight: DataFrame, total: float) -> Iterator[DataFrame]:
                 return
             continue
         yield moved
-        new = lambda end, as_, k: moved.select(F.col("a").alias(end), F.col("to").alias(as_), F.col("k").alias(k))  # noqa: B023, E731
-        ends = weight.join(new("a", "na", "ka"), "a", "left").join(new("b", "nb", "kn"), "b", "left")
-        ends = ends.select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "w", F.coalesce("ka", "k").alias("k"), F.coalesce("kn", "kb").alias("kb"))
-        weight = settled(ends.filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("k").alias("k"), F.max("kb").alias("kb")))
+        weight = _contracted(weight, moved)
 
 
 def _wants(weight: DataFrame, total: float) -> DataFrame:
@@ -279,6 +276,37 @@ def _moved(wants: DataFrame, total: float, turn: int) -> DataFrame:
     return kept.join(made, "b").select("a", F.col("b").alias("to"), F.col("new").alias("k")).union(made.select("b", "b", "new"))
 
 
+def merged(edges: DataFrame) -> DataFrame:
+    """``(id, community)``: communities that grow by merging, in each round all pairs that gain most with each other, until no merge gains.
+
+    Nothing is drawn and nodes don't move again, so SQL can say the same. A label is the least id of its members, as text; ``named`` joins single nodes.
+    """
+    base = weighted(edges)
+    total = base.agg(F.sum("w")).first()[0]
+    labels = settled(base.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")))
+    if not total:
+        return named(labels)
+    degree = settled(base.groupBy("a").agg(F.sum("w").alias("k")))
+    weight = base.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b").select("a", "b", "w", "k", "kb")
+    while True:
+        wants = settled(_wants(weight, total))
+        if wants.isEmpty():
+            return named(labels)
+        back = wants.select(F.col("a").alias("b"), F.col("b").alias("a"))
+        pairs = wants.join(back, ["a", "b"], "left_semi").filter("a > b").select("a", "b", (F.col("k") + F.col("kb")).alias("k"))
+        moved = settled(pairs.select("a", F.col("b").alias("to"), "k").union(pairs.select("b", "b", "k")))
+        labels = settled(labels.join(moved.select(F.col("a").alias("community"), "to"), "community", "left").select("id", F.coalesce("to", "community").alias("community")))
+        weight = _contracted(weight, moved)
+
+
+def _contracted(weight: DataFrame, moved: DataFrame) -> DataFrame:
+    """The edges (a, b, w, k, kb) between what is left after moves (a, to, k)."""
+    new = lambda end, as_, k: moved.select(F.col("a").alias(end), F.col("to").alias(as_), F.col("k").alias(k))
+    ends = weight.join(new("a", "na", "ka"), "a", "left").join(new("b", "nb", "kn"), "b", "left")
+    ends = ends.select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "w", F.coalesce("ka", "k").alias("k"), F.coalesce("kn", "kb").alias("kb"))
+    return settled(ends.filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("k").alias("k"), F.max("kb").alias("kb")))
+
+
 def _node_moves(base: DataFrame, degree: DataFrame, labels: DataFrame, total: float, turn: int) -> DataFrame | None:
     """``(id, to)``: nodes that move to the community of a neighbour, None if none gains.
 

@@ -193,13 +193,25 @@ def _nations(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
 
 
+_MERGED = f"""WITH RECURSIVE {_CALLS}, w AS MATERIALIZED (SELECT a, b, count(*)::DOUBLE AS w FROM (SELECT source AS a, target AS b FROM calls WHERE source <> target UNION ALL SELECT target, source FROM calls WHERE source <> target) GROUP BY ALL),
+m AS MATERIALIZED (SELECT sum(w) AS m FROM w), d AS MATERIALIZED (SELECT a AS id, sum(w) AS k FROM w GROUP BY 1),
+rounds(n, id, c) AS (SELECT 0, id, id FROM d UNION ALL (WITH cur AS (SELECT * FROM rounds), s AS (SELECT c, sum(k) AS k FROM cur JOIN d USING (id) GROUP BY 1),
+  e AS (SELECT x.c AS a, y.c AS b, sum(w.w) AS w FROM w JOIN cur x ON x.id = w.a JOIN cur y ON y.id = w.b WHERE x.c <> y.c GROUP BY 1, 2),
+  g AS (SELECT e.a, e.b, e.w - p.k * q.k / m AS gain FROM e JOIN s p ON p.c = e.a JOIN s q ON q.c = e.b, m WHERE e.w - p.k * q.k / m > 1e-9), t AS (SELECT a, arg_min(b, {{'g': -gain, 'b': b}}) AS b FROM g GROUP BY a),
+  pair AS (SELECT x.a, x.b FROM t x JOIN t y ON x.b = y.a AND y.b = x.a WHERE x.a > x.b)
+  SELECT n + 1, id, coalesce(pair.b, c) FROM cur LEFT JOIN pair ON pair.a = c WHERE EXISTS (SELECT 1 FROM pair))),
+merged AS MATERIALIZED (SELECT id, c FROM rounds WHERE n = (SELECT max(n) FROM rounds)), single AS (SELECT c FROM merged GROUP BY 1 HAVING count(*) = 1),
+labels AS MATERIALIZED (SELECT id, CASE WHEN (SELECT count(*) FROM single) > 1 AND c IN (SELECT c FROM single) THEN 'misc' ELSE c::VARCHAR END AS community FROM merged)"""
+
+
 @query("community_cohesion", f"""
-WITH {_CALLS}, {_NATIONS}, pairs AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM calls WHERE source <> target),
+{_MERGED}, pairs AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM calls WHERE source <> target),
 i AS (SELECT x.community, count(*) AS internal FROM pairs JOIN labels x ON x.id = a JOIN labels y ON y.id = b WHERE x.community = y.community GROUP BY 1)
 SELECT community, count(*) AS nodes, coalesce(any_value(internal), 0) AS internal, round(coalesce(any_value(internal), 0) / count(*), 3) AS cohesion FROM labels LEFT JOIN i USING (community) GROUP BY community""")
 def community_cohesion(spark, sf_dir):
-    """Nations as communities of calling customers."""
-    return G.cohesion(_calls(spark, sf_dir), _nations(spark, sf_dir))
+    """Of communities found in all calls."""
+    calls = _calls(spark, sf_dir)
+    return G.cohesion(calls, G.merged(calls))
 
 
 @query("modularity", f"""
@@ -216,10 +228,11 @@ def modularity(spark, sf_dir):
 
 
 @query("community_names", f"""
-WITH {_NATIONS}, f AS (SELECT community, CASE WHEN id % 5 = 0 THEN '' ELSE 'm' || (id % 4) END AS name, count(*) AS n FROM labels GROUP BY ALL)
+{_MERGED}, f AS (SELECT community, CASE WHEN id % 5 = 0 THEN '' ELSE 'm' || (id % 4) END AS name, count(*) AS n FROM labels GROUP BY ALL)
 SELECT community, arg_min(name, {{'o': -n, 'n': name}}) AS name, sum(n)::BIGINT AS nodes FROM f GROUP BY 1""")
 def community_names(spark, sf_dir):
-    labels = _nations(spark, sf_dir)
+    """Of communities found in all calls."""
+    labels = G.merged(_calls(spark, sf_dir))
     file = F.when(F.col("id") % 5 == 0, "main.py").otherwise(F.concat(F.lit("src/m"), (F.col("id") % 4).cast("string"), F.lit("/x.py")))
     return G.community_names(labels, labels.select("id", file.alias("file")))
 

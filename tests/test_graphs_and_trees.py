@@ -257,3 +257,10 @@ def test_traces_equal_a_recursive_walk(spark, max_depth):
     with pytest.raises(ValueError, match="more than 10"):
         G.traces(frame, edges, None, max_depth, most=10)
     assert G.traces(frame.limit(0), edges).count() == 0
+
+
+def test_merged_communities_of_two_triangles(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, 4), (3, 4), (7, 7)]
+    found = {r.id: r.community for r in G.merged(spark.createDataFrame(edges, "source long, target long")).collect()}
+    assert found == {1: "1", 2: "1", 3: "1", 4: "4", 5: "4", 6: "4"}
+    assert G.merged(spark.createDataFrame([], "source long, target long")).count() == 0
