@@ -54,10 +54,12 @@ near AS (SELECT r.id, count(*) AS handlers FROM r JOIN nodes s ON s.file ILIKE r
 SELECT r.id, (SELECT count(*) FROM t WHERE t.id = r.id) AS touching, coalesce(any_value(handlers), 0) AS handlers FROM r LEFT JOIN near USING (id) GROUP BY r.id""")
 def route_impact(spark, sf_dir):
     """Routes by name, the nodes their edges touch and the handlers whose file begins with the route's folder."""
-    nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir)
+    nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir, False)
     found = nodes.filter((F.col("type") == "route") & F.col("name").ilike("%7%")).select("id", "file")
     both = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).union(edges.select("target", "source"))
-    touching = both.join(found.select("id"), "id", "left_semi").distinct().groupBy("id").agg(F.count("*").alias("touching"))
+    # ids outside the routes' range can't be routes: ends of other kinds aren't shuffled at all
+    low, high = found.agg(F.min("id"), F.max("id")).first()
+    touching = both.filter(F.col("id").between(low, high)).join(found.select("id"), "id", "left_semi").groupBy("id", "other").count().groupBy("id").agg(F.count("*").alias("touching"))
     files = nodes.filter("type = 'function'").groupBy(F.col("file").alias("of")).agg(F.count("*").alias("n"))
     sizes = J.prefix_counts(found.select("file").distinct(), "file", files, "of", "n").withColumnRenamed("total", "handlers")
     return found.join(touching, "id", "left").join(sizes, "file", "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("touching", "handlers")])

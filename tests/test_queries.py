@@ -41,3 +41,8 @@ def test_filters_reach_the_scan(spark):
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
     assert "PushedFilters: [" in scan and "o_orderstatus" in scan.split("PushedFilters")[1]
     assert "o_totalprice" not in scan.split("ReadSchema")[1]
+
+
+def test_ends_that_are_no_routes_are_not_shuffled(spark):
+    plan = plans.QUERIES["route_impact"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(">= o:") >= 2 and plan.count("<= o:") >= 2
