@@ -203,31 +203,81 @@ def rounds_of_communities(edges: DataFrame) -> Iterator[DataFrame]:
     Communities merge while a merge gains; then single nodes move while a move gains, and if any did,
     communities merge again. It ends where neither gains, not after a number of rounds. Every round that is
     given out raises modularity, for what merges or moves in it is chosen so that gains of a round add up.
+    The whole graph is read for the first merges only. Only nodes with an edge to another community can move, so later rounds
+    keep the edges of those and of their neighbours; what a move makes such a node is looked up then.
     """
     base = weighted(edges)
     total = base.agg(F.sum("w")).first()[0]
     labels = settled(base.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")))
     yield labels
+    if not total:
+        return
     degree = settled(base.groupBy("a").agg(F.sum("w").alias("k")))
-    turn, changed = 0, bool(total)
-    while changed:
-        own = lambda end, as_: labels.select(F.col("id").alias(end), F.col("community").alias(as_))  # noqa: B023, E731
-        weight = base.join(own("a", "c"), "a").join(own("b", "d"), "b").filter("c <> d").groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum("w").alias("w"))
-        sums = degree.join(own("a", "c"), "a").groupBy(F.col("c").alias("a")).agg(F.sum("k").alias("k"))
-        weight = settled(weight.join(sums, "a").join(sums.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b").select("a", "b", "w", "k", "kb"))
-        for n, moved in enumerate(_merges(weight, total), 1):
-            labels = labels.join(moved.filter("a <> to").select(F.col("a").alias("community"), "to"), "community", "left").select("id", F.coalesce("to", "community").alias("community"))
-            labels = settled(labels) if n % 4 == 0 else labels
-            yield labels
-        labels, changed = settled(labels), False
+    base = settled(base.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b").select("a", "b", "w", "k", "kb"))
+    for n, moved in enumerate(_merges(base, total), 1):
+        labels = _renamed(labels, "community", moved)
+        labels = settled(labels) if n % 4 == 0 else labels
+        yield labels
+    labels = settled(labels)
+    sums = settled(degree.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("community").alias("c")).agg(F.sum("k").alias("s")))
+    names = sums.select(F.col("c").alias("community"), F.col("c").alias("name"))  # what the communities of labels are called by now
+    ends, turn = _known(base, labels, _across(base, labels)), 0
+    while True:
+        changed = False
         while True:
             turn += 1
-            moved = _node_moves(base, degree, labels, total, turn)
+            moved = _node_moves(ends, sums, total, turn)
             if moved is None:
                 break
-            labels = settled(labels.join(moved, "id", "left").select("id", F.coalesce("to", "community").alias("community")))
-            changed = True
-            yield labels
+            ends, sums = _after(ends, sums, moved)
+            now, changed = _labels_now(labels, names, ends), True
+            fresh = settled(ends.join(moved.select(F.col("id").alias("a")), "a", "left_semi").filter("c <> d").select(F.col("b").alias("a")).distinct().join(ends.select("a").distinct(), "a", "left_anti"))
+            ends = ends if fresh.isEmpty() else settled(ends.union(_known(base, now, fresh, ends)))
+            yield _labels_now(labels, names, ends)
+        if not changed:
+            return
+        cut = ends.filter("c <> d").groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum("w").alias("w"))
+        weight = settled(cut.join(sums.select(F.col("c").alias("a"), F.col("s").alias("k")), "a").join(sums.select(F.col("c").alias("b"), F.col("s").alias("kb")), "b").select("a", "b", "w", "k", "kb"))
+        for moved in _merges(weight, total):
+            ends, names = settled(_renamed(_renamed(ends, "c", moved), "d", moved)), settled(_renamed(names, "name", moved))
+            sums = settled(_renamed(sums, "c", moved).groupBy("c").agg(F.sum("s").alias("s")))
+            yield _labels_now(labels, names, ends)
+
+
+def _renamed(df: DataFrame, column: str, moved: DataFrame) -> DataFrame:
+    """``df`` with the communities of a column replaced by what they merged into; moved: (a, to)."""
+    return df.join(moved.filter("a <> to").select(F.col("a").alias(column), "to"), column, "left").select(*[F.coalesce("to", c).alias(c) if c == column else F.col(c) for c in df.columns])
+
+
+def _across(base: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(a)``: the nodes with an edge to another community; no other can move."""
+    own = lambda end, as_: labels.select(F.col("id").alias(end), F.col("community").alias(as_))
+    return settled(base.select("a", "b").join(own("a", "c"), "a").join(own("b", "d"), "b").filter("c <> d").select("a").distinct())
+
+
+def _known(base: DataFrame, labels: DataFrame, nodes: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """``(a, b, w, k, c, d)``: all edges of nodes (a) and of their neighbours, with a's degree and the communities of both ends, but of nodes that ends has."""
+    ids = nodes.union(base.join(_small(nodes), "a", "left_semi").select("b")).distinct()
+    ids = settled(ids if ends is None else ids.join(ends.select("a").distinct(), "a", "left_anti"))
+    edges = settled(base.select("a", "b", "w", "k").join(_small(ids), "a"))
+    touched = settled(edges.select("a").union(edges.select("b")).distinct())
+    own = settled(labels.join(_small(touched.withColumnRenamed("a", "id")), "id"))
+    of = lambda end, as_: own.select(F.col("id").alias(end), F.col("community").alias(as_))
+    return settled(edges.join(of("a", "c"), "a").join(of("b", "d"), "b").select("a", "b", "w", "k", "c", "d"))
+
+
+def _labels_now(labels: DataFrame, names: DataFrame, ends: DataFrame) -> DataFrame:
+    """The labels after moves, which ends has, and merges, which names has."""
+    own = ends.select(F.col("a").alias("id"), "c").distinct()
+    return labels.join(own, "id", "left").join(names, "community", "left").select("id", F.coalesce("c", "name").alias("community"))
+
+
+def _after(ends: DataFrame, sums: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ends and sums after moves (id, c, to, k)."""
+    to = lambda end, as_: moved.select(F.col("id").alias(end), F.col("to").alias(as_))
+    both = ends.join(to("a", "na"), "a", "left").join(to("b", "nb"), "b", "left")
+    change = moved.select("c", (-F.col("k")).alias("s")).union(moved.select("to", "k"))
+    return settled(both.select("a", "b", "w", "k", F.coalesce("na", "c").alias("c"), F.coalesce("nb", "d").alias("d"))), settled(sums.union(change).groupBy("c").agg(F.sum("s").alias("s")))
 
 
 def _merges(weight: DataFrame, total: float) -> Iterator[DataFrame]:
@@ -267,11 +317,11 @@ def _moved(wants: DataFrame, total: float, turn: int) -> DataFrame:
     marked = wants.join(wanted, "a", "left").withColumn("moves", moves)
     other = marked.select(F.col("a").alias("b"), F.col("b").alias("back"), F.col("moves").alias("bmoves"))
     stays = ~F.coalesce("bmoves", F.lit(False)) | ((F.col("back") == F.col("a")) & (F.col("b") < F.col("a")))
-    asks = marked.filter("moves").join(other, "b", "left").filter(stays)
+    asks = settled(marked.filter("moves").join(other, "b", "left").filter(stays))
     crowd = asks.groupBy("b").agg(F.sum("k").alias("all"), F.max(F.struct("gain", "a")).alias("first"))
     checked = asks.join(crowd, "b").withColumn("sure", F.col("w") - F.col("k") * (F.col("kb") + F.col("all") - F.col("k")) / total > NO_GAIN)
     any_ = checked.groupBy("b").agg(F.max("sure").alias("any"))
-    kept = checked.join(any_, "b").filter(F.col("sure") | (~F.col("any") & (F.col("first.a") == F.col("a")))).select("a", "b", "k", "kb")
+    kept = settled(checked.join(any_, "b").filter(F.col("sure") | (~F.col("any") & (F.col("first.a") == F.col("a")))).select("a", "b", "k", "kb"))
     made = kept.groupBy("b").agg((F.sum("k") + F.max("kb")).alias("new"))
     return kept.join(made, "b").select("a", F.col("b").alias("to"), F.col("new").alias("k")).union(made.select("b", "b", "new"))
 
@@ -307,33 +357,32 @@ def _contracted(weight: DataFrame, moved: DataFrame) -> DataFrame:
     return settled(ends.filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("k").alias("k"), F.max("kb").alias("kb")))
 
 
-def _node_moves(base: DataFrame, degree: DataFrame, labels: DataFrame, total: float, turn: int) -> DataFrame | None:
-    """``(id, to)``: nodes that move to the community of a neighbour, None if none gains.
+def _node_moves(ends: DataFrame, sums: DataFrame, total: float, turn: int) -> DataFrame | None:
+    """``(id, c, to, k)``: nodes that move from c to the community of a neighbour, None if none gains. ends: (a, b, w, k, c, d), at least all edges of all nodes with an edge to another community; sums: (c, s).
 
     Of neighbours that want to move only the one with the larger hash does, so links of a mover stay. It must gain even if its new
     community gets, and its old one loses, all that want to; if that holds for none, the best mover of each pair of communities moves alone.
     """
-    own = lambda end, as_: labels.select(F.col("id").alias(end), F.col("community").alias(as_))
-    sums = degree.join(own("a", "c"), "a").groupBy("c").agg(F.sum("k").alias("s"))
-    links = base.join(own("b", "d"), "b").groupBy("a", "d").agg(F.sum("w").alias("w")).join(own("a", "c"), "a")
-    inner = links.filter("c = d").select("a", F.col("w").alias("w0"))
-    out = links.filter("c <> d").join(inner, "a", "left").join(degree, "a").join(sums.withColumnRenamed("s", "sc"), "c").join(sums.select(F.col("c").alias("d"), F.col("s").alias("sd")), "d")
-    apart = F.col("w") - F.coalesce("w0", F.lit(0.0))
+    links = ends.filter("c <> d").groupBy("a", "k", "c", "d").agg(F.sum("w").alias("w"))
+    inner = F.col("k") - F.col("cut")  # without self loops, the rest of a node's degree is inside
+    out = links.join(links.groupBy("a").agg(F.sum("w").alias("cut")), "a").join(sums.select("c", F.col("s").alias("sc")), "c").join(sums.select(F.col("c").alias("d"), F.col("s").alias("sd")), "d")
+    apart = F.col("w") - inner
     gains = out.select("a", "c", "d", "k", "sc", "sd", apart.alias("apart"), (apart - F.col("k") * (F.col("sd") - F.col("sc") + F.col("k")) / total).alias("gain")).filter(F.col("gain") > NO_GAIN)
     best = gains.groupBy("a").agg(F.min(F.struct((-F.col("gain")).alias("o"), "d", "c", "k", "sc", "sd", "apart", "gain")).alias("r")).select("a", "r.*")
     wants = settled(best.withColumn("place", F.xxhash64(F.col("a").cast("string"), F.lit(turn))))
     if wants.isEmpty():
         return None
-    near = base.join(wants.select("a", "place"), "a").join(wants.select(F.col("a").alias("b"), F.col("place").alias("other")), "b").filter("other > place or (other = place and b > a)")
+    near = ends.join(wants.select("a", "place"), "a").join(wants.select(F.col("a").alias("b"), F.col("place").alias("other")), "b").filter("other > place or (other = place and b > a)")
     free = settled(wants.join(near.select("a").distinct(), "a", "left_anti"))
     into, from_ = free.groupBy("d").agg(F.sum("k").alias("into")), free.groupBy("c").agg(F.sum("k").alias("out"))
     least = F.col("apart") - F.col("k") * (F.col("sd") - F.col("sc") + F.col("into") + F.col("out") - F.col("k")) / total
-    moved = settled(free.join(into, "d").join(from_, "c").filter(least > NO_GAIN).select(F.col("a").alias("id"), F.col("d").alias("to")))
+    moves = [F.col("a").alias("id"), "c", F.col("d").alias("to"), "k"]
+    moved = settled(free.join(into, "d").join(from_, "c").filter(least > NO_GAIN).select(*moves))
     if not moved.isEmpty():
         return moved
     rank = F.struct("gain", "place", "a")
     top_to, top_from = free.groupBy("d").agg(F.max(rank).alias("t")), free.groupBy("c").agg(F.max(rank).alias("f"))
-    return settled(free.join(top_to, "d").join(top_from, "c").filter((rank == F.col("t")) & (rank == F.col("f"))).select(F.col("a").alias("id"), F.col("d").alias("to")))
+    return settled(free.join(top_to, "d").join(top_from, "c").filter((rank == F.col("t")) & (rank == F.col("f"))).select(*moves))
 
 
 def communities(edges: DataFrame) -> DataFrame:

@@ -153,6 +153,19 @@ def test_communities_of_odd_graphs(spark):
     assert {(r.id, r.community) for r in pair} == {(1, "1"), (2, "1")}
 
 
+def test_single_moves_read_the_edges_near_other_communities_alone(spark, monkeypatch):
+    """On a path of 600 nodes, and no node is left whose move to a neighbour's community gains."""
+    edges = [(i, i + 1) for i in range(600)] + [(600 + i, 600 + (i + 1) % 4) for i in range(4)]
+    read, real = [], G._node_moves
+    monkeypatch.setattr(G, "_node_moves", lambda first, *a: read.append(first.count()) or real(first, *a))
+    label = {r.id: r.community for r in G.communities(spark.createDataFrame(edges, "source long, target long")).collect()}
+    assert read and max(read) < len(edges)
+    now = quality(edges, label)
+    for a, b in [*edges, *((b, a) for a, b in edges)]:
+        if label[a] != label[b]:
+            assert quality(edges, {**label, a: label[b]}) <= now + 1e-12
+
+
 def random_tree(rng, n):
     return [(i, rng.randrange(i) if i and rng.random() < 0.95 else None, rng.choice("xyz")) for i in range(n)]
 
