@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.scalars import last_folder
 from tessera.operators.joins import overlapping, version_diff
+from tessera.operators.ranges import running_sum
 from tessera.operators.rounds import settled
 
 BOTH, FORWARD = "both", "forward"
@@ -420,68 +421,100 @@ def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def processes(edges: DataFrame, entries: DataFrame, max_depth: int = 20, least: int = 3) -> DataFrame:
-    """``(entry, id, step)``: the process of an entry holds what its calls reach, by depth then id, if there are ``least`` of them with itself.
+    """``(entry, id, step)``: the processes that ``reached`` keeps, their nodes numbered from 1 by depth then id, over ranges of rows."""
+    rows = reached(edges, entries, max_depth, least)
+    return running_sum(rows, ["entry"], ["depth", "id"], F.lit(1), "step").select("entry", "id", F.col("step").cast("int").alias("step"))
+
+
+def reached(edges: DataFrame, entries: DataFrame, max_depth: int = 20, least: int = 3) -> DataFrame:
+    """``(entry, id, depth)``: the process of an entry holds what its calls reach, if there are ``least`` of them with itself.
 
     Entries go by id, and one that the process of an earlier kept entry holds gets none. Which are kept is
     fixed in rounds: an entry is kept once every earlier entry whose process holds it is known to be dropped, and
-    dropped once one of them is kept; the least open entry is always fixed, so it ends. Reach is held as words of
-    64 entries; only the processes of kept entries become rows.
+    dropped once one of them is kept; the least open entry is always fixed, so it ends. Only kept entries are walked from, so
+    rows are those of the result; what holds an entry is found by the least open entry that reaches a node.
     """
-    number = numbered(entries)
-    reach = _calls_of(edges.filter("type = 'CALLS'").select("source", "target"), number, max_depth)
-    sizes = reach.select("batch", F.explode(places_of("bits")).alias("i")).groupBy("batch", "i").agg(F.count("*").alias("n"))
-    long = sizes.filter(F.col("n") >= least).withColumn("place", F.shiftleft("batch", 6) + F.col("i")).join(number, "place").select("place", F.col("seed").alias("entry"))
-    long = settled(long)
-    # an entry is held by earlier long ones: pairs of entries, one for each process that an entry lies in
-    in_ = reach.join(long.select(F.col("entry").alias("id")), "id").select("id", "batch", F.explode(places_of("bits")).alias("i")).withColumn("place", F.shiftleft("batch", 6) + F.col("i"))
-    open_ = settled(in_.join(_small(long), "place").filter("entry < id").select("id", "entry"))
-    left, kept = settled(long.select(F.col("entry").alias("id"))), None
+    calls = settled(edges.filter("type = 'CALLS' and source <> target").select("source", "target").distinct())
+    left, found = _long(calls, entries.select("id").filter("id is not null").distinct(), max_depth, least), None
     while not left.isEmpty():
-        sure = settled(left.join(open_, "id", "left_anti"))  # no earlier open entry holds them
-        kept = sure if kept is None else kept.union(sure)
-        gone = settled(open_.join(sure.select(F.col("id").alias("entry")), "entry", "left_semi").select("id").distinct())
-        fixed = sure.union(gone)
-        left = settled(left.join(fixed, "id", "left_anti"))
-        open_ = settled(open_.join(gone, "id", "left_anti").join(fixed.select(F.col("id").alias("entry")), "entry", "left_anti"))
-    if kept is None:
-        return long.select("entry", F.col("entry").alias("id"), F.lit(0).alias("step")).limit(0)
-    mine = reach.select("id", "batch", "depth", F.explode(places_of("bits")).alias("i")).withColumn("place", F.shiftleft("batch", 6) + F.col("i"))
-    of = number.join(kept.withColumnRenamed("id", "seed"), "seed", "left_semi").select("place", F.col("seed").alias("entry"))
-    rows = mine.join(_small(of), "place").select("entry", "id", "depth")
-    w = Window.partitionBy("entry").orderBy("depth", "id")
-    return rows.select("entry", "id", F.row_number().over(w).alias("step"))
-
-
-def _calls_of(calls: DataFrame, number: DataFrame, max_depth: int) -> DataFrame:
-    """``(batch, id, bits, depth)``: which entries first reach a node at which depth, themselves at 0; along calls only, not against them."""
-    frontier = settled(number.groupBy("batch", F.col("seed").alias("id")).agg(F.expr("bit_or(bit)").alias("bits")))
-    every = frontier.withColumn("depth", F.lit(0))
+        sure = _unheld(calls, left, max_depth)
+        own = _from_each(calls, sure, max_depth)
+        found = own if found is None else found.union(own)
+        left = settled(left.join(sure, "id", "left_anti").join(own.filter("entry < id").select("id").distinct(), "id", "left_anti"))
+    return left.select(F.col("id").alias("entry"), "id", F.lit(0).alias("depth")) if found is None else found
+
+
+def _long(calls: DataFrame, entries: DataFrame, max_depth: int, least: int) -> DataFrame:
+    """The entries (id) that reach ``least`` nodes with themselves. No walk needs more hops than nodes, nor more calls of a node than nodes: if one has more, that is enough."""
+    first = Window.partitionBy("source").orderBy("target")
+    few = settled(calls.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") < least).select("source", "target"))
+    have = frontier = settled(entries.select(F.col("id").alias("entry"), "id"))
+    for _ in range(min(max_depth, least - 1)):
+        hop = few.join(frontier.withColumnRenamed("id", "source"), "source").select("entry", F.col("target").alias("id")).distinct()
+        have = settled(have.union(hop).distinct())
+        done = have.groupBy("entry").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+        frontier = hop.join(done, "entry", "left_anti").select("entry", "id")
+    return settled(have.groupBy(F.col("entry").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("id"))
+
+
+def _unheld(calls: DataFrame, left: DataFrame, max_depth: int) -> DataFrame:
+    """The entries (id) of left that no lesser one of left reaches within max_depth calls.
+
+    Those that no lesser one calls itself are looked at: calls are followed back from all of them at once, and along
+    the calls found the least entry of left is carried forward, where it changed.
+    """
+    held = calls.join(left.withColumnRenamed("id", "source"), "source", "left_semi").filter("source < target").select(F.col("target").alias("id"))
+    asked = settled(left.join(held.distinct(), "id", "left_anti"))
+    known, frontier, into = asked, asked, calls.limit(0)
+    for _ in range(max_depth):
+        back = settled(calls.join(_small(frontier.withColumnRenamed("id", "target")), "target", "left_semi").select("source", "target"))
+        into = into.union(back)
+        frontier = settled(back.select(F.col("source").alias("id")).distinct().join(known, "id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        known = known.union(frontier)
+    least = settled(left.join(known, "id", "left_semi").withColumn("low", F.col("id")))
+    changed = least
+    for _ in range(max_depth):
+        hop = into.join(_small(changed.withColumnRenamed("id", "source")), "source").groupBy(F.col("target").alias("id")).agg(F.min("low").alias("low"))
+        changed = settled(hop.join(least.withColumnRenamed("low", "old"), "id", "left").filter("old is null or low < old").select("id", "low"))
+        if changed.isEmpty():
+            break
+        least = settled(least.union(changed).groupBy("id").agg(F.min("low").alias("low")))
+    return settled(asked.join(least, "id").filter("low = id").select("id"))
+
+
+def _from_each(calls: DataFrame, entries: DataFrame, max_depth: int) -> DataFrame:
+    """``(entry, id, depth)``: what each entry reaches at which depth, itself at 0; along calls only, not against them."""
+    every = frontier = settled(entries.select(F.col("id").alias("entry"), "id", F.lit(0).alias("depth")))
     for depth in range(1, max_depth + 1):
-        seen = every.groupBy("batch", "id").agg(F.expr("bit_or(bits)").alias("seen"))
-        hop = calls.join(_small(frontier.select(F.col("id").alias("source"), "batch", "bits")), "source").groupBy("batch", F.col("target").alias("id")).agg(F.expr("bit_or(bits)").alias("bits"))
-        frontier = settled(hop.join(seen, ["batch", "id"], "left").select("batch", "id", F.expr("bits & ~coalesce(seen, 0L)").alias("bits")).filter("bits <> 0"))
+        at = _small(frontier.select("entry", F.col("id").alias("source")))
+        hop = calls.join(at, "source").select("entry", F.col("target").alias("id")).distinct()
+        frontier = settled(hop.join(every, ["entry", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        every = every.union(frontier.withColumn("depth", F.lit(depth)))
+        every = every.union(frontier)
     return every
 
 
 #: Nodes and calls of one process up to which its trace is told; a larger one is refused, not cut.
 TRACE_ROWS = 2_000_000
+#: Nodes and calls that a group of processes holds on average.
+TRACE_GROUP = 100_000
 
 
 def traces(steps: DataFrame, calls: DataFrame, entries: DataFrame | None = None, max_depth: int = 20, most: int = TRACE_ROWS) -> DataFrame:
     """``(process, position, id, depth)``: the nodes of each process in depth-first order along the calls among them, no deeper than max_depth.
 
     steps: (process, id); calls: (source, target); entries: (process, entry). Called nodes go by id. A process whose entry is one of its
-    nodes is walked from there; others from each node by id that no earlier one has reached. A process is a group of its own, its nodes
-    cogrouped with its calls; one of more than ``most`` rows raises, by a count before any is walked.
+    nodes is walked from there; others from each node by id that no earlier one has reached. Whole processes are dealt to groups of about
+    ``TRACE_GROUP`` rows, nodes cogrouped with calls; one of more than ``most`` rows raises, by a count before any is walked.
     """
     nodes = settled(steps.select("process", "id").distinct())
     inside = calls.select("source", "target").distinct().join(nodes.select("process", F.col("id").alias("source")), "source")
     inside = settled(inside.join(nodes.select("process", F.col("id").alias("target")), ["process", "target"], "left_semi").select("process", "source", "target"))
     sizes = nodes.select("process").union(inside.select("process")).groupBy("process").agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max(F.struct("n", "process")).alias("l")).first().l
+    rows, largest = sizes.agg(F.sum("n"), F.max(F.struct("n", "process"))).first()
     if largest and largest.n > most:
         raise ValueError(f"process {largest.process} has {largest.n} nodes and calls, more than {most}")
     first = nodes.limit(0) if entries is None else entries.select("process", F.col("entry").alias("id")).distinct()
@@ -490,20 +523,27 @@ def traces(steps: DataFrame, calls: DataFrame, entries: DataFrame | None = None,
 
     def told(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         called: dict = {}
-        for s, t in sorted(zip(links["source"], links["target"], strict=True), reverse=True):
-            called.setdefault(s, []).append(t)
-        starts = sorted(own.loc[own["starts"], "id"]) or sorted(own["id"])
-        seen: dict = {}
-        for root in starts:
-            stack = [(root, 0)]
-            while stack:
-                node, depth = stack.pop()
-                if node not in seen and depth <= max_depth:
-                    seen[node] = depth
-                    stack += [(t, depth + 1) for t in called.get(node, ())]
-        return pd.DataFrame({"process": [own["process"].iloc[0]] * len(seen), "position": range(1, len(seen) + 1), "id": list(seen), "depth": list(seen.values())})
-
-    return marked.groupBy("process").cogroup(inside.groupBy("process")).applyInPandas(told, f"process {kind['process']}, position int, id {kind['id']}, depth int")
+        for p, s, t in sorted(zip(links["process"], links["source"], links["target"], strict=True), reverse=True):
+            called.setdefault((p, s), []).append(t)
+        members: dict = {}
+        for p, node, starts in sorted(zip(own["process"], own["id"], own["starts"], strict=True)):
+            members.setdefault(p, ([], []))[0 if starts else 1].append(node)
+        out: dict = {"process": [], "position": [], "id": [], "depth": []}
+        for p, (starts, others) in members.items():
+            seen: dict = {}
+            for root in starts or others:
+                stack = [(root, 0)]
+                while stack:
+                    node, depth = stack.pop()
+                    if node not in seen and depth <= max_depth:
+                        seen[node] = depth
+                        stack += [(t, depth + 1) for t in called.get((p, node), ())]
+            for c, values in zip(out, ([p] * len(seen), range(1, len(seen) + 1), seen, seen.values()), strict=True):
+                out[c] += values
+        return pd.DataFrame(out)
+
+    group = F.pmod(F.xxhash64("process"), F.lit((rows or 0) // TRACE_GROUP + 1)).alias("_g")
+    return marked.groupBy(group).cogroup(inside.groupBy(group)).applyInPandas(told, f"process {kind['process']}, position int, id {kind['id']}, depth int")
 
 
 def overrides(extends: DataFrame, methods: DataFrame) -> DataFrame:

@@ -258,7 +258,7 @@ SELECT entry AS process, row_number() OVER (PARTITION BY entry ORDER BY path) AS
 def process_trace(spark, sf_dir):
     """All processes in depth-first order from their entries."""
     calls = _calls(spark, sf_dir)
-    steps = settled(G.processes(calls, calls.select(F.col("source").alias("id")).distinct()).select(F.col("entry").alias("process"), "id"))
+    steps = settled(G.reached(calls, calls.select(F.col("source").alias("id")).distinct()).select(F.col("entry").alias("process"), "id"))
     entries = steps.select("process", F.col("process").alias("entry")).distinct()
     return G.traces(steps, calls, entries)
 

@@ -103,6 +103,39 @@ def test_processes_equal_a_loop_in_order(spark, seed, max_depth):
     assert got == greedy_processes(edges, entries, max_depth, 3)
 
 
+@pytest.mark.parametrize(("max_depth", "least"), [(4, 1), (4, 5), (2, 6), (0, 1)])
+def test_processes_of_other_sizes_over_cycles(spark, max_depth, least):
+    rng = random.Random(least)
+    edges = {(rng.randrange(50), rng.randrange(50)) for _ in range(70)}
+    entries = [i for i in range(60) if rng.random() < 0.8]
+    got = {}
+    for r in G.processes(spark.createDataFrame([(*e, "CALLS") for e in edges], "source long, target long, type string"), spark.createDataFrame([(e,) for e in [*entries, *entries, None]], "id long"), max_depth, least).orderBy("step").collect():
+        got.setdefault(r.entry, []).append(r.id)
+    assert got == greedy_processes(edges, entries, max_depth, least)
+
+
+def test_only_kept_entries_are_walked_from(spark, monkeypatch):
+    """Each node of a chain is an entry: pairs of an entry and what it reaches are read for the two kept ones alone."""
+    written, real = [], G.settled
+    monkeypatch.setattr(G, "settled", lambda df, *a: written.append(real(df, *a)) or written[-1])
+    chain = spark.createDataFrame([(i, i + 1, "CALLS") for i in range(40)], "source long, target long, type string")
+    steps = G.processes(chain, chain.select(F.col("source").alias("id")))
+    assert {r.entry: r["count"] for r in steps.groupBy("entry").count().collect()} == {0: 21, 21: 20}
+    assert max(df.count() for df in written) <= 3 * 41
+
+
+def test_traces_of_small_processes_share_a_group(spark, monkeypatch):
+    """Of 300 processes, each alone in its own group before; in groups of one row each they come out the same."""
+    steps = spark.range(300).selectExpr("id div 3 as process", "id")
+    calls = spark.range(300).selectExpr("id as source", "id + 1 as target")
+    first = G.traces(steps, calls)
+    assert "FlatMapCoGroupsInPandas" in (plan := first._jdf.queryExecution().toString()) and "pmod(xxhash64(process" in plan
+    want = [(i // 3, i % 3 + 1, i, i % 3) for i in range(300)]
+    assert sorted(tuple(r) for r in first.collect()) == want
+    monkeypatch.setattr(G, "TRACE_GROUP", 1)
+    assert sorted(tuple(r) for r in G.traces(steps, calls).collect()) == want
+
+
 def quality(edges, label):
     m, degree, inside = len(edges), {}, 0
     for a, b in edges:
